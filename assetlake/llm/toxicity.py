@@ -19,7 +19,8 @@ documents, turns them into a score. Labels are only ever used for learning.
 
 Learning takes at most ``sample`` labelled documents (a documented bound, those
 of the smallest hashed ids). When the score is calibrated, each document's own
-label is taken out of the weights of its arcs.
+label is taken out of the weights of its arcs. Near copies count once: of sample
+documents that share one of ``MINIMA`` shingle minima the first is kept.
 
 Defined cases: null and empty texts have no clause and get the score of that;
 long texts are read whole; repeated document rows get a row each; of repeated
@@ -44,11 +45,12 @@ from . import common
 
 SAMPLE = 16_000
 THRESHOLD = 0.3
-PREFIXES = (4, 5, 6)
-LEAST_WEIGHT = 1.5
+PREFIXES = (4, 5, 6, 7, 8)
+LEAST_WEIGHT = 1.0
 #: Learned arcs kept, by weight; each is a few dozen bytes in a task.
 MOST_ARCS = 5_000
 PRIOR = 3.0
+MINIMA = 4
 NEGATION_SCOPE = 2
 NEGATED = 0.4
 REPORTED = 0.7
@@ -167,11 +169,42 @@ def remainder(key: Column, divisor: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(divisor))
 
 
+def _one_of_each(texts: DataFrame) -> DataFrame:
+    """(toxic, text) of the sample without near copies of documents with smaller ids."""
+
+    def minima(batches):
+        a = np.random.default_rng(6).integers(1 << 31, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
+        for batch in common.batches(batches):
+            ids, keys = [], []
+            for i, h, _, _ in common.hashed(batch["text"]):
+                if len(h):
+                    low = (common.similar_set(h) >> np.uint64(32)).astype(np.uint32)
+                    with np.errstate(over="ignore"):
+                        keys += [(j << 32) + int((low * a[j]).min()) for j in range(MINIMA)]
+                    ids += [batch["doc_id"][i]] * MINIMA
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64())})
+
+    keyed = common.materialize(texts.select("doc_id", "text").mapInArrow(minima, "doc_id long, key long"), "labelled-minima")
+    firsts = common.materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first-minima")
+    copies = common.materialize(keyed.join(F.broadcast(firsts), "key").where("doc_id > first").select("doc_id").distinct(), "labelled-copies")
+    return common.materialize(texts.join(F.broadcast(copies), "doc_id", "left_anti").select("toxic", "text"), "labelled-once")
+
+
+def _specific(arcs: dict[str, Arc]) -> dict[str, Arc]:
+    """Without the prefixes of which one longer arc explains nine tenths: they only add chance matches."""
+    longest = {}
+    for key, arc in arcs.items():
+        for n in PREFIXES:
+            if len(key) > n:
+                longest[key[:n]] = max(longest.get(key[:n], 0), arc.toxic)
+    return {k: a for k, a in arcs.items() if longest.get(k, 0) < 0.9 * a.toxic}
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     """Fit the grammar to at most ``sample`` labelled documents of ``labels`` (doc_id, toxic)."""
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = common.materialize(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled")
-    texts = common.materialize(common.texts_of(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "labelled-texts")
+    texts = _one_of_each(common.materialize(common.texts_of(docs).join(F.broadcast(chosen), "doc_id"), "labelled-texts"))
 
     def count(batches):
         for batch in common.batches(batches):
@@ -190,8 +223,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     t, c = F.col("toxic"), F.col("clean")
     weight = F.log((t + 0.5) / (n_toxic + 1)) - F.log((c + 0.5) / (n_clean + 1)) - 2 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
     counted = texts.mapInArrow(count, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    arcs = counted.where((t >= 3) & (weight >= LEAST_WEIGHT)).orderBy(weight.desc(), "key").limit(MOST_ARCS).collect()
-    grammar = Grammar({r["key"]: Arc(r["toxic"], r["clean"]) for r in arcs}, n_toxic, n_clean)
+    arcs = counted.where((t >= 5) & (weight >= LEAST_WEIGHT)).orderBy(weight.desc(), "key").limit(MOST_ARCS).collect()
+    grammar = Grammar(_specific({r["key"]: Arc(r["toxic"], r["clean"]) for r in arcs}), n_toxic, n_clean)
 
     def examples(batches):
         for batch in common.batches(batches):
