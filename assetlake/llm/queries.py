@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, order_minhash, secret_scan, token_counts, toxicity
+from . import decontamination, jaccard_join, order_minhash, secret_scan, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_read(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_findings(_read(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), *(f"n_{k}" for k in secret_scan.BASE), F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
@@ -36,6 +40,7 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_secret_scan": op5_secret_scan,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
@@ -60,5 +65,30 @@ with words as (
 )
 select doc_id, item_id, shared, item_shingles, shared / item_shingles::double as containment
 from shared join sizes using (item_id) where shared / item_shingles::double >= 0.8
+""",
+    "op4_jaccard_join": rf"""
+with recursive words as (
+  select row_number() over () as r, doc_id, {_WORDS} as w from (select doc_id, coalesce(text, '') as text from documents)
+), classes as (
+  select w, min(doc_id) as first, count(*) as n from words where len(w) > 0 group by w
+), shingles as (
+  select distinct first, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) as s from classes
+), sizes as (
+  select first, count(*) as n from shingles group by first
+), shared as (
+  select a.first as a, b.first as b, count(*) as n from shingles a join shingles b on a.s = b.s and a.first != b.first group by all
+), links as (
+  select a, b from shared join sizes x on x.first = a join sizes y on y.first = b where shared.n / (x.n + y.n - shared.n)::double >= 0.8
+), reach(node, other) as (
+  select first, first from classes
+  union
+  select node, b from reach join links on a = other
+), groups as (
+  select node, min(other) as class_id from reach group by node
+), counts as (
+  select a, count(*) as n_links from links group by a
+)
+select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(n_links, 0) as n_links, coalesce(classes.n - 1, 0) as n_copies
+from words left join classes using (w) left join groups on node = first left join counts on a = first
 """,
 }
