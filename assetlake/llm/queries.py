@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, order_minhash, secret_scan, token_counts, toxicity
+from . import decontamination, jaccard_join, order_minhash, secret_scan, substring_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_sensitivity(_read(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_paragraphs(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
@@ -45,6 +49,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op9_order_minhash": op9_order_minhash,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
