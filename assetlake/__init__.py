@@ -1,0 +1 @@
+"""Analytics over catalogs of media assets, as Spark DataFrame operators."""
