@@ -40,7 +40,7 @@ from . import common, links
 from .common import SIMILARITY
 
 TOKENS = 64
-DEPTH = 6
+DEPTH = 3
 BRUTE_FORCE = 48
 RECALL = 0.999
 #: Share of equal tokens from which a pair of a small bucket is a candidate: four standard errors under the threshold.
