@@ -90,6 +90,8 @@ class Vocabulary:
         self.class_of_symbol = np.array([n // CLASS_WORDS for n in range(self.n_words)] + list(range(self.top_classes, self.classes)))
         self.log_base = math.log10(total + SMOOTHING * (distinct + 1))
         self.class_log = np.zeros(self.classes)
+        self.word_counts = np.array([c for _, c in dictionary[:WORDS]], float)
+        self.class_counts = np.zeros(self.classes)
 
     def symbol_of_class(self, c: int) -> int:
         return self.n_words + c - self.top_classes
@@ -100,8 +102,10 @@ class Vocabulary:
 
     def set_class_totals(self, totals: dict[int, tuple[int, int]]) -> None:
         """(count, distinct words) of each class of words that are not frequent."""
+        self.class_counts[: self.top_classes] = np.bincount(self.class_of_symbol[: self.n_words], self.word_counts, minlength=self.classes)[: self.top_classes]
         for c in range(self.top_classes, self.classes):
             n, v = totals.get(c, (0, 0))
+            self.class_counts[c] = n
             self.class_log[c] = math.log10(n + SMOOTHING * (v + 1))
 
     def symbols_of(self, words: list[bytes]) -> np.ndarray:
@@ -137,6 +141,12 @@ class Model:
         if spare:
             self.mask[-1, CLASS_WORDS - spare :] = -1e9
 
+    def start_at(self, vocabulary: Vocabulary) -> None:
+        """Biases at the corpus's shares, so that training starts from its word counts."""
+        share = vocabulary.class_counts + SMOOTHING
+        self.p["class_b"] = np.log(share / share.sum()).astype(np.float32)
+        self.p["word_b"].ravel()[: vocabulary.n_words] = np.log(vocabulary.word_counts)
+
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
 
@@ -412,6 +422,7 @@ def fit(training: DataFrame, vocabulary: Vocabulary) -> Model:
     """Train over all training documents, in rounds of averaged local training."""
     spark: SparkSession = training.sparkSession
     model = Model(vocabulary.symbols, vocabulary.classes, vocabulary.n_words)
+    model.start_at(vocabulary)
     warm = [vocabulary.symbols_of(tokens(r["text"][:20_000])) for r in training.orderBy(F.xxhash64("doc_id", "text")).limit(WARM_UP).collect()] if vocabulary.total else []
     if warm:
         adam = _Adam(model, RATE)
