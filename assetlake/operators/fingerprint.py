@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from .graph import connected_components
+from .graph import connected_components, written
 
 #: Hamming thresholds from identical to loosely similar, and the default.
 THRESHOLD_PRESETS = (0, 1, 2, 5, 7, 14)
@@ -59,7 +59,8 @@ def hamming_pairs(hashes: DataFrame, t: int = DEFAULT_THRESHOLD) -> DataFrame:
     of its common keys, and keys with many signatures are cut into blocks that
     meet pairwise.
     """
-    reps = hash_classes(hashes).select("dhash", F.col("rep").alias("id")).distinct()
+    # the signatures are read several times below and can be costly to make
+    reps = written(hashes.where("dhash is not null").groupBy("dhash").agg(F.min("id").alias("id")))
     keyed = reps.select("id", "dhash", F.explode(_keys(F.col("dhash"), t)).alias("key"))
     heavy = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1")
     keyed = keyed.join(heavy, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -89,6 +90,7 @@ def hamming_search(hashes: DataFrame, probes: DataFrame, t: int) -> DataFrame:
 
 def neardup_groups(hashes: DataFrame, t: int = DEFAULT_THRESHOLD) -> DataFrame:
     """Components of two and more assets under links of at most ``t`` bits: (group_id, id, dhash)."""
+    hashes = written(hashes.select("id", "dhash"))
     classes = hash_classes(hashes)
     joined = connected_components(hamming_pairs(hashes, t).select("a", "b"))
     named = classes.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("group_id", F.coalesce("component", "rep"))
