@@ -33,6 +33,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from . import common
 
 WORDS = 512
 CLASS_WORDS = 32
-SUFFIX_CLASSES = 32
+SUFFIX_CLASSES = 24
 DICTIONARY = 65_536
 HIDDEN = 16
 WINDOW = 32
@@ -81,12 +82,9 @@ class Vocabulary:
         self.classes = self.top_classes + 1 + len(suffixes)
         # a token's number: frequent words first, then the classes of the others
         self.symbols = self.n_words + self.classes - self.top_classes
-        self.number = {w: n for n, w in enumerate(frequent)}
-        self.log_count = {}
-        for w, c in dictionary:
-            if w not in self.number:
-                self.number[w] = self.symbol_of_class(self.suffix_class(w))
-            self.log_count[w] = math.log10(c + SMOOTHING)
+        self.index = {w: n for n, (w, _) in enumerate(dictionary)}
+        self.symbol = np.array([n if n < self.n_words else self.symbol_of_class(self.suffix_class(w)) for n, (w, _) in enumerate(dictionary)], np.int32)
+        self.log_count = np.log10(np.array([c for _, c in dictionary], float) + SMOOTHING)
         self.class_of_symbol = np.array([n // CLASS_WORDS for n in range(self.n_words)] + list(range(self.top_classes, self.classes)))
         self.log_base = math.log10(total + SMOOTHING * (distinct + 1))
         self.class_log = np.zeros(self.classes)
@@ -108,13 +106,20 @@ class Vocabulary:
             self.class_counts[c] = n
             self.class_log[c] = math.log10(n + SMOOTHING * (v + 1))
 
-    def symbols_of(self, words: list[bytes]) -> np.ndarray:
-        number = self.number
-        out = [number.get(w, -1) for w in words]
-        for i, n in enumerate(out):
-            if n < 0:
-                out[i] = self.symbol_of_class(self.suffix_class(words[i]))
-        return np.array(out, np.int32)
+    @property
+    def start(self) -> int:
+        """Symbol that stands before a document's first token: the end's."""
+        return int(self.symbol[self.index[END]]) if END in self.index else 0
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of the words, their places in the dictionary (-1 for none), and where those without are."""
+        place = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        beyond = np.flatnonzero(place < 0)
+        symbols = self.symbol[place] if len(self.symbol) else np.zeros(len(words), np.int32)
+        if len(beyond):
+            classes = self.suffix_class
+            symbols[beyond] = [self.symbol_of_class(classes(words[i])) for i in beyond.tolist()]
+        return symbols, place, beyond
 
 
 # --- model -----------------------------------------------------------------------
@@ -316,7 +321,7 @@ def _windows(docs: list[np.ndarray], start: int) -> Iterator[tuple]:
 
 def train(model: Model, vocabulary: Vocabulary, docs: list[np.ndarray], adam: _Adam) -> None:
     """One pass of truncated backpropagation over documents of symbols."""
-    start = vocabulary.number.get(END, 0)
+    start = vocabulary.start
     h = np.zeros((min(LANES, len(docs)), HIDDEN), np.float32)
     for inputs, target, resets, _ in _windows(docs, start):
         h = h[: inputs.shape[1]]
@@ -335,7 +340,7 @@ def train(model: Model, vocabulary: Vocabulary, docs: list[np.ndarray], adam: _A
 def score(model: Model, vocabulary: Vocabulary, docs: list[np.ndarray]) -> np.ndarray:
     """Log10 probability of each document's classes and frequent words."""
     out = np.zeros(len(docs))
-    start = vocabulary.number.get(END, 0)
+    start = vocabulary.start
     h = np.zeros((min(LANES, len(docs)), HIDDEN), np.float32)
     for inputs, target, resets, owner in _windows(docs, start):
         h = h[: inputs.shape[1]]
@@ -423,7 +428,7 @@ def fit(training: DataFrame, vocabulary: Vocabulary) -> Model:
     spark: SparkSession = training.sparkSession
     model = Model(vocabulary.symbols, vocabulary.classes, vocabulary.n_words)
     model.start_at(vocabulary)
-    warm = [vocabulary.symbols_of(tokens(r["text"][:20_000])) for r in training.orderBy(F.xxhash64("doc_id", "text")).limit(WARM_UP).collect()] if vocabulary.total else []
+    warm = [vocabulary.look_up(tokens(r["text"][:20_000]))[0] for r in training.orderBy(F.xxhash64("doc_id", "text")).limit(WARM_UP).collect()] if vocabulary.total else []
     if warm:
         adam = _Adam(model, RATE)
         for _ in range(4):
@@ -439,7 +444,7 @@ def fit(training: DataFrame, vocabulary: Vocabulary) -> Model:
             own.set_flat(now.value)
             adam, seen = _Adam(own, RATE), 0
             for held in _buffers(batches):
-                docs = [vocabulary.symbols_of(tokens(t)) for b in held for t in b["text"]]
+                docs = [vocabulary.look_up(tokens(t))[0] for b in held for t in b["text"]]
                 seen += sum(map(len, docs))
                 train(own, vocabulary, docs, adam)
             if seen:
@@ -454,6 +459,14 @@ def fit(training: DataFrame, vocabulary: Vocabulary) -> Model:
     return model
 
 
+def _lists(tails: list[Counter]) -> pa.Array:
+    """Counters as lists of (word, n)."""
+    word = pa.array(list(chain.from_iterable(tails)), pa.binary())
+    n = pa.array(list(chain.from_iterable(t.values() for t in tails)), pa.int64())
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in tails])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([word, n], ["word", "n"]))
+
+
 _SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word:binary,n:long>>"
 
 
@@ -469,27 +482,25 @@ def log_likelihood(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         vocabulary, model = shipped.value
-        log_count, number = vocabulary.log_count, vocabulary.number
         for held in _buffers(batches):
             doc, out, texts, symbols = [], [], [], []
             for b in held:
                 doc += b["doc_id"]
                 out += b["held_out"]
                 texts += b["text"]
-            known, base, tails, lengths, rare = [], [], [], [], []
+            known, base, lengths, rare, tails = [], [], [], [], []
             for t in texts:
                 words = tokens(t)
-                s = vocabulary.symbols_of(words)
-                logs = [log_count.get(w) for w in words]
-                tail = Counter(w for w, x in zip(words, logs, strict=True) if x is None)
+                s, place, beyond = vocabulary.look_up(words)
                 symbols.append(s)
                 lengths.append(len(words))
-                known.append(len(words) - tail.total())
-                base.append(sum(x for x in logs if x is not None))
+                known.append(len(words) - len(beyond))
+                logs = vocabulary.log_count[place] if len(beyond) < len(words) else np.zeros(len(words))
+                logs[beyond] = 0
+                base.append(logs.sum())
                 own = s >= vocabulary.n_words
-                classes = vocabulary.class_of_symbol[s[own]]
-                rare.append(sum(logs[i] for i in np.flatnonzero(own).tolist() if logs[i] is not None) - vocabulary.class_log[classes].sum())
-                tails.append([{"word": w, "n": n} for w, n in tail.items()])
+                rare.append(logs[own].sum() - vocabulary.class_log[vocabulary.class_of_symbol[s[own]]].sum())
+                tails.append(Counter([words[i] for i in beyond.tolist()]))
             scored = score(model, vocabulary, symbols) + np.array(rare)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -500,7 +511,7 @@ def log_likelihood(docs: DataFrame) -> DataFrame:
                     "n_known": pa.array(known, pa.int64()),
                     "base": pa.array(np.array(base) - np.array(lengths) * vocabulary.log_base),
                     "score": pa.array(scored),
-                    "tail": pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+                    "tail": _lists(tails),
                 }
             )
 
