@@ -93,8 +93,8 @@ def _sets(batches):
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, start, stop, n_words, group_id, keep) of each paragraph that occurs more than once.
 
-    ``start`` and ``stop`` are code points of the text, ``group_id`` is the same
-    for all occurrences of a passage, ``keep`` marks the first of them.
+    ``start`` and ``stop`` are code points of the text, ``group_id`` names a
+    passage by its first occurrence (doc_id:paragraph), ``keep`` marks that one.
     """
     texts = common.texts_of(docs)
     schema = "doc_id long, paragraph long, start long, stop long, n_words long, node long, bands array<long>"
@@ -119,10 +119,11 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     table = classes.join(joined, "node", "left").where("weight > 1 or component is not null").select("node", "first", F.coalesce("component", "node").alias("group_id"))
     table = common.materialize(table, "repeat-classes")
     leads = table.groupBy("group_id").agg(F.min("first").alias("lead"))
-    table = common.materialize(table.join(leads, "group_id").select("node", "group_id", "lead"), "repeat-table")
+    table = common.materialize(table.join(leads, "group_id").select("node", "lead"), "repeat-table")
     out = units.join(common.small(table), "node")
     keep = F.expr("lead.doc_id <=> doc_id and lead.paragraph = paragraph")
-    return out.select("doc_id", "paragraph", "start", "stop", "n_words", "group_id", keep.alias("keep"))
+    group = F.concat_ws(":", "lead.doc_id", "lead.paragraph")
+    return out.select("doc_id", "paragraph", "start", "stop", "n_words", group.alias("group_id"), keep.alias("keep"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
