@@ -55,9 +55,9 @@ def hamming_pairs(hashes: DataFrame, t: int = DEFAULT_THRESHOLD) -> DataFrame:
     """Pairs of distinct signatures of ``hashes`` (id, dhash) within ``t`` bits: (a, b, distance) with a < b.
 
     Equal signatures are collapsed to their least id first, as ``hash_classes``
-    tells. Candidates share a band key; each pair is checked once, in the first
-    of its common keys, and keys with many signatures are cut into blocks that
-    meet pairwise.
+    tells. Candidates share a band key, and keys with many signatures are cut
+    into blocks that meet pairwise; of a pair that meets under several keys one
+    row is left, after the distance has been checked.
     """
     # the signatures are read several times below and can be costly to make
     reps = written(hashes.where("dhash is not null").groupBy("dhash").agg(F.min("id").alias("id")))
@@ -70,8 +70,7 @@ def hamming_pairs(hashes: DataFrame, t: int = DEFAULT_THRESHOLD) -> DataFrame:
     right = keyed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.col("mate").alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("dhash").alias("hb"))
     distance = E.hamming(F.col("ha"), F.col("hb"))
     met = left.join(right, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (distance <= t))
-    shared = F.array_min(F.array_intersect(_keys(F.col("ha"), t), _keys(F.col("hb"), t)))
-    return met.where(shared == F.col("key")).select("a", "b", distance.alias("distance"))
+    return met.select("a", "b", distance.alias("distance")).distinct()
 
 
 def hash_classes(hashes: DataFrame) -> DataFrame:

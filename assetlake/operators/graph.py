@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the folder that executors share, so that rounds don't pile up lineage."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/assetlake-checkpoints-{uuid.uuid4().hex}")
-    return df.checkpoint()
+    """``df`` as Parquet in the folder that driver and executors share, read back: rounds don't pile up lineage.
+
+    The folder is ``spark.checkpoint.dir``; one of this machine only where that is unset (tests).
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/assetlake-tables"
+    path = f"{folder.rstrip('/')}/catalog/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
