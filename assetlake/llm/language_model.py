@@ -54,6 +54,7 @@ ROUNDS = 2
 WARM_UP = 256
 RATE = 0.01
 SMOOTHING = 0.1
+_ROWS = 2048
 #: Distinct words that a counting task holds before it hands its counts on.
 PARTIAL_COUNTS = 200_000
 END = b"\n"
@@ -192,19 +193,26 @@ class Model:
 
     def outputs(self, states: np.ndarray, classes: np.ndarray, symbols: np.ndarray, words: int, gradients: bool) -> tuple:
         """Natural log probabilities of flat targets, and the gradients of their sum's negative."""
-        logits = states @ self.p["class_w"] + self.p["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        rows = np.arange(len(classes))
-        score = np.log(logits[rows, classes]) - np.log(total)
+        score = np.empty(len(classes), np.float32)
         grads, back = {}, None
         if gradients:
-            logits /= total[:, None]
-            logits[rows, classes] -= 1
-            grads["class_w"], grads["class_b"] = states.T @ logits, logits.sum(axis=0)
-            back = logits @ self.p["class_w"].T
-            grads["word_w"], grads["word_b"] = np.zeros_like(self.p["word_w"]), np.zeros_like(self.p["word_b"])
+            grads = {k: np.zeros_like(self.p[k]) for k in ("class_w", "class_b", "word_w", "word_b")}
+            back = np.empty_like(states)
+        for at in range(0, len(classes), _ROWS):  # blocks whose logits stay in the processor's cache
+            s, target = states[at : at + _ROWS], classes[at : at + _ROWS]
+            logits = s @ self.p["class_w"]
+            logits += self.p["class_b"]
+            logits -= logits.max(axis=1, keepdims=True)
+            np.exp(logits, out=logits)
+            total = logits.sum(axis=1)
+            rows = np.arange(len(target))
+            score[at : at + _ROWS] = np.log(logits[rows, target]) - np.log(total)
+            if gradients:
+                logits /= total[:, None]
+                logits[rows, target] -= 1
+                grads["class_w"] += s.T @ logits
+                grads["class_b"] += logits.sum(axis=0)
+                back[at : at + _ROWS] = logits @ self.p["class_w"].T
         frequent = np.flatnonzero(symbols < words)
         order = frequent[np.argsort(symbols[frequent] // CLASS_WORDS, kind="stable")]
         cuts = np.searchsorted(symbols[order] // CLASS_WORDS, np.arange(len(self.p["word_b"]) + 1))
