@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,9 +186,15 @@ def similar_set(h: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(shingles(h, k))
 
 
-def batches(rows: Iterator, chars: int = 1 << 21, col: str = "text") -> Iterator[dict[str, list]]:
-    """Arrow batches as dictionaries of lists, cut so that one holds about ``chars`` characters at most."""
+def slices(rows: Iterator, chars: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that one holds about ``chars`` characters at most: Python objects of a whole batch would stay in a worker."""
     for batch in rows:
         size = max(1, batch.num_rows * chars // max(chars, batch.nbytes))
         for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size).to_pydict()
+            yield batch.slice(at, size)
+
+
+def batches(rows: Iterator, chars: int = 1 << 21) -> Iterator[dict[str, list]]:
+    """``slices`` as dictionaries of lists."""
+    for batch in slices(rows, chars):
+        yield batch.to_pydict()

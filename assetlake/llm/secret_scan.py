@@ -105,7 +105,7 @@ def redact(docs: DataFrame, ledger_path: str | None = None, mask: str = "[SECRET
     names = docs.columns
 
     def mask_rows(rows):
-        for batch in rows:
+        for batch in common.slices(rows):
             at = batch.schema.get_field_index("text")
             texts = [t if t is None or s is None else masked(t, s, mask) for t, s in zip(batch.column(at).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
             columns = {n: batch.column(n) for n in names}

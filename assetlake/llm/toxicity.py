@@ -36,7 +36,6 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -258,8 +257,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score under the threshold, with all their columns."""
     grammar = learn(docs, labels.where(remainder(F.col("doc_id"), 4) != 2))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(grammar.score).astype("float64")
+    def clean(batches):
+        for batch in common.slices(batches):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([grammar.score(t or "") < THRESHOLD for t in texts], pa.bool_()))
 
-    return docs.where(score(F.col("text").cast("string")) < THRESHOLD)
+    return docs.mapInArrow(clean, docs.schema)
