@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_model, license_scan, order_minhash, packing, secret_scan, substring_dedup, token_counts, toxicity
+from . import decontamination, jaccard_join, language_model, license_scan, order_minhash, packing, passages, secret_scan, substring_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_paragraphs(_read(spark, sf_dir, "documents"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_order_minhash": op9_order_minhash,
     "op10_substring_dedup": op10_substring_dedup,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from assetlake.llm import common, decontamination, jaccard_join, language_model, ledger, license_scan, links, order_minhash, packing, secret_scan, substring_dedup, token_counts, toxicity
+from assetlake.llm import common, decontamination, jaccard_join, language_model, ledger, license_scan, links, order_minhash, packing, passages, secret_scan, substring_dedup, token_counts, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -552,3 +552,42 @@ def test_paragraph_edges(spark, edges, nothing):
 def test_bands_reach_the_recall():
     bands, rows = substring_dedup.tune_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= substring_dedup.RECALL and bands * rows <= substring_dedup.MOST_MINIMA
+
+
+# --- 10 repeated passages ---------------------------------------------------------------------
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(13)
+    shared = [words(rng, n) for n in (50, 51, 56, 60, 90, 49)]
+    rows = []
+    for n in range(48):
+        w = words(rng, rng.randint(20, 200))
+        at = rng.randrange(len(w))
+        cut = rng.randrange(len(shared[4]) - 55)
+        own = shared[4][cut : cut + rng.randint(50, 55)] if n % 6 == 4 else shared[n % 6]
+        w[at:at] = own  # inside a longer line
+        breaks = {at + 5, at + 14, at + 23} if n % 4 == 1 else {at + 3 + 10 * k for k in range(6)} if n % 4 == 3 else set()
+        rows.append((n, "".join(("\n" if k in breaks else ", ") + x for k, x in enumerate(w))))
+    rows += [(48, rows[0][1].upper()), (49, " ".join(shared[2] + words(rng, 7) + shared[2])), (50, "same " * 120), (7, rows[7][1]), *EDGES[:4], (None, rows[3][1])]
+    rows += [(60, " ".join(words(rng, 80)))]
+    docs = [re.findall(r"\w+", (t or "").lower()) for _, t in rows]
+    places = defaultdict(list)
+    for r, w in enumerate(docs):
+        for k in range(len(w) - 49):
+            places[tuple(w[k : k + 50])].append((r, k))
+    key = lambda i: -1 if i is None else i
+    wanted = {(rows[r][0], j, min((key(rows[a][0]), b) for a, b in x)) for x in places.values() if len(x) > 1 for r, k in x for j in [k]}
+    got = passages.repeated_passages(table(spark, rows)).collect()
+    assert {(r.doc_id, r.word + k, (key(r.source_doc), r.source_word + k)) for r in got for k in range(r.n_words - 49)} == wanted
+    texts = {i: t for i, t in rows if i is None or i > 4}
+    for r in got:
+        assert r.keep == (r.source_doc == r.doc_id and r.source_word == r.word)
+        if r.doc_id in texts:
+            assert len(re.findall(r"\w+", texts[r.doc_id][r.start : r.stop])) == r.n_words
+    assert {1, 3, 48, 49, 50, None} <= {r.doc_id for r in got} and 60 not in {r.doc_id for r in got}
+
+
+def test_passage_edges(spark, edges, nothing):
+    (long,) = {r.doc_id for r in passages.repeated_passages(edges).collect()}
+    assert long == 8 and passages.repeated_passages(nothing).count() == 0
