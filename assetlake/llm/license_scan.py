@@ -34,7 +34,23 @@ MOST_TEMPLATES = 5_000
 _BITS = 18
 SCHEMA = "doc_id long, license string, coverage double, matched_words long, start long, stop long"
 
-# Notices and statements of public licenses.
+_CC_NAMES = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+_SPDX = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+    *(f"CC-{code}-{version}" for code in _CC_NAMES for version in ("4.0", "3.0")),
+]
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_CLAUSES = """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+
+# Notices and statements of public licenses. Some differ in a word; a text near several of them has a row for each.
 TEMPLATES = {
     "Apache-2.0/statement": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0/notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
@@ -59,7 +75,32 @@ distribute, sublicense, and/or sell copies of the Software, and to permit person
 following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
     "MPL-2.0/notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
 with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
-}
+    "MPL-2.0/statement": "Licensed under the Mozilla Public License, Version 2.0.",
+    "MIT/licensed": "Licensed under the MIT License.",
+    "GPL-2.0/statement": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1/statement": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0/statement": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL/notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0/statement": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0/notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "BSD-2-Clause/notice": f"{_BSD_GRANT} {_BSD_CLAUSES} {_BSD_DISCLAIMER}",
+    "BSD-3-Clause/notice": f"""{_BSD_GRANT} {_BSD_CLAUSES} Neither the name of the copyright holder nor the names of its contributors may be used to
+endorse or promote products derived from this software without specific prior written permission. {_BSD_DISCLAIMER}""",
+    "ISC/notice": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies.""",
+    "ISC/statement": "Released under the ISC License.",
+    "Unlicense/notice": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "CC0-1.0/statement": "This work is licensed under a Creative Commons CC0 1.0 Universal Public Domain Dedication.",
+    "CC0-1.0/short": "Licensed under CC0 1.0.",
+} | {
+    f"CC-{code}-{version}/{form}": text
+    for code, name in _CC_NAMES.items()
+    for version, scope in (("4.0", "International"), ("3.0", "Unported"))
+    for form, text in (("statement", f"This work is licensed under a Creative Commons {name} {version} {scope} License."), ("short", f"Licensed under CC {code} {version}."))
+} | {f"{code}/spdx": f"SPDX-License-Identifier: {code}" for code in _SPDX}
 
 
 class _Index:

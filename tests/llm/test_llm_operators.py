@@ -11,6 +11,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from assetlake.llm import common, decontamination, jaccard_join, language_model, ledger, license_scan, links, order_minhash, packing, passages, secret_scan, substring_dedup, token_counts, toxicity
@@ -457,6 +458,19 @@ def test_licenses(spark, edges, nothing):
         license_scan.license_spans(edges, {str(n): "x" for n in range(license_scan.MOST_TEMPLATES + 1)})
 
 
+def test_license_lines_of_the_tables(spark):
+    lines = {line for (t,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() for line in (t or "").split("\n") if re.search("licen[sc]e", line, re.I)}
+    common_ones = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0/short", "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0/short", "SPDX-License-Identifier: LGPL-3.0-or-later": "LGPL-3.0-or-later/spdx",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0/statement", "Released under the ISC License.": "ISC/statement",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0/statement", "SPDX-License-Identifier: MIT": "MIT/spdx",
+    }
+    rows = list(enumerate(sorted(lines | set(common_ones))))
+    got = {(r.doc_id, r.license, r.coverage) for r in license_scan.license_spans(table(spark, [(n, f"Some words before\n{t}\nand after.") for n, t in rows])).collect()}
+    assert lines and {i for i, _, _ in got} == {n for n, _ in rows}
+    assert {(n, common_ones[t], 1.0) for n, t in rows if t in common_ones} <= got
+
+
 # --- 9 fingerprints ------------------------------------------------------------------------
 
 
