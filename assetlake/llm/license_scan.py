@@ -1,24 +1,28 @@
-"""License scans: winnowed template fingerprints pick candidates, banded alignment measures them.
-
-Templates are cut into runs of ``K`` words; the least hash of every ``WINDOW``
-neighbouring runs goes into an inverted index (hash -> template, place). All
-runs of a document are looked up in it, so a passage that shares an indexed run
-with a template is a candidate. Hits on neighbouring diagonals form one
-candidate place; there the template's words are aligned to the document's inside
-a band around the diagonal, and the matched words give coverage and span. Places
-with a coverage of ``COVERAGE`` or more are reported.
+"""License scans: a word index of the templates picks candidates, banded alignment measures them.
+
+All words of the templates are in an inverted index (hash -> template, place),
+so no edit can hide a place. A template is a candidate where a stretch of its
+length and a band on either side holds as many of its words as ``COVERAGE``
+asks for; there the equal words are counted by diagonals, and on each diagonal
+whose band has enough of them the template's words are aligned to the
+document's inside the band. The matched words give coverage and span. Places
+with a coverage of ``COVERAGE`` or more are reported; of overlapping places of
+one template the one with the most matched words. A place that is only in part
+alike and lies inside one of another template with a greater coverage and no
+fewer matched words is a place of that other template, and only of it.
 
 The templates are a bounded table (``MOST_TEMPLATES`` rows are allowed) that
 every task gets; documents are only scanned, never shuffled.
 
-Defined cases: null and empty texts match nothing; templates of fewer words than
-``K`` are one run; long texts are scanned whole; several places of a template
-are a row each; repeated rows give repeated results; extra columns are ignored;
+Defined cases: null and empty texts match nothing; templates without words are
+left out; long texts are scanned whole; several places of a template are a row
+each; repeated rows give repeated results; extra columns are ignored;
 an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +31,6 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-K = 3
-WINDOW = 4
 COVERAGE = 0.8
 MOST_TEMPLATES = 5_000
 _BITS = 18
@@ -50,7 +52,7 @@ and/or other materials provided with the distribution."""
 _BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
 BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
 
-# Notices and statements of public licenses. Some differ in a word; a text near several of them has a row for each.
+# Notices and statements of public licenses. Some differ in a word; a text equally near several of them has a row for each.
 TEMPLATES = {
     "Apache-2.0/statement": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0/notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
@@ -104,39 +106,61 @@ sell, or distribute this software, either in source code form or as a compiled b
 
 
 class _Index:
-    """Inverted index of the templates' winnowed runs."""
+    """Words of the templates: which templates hold them, and where."""
 
     def __init__(self, templates: dict[str, str]):
         self.names, self.words = [], []
-        keys, owners, places = [], [], []
         for name, text in sorted(templates.items()):
             h, _, _ = common.word_hashes(text)
-            if not len(h):
-                continue
-            runs = common.shingles(h, min(K, len(h)))
-            picked = {int(np.argmin(runs[i : i + WINDOW])) + i for i in range(max(1, len(runs) - WINDOW + 1))}
-            for p in sorted(picked):
-                keys.append(runs[p])
-                owners.append(len(self.names))
-                places.append(p)
-            self.names.append(name)
-            self.words.append(h)
-        order = np.argsort(np.array(keys, np.uint64), kind="stable")
-        self.keys = np.array(keys, np.uint64)[order]
-        self.owners, self.places = np.array(owners, np.int64)[order], np.array(places, np.int64)[order]
+            if len(h):
+                self.names.append(name)
+                self.words.append(h)
+        self.keys = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
         self.near = np.zeros(1 << _BITS, bool)
         self.near[self.keys >> np.uint64(64 - _BITS)] = True
-        self.sizes = sorted({min(K, len(w)) for w in self.words})
+        self.sizes = np.array([len(w) for w in self.words])
+        self.bands = np.maximum(1, np.minimum(16, self.sizes // 4))
+        self.order = [np.argsort(w, kind="stable") for w in self.words]
+        self.sorted = [w[o] for w, o in zip(self.words, self.order, strict=True)]
+        # (word, template) pairs by word
+        pairs = [(np.searchsorted(self.keys, np.unique(w)), t) for t, w in enumerate(self.words)]
+        word = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in pairs)])
+        by = np.argsort(word, kind="stable")
+        self.holders = np.concatenate([np.zeros(0, np.int64), *(np.full(len(k), t) for k, t in pairs)])[by]
+        self.first = np.searchsorted(word[by], np.arange(len(self.keys) + 1))
+
+    def places(self, h: np.ndarray, coverage: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(template, its places, the document's places) of the equal words where enough of a template's words are near each other."""
+        at = np.flatnonzero(self.near[h >> np.uint64(64 - _BITS)])
+        if not len(at):
+            return
+        word = np.searchsorted(self.keys, h[at])
+        own = self.keys[np.minimum(word, len(self.keys) - 1)] == h[at]
+        at, word = at[own], word[own]
+        n = self.first[word + 1] - self.first[word]
+        rows = np.repeat(np.arange(len(at)), n)
+        holder = self.holders[np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + self.first[word][rows]]
+        need = _needed(self.sizes, coverage)
+        enough = np.flatnonzero(np.bincount(holder, minlength=len(self.sizes)) >= need)
+        for t in enough.tolist():
+            p = at[rows[holder == t]]
+            # matched words of one place lie inside the template's length and a band on either side
+            a = np.flatnonzero(p[need[t] - 1 :] - p[: len(p) - need[t] + 1] < self.sizes[t] + 2 * self.bands[t])
+            if not len(a):
+                continue
+            inside = np.zeros(len(p) + 1, np.int64)
+            np.add.at(inside, a, 1)
+            np.add.at(inside, a + need[t], -1)
+            p = p[np.cumsum(inside[:-1]) > 0]
+            lo, hi = np.searchsorted(self.sorted[t], h[p], "left"), np.searchsorted(self.sorted[t], h[p], "right")
+            p2 = np.repeat(p, hi - lo)
+            i = self.order[t][np.arange(len(p2)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+            yield t, i, p2
 
-    def hits(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(template, place in the template, place in the document)."""
-        for k in self.sizes:
-            runs = common.shingles(h, k)
-            at = np.flatnonzero(self.near[runs >> np.uint64(64 - _BITS)])
-            lo, hi = np.searchsorted(self.keys, runs[at], "left"), np.searchsorted(self.keys, runs[at], "right")
-            for p, x, y in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for n in range(x, y):
-                    yield int(self.owners[n]), int(self.places[n]), p
+
+def _needed(size, coverage: float):
+    """The least number of matched words with a share of ``coverage`` in ``size`` words; at least one."""
+    return np.maximum(1, np.ceil(size * coverage - 1e-9).astype(np.int64))
 
 
 def _align(template: list[int], doc: list[int], diagonal: int, band: int) -> tuple[int, int, int]:
@@ -162,26 +186,46 @@ def _align(template: list[int], doc: list[int], diagonal: int, band: int) -> tup
 
 def matches(h: np.ndarray, index: _Index, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched words, first word, last word) of each place in a document's word hashes."""
-    by: dict[int, list[tuple[int, int]]] = {}
-    for t, place, p in index.hits(h):
-        by.setdefault(t, []).append((p - place, p))
     out = []
-    for t, found in sorted(by.items()):
-        template = index.words[t]
-        band = max(1, min(16, len(template) // 4))
-        found.sort()
-        groups = [[found[0][0]]]
-        for d, _ in found[1:]:
-            if d - groups[-1][-1] > band:
-                groups.append([])
-            groups[-1].append(d)
-        for g in groups:
-            d = g[len(g) // 2]
-            low, high = max(0, d - band), min(len(h), d + len(template) + band)
-            matched, first, last = _align(template.tolist(), h[low:high].tolist(), d - low, band)
-            if matched and matched / len(template) >= coverage:
-                out.append((index.names[t], matched / len(template), matched, low + first, low + last))
-    return out
+    for t, i, j in index.places(h, coverage):
+        template, band = index.words[t], int(index.bands[t])
+        n, need = len(template), int(_needed(len(template), coverage))
+        order = np.argsort(j - i, kind="stable")
+        d, i = (j - i)[order], i[order]
+        tried = np.unique((np.unique(d)[:, None] + np.arange(-band, band + 1)[None, :]).ravel())
+        lo, hi = np.searchsorted(d, tried - band, "left"), np.searchsorted(d, tried + band, "right")
+        often = np.flatnonzero(hi - lo >= need)
+        most = {int(tried[k]): len(np.unique(i[lo[k] : hi[k]])) for k in often}  # no alignment there matches more words
+        found: list[tuple[int, int, int, int]] = []
+        words = template.tolist()
+        best: dict[int, int] = {}
+        for x, bound in sorted(most.items(), key=lambda e: (-e[1], e[0])):
+            reach = min(band, n // 2)
+            if bound < need or any(best.get(x + y, -1) >= bound for y in range(-reach, reach + 1)):
+                continue
+            low, high = max(0, x - band), min(len(h), x + n + band)
+            matched, first, last = _align(words, h[low:high].tolist(), x - low, band)
+            best[x] = matched
+            if matched >= need:
+                found.append((matched, low + first, low + last, x))
+        kept: list[tuple[int, int, int]] = []
+        for matched, first, last, _ in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
+            if all(last < a or first > b for _, a, b in kept):
+                kept.append((matched, first, last))
+        out += [(index.names[t], m / n, m, a, b) for m, a, b in sorted(kept, key=lambda k: k[1])]
+    return _named(out)
+
+
+def _named(places: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
+    """The places without those in part alike that lie inside a place of a greater coverage and no fewer matched words."""
+    by = sorted(places, key=lambda x: x[3])
+    starts, longest = [x[3] for x in by], max((x[4] - x[3] for x in by), default=0)
+
+    def better(p) -> bool:
+        around = by[bisect_left(starts, p[3] - longest) : bisect_right(starts, p[3])]
+        return any(q[4] >= p[4] and q[1] > p[1] and q[2] >= p[2] for q in around)
+
+    return [p for p in places if p[1] == 1 or not better(p)]
 
 
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:

@@ -464,6 +464,7 @@ def test_license_lines_of_the_tables(spark):
         "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0/short", "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0/short", "SPDX-License-Identifier: LGPL-3.0-or-later": "LGPL-3.0-or-later/spdx",
         "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0/statement", "Released under the ISC License.": "ISC/statement",
         "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0/statement", "SPDX-License-Identifier: MIT": "MIT/spdx",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0/statement",
     }
     rows = list(enumerate(sorted(lines | set(common_ones))))
     got = {(r.doc_id, r.license, r.coverage) for r in license_scan.license_spans(table(spark, [(n, f"Some words before\n{t}\nand after.") for n, t in rows])).collect()}
@@ -471,6 +472,32 @@ def test_license_lines_of_the_tables(spark):
     assert {(n, common_ones[t], 1.0) for n, t in rows if t in common_ones} <= got
 
 
+def test_edited_licenses_against_brute_force():
+    rng = random.Random(8)
+    templates = {f"t{n}": " ".join(words(rng, size, "abc"[n % 3])) for n, size in enumerate((1, 2, 4, 5, 6, 8, 10, 15, 23, 40))} | {"MIT": license_scan.TEMPLATES["MIT/statement"], "the": "the law of the land and the rule of the house"}
+    index = license_scan._Index(templates)
+    reported = missed = 0
+    for n in range(400):
+        name = rng.choice(sorted(templates))
+        w = templates[name].lower().rstrip(".").split()
+        band = max(1, min(16, len(w) // 4))
+        for _ in range(rng.randint(0, len(w) // 5 + 1)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice(([], ["other"], [w[at], "more"]))
+        doc = common.word_hashes(" ".join(words(rng, 9, "x") + w + words(rng, 9, "y")))[0]
+        template = common.word_hashes(templates[name])[0].tolist()
+        best = max(license_scan._align(template, doc[max(0, d - band) : d + len(template) + band].tolist(), d - max(0, d - band), band)[0] for d in range(-len(template), len(doc)))
+        got = [m for m in license_scan.matches(doc, index) if m[0] == name]
+        wanted = best / len(template) >= license_scan.COVERAGE
+        assert bool(got) == wanted and (not wanted or max(m[2] for m in got) == best)
+        reported += wanted
+        missed += not wanted
+    assert reported > 100 and missed > 50
+    for edited in ("Released below the MIT License.", "Released under the XYZ License.", "Released under a MIT License."):
+        (m,) = [m for m in license_scan.matches(common.word_hashes(edited)[0], index) if m[0] == "MIT"]
+        assert m[1:3] == (0.8, 4)
+
+
 # --- 9 fingerprints ------------------------------------------------------------------------
 
 
