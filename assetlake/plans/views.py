@@ -115,12 +115,12 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))
     bits = docs.select("id", F.explode(runs).alias("run")).select("id", F.unhex(F.substring(F.md5("run"), 1, 16)).alias("raw"))
     value = bits.select("id", F.conv(F.hex("raw"), 16, -10).cast("bigint").alias("v"))
-    # four 16-bit counters in a long: a document has at most 20,000 words
-    lanes = F.lit(0x0001000100010001)
-    sums = value.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftrightunsigned("v", b).bitwiseAND(lanes)).alias(f"s{b}") for b in range(16)))
+    # two 32-bit counters in a long: more than an array can hold runs
+    lanes = F.lit(0x0000000100000001)
+    sums = value.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftrightunsigned("v", b).bitwiseAND(lanes)).alias(f"s{b}") for b in range(32)))
     folded = F.lit(0).cast("bigint")
     for b in range(64):
-        ones = F.shiftrightunsigned(f"s{b % 16}", b // 16 * 16).bitwiseAND(F.lit(0xFFFF))
+        ones = F.shiftrightunsigned(f"s{b % 32}", b // 32 * 32).bitwiseAND(F.lit(0xFFFFFFFF))
         folded = folded.bitwiseOR(F.when(2 * ones > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
     return sums.select("id", folded.alias("dhash"))
 

@@ -1,5 +1,6 @@
 """Small cases of the operators that change state, cluster, read files or stream."""
 
+import hashlib
 import random
 import struct
 import zlib
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assetlake import schemas
 from assetlake.operators import backlog, browse, faces, fingerprint, graph, reconcile, resolve, tags, textsearch, vectors
+from assetlake.plans import views
 from assetlake.sources import export, files
 from assetlake.streaming import events
 
@@ -340,3 +342,17 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     finally:
         q.stop()
     assert sorted((r.root_id, r.ts.timestamp()) for r in spark.table("fired").collect()) == batch
+
+
+def test_signature_of_a_very_long_document(spark, tmp_path):
+    letters = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    w = [letters(n) for n in range(140_000)]
+    spark.createDataFrame([(1, " ".join(w), 5 * len(w))], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    votes = [0] * 64
+    for n in range(len(w) - 2):
+        v = int(hashlib.md5(" ".join(w[n : n + 3]).encode()).hexdigest()[:16], 16)
+        for b in range(64):
+            votes[b] += 1 if v >> b & 1 else -1
+    wanted = sum(1 << b for b in range(64) if votes[b] > 0)
+    (got,) = views.signatures(spark, str(tmp_path)).collect()
+    assert got.dhash & (1 << 64) - 1 == wanted
