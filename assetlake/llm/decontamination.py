@@ -35,7 +35,7 @@ from . import common
 from .common import SHINGLE_WORDS, SIMILARITY
 
 PERMUTATIONS = 64
-SMALLEST_CLASS = 8
+SMALLEST_CLASS = 1
 #: Items of one pass. A block's band keys take 8 bytes x PERMUTATIONS an item: 10 MB.
 ITEMS_PER_BLOCK = 20_000
 _TABLE_BITS = 21

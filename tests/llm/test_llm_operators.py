@@ -146,6 +146,14 @@ def test_decontaminate_keeps_the_rest(spark, edges, nothing):
     assert decontamination.contaminated(nothing, items).count() == 0
 
 
+def test_items_of_few_words_are_all_found():
+    rng = random.Random(38)
+    items = [(n, " ".join(words(rng, 5 + n % 2))) for n in range(3000)]
+    texts = [" ".join([*words(rng, 30, "x"), t, *words(rng, 30, "y")]) for _, t in items]
+    found = {(d, item) for d, item, _, _ in decontamination._matches(texts, decontamination._Block(items), 0.8)}
+    assert found >= {(n, n) for n, _ in items}
+
+
 # --- 2 packing -------------------------------------------------------------------------
 
 
