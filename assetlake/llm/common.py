@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of two longs that a broadcast may hold (about 16 MB in the driver).
-BROADCAST_ROWS = 500_000
+#: Bytes of a broadcast: counted rows times the bytes that a row of it takes.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
 #: Words in a shingle and the similarity of near-duplicates.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -48,10 +51,28 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of ``df`` only if its counted rows stay within ``limit``; otherwise Spark joins by shuffling."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+def small(df: DataFrame, width: int = 32) -> DataFrame:
+    """Hint a broadcast of ``df`` only if its counted rows of ``width`` bytes stay within BROADCAST_BYTES; otherwise Spark joins by shuffling."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session by bytes: Spark's own bound would be many times the texts that a task works on at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it that no column of ``df`` has (whatever the case of its letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_key(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder with a number of its own for each row, and the name of that column."""
+    key = unused(df, "_key")
+    return materialize(df.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
 def tasks(spark: SparkSession) -> int:
@@ -60,7 +81,8 @@ def tasks(spark: SparkSession) -> int:
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text (null text: empty), whatever other columns there are."""
+    """Only the id and the text (null text: empty), whatever other columns there are; read in bounded batches."""
+    bounded_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -77,11 +99,10 @@ _tables: dict[str, np.ndarray] = {}
 def _table(name: str) -> np.ndarray:
     """Per code point: simple lower case, and whether it belongs to a word (letters and numbers)."""
     if not _tables:
-        chars = [chr(c) for c in range(0x110000)]
-        _tables["word"] = np.fromiter((c.isalnum() for c in chars), np.bool_, len(chars))
-        lower = np.arange(len(chars), dtype=np.uint32)
-        for c in np.flatnonzero(_tables["word"]):
-            low = chars[c].lower()
+        _tables["word"] = np.fromiter((chr(c).isalnum() for c in range(0x110000)), np.bool_, 0x110000)
+        lower = np.arange(0x110000, dtype=np.uint32)
+        for c in np.flatnonzero(_tables["word"]).tolist():
+            low = chr(c).lower()
             if len(low) == 1:
                 lower[c] = ord(low)
         _tables["lower"] = lower
@@ -192,9 +213,38 @@ def slices(rows: Iterator, chars: int = 1 << 21) -> Iterator[pa.RecordBatch]:
         size = max(1, batch.num_rows * chars // max(chars, batch.nbytes))
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+    release()
+
+
+def release() -> None:
+    """Give free memory back to the system at the end of a task: workers are reused and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def hashed_together(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, starts and ends of all texts one after the other, and the number of the first word of each (and of all)."""
+    parts = [(h, s, e) for _, h, s, e in hashed(texts)]
+    first = np.concatenate([[0], np.cumsum([len(h) for h, _, _ in parts], dtype=np.int64)]).astype(np.int64)
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), first
+    h, s, e = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, s, e, first
+
+
+def sliding(x: np.ndarray, n: int, least) -> np.ndarray:
+    """``least`` (np.minimum or np.maximum) of every ``n`` neighbours."""
+    size = 1
+    while 2 * size <= n:
+        x = least(x[:-size], x[size:])
+        size *= 2
+    return least(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
 
 
 def batches(rows: Iterator, chars: int = 1 << 21) -> Iterator[dict[str, list]]:
     """``slices`` as dictionaries of lists."""
     for batch in slices(rows, chars):
         yield batch.to_pydict()
+    release()

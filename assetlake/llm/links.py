@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ from . import common
 BLOCK_ELEMENTS = 400_000
 #: Members of a block, on average.
 BLOCK_MEMBERS = 512
+#: Sets of a tile that is compared together with others.
+_FEW = 16
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
@@ -36,19 +38,21 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     before = None
     for _ in range(rounds):
         around = both(now)
-        least = common.materialize(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
+        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = common.materialize(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a != b").distinct(), name)
-        low = common.materialize(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         after = common.materialize(small.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
         stats = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        for old in (now, least, large, low):
+        for old in (now, large):
             common.discard(old)
         now = after
         if stats == before:
             break
         before = stats
+    else:
+        raise RuntimeError(f"the components have not settled in {rounds} rounds")
     roots = now.select(F.col("b").alias("node")).distinct().join(now.select(F.col("a").alias("node")), "node", "left_anti")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
@@ -89,39 +93,104 @@ def intersections(members: np.ndarray, elements: np.ndarray, n: int) -> np.ndarr
     return out.astype(np.int64) + flat.reshape(n, n)
 
 
-def _forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(member, least member of its part) over the parts of a symmetric link matrix."""
-    left = np.ones(len(linked), bool)
-    for i in range(len(linked)):
-        if not left[i]:
-            continue
-        left[i] = False
-        wave = np.array([i])
-        while len(wave):
-            wave = np.flatnonzero(linked[wave].any(axis=0) & left)
-            left[wave] = False
-            for j in wave:
-                yield int(j), i
-
-
-def _tile(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Rows of one tile (node, block, same, weight, set) -> (node, other, links, copies)."""
-    n = len(pdf)
-    block = pdf["block"].to_numpy()
-    sizes = pdf["set"].map(len).to_numpy()
-    elements = np.concatenate([np.asarray(s, np.int64) for s in pdf["set"]]) if n else np.zeros(0, np.int64)
-    shared = intersections(np.repeat(np.arange(n), sizes), elements, n)
-    union = sizes[:, None] + sizes[None, :] - shared
-    with np.errstate(divide="ignore", invalid="ignore"):
-        linked = (shared / union >= threshold) & (shared > 0)
-    np.fill_diagonal(linked, False)
-    if not pdf["same"].iloc[0]:  # pairs inside a block belong to that block's own tile
-        linked &= block[:, None] != block[None, :]
-    node = pdf["node"].to_numpy()
-    found = linked.sum(axis=1)
-    rows = [(node[i], node[i], int(found[i]), int((linked[i] * pdf["weight"].to_numpy()).sum())) for i in np.flatnonzero(found)]
-    rows += [(node[a], node[b], 0, 0) for a, b in _forest(linked)]
-    return pd.DataFrame(rows, columns=["node", "other", "links", "copies"]).astype("int64")
+def _small_tiles(tile: np.ndarray, sizes: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, shared) of all pairs of sets of one tile that share elements; tiles of few sets, all at once."""
+    n = len(tile)
+    member = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((member, elements, tile[member]))
+    m, e = member[order], elements[order]
+    same_tile = tile[m]
+    codes = []
+    for shift in range(1, _FEW + 1):
+        at = np.flatnonzero((e[shift:] == e[:-shift]) & (same_tile[shift:] == same_tile[:-shift]))
+        if not len(at):
+            break
+        codes.append(m[at] * n + m[at + shift])
+    if not codes:
+        return (np.zeros(0, np.int64),) * 3
+    pair, shared = np.unique(np.concatenate(codes), return_counts=True)
+    return pair // n, pair % n, shared
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least number that each of ``n`` reaches over the links."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _compared(rows: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """(node, other, links, copies) of whole tiles, rows (tile, node, block, same, weight, set) sorted by tile."""
+    if not rows.num_rows:
+        return
+    tile, node, block, weight = (rows.column(c).to_numpy() for c in ("tile", "node", "block", "weight"))
+    same = rows.column("same").to_numpy()
+    sets = rows.column("set").combine_chunks()
+    sizes, elements = np.asarray(sets.value_lengths()).astype(np.int64), np.asarray(sets.flatten())
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    edge = np.concatenate([[0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]])
+    left, right = [], []
+
+    def keep(a: np.ndarray, b: np.ndarray, shared: np.ndarray) -> None:
+        """Pairs at the threshold; pairs inside a block belong to that block's own tile."""
+        own = (shared / (sizes[a] + sizes[b] - shared) >= threshold) & (same[a] | (block[a] != block[b]))
+        left.append(a[own])
+        right.append(b[own])
+
+    count = np.diff(edge)
+    few = np.repeat(count <= _FEW, count)
+    chosen = np.flatnonzero(few)
+    if len(chosen):
+        a, b, shared = _small_tiles(tile[chosen], sizes[chosen], elements[np.repeat(few, sizes)])
+        keep(chosen[a], chosen[b], shared)
+    for t in np.flatnonzero(count > _FEW):
+        at, n = edge[t], count[t]
+        shared = intersections(np.repeat(np.arange(n), sizes[at : at + n]), elements[first[at] : first[at + n]], n)
+        a, b = np.nonzero(np.triu(shared, 1))
+        keep(a + at, b + at, shared[a, b])
+    a, b = np.concatenate(left), np.concatenate(right)
+    if not len(a):
+        return
+    n = len(tile)
+    links = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    copies = np.bincount(a, weight[b], minlength=n) + np.bincount(b, weight[a], minlength=n)
+    label = _joined(n, a, b)
+    found, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(n))
+    nothing = np.zeros(len(moved), np.int64)
+    yield pa.RecordBatch.from_pydict(
+        {
+            "node": pa.array(np.concatenate([node[found], node[moved]])),
+            "other": pa.array(np.concatenate([node[found], node[label[moved]]])),
+            "links": pa.array(np.concatenate([links[found], nothing]).astype(np.int64)),
+            "copies": pa.array(np.concatenate([copies[found], nothing]).astype(np.int64)),
+        }
+    )
+
+
+def _compare(threshold: float):
+    """Task function over rows sorted by tile: a tile that goes on in the next batch waits for it."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            tile = batch.column("tile").to_numpy()
+            last = int(np.searchsorted(tile == tile[-1], True)) if len(tile) else 0
+            if held and len(tile) and held[-1].column("tile")[-1].as_py() != tile[-1]:
+                yield from _compared(pa.Table.from_batches([*held, batch.slice(0, last)]), threshold)
+                held = []
+            elif last and not held:
+                yield from _compared(pa.Table.from_batches([batch.slice(0, last)]), threshold)
+            held.append(batch.slice(last) if len(tile) else batch)
+        if held:
+            yield from _compared(pa.Table.from_batches(held), threshold)
+
+    return run
 
 
 def exact_links(members: DataFrame, threshold: float = common.SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -131,19 +200,21 @@ def exact_links(members: DataFrame, threshold: float = common.SIMILARITY) -> tup
     repeats), each node in one group. Groups are cut into blocks by a hash of
     the node, as many as keep a block near BLOCK_ELEMENTS and BLOCK_MEMBERS;
     every pair of blocks is a tile of its own, so each pair of nodes is compared
-    once, and a large group becomes many tasks. Returns (node, links, copies):
-    the numbers of linked nodes and of their weights; and forest edges (a, b)
-    with the same components as all the links.
+    once, and a large group becomes many tasks. Tasks read tiles in order, one
+    at a time. Returns (node, links, copies): the numbers of linked nodes and of
+    their weights; and forest edges (a, b) with the same components as all the links.
     """
     spark = members.sparkSession
+    common.bounded_batches(spark)
     sized = members.groupBy("grp").agg(F.sum(F.size("set")).alias("elements"), F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.ceil(F.col("n") / BLOCK_MEMBERS)).cast("int")
     sized = common.materialize(sized.select("grp", blocks.alias("blocks")), "groups")
     placed = members.join(common.small(sized), "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    i, j = F.least("block", "mate"), F.greatest("block", "mate")
     tiles = placed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "grp", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j"), "node", "block", (F.col("block") == F.col("mate")).alias("same"), "weight", "set"
+        F.xxhash64("grp", i, j).alias("tile"), "node", "block", (F.col("block") == F.col("mate")).alias("same"), "weight", "set"
     )
-    done = tiles.groupBy("grp", "i", "j").applyInPandas(lambda pdf: _tile(pdf, threshold), "node long, other long, links long, copies long")
-    done = common.materialize(done, "links")
+    tiles = tiles.repartition(common.tasks(spark), "tile").sortWithinPartitions("tile")
+    done = common.materialize(tiles.mapInArrow(_compare(threshold), "node long, other long, links long, copies long"), "links")
     counts = done.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
     return counts, done.where("node != other").select(F.col("node").alias("a"), F.col("other").alias("b"))

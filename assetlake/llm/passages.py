@@ -31,26 +31,17 @@ RUN_WORDS = 20
 HELD = LEAST_WORDS - RUN_WORDS + 1
 
 
-def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
-    """``least`` (np.minimum or np.maximum) of every ``n`` neighbours."""
-    size = 1
-    while 2 * size <= n:
-        x = least(x[:-size], x[size:])
-        size *= 2
-    return least(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
-
-
 def _lows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(runs, the least run of each window); none for under ``LEAST_WORDS`` words."""
     runs = common.shingles(h, RUN_WORDS)
-    return (runs, _sliding(runs, HELD, np.minimum)) if len(runs) >= HELD else (runs[:0], runs[:0])
+    return (runs, common.sliding(runs, HELD, np.minimum)) if len(runs) >= HELD else (runs[:0], runs[:0])
 
 
 def _anchors(h: np.ndarray) -> np.ndarray:
     """The runs that are the least of a window, each as often as it occurs."""
     runs, low = _lows(h)
     edge = np.zeros(HELD - 1, np.uint64)
-    return runs[_sliding(np.concatenate([edge, low, edge]), HELD, np.maximum) == runs] if len(low) else runs
+    return runs[common.sliding(np.concatenate([edge, low, edge]), HELD, np.maximum) == runs] if len(low) else runs
 
 
 def _anchor_rows(batches):

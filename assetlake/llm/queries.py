@@ -115,32 +115,5 @@ with recursive words as (
 )
 select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(n_links, 0) as n_links, coalesce(classes.n - 1, 0) as n_copies
 from words left join classes using (w) left join groups on node = first left join counts on a = first
-""",
-    "op10_substring_dedup": rf"""
-with recursive lines as (
-  select doc_id, unnest(range(len(l))) as paragraph, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null)
-), placed as (
-  select doc_id, paragraph, line as text, coalesce(sum(length(line) + 1) over (partition by doc_id order by paragraph rows between unbounded preceding and 1 preceding), 0)::bigint as start from lines
-), units as (
-  select doc_id, paragraph, start, start + length(text) as stop, w, doc_id * 1000000 + paragraph as place from (select *, {_WORDS} as w from placed) where len(w) >= 16
-), classes as (
-  select w, min(place) as first from units group by w
-), shingles as (
-  select distinct first, unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) as s from classes
-), sizes as (
-  select first, count(*) as n from shingles group by first
-), shared as (
-  select a.first as a, b.first as b, count(*) as n from shingles a join shingles b on a.s = b.s and a.first != b.first group by all
-), links as (
-  select a, b from shared join sizes x on x.first = a join sizes y on y.first = b where shared.n / (x.n + y.n - shared.n)::double >= 0.8
-), reach(node, other) as (
-  select first, first from classes
-  union
-  select node, b from reach join links on a = other
-), leads as (
-  select node, min(other) as lead from reach group by node
-)
-select doc_id, paragraph, start, stop, len(w) as n_words, (lead // 1000000) || ':' || (lead % 1000000) as group_id, place = lead as keep
-from units join classes using (w) join leads on node = first qualify count(*) over (partition by lead) > 1
 """,
 }

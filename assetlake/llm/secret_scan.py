@@ -101,7 +101,7 @@ def redact(docs: DataFrame, ledger_path: str | None = None, mask: str = "[SECRET
     found = _findings(docs, ledger_path).where("spans != ''").select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans")).distinct()
     found = common.materialize(found, "secret-spans")
     digest = ledger.content_digest(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    marked = docs.withColumn("_digest", digest).join(common.small(found, limit=50_000), "_digest", "left").drop("_digest")
+    marked = docs.withColumn("_digest", digest).join(common.small(found, 320), "_digest", "left").drop("_digest")
     names = docs.columns
 
     def mask_rows(rows):

@@ -559,43 +559,98 @@ def test_order_matters():
 # --- 10 repeated paragraphs -------------------------------------------------------------------
 
 
-def test_paragraphs_against_brute_force(spark):
+def naive_paragraphs(text):
+    """(first word, word after) of each paragraph, by looking at all neighbours of each word."""
+    h, _, _ = common.word_hashes(text)
+    x, n, reach = [int(v) | 1 for v in common.shingles(h, 2)], len(h), substring_dedup.REACH
+    cuts = [i for i in range(reach, n - 1 - reach) if all(x[i] < x[j] for j in range(i - reach, i)) and all(x[i] <= x[j] for j in range(i + 1, i + reach + 1))]
+    return list(zip([0, *cuts], [*cuts, n], strict=True)) if n else []
+
+
+def naive_repeats(rows, inside, least):
+    """(row, paragraph) -> (first place of the group, span) of all paragraphs that repeat, comparing all pairs."""
+    units = [(r, p, re.findall(r"[^\W_]+", t.lower())[a:b]) for r, (_, t) in enumerate(rows) if t for p, (a, b) in enumerate(naive_paragraphs(t))]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)} for _, _, w in units]
+    group = list(range(len(units)))
+    for a, b in combinations(range(len(units)), 2):
+        if group[a] != group[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+            group = [group[a] if g == group[b] else g for g in group]
+    places = defaultdict(list)
+    for g, (r, p, w) in zip(group, units, strict=True):
+        places[g].append((r, p, len(w)))
+    found = {(r, p): (n, min(((-1 if rows[x][0] is None else rows[x][0]), x, q) for x, q, _ in own)) for own in places.values() if len({x[: 2 if inside else 1] for x in own}) > 1 for r, p, n in own}
+    out = {}
+    for r, p in found:
+        low, high = p, p
+        while (r, low - 1) in found:
+            low -= 1
+        while (r, high + 1) in found:
+            high += 1
+        size = sum(found[r, q][0] for q in range(low, high + 1))
+        if size >= least:
+            out[r, p] = (found[r, p][1], size)
+    return out
+
+
+@pytest.mark.parametrize("inside", [False, True])
+def test_paragraphs_against_brute_force(spark, inside):
     rng = random.Random(12)
-    shared = [words(rng, 55) for _ in range(4)]
+    shared = [words(rng, n) for n in (55, 70, 90, 130)]
     rows = []
     for n in range(40):
-        lines = [words(rng, rng.randint(3, 60)) for _ in range(4)]
+        w = words(rng, rng.randint(3, 160))
         if n % 2:
-            own = list(shared[n % 4])
+            own = list(shared[n // 2 % 4])
             if n % 3 == 0:
                 own[5] = f"edit{n}"
-            lines.insert(2, own)
-        rows.append((n, "\n".join(" ".join(x) for x in lines)))
-    units = [(i, p, line.split()) for i, t in rows for p, line in enumerate(t.split("\n")) if len(line.split()) >= substring_dedup.LEAST_WORDS]
-    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for _, _, w in units]
-    group = list(range(len(units)))
-    for a, b in combinations(range(len(units)), 2):
-        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
-            group = [group[a] if g == group[b] else g for g in group]
-    wanted = defaultdict(list)
-    for g, (i, p, _) in zip(group, units, strict=True):
-        wanted[g].append((i, p))
-    got = substring_dedup.repeated_paragraphs(table(spark, rows)).collect()
-    by = defaultdict(list)
+            at = rng.randrange(len(w))
+            w[at:at] = own
+        rows.append((n, "".join(rng.choice([" ", "\n", ", "]) + x for x in w)))
+    own = " ".join(words(rng, 150))
+    rows += [(40, f"{own} some other words {own}"), (7, rows[7][1]), (7, rows[9][1]), (None, rows[5][1]), (41, "same " * 90), (42, "same " * 99), (43, None), (44, ""), (45, "three short words"), (46, "three short words")]
+    wanted = naive_repeats(rows, inside, substring_dedup.LEAST_WORDS)
+    got = substring_dedup.repeated_paragraphs(table(spark, rows), inside=inside).collect()
+    name = lambda lead: ":".join(str(x) for x in (lead[0], lead[2]) if x != -1)
+    assert Counter((r.doc_id, r.paragraph, r.group_id, r.span_words) for r in got) == Counter((rows[r][0], p, name(lead), size) for (r, p), (lead, size) in wanted.items())
+    leads = {lead[1:] for lead, _ in wanted.values()}
+    assert sum(r.keep for r in got) == len(leads & set(wanted))
+    texts = dict(rows[:40])
     for r in got:
-        by[r.group_id].append((r.doc_id, r.paragraph))
-        assert len(rows[r.doc_id][1][r.start : r.stop].split()) == r.n_words
-    assert sorted(map(sorted, by.values())) == sorted(sorted(x) for x in wanted.values() if len(x) > 1)
-    assert all([r.keep for r in sorted((r for r in got if r.group_id == g), key=lambda r: (r.doc_id, r.paragraph))] == [True] + [False] * (len(x) - 1) for g, x in by.items())
-    left = substring_dedup.removed(table(spark, rows))
-    assert left.count() == 40 and substring_dedup.repeated_paragraphs(left).count() == 0
+        if r.doc_id in texts and r.doc_id != 7:
+            assert len(re.findall(r"\w+", texts[r.doc_id][r.start : r.stop])) == r.n_words and r.span_start <= r.start < r.stop <= r.span_stop
+    assert (40 in {r.doc_id for r in got}) == inside and {41, 42, 7, None} <= {r.doc_id for r in got} and not {43, 44, 45, 46} & {r.doc_id for r in got}
+    left = substring_dedup.removed(table(spark, rows), inside=inside)
+    assert left.count() == len(rows) and left.columns == table(spark, rows).columns
+
+
+def test_passages_of_fifty_words_are_caught(spark):
+    """Each document that shares 51 words in a row with another one has a repeated paragraph, but for a few."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, re.findall(r"[^\W_]+", (r.text or "").lower())) for r in docs.collect()]
+    held = defaultdict(set)
+    for i, w in rows:
+        for j in range(len(w) - 50):
+            held[tuple(w[j : j + 51])].add(i)
+    wanted = set().union(*(x for x in held.values() if len(x) > 1))
+    got = {r.doc_id for r in substring_dedup.repeated_paragraphs(docs).collect()}
+    assert len(wanted) > 20 and len(wanted & got) >= 0.95 * len(wanted)
+    assert len(got - wanted) <= 0.1 * (len(rows) - len(wanted))
+
+
+def test_removed_keeps_rows_that_share_an_id_apart(spark):
+    rng = random.Random(2)
+    long, other = " ".join(words(rng, 80)), " ".join(words(rng, 80))
+    schema = "doc_id long, text string, _key string, _CUT string, row long, node long"
+    docs = spark.createDataFrame([(1, long, "a", "b", 5, 6), (2, long, "c", "d", 5, 6), (2, other, "e", "f", 5, 6), (3, None, "g", "h", 5, 6)], schema)
+    left = {r["_key"]: r for r in substring_dedup.removed(docs).collect()}
+    assert {k: r.text for k, r in left.items()} == {"a": long, "c": "", "e": other, "g": None} and left["c"]["_CUT"] == "d"
 
 
 def test_paragraph_edges(spark, edges, nothing):
-    out = substring_dedup.repeated_paragraphs(edges)
-    assert out.count() == 0
+    assert substring_dedup.repeated_paragraphs(edges).count() == 0
+    assert [r.doc_id for r in substring_dedup.repeated_paragraphs(edges, inside=True).collect()] == []
     assert substring_dedup.repeated_paragraphs(nothing).count() == 0
-    assert substring_dedup.removed(edges).columns == edges.columns
+    assert substring_dedup.removed(edges).columns == edges.columns and substring_dedup.removed(nothing).count() == 0
 
 
 def test_bands_reach_the_recall():
