@@ -197,7 +197,8 @@ def exact_links(members: DataFrame, threshold: float = common.SIMILARITY) -> tup
     """All pairs with a Jaccard similarity of ``threshold`` or more inside the groups of ``members``.
 
     ``members``: (grp long, node long, weight long, set array<long>, without
-    repeats), each node in one group. Groups are cut into blocks by a hash of
+    repeats). A node may be in several groups; if its links are to be counted,
+    it must be in one. Groups are cut into blocks by a hash of
     the node, as many as keep a block near BLOCK_ELEMENTS and BLOCK_MEMBERS;
     every pair of blocks is a tile of its own, so each pair of nodes is compared
     once, and a large group becomes many tasks. Tasks read tiles in order, one

@@ -10,11 +10,9 @@ to their neighbours.
 
 Equal word sequences are one class. Each class has MinHash bands over its
 five-word shingles; ``tune_bands`` picks rows and bands for a high recall at the
-threshold. Classes that collide in a band are joined to the least class of it
-(linear in the number of collisions), the joined classes form candidate groups,
-and inside each group all pairs are verified by their exact Jaccard similarity
-(``links.exact_links``). Components of the verified links are the groups of
-repeats: the first occurrence by (doc_id, paragraph) stays, the others are to be
+threshold. The classes that collide in a band are compared with each other by
+their exact Jaccard similarity, large buckets in tiles (``links.exact_links``).
+Components of the verified links are the groups of repeats: the first occurrence by (doc_id, paragraph) stays, the others are to be
 removed. Neighbouring paragraphs that repeat form a span; spans of fewer than
 ``LEAST_WORDS`` words are stock phrases, not passages, and are not reported.
 
@@ -41,7 +39,7 @@ from .common import SHINGLE_WORDS, SIMILARITY
 
 REACH = 10
 LEAST_WORDS = 20
-RECALL = 0.995
+RECALL = 0.999
 MOST_MINIMA = 16
 
 
@@ -145,14 +143,13 @@ def _sets(batches: Iterator) -> Iterator:
 def _similar_classes(classes: DataFrame) -> DataFrame:
     """(node, component) of the classes (node, shingles; copies of a row do no harm) that are linked to others."""
     banded = classes.mapInArrow(_bands, "band long, node long")
-    collided = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("n")).where("least != most")
+    collided = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("band")
     collided = common.materialize(collided, "collisions")
-    # two classes of a band are one edge; only more of them are looked up again
-    several = banded.join(common.small(collided.where("n > 2").select("band", "least", "most"), 48), "band").where("node != least and node != most")
-    edges = collided.select(F.col("least").alias("a"), F.col("most").alias("b")).unionByName(several.select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct()
-    groups = common.materialize(links.components(edges, "paragraph-groups"), "paragraph-groups")
-    members = classes.join(common.small(groups.select("node", F.col("component").alias("grp"))), "node").dropDuplicates(["node"])
-    sets = members.select("grp", "node", "shingles").mapInArrow(_sets, "grp long, node long, weight long, set array<long>")
+    buckets = common.materialize(banded.join(common.small(collided, 16), "band").distinct(), "buckets")
+    wanted = common.materialize(buckets.select("node").distinct(), "colliding")
+    own = classes.join(common.small(wanted, 16), "node", "left_semi").dropDuplicates(["node"])
+    sets = buckets.select(F.col("band").alias("grp"), "node").join(own, "node").select("grp", "node", "shingles")
+    sets = sets.mapInArrow(_sets, "grp long, node long, weight long, set array<long>")
     _, forest = links.exact_links(common.materialize(sets, "paragraph-sets"))
     return common.materialize(links.components(forest, "repeats"), "repeats")
 
@@ -190,12 +187,20 @@ def repeated_paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS, inside:
 
 
 def _without(text: pd.Series, cuts: pd.Series) -> pd.Series:
-    """Texts without the places ``cuts``, a flat list of starts and stops in order."""
+    """Texts without the places ``cuts``, a flat list of starts and stops in order; what stands up to the next word goes too."""
 
     def kept(t: str | None, c: np.ndarray | None) -> str | None:
-        return None if t is None else "".join(t[a:b] for a, b in zip([0, *c[1::2]], [*c[::2], len(t)], strict=True))
-
-    return pd.Series([kept(t, c) for t, c in zip(text, cuts, strict=True)])
+        if t is None:
+            return None
+        out, at = [], 0
+        for start, stop in zip(c[::2], c[1::2], strict=True):
+            out.append(t[at:start])
+            at = stop
+            while at < len(t) and not t[at].isalnum():
+                at += 1
+        return "".join([*out, t[at:]])
+
+    return pd.Series([kept(t, c) for t, c in zip(text, cuts, strict=True)], dtype=object)
 
 
 def removed(docs: DataFrame, least_words: int = LEAST_WORDS, inside: bool = False) -> DataFrame:
