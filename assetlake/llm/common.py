@@ -71,6 +71,7 @@ def unused(df: DataFrame, name: str) -> str:
 
 def with_key(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder with a number of its own for each row, and the name of that column."""
+    bounded_batches(df.sparkSession)
     key = unused(df, "_key")
     return materialize(df.withColumn(key, F.monotonically_increasing_id()), name), key
 
@@ -247,4 +248,3 @@ def batches(rows: Iterator, chars: int = 1 << 21) -> Iterator[dict[str, list]]:
     """``slices`` as dictionaries of lists."""
     for batch in slices(rows, chars):
         yield batch.to_pydict()
-    release()

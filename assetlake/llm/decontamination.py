@@ -198,7 +198,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARIT
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The documents that contain no item; all their columns stay. Documents with a null id stay."""
-    bad = contaminated(docs, items, threshold).select("doc_id").distinct()
+    """The documents that contain no item; all their columns stay, and so do documents without a text.
+
+    Whether a document goes depends on its text alone, so texts are found by
+    their 64-bit hash: ids may be missing or stand in several rows.
+    """
+    digest, name = F.xxhash64(F.col("text").cast("string")), common.unused(docs, "_digest")
+    bad = contaminated(docs.select(digest.alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias(name)).distinct()
     bad = common.materialize(bad, "contaminated")
-    return docs.join(common.small(bad), "doc_id", "left_anti")
+    return docs.withColumn(name, digest).join(common.small(bad, 16), name, "left_anti").select(docs.columns)

@@ -66,7 +66,7 @@ def _multipliers() -> np.ndarray:
 
 
 def _embed(batches):
-    """(doc_id, words, tokens, prints): hash of the word sequence, the min-wise tokens, and a byte of each; nulls for no words."""
+    """(row, doc_id, words, tokens, prints): hash of the word sequence, the min-wise tokens, and a byte of each; nulls for no words."""
     a = _multipliers()
     for batch in common.batches(batches):
         n = len(batch["doc_id"])
@@ -82,7 +82,7 @@ def _embed(batches):
             words[i], tokens[i] = common.whole_hash(h), low.tobytes()
             prints[i] = (common.mix(low.astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes()
         yield pa.RecordBatch.from_pydict(
-            {"doc_id": pa.array(batch["doc_id"], pa.int64()), "words": pa.array(words, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "prints": pa.array(prints, pa.binary())}
+            {"row": pa.array(batch["row"], pa.int64()), "doc_id": pa.array(batch["doc_id"], pa.int64()), "words": pa.array(words, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "prints": pa.array(prints, pa.binary())}
         )
 
 
@@ -191,33 +191,38 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return out
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) for each row.
-
-    ``class_id``: the least doc_id of the group of documents that are connected
-    by copies and links; ``n_links``: classes of other words that are linked to
-    the row's own; ``n_copies``: other rows with the same words.
-    """
-    texts = common.texts_of(docs)
-    rows = common.materialize(texts.mapInArrow(_embed, "doc_id long, words long, tokens binary, prints binary"), "embedded")
+def _similar_rows(texts: DataFrame) -> DataFrame:
+    """(row, doc_id, grp, class_id, n_links, n_copies) of each row (row, doc_id, text); ``grp`` names its group, null for no words."""
+    rows = common.materialize(texts.select("row", "doc_id", "text").mapInArrow(_embed, "row long, doc_id long, words long, tokens binary, prints binary"), "embedded")
     classes = rows.where("words is not null").groupBy(F.col("words").alias("node")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight"), F.first("tokens").alias("tokens"), F.first("prints").alias("prints"))
     classes = common.materialize(classes, "classes")
     groups = common.materialize(links.components(_candidates(classes), "candidate-groups"), "candidate-groups")
     members = common.materialize(classes.select("node", "first", "weight").join(groups, "node"), "members")
     chosen = common.materialize(members.select(F.col("first").alias("doc_id")).distinct(), "member-ids")
     # a null id cannot be joined; such rows are read as they are
-    own = texts.join(common.small(chosen), "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
-    sets = own.mapInArrow(_sets, "node long, set array<long>").join(common.small(members.select("node", "weight", F.col("component").alias("grp"))), "node")
+    own = texts.join(common.small(chosen, 16), "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
+    sets = own.select("text").mapInArrow(_sets, "node long, set array<long>").join(common.small(members.select("node", "weight", F.col("component").alias("grp"))), "node")
     sets = sets.dropDuplicates(["node"]) if _has_repeats(rows) else sets
     counts, forest = links.exact_links(common.materialize(sets.select("grp", "node", "weight", "set"), "sets"))
     joined = common.materialize(links.components(forest, "groups"), "groups")
-    table = classes.select("node", "first", "weight").join(joined, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    table = classes.select("node", "first", "weight").join(joined, "node", "left").join(counts, "node", "left").withColumn("grp", F.coalesce("component", "node"))
     table = common.materialize(table, "class-table")
-    least = table.where("component != node or links > 0").groupBy("component").agg(F.min("first").alias("least"))
-    table = table.join(least, "component", "left").select(F.col("node").alias("words"), F.coalesce("least", "first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("weight") - 1).alias("n_copies"))
+    least = table.where("grp != node or links > 0").groupBy("grp").agg(F.min("first").alias("least"))
+    table = table.join(least, "grp", "left").select(F.col("node").alias("words"), "grp", F.coalesce("least", "first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("weight") - 1).alias("n_copies"))
     table = common.materialize(table, "class-rows")
     zero = F.lit(0).cast("long")
-    return rows.select("doc_id", "words").join(table, "words", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", zero).alias("n_copies"))
+    joined = rows.select("row", "doc_id", "words").join(table, "words", "left")
+    return joined.select("row", "doc_id", "grp", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", zero).alias("n_copies"))
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) for each row.
+
+    ``class_id``: the least doc_id of the group of documents that are connected
+    by copies and links; ``n_links``: classes of other words that are linked to
+    the row's own; ``n_copies``: other rows with the same words.
+    """
+    return _similar_rows(common.texts_of(docs).withColumn("row", F.lit(0).cast("long"))).drop("row", "grp")
 
 
 def _has_repeats(rows: DataFrame) -> bool:
@@ -226,15 +231,16 @@ def _has_repeats(rows: DataFrame) -> bool:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of each class the row with the least id stays, with all its columns.
+    """The documents without copies and near copies: of each group one row stays, with all its columns.
 
-    Rows that repeat an id are reduced to one; rows without an id stay.
+    It is the row with the least id; of rows that share it (or have none, if all
+    have none) the first as they were written down. Rows without a word stay. A
+    key of its own tells rows apart, so an id that stands in several rows loses
+    only those that copy something.
     """
-    table = common.materialize(similar_documents(docs), "similar")
-    gone = common.materialize(table.where("doc_id != class_id").select("doc_id").distinct(), "near-copies")
-    kept = docs.join(common.small(gone), "doc_id", "left_anti").select(docs.columns)
-    repeated = common.materialize(table.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(common.small(repeated), "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    keyed, key = common.with_key(docs, "keyed-documents")
+    texts = keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    table = common.materialize(_similar_rows(texts).where("grp is not null"), "similar")
+    first = table.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = common.materialize(table.join(first, "grp").where("row != first.row").select(F.col("row").alias(key)), "near-copies")
+    return keyed.join(common.small(gone, 16), key, "left_anti").select(docs.columns)

@@ -42,10 +42,9 @@ def results_by_key(contents: DataFrame, path: str, version: str, schema: T.Struc
     version, results); its rows are appended to the ledger. One row comes back
     for each row of ``contents``: repeated and null keys keep theirs.
 
-    Texts are never shuffled. One scan digests them; the copies and the known
-    contents are picked out on digests alone; a second scan leaves those rows
-    out by an anti join, whose small side is broadcast only while its counted
-    rows stay within ``common.BROADCAST_ROWS``.
+    One scan digests the texts; the copies and the known contents are picked out
+    on digests alone; a second scan leaves those rows out by an anti join. Its
+    small side is broadcast, and no text shuffled, only while its counted rows stay within ``common.BROADCAST_BYTES``.
     """
     spark = contents.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -54,8 +53,10 @@ def results_by_key(contents: DataFrame, path: str, version: str, schema: T.Struc
     known = read(spark, path, schema).where(F.col("version") == version).select("digest", F.lit(True).alias("known")).distinct()
     shared = keys.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).join(known, "digest", "left").where("n > 1 or known")
     shared = common.materialize(shared, "shared-digests")
-    spare = common.materialize(keys.join(common.small(shared), "digest").where("known or key > first").select("key", "digest").distinct(), "spare-rows")
-    missing = contents.join(common.small(spare), ["key", "digest"], "left_anti").select("digest", "text")
+    spare = common.materialize(keys.join(common.small(shared, 120), "digest").where("known or key > first").select("key", "digest").distinct(), "spare-rows")
+    missing = contents.join(common.small(spare, 120), ["key", "digest"], "left_anti").select("digest", "text")
     work(missing).dropDuplicates(["digest"]).select(*schema.names).write.mode("append").parquet(path)
-    ledger = read(spark, path, schema).where(F.col("version") == version).drop("version")
+    results = [c for c in schema.names if c not in ("digest", "version")]
+    # two runs at once may both have appended a digest: equal results, of which one is taken
+    ledger = read(spark, path, schema).where(F.col("version") == version).groupBy("digest").agg(*(F.min(c).alias(c) for c in results))
     return keys.join(ledger, "digest").withColumn("key", F.when(~F.col("no_key"), F.col("key"))).drop("no_key")

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,23 +97,21 @@ def secret_findings(versions: DataFrame, ledger_path: str | None = None, key_col
 def redact(docs: DataFrame, ledger_path: str | None = None, mask: str = "[SECRET]") -> DataFrame:
     """The documents with every found span replaced by ``mask``; ids, rows and all columns stay, ``n_chars`` follows the text.
 
-    A null text stays null. Overlapping spans are masked as one.
+    A null text stays null. Overlapping spans are masked as one. Texts without a
+    finding are not sent to Python; findings are joined by the texts' digests,
+    of which there are no more than texts with secrets.
     """
-    found = _findings(docs, ledger_path).where("spans != ''").select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans")).distinct()
+    digest, spans = common.unused(docs, "_digest"), common.unused(docs, "_spans")
+    found = _findings(docs, ledger_path).where("spans != ''").select(F.col("digest").alias(digest), F.col("spans").alias(spans)).distinct()
     found = common.materialize(found, "secret-spans")
-    digest = ledger.content_digest(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    marked = docs.withColumn("_digest", digest).join(common.small(found, 320), "_digest", "left").drop("_digest")
-    names = docs.columns
-
-    def mask_rows(rows):
-        for batch in common.slices(rows):
-            at = batch.schema.get_field_index("text")
-            texts = [t if t is None or s is None else masked(t, s, mask) for t, s in zip(batch.column(at).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
-            columns = {n: batch.column(n) for n in names}
-            columns["text"] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_pydict(columns)
-
-    out = marked.mapInArrow(mask_rows, docs.schema)
+    text = F.col("text").cast("string")
+    marked = docs.withColumn(digest, ledger.content_digest(F.coalesce(text, F.lit("")))).join(common.small(found, 320), digest, "left")
+    hit = F.col(spans).isNotNull() & text.isNotNull()
+
+    def hide(t: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else masked(x, y, mask) for x, y in zip(t, s, strict=True)], dtype=object)
+
+    out = marked.withColumn("text", F.when(hit, F.pandas_udf(hide, "string")(F.when(hit, text), F.col(spans))).otherwise(F.col("text"))).select(docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
