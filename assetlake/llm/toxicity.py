@@ -1,17 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Four transducers are composed and run over each clause of a text:
+A clause is read by a cascade of weighted transducers (``transducers``):
 
 1. the lexicon maps a word to a class (insult, threat, target, negation,
    report, other) with a weight. Its insult arcs are words and word prefixes:
    fixed ones with a prior weight, and ones learned from labelled documents,
    weighted by a lower bound of their log odds;
-2. the scope transducer tracks negation (the next ``NEGATION_SCOPE`` words) and
-   reported speech (to the clause's end, and into the next clause after a colon
-   or an opening quote) and scales the weights of what stands inside;
-3. the target transducer raises an insult next to a target and turns a threat
-   verb into a threat only when a target follows;
-4. the clause acceptor sums these weights; clauses of weight 0 do not match.
+2. negation weakens insults and threats of the next ``NEGATION_SCOPE`` words;
+3. reported speech weakens them to the clause's end, and in the next clause
+   after a colon or an opening quote;
+4. a threat verb counts if a target follows it in the clause, else not at all:
+   the machine guesses, and only right guesses are accepted;
+5. an insult with a target beside it (the word before, or one of the next two,
+   again guessed) counts more than one that is not addressed to anyone.
+
+Machines 2 to 5 are state tables that ``compose`` joins into one; a clause's
+weight is that of the best path that it accepts, and clauses of weight 0 do not
+match. Only whole clauses are scored: the same word counts by what stands around.
 
 A document's features are the largest clause weight, the sum of the clauses'
 weights and their number; a logistic function, fitted to the labelled
@@ -36,18 +41,18 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .transducers import Matcher, Transducer, compose
 
 SAMPLE = 16_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_WEIGHT = 1.0
-#: Learned arcs kept, by weight; each is a few dozen bytes in a task.
-MOST_ARCS = 5_000
 PRIOR = 3.0
 MINIMA = 4
 NEGATION_SCOPE = 2
@@ -66,6 +71,49 @@ _CLAUSE = re.compile(r"[.!?;:\n]+|, ")
 _QUOTE = re.compile(r"[:\"“„«]\s*$")
 
 
+# Classes of words: what the machines read and write.
+OTHER, INSULT, THREATENING, TARGET, NEGATION, REPORT = CLASSES = ("other", "insult", "threat", "target", "negation", "report")
+HOSTILE = (INSULT, THREATENING)
+
+
+def negation(scope: int = NEGATION_SCOPE) -> Transducer:
+    """State n: the next n words are negated."""
+    arcs = [(n, c, c, scope if c == NEGATION else max(n - 1, 0), NEGATED if n and c in HOSTILE else 1.0) for n in range(scope + 1) for c in CLASSES]
+    return Transducer(tuple(arcs), {"": 0}, frozenset(range(scope + 1)))
+
+
+def reported_speech() -> Transducer:
+    """State 1: the rest is what someone else said."""
+    arcs = [(n, c, c, 1 if c == REPORT else n, REPORTED if n and c in HOSTILE else 1.0) for n in (0, 1) for c in CLASSES]
+    return Transducer(tuple(arcs), {"plain": 0, "quoted": 1}, frozenset({0, 1}))
+
+
+def threats() -> Transducer:
+    """State 1: a threat waits for its target. A threat verb that none follows must be read as any other word."""
+    arcs = [(n, c, c, 0 if c == TARGET else n, 1.0) for n in (0, 1) for c in CLASSES if c != THREATENING]
+    arcs += [(0, THREATENING, OTHER, 0, 0.0), (1, THREATENING, OTHER, 1, 0.0), (0, THREATENING, THREATENING, 1, THREAT)]
+    return Transducer(tuple(arcs), {"": 0}, frozenset({0}))
+
+
+def targets() -> Transducer:
+    """States: 0 nothing, 1 just after a target, 2 and 3 an insult that a target must follow within one or two words."""
+    after = {0: 0, 1: 0, 3: 2}
+    arcs = [(n, c, c, to, 1.0) for n, to in after.items() for c in CLASSES if c != TARGET]
+    arcs += [(n, TARGET, TARGET, 1, 1.0) for n in range(4)]
+    arcs += [(0, INSULT, INSULT, 3, TARGETED), (1, INSULT, INSULT, 0, TARGETED), (3, INSULT, INSULT, 2, TARGETED)]
+    return Transducer(tuple(arcs), {"": 0}, frozenset({0, 1}))
+
+
+def clause_grammar() -> Transducer:
+    """All machines in a row; its start states are ``plain`` and ``quoted``."""
+    machine = compose(compose(compose(negation(), reported_speech()), threats()), targets())
+    return machine
+
+
+_MATCHER = Matcher(clause_grammar())
+_FIXED = {w: c for c, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREATENING, THREATS)) for w in words}
+
+
 @dataclass(frozen=True)
 class Arc:
     """Documents with the word or prefix that are labelled toxic and clean."""
@@ -103,41 +151,23 @@ class Grammar:
         low = text.lower()
         words = set(_WORD.findall(low))
         weights = {w: x for w in words if (x := self.insult(w, own))} if self.arcs else {w: PRIOR for w in words & INSULTS}
-        threats = words & THREATS
-        if not weights and not threats:
+        if not weights and words.isdisjoint(THREATS):
             return []
         out = []
         quoted, at = False, 0
         for m in [*_CLAUSE.finditer(low), None]:
             clause = low[at : m.start()] if m else low[at:]
-            weight, report = self._clause(_WORD.findall(clause), weights, threats, quoted)
-            if weight > 0:
-                out.append(weight)
+            read = [(INSULT, weights[w]) if w in weights else (_FIXED.get(w, OTHER), 1.0) for w in _WORD.findall(clause)]
+            report = quoted or any(c == REPORT for c, _ in read)
+            if any(c in HOSTILE for c, _ in read):
+                # the weights of words that are no insult and no threat do not count
+                weight = _MATCHER.weight(((c, x if c in HOSTILE else 0.0) for c, x in read), "quoted" if quoted else "plain")
+                if weight:
+                    out.append(weight)
             quoted = bool(m) and report and (":" in m[0] or bool(_QUOTE.search(clause)))
             at = m.end() if m else at
         return out
 
-    @staticmethod
-    def _clause(words: list[str], weights: dict[str, float], threats: set[str], reported: bool) -> tuple[float, bool]:
-        total, negated, threat, target = 0.0, 0, 0.0, False
-        for i, w in enumerate(words):
-            scope = (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-            negated -= negated > 0
-            if w in weights:
-                near = target or any(x in TARGETS for x in words[i + 1 : i + 3])
-                total += weights[w] * scope * (TARGETED if near else 1.0)
-            elif w in threats:
-                threat = THREAT * scope
-            elif w in TARGETS:
-                total += threat
-                threat = 0.0
-            elif w in NEGATIONS:
-                negated = NEGATION_SCOPE
-            elif w in REPORTS:
-                reported = True
-            target = w in TARGETS
-        return total, reported
-
     def score(self, text: str) -> float:
         """Probability-like score of a text, 0 to 1."""
         z = sum(c * x for c, x in zip(self.calibration, features(self.clauses(text)), strict=True))
@@ -222,7 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     t, c = F.col("toxic"), F.col("clean")
     weight = F.log((t + 0.5) / (n_toxic + 1)) - F.log((c + 0.5) / (n_clean + 1)) - 2 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
     counted = texts.mapInArrow(count, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    arcs = counted.where((t >= 5) & (weight >= LEAST_WEIGHT)).orderBy(weight.desc(), "key").limit(MOST_ARCS).collect()
+    arcs = counted.where((t >= 5) & (weight >= LEAST_WEIGHT)).collect()  # bounded by the sample
     grammar = Grammar(_specific({r["key"]: Arc(r["toxic"], r["clean"]) for r in arcs}), n_toxic, n_clean)
 
     def examples(batches):
@@ -254,12 +284,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a score under the threshold, with all their columns."""
+    """The documents with a score under the threshold, with all their columns.
+
+    Only texts go to Python and only scores come back; rows stay in the JVM. A
+    null text is scored as an empty one.
+    """
+    common.bounded_batches(docs.sparkSession)
     grammar = learn(docs, labels.where(remainder(F.col("doc_id"), 4) != 2))
 
-    def clean(batches):
-        for batch in common.slices(batches):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([grammar.score(t or "") < THRESHOLD for t in texts], pa.bool_()))
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series([grammar.score(t or "") for t in texts], dtype="float64")
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.where(F.pandas_udf(scored, "double")(F.col("text").cast("string")) < THRESHOLD)
