@@ -12,12 +12,16 @@ has a probability and no softmax is as wide as the vocabulary.
   in the tasks and a shuffle. The whole vocabulary stays a distributed table;
   tasks get its ``DICTIONARY`` most frequent words, and words beyond are joined
   to the table, so that no count is missing and none is collected.
+* Encoding: one scan turns every text into its symbols, with all that the words
+  themselves decide; training and scoring read those.
 * Training: every training document is read once, in ``ROUNDS`` parts. In a
   round each task starts from the round's model, trains by truncated
   backpropagation (windows of ``WINDOW`` tokens, state carried on between the
-  windows of a document), and gives back its parameters, which are averaged by
-  the tokens that they saw, in Spark. The first round starts from a model fitted
-  to a sample of ``WARM_UP`` documents at most.
+  windows of a document), and gives back its parameters, one row a task, which
+  are averaged by the tokens that they saw, by a sum in two steps. The first
+  round starts from a model fitted in the driver to a bounded sample: at most
+  ``WARM_UP`` training documents of ``WARM_UP_TOKENS`` tokens at most (longer
+  ones are not cut for it, and like all others train in the rounds).
 * Scoring: documents run side by side in lanes; a lane carries its state from
   window to window through the whole document and is reset at its start.
 
@@ -52,6 +56,9 @@ LANES = 512
 BUFFER_TOKENS = 2_000_000
 ROUNDS = 2
 WARM_UP = 256
+WARM_UP_TOKENS = 4096
+#: Sums of parameters that reach the driver after a round.
+PARTIAL_SUMS = 16
 RATE = 0.01
 SMOOTHING = 0.1
 _ROWS = 2048
@@ -164,33 +171,39 @@ class Model:
             at += n
 
     def forward(self, inputs: np.ndarray, resets: list[np.ndarray], h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """States (steps, lanes, hidden) after each input; ``h`` (lanes, hidden) comes in and is left as it was."""
-        n = HIDDEN
-        projected = self.p["input"][inputs]
-        u = self.p["state"]
-        states = np.empty((*inputs.shape, n), np.float32)
-        before, gates, pre = np.empty_like(states), np.empty((*inputs.shape, 2 * n), np.float32), np.empty_like(states)
-        fresh = np.empty_like(states)
+        """States (steps, lanes, hidden) after each input; ``h`` (lanes, hidden) comes in and is left as it was.
+
+        Every step's arrays are contiguous (lanes, hidden) blocks, one for each gate.
+        """
+        table, u = self._by_gate("input"), self._by_gate("state")
+        gates = np.empty((len(inputs), 2, *h.shape), np.float32)
+        gates[:, 0], gates[:, 1] = table[0][inputs], table[1][inputs]
+        fresh = table[2][inputs]
+        states, before, pre = np.empty_like(fresh), np.empty_like(fresh), np.empty_like(fresh)
         for t in range(len(inputs)):
             if len(resets[t]):
                 h = h.copy()
                 h[resets[t]] = 0
             before[t] = h
-            a = h @ u
-            g = gates[t]
-            np.add(projected[t, :, : 2 * n], a[:, : 2 * n], out=g)
+            g, c, new = gates[t], fresh[t], states[t]
+            g += np.matmul(h, u[:2])
             np.negative(g, out=g)
             np.exp(g, out=g)
             g += 1
             np.reciprocal(g, out=g)
-            z, r = g[:, :n], g[:, n:]
-            pre[t] = a[:, 2 * n :]
-            c = np.tanh(projected[t, :, 2 * n :] + r * pre[t])
-            fresh[t] = c
-            h = c + z * (h - c)
-            states[t] = h
+            pre[t] = h @ u[2]
+            c += g[1] * pre[t]
+            np.tanh(c, out=c)
+            np.subtract(h, c, out=new)
+            new *= g[0]
+            new += c
+            h = new
         return states, (inputs, resets, before, gates, pre, fresh)
 
+    def _by_gate(self, name: str) -> np.ndarray:
+        """A table of three gates side by side as (3, rows, hidden): update, reset, fresh state."""
+        return np.ascontiguousarray(self.p[name].reshape(-1, 3, HIDDEN).swapaxes(0, 1))
+
     def outputs(self, states: np.ndarray, classes: np.ndarray, symbols: np.ndarray, words: int, gradients: bool) -> tuple:
         """Natural log probabilities of flat targets, and the gradients of their sum's negative."""
         score = np.empty(len(classes), np.float32)
@@ -198,15 +211,15 @@ class Model:
         if gradients:
             grads = {k: np.zeros_like(self.p[k]) for k in ("class_w", "class_b", "word_w", "word_b")}
             back = np.empty_like(states)
+        ones = np.ones(max(self.p["class_b"].size, CLASS_WORDS), np.float32)
         for at in range(0, len(classes), _ROWS):  # blocks whose logits stay in the processor's cache
             s, target = states[at : at + _ROWS], classes[at : at + _ROWS]
             logits = s @ self.p["class_w"]
             logits += self.p["class_b"]
-            logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            total = logits.sum(axis=1)
+            _exponentials(logits)
+            total = logits @ ones[: logits.shape[1]]
             rows = np.arange(len(target))
-            score[at : at + _ROWS] = np.log(logits[rows, target]) - np.log(total)
+            score[at : at + _ROWS] = np.log(logits[rows, target] / total)
             if gradients:
                 logits /= total[:, None]
                 logits[rows, target] -= 1
@@ -222,12 +235,11 @@ class Model:
                 continue
             s = states[own]
             x = s @ self.p["word_w"][c] + (self.p["word_b"][c] + self.mask[c])
-            x -= x.max(axis=1, keepdims=True)
-            np.exp(x, out=x)
-            n = x.sum(axis=1)
+            _exponentials(x)
+            n = x @ ones[: x.shape[1]]
             place = symbols[own] % CLASS_WORDS
             k = np.arange(len(own))
-            score[own] += np.log(x[k, place]) - np.log(n)
+            score[own] += np.log(x[k, place] / n)
             if gradients:
                 x /= n[:, None]
                 x[k, place] -= 1
@@ -238,30 +250,48 @@ class Model:
     def backward(self, kept: tuple, back: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the recurrent part for the states' gradients ``back`` (steps, lanes, hidden)."""
         inputs, resets, before, gates, pre, fresh = kept
-        n = HIDDEN
-        u = self.p["state"]
-        da = np.empty((*inputs.shape, 3 * n), np.float32)  # of the projected inputs
-        du = np.empty_like(da)  # of the state's products
+        z, r = gates[:, 0], gates[:, 1]
+        # what the states' gradients are multiplied by, for all steps at once
+        to_fresh = (1 - z) * (1 - fresh * fresh)
+        to_gates = np.empty_like(gates)
+        np.multiply((before - fresh) * z, 1 - z, out=to_gates[:, 0])
+        np.multiply(pre * r, 1 - r, out=to_gates[:, 1])
+        u = np.ascontiguousarray(self._by_gate("state").swapaxes(1, 2))
+        d = np.empty((len(inputs), 3, *before[0].shape), np.float32)  # update, reset, and the fresh state's product
+        d_fresh = np.empty_like(fresh)
         dh = np.zeros_like(before[0])
         for t in range(len(inputs) - 1, -1, -1):
-            dh = dh + back[t]
-            z, r, c = gates[t, :, :n], gates[t, :, n:], fresh[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before[t] - c) * z * (1 - z)
-            dr = dc * pre[t] * r * (1 - r)
-            x = da[t]
-            x[:, :n], x[:, n : 2 * n], x[:, 2 * n :] = dz, dr, dc
-            y = du[t]
-            y[:, : 2 * n], y[:, 2 * n :] = x[:, : 2 * n], dc * r
-            dh = dh * z + y @ u.T
+            dh += back[t]
+            own, dc = d[t], d_fresh[t]
+            np.multiply(dh, to_fresh[t], out=dc)
+            np.multiply(dh, to_gates[t, 0], out=own[0])
+            np.multiply(dc, to_gates[t, 1], out=own[1])
+            np.multiply(dc, r[t], out=own[2])
+            through = np.matmul(own, u)
+            dh *= z[t]
+            dh += through[0]
+            dh += through[1]
+            dh += through[2]
             if len(resets[t]):
                 dh[resets[t]] = 0
-        flat = inputs.ravel()
-        order = np.argsort(flat, kind="stable")
-        used, first = np.unique(flat[order], return_index=True)
-        table = np.zeros_like(self.p["input"])
-        table[used] = np.add.reduceat(da.reshape(-1, 3 * n)[order], first, axis=0)
-        return {"input": table, "state": before.reshape(-1, n).T @ du.reshape(-1, 3 * n)}
+        order = np.argsort(inputs.ravel(), kind="stable")
+        used, first = np.unique(inputs.ravel()[order], return_index=True)
+        table, flat = np.zeros_like(self.p["input"]), before.reshape(-1, HIDDEN).T
+        state = np.empty_like(self.p["state"])
+        for k, x in enumerate((d[:, 0], d[:, 1], d_fresh)):
+            part = slice(k * HIDDEN, (k + 1) * HIDDEN)
+            table[used, part] = np.add.reduceat(x.reshape(-1, HIDDEN)[order], first, axis=0)
+            state[:, part] = flat @ d[:, k].reshape(-1, HIDDEN)
+        return {"input": table, "state": state}
+
+
+def _exponentials(x: np.ndarray) -> None:
+    """Exponentials of logits up to a factor for each row, in place: nothing overflows, and no row is all zeros."""
+    top = x.max()
+    if top - x.min() > 60:  # one factor for all rows might not do
+        top = x.max(axis=1, keepdims=True)
+    x -= top
+    np.exp(x, out=x)
 
 
 class _Adam:
@@ -418,52 +448,104 @@ def fit_vocabulary(counts: DataFrame) -> Vocabulary:
     return vocabulary
 
 
-def _buffers(batches) -> Iterator[list[dict]]:
-    """Batches joined until they hold BUFFER_TOKENS."""
-    held, size = [], 0
-    for batch in common.batches(batches):
+def _encoded(rows: DataFrame, shipped) -> DataFrame:
+    """All that scoring takes but the model: symbols, numbers of tokens, sums of logarithms, and the words beyond the dictionary."""
+
+    def encode(batches):
+        vocabulary = shipped.value
+        for batch in common.batches(batches):
+            known, base, lengths, rare, tails, symbols = [], [], [], [], [], []
+            for t in batch["text"]:
+                words = tokens(t)
+                s, place, beyond = vocabulary.look_up(words)
+                symbols.append(s.astype("<u2").tobytes())
+                lengths.append(len(words))
+                known.append(len(words) - len(beyond))
+                logs = vocabulary.log_count[place] if len(beyond) < len(words) else np.zeros(len(words))
+                logs[beyond] = 0
+                base.append(logs.sum())
+                own = s >= vocabulary.n_words
+                rare.append(logs[own].sum() - vocabulary.class_log[vocabulary.class_of_symbol[s[own]]].sum())
+                tails.append(Counter([words[i] for i in beyond.tolist()]))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": pa.array(batch["doc_id"], pa.int64()),
+                    "held_out": pa.array(batch["held_out"], pa.bool_()),
+                    "n_tokens": pa.array(lengths, pa.int64()),
+                    "n_known": pa.array(known, pa.int64()),
+                    "base": pa.array(np.array(base) - np.array(lengths) * vocabulary.log_base),
+                    "rare": pa.array(np.array(rare, float)),
+                    "symbols": pa.array(symbols, pa.binary()),
+                    "tail": _lists(tails),
+                }
+            )
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, rare double, symbols binary, tail array<struct<word:binary,n:long>>"
+    encoded = rows.mapInArrow(encode, schema)
+    return common.materialize(encoded.select(F.monotonically_increasing_id().alias("row_id"), "*"), "encoded")
+
+
+def _symbols(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, "<u2").astype(np.int32) for b in column.to_pylist()]
+
+
+def _buffers(batches) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Batches with the symbols of their documents, joined until they hold BUFFER_TOKENS."""
+    held, docs, size = [], [], 0
+    for batch in common.slices(batches):
+        own = _symbols(batch.column("symbols"))
         held.append(batch)
-        size += sum(len(t) for t in batch["text"]) // 6
+        docs += own
+        size += sum(map(len, own))
         if size >= BUFFER_TOKENS:
-            yield held
-            held, size = [], 0
+            yield held, docs
+            held, docs, size = [], [], 0
     if held:
-        yield held
+        yield held, docs
+
 
+def _added(batches):
+    """One row (x, n): the sums of the rows' vectors and numbers."""
+    total, n = None, 0
+    for batch in batches:
+        for x, m in zip(batch.column("x").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            x = np.frombuffer(x, "<f8")
+            total, n = x.copy() if total is None else total + x, n + m
+    if total is not None:
+        yield pa.RecordBatch.from_pydict({"x": pa.array([total.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
 
-def fit(training: DataFrame, vocabulary: Vocabulary) -> Model:
-    """Train over all training documents, in rounds of averaged local training."""
+
+def fit(training: DataFrame, vocabulary: Vocabulary, shipped) -> Model:
+    """Train over all training documents (row_id, n_tokens, symbols), in rounds of averaged local training."""
     spark: SparkSession = training.sparkSession
     model = Model(vocabulary.symbols, vocabulary.classes, vocabulary.n_words)
     model.start_at(vocabulary)
-    warm = [vocabulary.look_up(tokens(r["text"][:20_000]))[0] for r in training.orderBy(F.xxhash64("doc_id", "text")).limit(WARM_UP).collect()] if vocabulary.total else []
+    if not vocabulary.total:
+        return model
+    sample = training.where(F.col("n_tokens") <= WARM_UP_TOKENS).select("symbols", F.xxhash64("symbols").alias("h")).orderBy("h").limit(WARM_UP)
+    warm = [np.frombuffer(r["symbols"], "<u2").astype(np.int32) for r in sample.collect()]
     if warm:
         adam = _Adam(model, RATE)
         for _ in range(4):
             train(model, vocabulary, warm, adam)
-    words = spark.sparkContext.broadcast(vocabulary)
-    for round_ in range(ROUNDS if warm else 0):
+    for round_ in range(ROUNDS):
         now = spark.sparkContext.broadcast(model.flat())
-        part = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == round_) if ROUNDS > 1 else training
 
         def local(batches, now=now):
-            vocabulary = words.value
+            vocabulary = shipped.value
             own = Model(vocabulary.symbols, vocabulary.classes, vocabulary.n_words)
             own.set_flat(now.value)
             adam, seen = _Adam(own, RATE), 0
-            for held in _buffers(batches):
-                docs = [vocabulary.look_up(tokens(t))[0] for b in held for t in b["text"]]
+            for _, docs in _buffers(batches):
                 seen += sum(map(len, docs))
                 train(own, vocabulary, docs, adam)
             if seen:
-                flat = own.flat().astype(np.float64)
-                yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(flat)), pa.int32()), "x": pa.array(flat * seen), "n": pa.array(np.full(len(flat), seen), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"x": pa.array([(own.flat().astype("<f8") * seen).tobytes()], pa.binary()), "n": pa.array([seen], pa.int64())})
 
-        sums = part.select("text").mapInArrow(local, "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
+        part = training.where(F.pmod(F.xxhash64("row_id"), F.lit(ROUNDS)) == round_)
+        sums = part.select("symbols").mapInArrow(local, "x binary, n long").repartition(PARTIAL_SUMS).mapInArrow(_added, "x binary, n long").collect()
         if sums:
-            flat = model.flat()
-            flat[[r["at"] for r in sums]] = [r["x"] for r in sums]
-            model.set_flat(flat)
+            model.set_flat(sum(np.frombuffer(r["x"], "<f8") for r in sums) / sum(r["n"] for r in sums))
     return model
 
 
@@ -475,61 +557,29 @@ def _lists(tails: list[Counter]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([word, n], ["word", "n"]))
 
 
-_SCORED = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word:binary,n:long>>"
-
-
 def log_likelihood(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     spark = docs.sparkSession
     rows = common.texts_of(docs).withColumn("held_out", held_out(F.col("doc_id")))
-    training = rows.where(~F.col("held_out"))
-    counts = word_counts(training)
+    counts = word_counts(rows.where(~F.col("held_out")))
     vocabulary = fit_vocabulary(counts)
-    model = fit(training, vocabulary)
-    shipped = spark.sparkContext.broadcast((vocabulary, model))
+    shipped = spark.sparkContext.broadcast(vocabulary)
+    encoded = _encoded(rows, shipped)
+    fitted = spark.sparkContext.broadcast(fit(encoded.where(~F.col("held_out")).select("row_id", "n_tokens", "symbols"), vocabulary, shipped))
 
     def run(batches):
-        vocabulary, model = shipped.value
-        for held in _buffers(batches):
-            doc, out, texts, symbols = [], [], [], []
-            for b in held:
-                doc += b["doc_id"]
-                out += b["held_out"]
-                texts += b["text"]
-            known, base, lengths, rare, tails = [], [], [], [], []
-            for t in texts:
-                words = tokens(t)
-                s, place, beyond = vocabulary.look_up(words)
-                symbols.append(s)
-                lengths.append(len(words))
-                known.append(len(words) - len(beyond))
-                logs = vocabulary.log_count[place] if len(beyond) < len(words) else np.zeros(len(words))
-                logs[beyond] = 0
-                base.append(logs.sum())
-                own = s >= vocabulary.n_words
-                rare.append(logs[own].sum() - vocabulary.class_log[vocabulary.class_of_symbol[s[own]]].sum())
-                tails.append(Counter([words[i] for i in beyond.tolist()]))
-            scored = score(model, vocabulary, symbols) + np.array(rare)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "row_id": pa.array(np.zeros(len(doc), np.int64)),
-                    "doc_id": pa.array(doc, pa.int64()),
-                    "held_out": pa.array(out, pa.bool_()),
-                    "n_tokens": pa.array(lengths, pa.int64()),
-                    "n_known": pa.array(known, pa.int64()),
-                    "base": pa.array(np.array(base) - np.array(lengths) * vocabulary.log_base),
-                    "score": pa.array(scored),
-                    "tail": _lists(tails),
-                }
-            )
+        for held, docs in _buffers(batches):
+            scored = score(fitted.value, shipped.value, docs)
+            kept = pa.Table.from_batches(held).drop_columns(["symbols"])
+            yield from kept.append_column("score", pa.array(scored)).combine_chunks().to_batches()
 
-    scored = rows.mapInArrow(run, _SCORED).withColumn("row_id", F.monotonically_increasing_id())
-    scored = common.materialize(scored, "scored")
+    own = ("row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare")
+    scored = encoded.select(*own, "symbols").mapInArrow(run, "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, rare double, score double")
     # words beyond the dictionary: their counts come from the whole table; unseen ones count 0
-    tail = scored.select("row_id", F.explode("tail").alias("t")).select("row_id", "t.word", F.col("t.n").alias("times"))
+    tail = encoded.select("row_id", F.explode("tail").alias("t")).select("row_id", "t.word", F.col("t.n").alias("times"))
     joined = tail.join(counts, "word", "left")
     log = F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + SMOOTHING)
     beyond = joined.groupBy("row_id").agg(F.sum(log).alias("log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("seen"))
-    out = scored.drop("tail").join(beyond, "row_id", "left")
+    out = scored.join(beyond, "row_id", "left")
     log, seen = F.coalesce("log", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + seen).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("score") + log).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + seen).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("score") + F.col("rare") + log).alias("score"))
