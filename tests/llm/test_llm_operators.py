@@ -146,6 +146,13 @@ def test_decontaminate_keeps_the_rest(spark, edges, nothing):
     assert decontamination.contaminated(nothing, items).count() == 0
 
 
+def test_decontaminate_looks_at_texts_not_ids(spark):
+    items = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
+    docs = clashing(spark, [(1, "so one two three four five", "a"), (1, "other words stand in this text", "b"), (None, "so one two three four five", "c"), (None, None, "d")])
+    left = decontamination.decontaminate(docs, items)
+    assert left.columns == docs.columns and sorted(r["_key"] for r in left.collect()) == ["b", "d"]
+
+
 def test_items_of_few_words_are_all_found():
     rng = random.Random(38)
     items = [(n, " ".join(words(rng, 5 + n % 2))) for n in range(3000)]
@@ -325,6 +332,24 @@ def test_join_edges(spark, edges, nothing):
     assert kept.columns == edges.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
 
 
+CLASHES = "doc_id long, text string, _key string, _DIGEST string, _spans string, row long, node long, grp long, tile long, digest string, n_chars long"
+
+
+def clashing(spark, rows):
+    """Documents (id, text, mark) with the names that operators use for columns of their own."""
+    return spark.createDataFrame([(i, t, mark, "d", "s", 1, 2, 3, 4, "x", len(t or "")) for i, t, mark in rows], CLASHES)
+
+
+def test_one_of_each_keeps_rows_that_share_an_id_apart(spark):
+    rng = random.Random(4)
+    long, other, third = (" ".join(words(rng, 60)) for _ in range(3))
+    docs = clashing(spark, [(1, long, "a"), (2, long, "b"), (2, other, "c"), (None, long, "d"), (None, third, "e"), (None, third, "f"), (9, None, "g"), (9, None, "h")])
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["_key"] for r in kept.collect())[:2] == ["a", "c"] and kept.count() == 5 and kept.where("_key in ('e', 'f')").count() == 1
+    assert jaccard_join.one_of_each(docs.where("false")).count() == 0
+
+
 def test_runs_reach_the_recall():
     assert jaccard_join.runs_needed(recall=0.5) < jaccard_join.runs_needed(recall=0.999)
 
@@ -381,6 +406,23 @@ def test_redaction(spark, edges):
     assert secret_scan.redact(edges).count() == len(EDGES)
 
 
+def test_redaction_with_clashing_columns_and_repeated_ids(spark):
+    docs = clashing(spark, [(1, "token=abcdef", "a"), (1, "nothing here", "b"), (None, "token=abcdef", "c"), (1, None, "d"), (2, "", "e")])
+    out = {r["_key"]: r for r in secret_scan.redact(docs).collect()}
+    assert {k: r.text for k, r in out.items()} == {"a": "[SECRET]", "b": "nothing here", "c": "[SECRET]", "d": None, "e": ""}
+    assert out["a"]["_DIGEST"] == "d" and out["a"].n_chars == 8 and secret_scan.redact(docs).columns == docs.columns
+    assert secret_scan.redact(docs.where("false")).count() == 0
+
+
+def test_a_digest_that_is_appended_twice_counts_once(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    docs = table(spark, [(1, "token=abcdef"), (2, "plain")])
+    secret_scan.secret_findings(docs, path).collect()
+    twice = spark.read.parquet(path).collect()
+    spark.createDataFrame(twice, secret_scan.LEDGER).write.mode("append").parquet(path)
+    assert secret_scan.secret_findings(docs, path).count() == 2
+
+
 # --- 6 toxicity -------------------------------------------------------------------------
 
 
@@ -421,6 +463,39 @@ def test_toxicity_edges(spark, edges, nothing):
     assert toxicity.toxicity(nothing, none).count() == 0
 
 
+def every_path(symbols, start):
+    """Factors of every path that all machines accept one after the other, without composing them."""
+    chain = [(toxicity.negation(), ""), (toxicity.reported_speech(), start), (toxicity.threats(), ""), (toxicity.targets(), "")]
+    paths = [(list(symbols), [1.0] * len(symbols))]
+    for machine, begin in chain:
+        paths = [(out, [a * b for a, b in zip(f, g, strict=True)]) for read, f in paths for out, g in machine.outputs(read, begin)]
+    return [f for _, f in paths]
+
+
+def test_composed_machine_against_every_path():
+    rng = random.Random(9)
+    machine = toxicity.clause_grammar()
+    for n in range(400):
+        clause = [(rng.choice(toxicity.CLASSES), rng.choice([0.5, 1.0, 2.5])) for _ in range(rng.randint(0, 8))]
+        read = [(c, x if c in toxicity.HOSTILE else 0.0) for c, x in clause]
+        start = ("plain", "quoted")[n % 2]
+        paths = every_path([c for c, _ in read], start)
+        wanted = max((sum(x * f for (_, x), f in zip(read, p, strict=True)) for p in paths), default=None)
+        got = toxicity._MATCHER.weight(read, start)
+        assert got == pytest.approx(wanted) and wanted is not None
+        composed = sorted(tuple(round(x, 9) for x in f) for _, f in machine.outputs([c for c, _ in read], start))
+        assert composed == sorted(tuple(round(x, 9) for x in f) for f in paths)
+
+
+def test_words_count_by_what_stands_around():
+    g = toxicity.Grammar({})
+    assert g.clauses("you idiot") == [pytest.approx(toxicity.PRIOR * toxicity.TARGETED)] and g.clauses("idiot of you") == g.clauses("you idiot")
+    assert g.clauses("an idiot in a house of you") == [toxicity.PRIOR]
+    assert g.clauses("not an idiot, never an idiot")[0] == pytest.approx(toxicity.PRIOR * toxicity.NEGATED)
+    assert g.clauses("kill time") == [] and g.clauses("you kill") == [] and g.clauses("kill, you") == []
+    assert g.clauses("they said kill them") == [pytest.approx(toxicity.THREAT * toxicity.REPORTED)]
+
+
 def test_grammar_of_clauses():
     g = toxicity.Grammar({})
     plain, denied, told = (sum(g.clauses(t)) for t in ("the clown ran.", "the man is not a clown.", "he said: what a clown."))
