@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expressions as E
+from .numbering import greatest, numbered
 
 DEFAULT_PAGE, LARGEST_PAGE = 200, 500
 SORT_KEYS = ("taken_at", "filename", "size_bytes", "mtime")
@@ -124,10 +125,8 @@ def save_albums(albums: DataFrame, new: DataFrame, now: int) -> tuple[DataFrame,
     """(albums with the valid rows of ``new`` (name, filter_json, icon, sort_order), rejected rows with a reason)."""
     reason = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "blank name").when(F.try_parse_json("filter_json").isNull(), "invalid filter")
     judged = new.withColumn("reason", reason)
-    top = albums.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     valid = judged.where("reason is null").select(F.trim("name").alias("name"), "filter_json", "icon", F.coalesce("sort_order", F.lit(0)).cast("long").alias("sort_order"), F.lit(now).cast("long").alias("created_at"))
-    numbered = valid.withColumn("n", F.expr("row_number() over (order by name, filter_json)")).crossJoin(F.broadcast(top))
-    rows = numbered.select((F.col("top") + F.col("n")).alias("id"), "name", "filter_json", "icon", "sort_order", "created_at")
+    rows = numbered(valid, ["name", "filter_json"], greatest(albums)).select("id", "name", "filter_json", "icon", "sort_order", "created_at")
     return albums.unionByName(rows), judged.where("reason is not null")
 
 
@@ -142,8 +141,8 @@ def drop_albums(albums: DataFrame, ids: DataFrame) -> DataFrame:
 def album_members(assets: DataFrame, albums: DataFrame) -> DataFrame:
     """(album_id, id) for every asset that an album's filter takes.
 
-    Albums are few and broadcast as long as Spark's own size limit allows; every
-    condition tolerates an absent part, so one pass over the assets serves all.
+    Albums that name roots meet only the assets of these, others that name
+    formats only those of these; only albums with neither meet all assets.
     """
     f = albums.select(F.col("id").alias("album_id"), F.from_json("filter_json", _FILTER).alias("f"))
     roots, formats, text = F.col("f.rootIds"), F.transform("f.formats", lambda x: E.ascii_lower(F.ltrim(x, F.lit(".")))), F.trim(F.coalesce("f.q", F.lit("")))
@@ -151,19 +150,30 @@ def album_members(assets: DataFrame, albums: DataFrame) -> DataFrame:
     located = F.col("gps_lat").isNotNull() & F.col("gps_lng").isNotNull()
     takes = (
         (F.coalesce("f.includeDeleted", F.lit(False)) | E.live())
-        & (absent(roots) | F.array_contains(roots, F.col("root_id")))
-        & (absent(formats) | F.array_contains(formats, F.col("extension")))
-        & F.contains(E.ascii_lower(F.col("filename")), E.ascii_lower(text))
+        & (absent(F.col("formats")) | F.array_contains("formats", F.col("extension")))
+        & F.contains(E.ascii_lower(F.col("filename")), F.col("text"))
         & (F.col("size_bytes") >= F.greatest(F.coalesce("f.sizeMin", F.lit(0)), F.lit(0)))
         & (F.col("f.sizeMax").isNull() | (F.col("size_bytes") <= F.greatest("f.sizeMax", F.lit(0))))
         & (F.col("f.takenFrom").isNull() | (E.shown_at() >= F.col("f.takenFrom")))
         & (F.col("f.takenTo").isNull() | (E.shown_at() <= F.col("f.takenTo")))
         & (F.col("f.hasGps").isNull() | (F.col("f.hasGps") == located))
     )
-    return assets.join(f, takes).select("album_id", "id")
+    f = f.withColumns({"roots": F.array_distinct(roots), "formats": F.array_distinct(formats), "text": E.ascii_lower(text)})
+    by_root = f.where(~absent(F.col("roots"))).withColumn("of_root", F.explode("roots"))
+    by_format = f.where(absent(F.col("roots")) & ~absent(F.col("formats"))).withColumn("of_format", F.explode("formats"))
+    rest = f.where(absent(F.col("roots")) & absent(F.col("formats")))
+    parts = [assets.join(by_root, (F.col("root_id") == F.col("of_root")) & takes), assets.join(by_format, (F.col("extension") == F.col("of_format")) & takes), assets.join(rest, takes)]
+    return reduce(DataFrame.unionByName, (p.select("album_id", "id") for p in parts))
 
 
 def album_counts(assets: DataFrame, albums: DataFrame) -> DataFrame:
     """Members of each album, 0 included."""
     counts = album_members(assets, albums).groupBy("album_id").count()
     return albums.select(F.col("id").alias("album_id"), "name").join(counts, "album_id", "left").select("album_id", "name", F.coalesce("count", F.lit(0)).alias("members"))
+
+
+def album_page(assets: DataFrame, albums: DataFrame, album_id: int, offset: int = 0, limit: int = DEFAULT_PAGE) -> DataFrame:
+    """One page of an album, newest first; where to begin and how much to take are the caller's, not the album's."""
+    members = album_members(assets, albums.where(F.col("id") == album_id)).select("id")
+    page = assets.join(members, "id", "left_semi").orderBy(*ordering(BrowseParams()))
+    return page.offset(max(0, offset)).limit(min(max(1, limit), LARGEST_PAGE)).select(assets.columns)

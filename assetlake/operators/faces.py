@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import expressions as E
 from .graph import connected_components
+from .numbering import greatest, numbered
 
 THRESHOLD = 0.82
 #: Vectors in a block of the all-pairs comparison.
@@ -17,16 +18,15 @@ BLOCK = 512
 def replace_faces(faces: DataFrame, new: DataFrame) -> DataFrame:
     """``faces`` with all faces of the images of ``new`` (image_id, bbox_json, confidence) replaced by it, unclustered."""
     kept = faces.join(new.select("image_id").distinct(), "image_id", "left_anti").select(faces.columns)
-    top = faces.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     box = F.from_json("bbox_json", schemas.BOX)
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("image_id", F.desc("confidence"), "bbox_json"))).crossJoin(F.broadcast(top))
+    fresh = numbered(new, ["image_id", F.desc("confidence"), "bbox_json"], greatest(faces))
     given = {
-        "id": F.col("top") + F.col("n"),
+        "id": F.col("id"),
         "image_id": F.col("image_id"),
         "bbox": F.struct(*(F.coalesce(box[c], F.lit(0.0)).alias(c) for c in "xywh")),
         "confidence": E.clamp(F.col("confidence"), 0.0, 1.0),
     }
-    return kept.unionByName(numbered.select(*(given.get(c, F.lit(None)).cast(faces.schema[c].dataType).alias(c) for c in faces.columns)))
+    return kept.unionByName(fresh.select(*(given.get(c, F.lit(None)).cast(faces.schema[c].dataType).alias(c) for c in faces.columns)))
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

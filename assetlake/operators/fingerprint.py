@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from .graph import connected_components, written
+from .numbering import greatest, numbered
 
 #: Hamming thresholds from identical to loosely similar, and the default.
 THRESHOLD_PRESETS = (0, 1, 2, 5, 7, 14)
@@ -43,11 +44,25 @@ def _bands(t: int) -> tuple[int, int]:
     return t + extra, extra
 
 
+def _parts(h: Column, t: int) -> list[Column]:
+    """The bands of a signature's bits."""
+    bands, _ = _bands(t)
+    edges = [round(64 * i / bands) for i in range(bands + 1)]
+    return [F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if edges[i + 1] - edges[i] < 64 else -1)) for i in range(bands)]
+
+
+def _first_key(a: Column, b: Column, subset: Column, t: int) -> Column:
+    """Whether ``subset`` is the number of the first key that both signatures have."""
+    bands, agree = _bands(t)
+    same = F.filter(F.array(*(F.when(x == 0, F.lit(n)) for n, x in enumerate(_parts(a.bitwiseXOR(b), t)))), lambda x: x.isNotNull())
+    labels = F.array(*(F.lit(",".join(map(str, chosen))) for chosen in combinations(range(bands), agree)))
+    return F.get(labels, subset) == F.array_join(F.slice(same, 1, agree).cast("array<string>"), ",")
+
+
 def _keys(h: Column, t: int) -> Column:
     """Keys of a signature: two within ``t`` bits share at least one (pigeonhole over bands)."""
     bands, agree = _bands(t)
-    edges = [round(64 * i / bands) for i in range(bands + 1)]
-    band = [F.shiftrightunsigned(h, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if edges[i + 1] - edges[i] < 64 else -1)) for i in range(bands)]
+    band = _parts(h, t)
     return F.array(*(F.struct(F.lit(n).alias("subset"), F.xxhash64(*(band[i] for i in chosen)).alias("bits")) for n, chosen in enumerate(combinations(range(bands), agree))))
 
 
@@ -56,8 +71,8 @@ def hamming_pairs(hashes: DataFrame, t: int = DEFAULT_THRESHOLD) -> DataFrame:
 
     Equal signatures are collapsed to their least id first, as ``hash_classes``
     tells. Candidates share a band key, and keys with many signatures are cut
-    into blocks that meet pairwise; of a pair that meets under several keys one
-    row is left, after the distance has been checked.
+    into blocks that meet pairwise. A pair that meets under several keys counts
+    under the first of them only, so no pair has to be looked for among others.
     """
     # the signatures are read several times below and can be costly to make
     reps = written(hashes.where("dhash is not null").groupBy("dhash").agg(F.min("id").alias("id")))
@@ -70,7 +85,7 @@ def hamming_pairs(hashes: DataFrame, t: int = DEFAULT_THRESHOLD) -> DataFrame:
     right = keyed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.col("mate").alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("dhash").alias("hb"))
     distance = E.hamming(F.col("ha"), F.col("hb"))
     met = left.join(right, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (distance <= t))
-    return met.select("a", "b", distance.alias("distance")).distinct()
+    return met.where(_first_key(F.col("ha"), F.col("hb"), F.col("key.subset"), t)).select("a", "b", distance.alias("distance"))
 
 
 def hash_classes(hashes: DataFrame) -> DataFrame:
@@ -84,7 +99,8 @@ def hamming_search(hashes: DataFrame, probes: DataFrame, t: int) -> DataFrame:
     keys = hashes.where("dhash is not null").select("id", "dhash", F.explode(_keys(F.col("dhash"), t)).alias("key"))
     asked = probes.where("dhash is not null").select("probe_id", F.col("dhash").alias("wanted"), F.explode(_keys(F.col("dhash"), t)).alias("key"))
     distance = E.hamming(F.col("dhash"), F.col("wanted"))
-    return asked.join(keys, "key").where(distance <= t).select("probe_id", "id", distance.alias("distance")).distinct()
+    met = asked.join(keys, "key").where((distance <= t) & _first_key(F.col("dhash"), F.col("wanted"), F.col("key.subset"), t))
+    return met.select("probe_id", "id", distance.alias("distance"))
 
 
 def neardup_groups(hashes: DataFrame, t: int = DEFAULT_THRESHOLD) -> DataFrame:
@@ -115,8 +131,7 @@ def rebuild_groups(groups: DataFrame, items: DataFrame, new: DataFrame, method:
         dismissed = members(items.join(groups.where("status = 'dismissed'").select(F.col("id").alias("group_id")), "group_id", "left_semi"), "group_id", "image_id").select("members")
         again = members(new, "group_id", "id").join(dismissed, "members", "left_semi").select("group_id")
         new = new.join(again, "group_id", "left_anti")
-    top = groups.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    ids = new.select("group_id").distinct().withColumn("n", F.row_number().over(Window.orderBy("group_id"))).crossJoin(F.broadcast(top)).select("group_id", (F.col("top") + F.col("n")).alias("new_id"))
+    ids = numbered(new.select("group_id").distinct(), ["group_id"], greatest(groups), "new_id")
     given = {"id": F.col("new_id"), "method": F.lit(method), "threshold": F.lit(threshold), "status": F.lit("open"), "created_at": F.lit(now)}
     made = ids.select(*(given.get(c, F.lit(None)).cast(groups.schema[c].dataType).alias(c) for c in groups.columns))
     rows = new.join(ids, "group_id").select(F.col("new_id").alias("group_id"), F.col("id").alias("image_id"), "similarity")

@@ -6,11 +6,12 @@ be written as a new snapshot; nothing is changed in place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import expressions as E
+from .numbering import greatest, numbered
 
 UNDO_SECONDS = 30 * 86_400
 KEY = ["root_id", "rel_path"]
@@ -62,32 +63,12 @@ def apply_changes(prev: DataFrame, classified: DataFrame, now: int) -> DataFrame
         return F.col(c)
 
     kept = joined.select(*(value(c).cast(prev.schema[c].dataType).alias(c) for c in prev.columns))
-    fresh = number_after(prev, classified.where("change = 'added'").drop("id"), KEY)
+    fresh = numbered(classified.where("change = 'added'").drop("id"), KEY, greatest(prev))
     given = {c: F.col(c) for c in fresh.columns} | {c: F.lit(v) for c, v in schemas.FRESH.items()} | {"indexed_at": F.lit(now)}
     added = fresh.select(*(given.get(c, F.lit(None)).cast(prev.schema[c].dataType).alias(c) for c in prev.columns))
     return kept.unionByName(added)
 
 
-def number_after(prev: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ids that follow the greatest of ``prev``, ascending by ``order``.
-
-    Rows are sorted by ranges and numbered within them, and the ranges' sizes
-    give each its first number, so no task sorts all rows.
-    """
-    spark = rows.sparkSession
-    top = prev.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.agg(F.percentile_approx(F.xxhash64(*order), 0.5)).first()  # an empty input has no ranges
-    if bounds[0] is None:
-        return rows.withColumn("id", F.lit(None).cast("long"))
-    placed = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    local = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = placed.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_before"))
-    return local.join(F.broadcast(starts), "_part").withColumn("id", F.lit(top) + F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
-
-
 def scan_summary(classified: DataFrame) -> DataFrame:
     """Numbers of added, updated (restored included) and removed paths and of all listed ones, per root."""
     is_ = lambda *kinds: F.count(F.when(F.col("change").isin(*kinds), 1))
@@ -117,10 +98,17 @@ def fail_interrupted(runs: DataFrame, now: int) -> DataFrame:
 
 
 def rename_assets(assets: DataFrame, renames: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(assets, rejects with a reason, undo rows) for ``renames`` (id, new_name); the folder of a path stays."""
-    name = F.trim(F.coalesce("new_name", F.lit("")))
-    asked = renames.groupBy("id").agg(F.min("new_name").alias("new_name"))
-    judged = asked.join(assets.where(E.live()).select("id", "root_id", "rel_path"), "id", "left").withColumn("new_name", name)
+    """(assets, rejects with a reason, undo rows) for ``renames`` (id, new_name); the folder of a path stays.
+
+    Of several renames of an asset the least name is taken; of several assets
+    that would get one path, the least id gets it and the others are rejected.
+    If ``renames`` has size_bytes and mtime, as read after the rename, they are
+    taken over; a renamed asset counts as indexed at ``now``.
+    """
+    fresh = [c for c in ("size_bytes", "mtime") if c in renames.columns]
+    asked = renames.groupBy("id").agg(F.min(F.struct("new_name", *fresh)).alias("asked"))
+    asked = asked.select("id", F.trim(F.coalesce("asked.new_name", F.lit(""))).alias("new_name"), *(F.col(f"asked.{c}").alias(f"new_{c}") for c in fresh))
+    judged = asked.join(assets.where(E.live()).select("id", "root_id", "rel_path"), "id", "left")
     folder = F.regexp_extract("rel_path", r"^(.*[\\/])?", 1)
     judged = judged.withColumn("new_path", F.concat(folder, "new_name"))
     taken = assets.where(E.live()).select("root_id", F.col("rel_path").alias("new_path"), F.col("id").alias("holder"))
@@ -132,15 +120,18 @@ def rename_assets(assets: DataFrame, renames: DataFrame, now: int) -> tuple[Data
         .when(F.col("holder").isNotNull() & (F.col("holder") != F.col("id")), "name is taken")
     )
     judged = judged.withColumn("reason", reason)
+    first = judged.where("reason is null").groupBy("root_id", "new_path").agg(F.min("id").alias("first"))
+    judged = judged.join(first, ["root_id", "new_path"], "left").withColumn("reason", F.when(F.col("reason").isNull() & (F.col("id") != F.col("first")), "name is taken").otherwise(F.col("reason")))
     good = judged.where("reason is null")
-    joined = assets.join(good.select("id", "new_name", "new_path"), "id", "left")
+    joined = assets.join(good.select("id", "new_name", "new_path", *(f"new_{c}" for c in fresh)), "id", "left")
     hit = F.col("new_path").isNotNull()
     value = {
         "rel_path": F.coalesce("new_path", "rel_path"),
         "filename": F.coalesce("new_name", "filename"),
         "extension": F.when(hit, E.ascii_lower(F.regexp_extract("new_name", r"\.([^.]+)$", 1))).otherwise(F.col("extension")),
-    }
-    renamed = joined.select(*(value.get(c, F.col(c)).alias(c) for c in assets.columns))
+        "indexed_at": F.when(hit, F.lit(now)).otherwise(F.col("indexed_at")) if "indexed_at" in assets.columns else None,
+    } | {c: F.coalesce(f"new_{c}", c) for c in fresh}
+    renamed = joined.select(*(value.get(c, F.col(c)).cast(assets.schema[c].dataType).alias(c) for c in assets.columns))
     payload = F.to_json(F.struct(F.col("id").alias("imageId"), F.col("rel_path").alias("from"), F.col("new_path").alias("to")))
     undo = good.select(F.lit("rename").alias("action"), payload.alias("payload_json"), F.lit(now + UNDO_SECONDS).cast("long").alias("can_undo_until"), F.lit(None).cast("long").alias("undone_at"), F.lit(now).cast("long").alias("created_at"))
     return renamed, judged.where("reason is not null").select("id", "new_name", "reason"), undo
@@ -149,10 +140,8 @@ def rename_assets(assets: DataFrame, renames: DataFrame, now: int) -> tuple[Data
 def add_roots(roots: DataFrame, new: DataFrame, now: int) -> DataFrame:
     """``roots`` with the paths of ``new`` (path, label, type) that it has not."""
     fresh = new.dropDuplicates(["path"]).join(roots.select("path"), "path", "left_anti")
-    top = roots.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy("path"))).crossJoin(F.broadcast(top))
-    given = {"id": F.col("top") + F.col("n"), "enabled": F.lit(True), "created_at": F.lit(now)} | {c: F.col(c) for c in fresh.columns}
-    return roots.unionByName(numbered.select(*(given.get(c, F.lit(None)).cast(roots.schema[c].dataType).alias(c) for c in roots.columns)))
+    given = {c: F.col(c) for c in ("id", *fresh.columns)} | {"enabled": F.lit(True), "created_at": F.lit(now)}
+    return roots.unionByName(numbered(fresh, ["path"], greatest(roots)).select(*(given.get(c, F.lit(None)).cast(roots.schema[c].dataType).alias(c) for c in roots.columns)))
 
 
 def patch_roots(roots: DataFrame, patches: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from .numbering import greatest, numbered
 
 LARGEST_CLOUD = 500
 
@@ -56,10 +57,9 @@ def upsert_tags(tags: DataFrame, new: DataFrame, now: int) -> DataFrame:
     """``tags`` with the names of ``new`` (name, source, category): known ones take the source, and the category if it has one."""
     once = new.groupBy("name").agg(F.max("source").alias("new_source"), F.max("category").alias("new_category"))
     merged = tags.join(once, "name", "full_outer")
-    top = tags.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     known = merged.where("id is not null").select("id", "name", F.coalesce("new_source", "source").alias("source"), F.coalesce("new_category", "category").alias("category"), "created_at")
-    fresh = merged.where("id is null").withColumn("n", F.row_number().over(Window.orderBy("name"))).crossJoin(F.broadcast(top))
-    return known.unionByName(fresh.select((F.col("top") + F.col("n")).alias("id"), "name", F.col("new_source").alias("source"), F.col("new_category").alias("category"), F.lit(now).cast("long").alias("created_at")))
+    fresh = numbered(merged.where("id is null").select("name", "new_source", "new_category"), ["name"], greatest(tags))
+    return known.unionByName(fresh.select("id", "name", F.col("new_source").alias("source"), F.col("new_category").alias("category"), F.lit(now).cast("long").alias("created_at")))
 
 
 def replace_ai_tags(links: DataFrame, tags: DataFrame, new: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +121,7 @@ RULE_TAGS = {
 
 def rule_tags(red: Column, green: Column, blue: Column, width: Column, height: Column) -> Column:
     """array<struct(name, score, category)> by thresholds on mean colour and sides; the last kind where no other holds."""
-    holds = {
+    holds = {  # fixed values: the thresholds
         "blue": (blue > red * 1.08) & (blue > green * 1.02),
         "warm": (red > blue * 1.08) & (red > green),
         "green": (green > red * 1.04) & (green > blue * 1.04),

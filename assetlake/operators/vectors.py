@@ -42,6 +42,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return measured.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", 1 / (1 + F.greatest("distance", F.lit(0.0))))
 
 
+def vector_count(vectors: DataFrame) -> DataFrame:
+    """One row: the stored vectors."""
+    return vectors.agg(F.count(F.lit(1)).alias("vectors"))
+
+
 def similar_to(vectors: DataFrame, ids: DataFrame, k: int = DEFAULT_HITS) -> DataFrame:
     """Neighbours of stored vectors (ids: image_id), themselves left out; an image without a vector has none."""
     queries = vectors.join(ids.select("image_id").distinct(), "image_id", "left_semi").select(F.col("image_id").alias("query_id"), F.col("embedding").alias("query"))
@@ -109,3 +114,33 @@ def hybrid_search(assets: DataFrame, links: DataFrame, tag_table: DataFrame, vec
             return found
     page = kept.where(E.contains_literal(F.col("filename"), part["text"])).orderBy(F.desc("mtime"), F.desc("id")).limit(limit)
     return page.select("id", F.lit(0.5).alias("score"), F.lit("filename").alias("source"), F.row_number().over(newest).alias("rank"))
+
+
+def hybrid_searches(assets: DataFrame, links: DataFrame, tag_table: DataFrame, vectors: DataFrame, searches: DataFrame, limit: int = DEFAULT_HITS) -> DataFrame:
+    """``hybrid_search`` for many searches (query_id, query, vector): (query_id, id, score, source, rank).
+
+    The searches are the stated query set that every asset meets once; Spark
+    broadcasts them while they are small. Searches with tags meet only the
+    assets that carry the first of them.
+    """
+    limit = min(max(limit, 1), MOST_HITS)
+    asked = parse_search(searches).join(searches.select("query_id", "vector"), "query_id")
+    named = links.join(tag_table.select(F.col("id").alias("tag_id"), "name"), "tag_id").groupBy(F.col("image_id").alias("id")).agg(F.collect_set("name").alias("names"))
+    held = assets.where(E.live()).select("id", "extension", "size_bytes", "mtime", "filename").join(named, "id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    takes = (
+        (F.col("format").isNull() | (F.col("extension") == F.col("format")))
+        & (F.col("size_min").isNull() | (F.col("size_bytes") >= F.col("size_min")))
+        & (F.col("size_max").isNull() | (F.col("size_bytes") <= F.col("size_max")))
+        & (F.size(F.array_except("tags", "names")) == 0)
+    )
+    by_tag = held.withColumn("tag", F.explode("names")).join(asked.where("size(tags) > 0").withColumn("first", F.col("tags")[0]), (F.col("tag") == F.col("first")) & takes).drop("tag", "first")
+    met = by_tag.unionByName(held.join(asked.where("size(tags) = 0"), takes))
+    near = met.where("text != '' and vector is not null").join(vectors.select(F.col("image_id").alias("id"), "embedding"), "id")
+    near = near.select("query_id", "id", E.squared_distance(F.col("embedding"), F.col("vector")).alias("distance"))
+    ranked = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank")
+    newest = (F.desc("mtime"), F.desc("id"))
+    semantic = near.select("query_id", "id", (1 / (1 + F.greatest("distance", F.lit(0.0)))).alias("score"), F.lit("semantic").alias("source"), ranked("distance", "id"))
+    plain = met.where("text = ''").select("query_id", "id", F.lit(1.0).alias("score"), F.lit("dsl").alias("source"), ranked(*newest))
+    none = met.where("text != ''").join(near.select("query_id").distinct(), "query_id", "left_anti").where(F.contains(E.ascii_lower(F.col("filename")), E.ascii_lower(F.col("text"))))
+    by_name = none.select("query_id", "id", F.lit(0.5).alias("score"), F.lit("filename").alias("source"), ranked(*newest))
+    return semantic.unionByName(plain).unionByName(by_name).where(F.col("rank") <= limit)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,28 +10,13 @@ from ..functions import expressions as E
 from ..operators import backlog, browse, faces, fingerprint, graph, reconcile, resolve, rollup, tags, textsearch, vectors
 from ..streaming import events
 from . import views as V
+from .registry import NOW, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 TZ = "+02:00"
-NOW = 1_750_000_000
 _PAGE = browse.BrowseParams(formats=(".O", "f"), text="img_1", size_min=50_000, size_max=200_000, has_gps=True, sort="taken_at", offset=20, limit=100)
 _LOCAL = "to_timestamp(coalesce(taken_at, mtime) + 7200)"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # --- browse -------------------------------------------------------------------------
 
 _WHERE = "deleted_at is null and extension in ('o', 'f') and contains(lower(filename), 'img_1') and size_bytes between 50000 and 200000 and gps_lat is not null and gps_lng is not null"
@@ -55,19 +38,19 @@ def page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.page_total(V.orders(spark, sf_dir), _PAGE)
 
 
-@query(f"with {V.ORDERS} select id, min(c_custkey) as pos from assets_ord join customer on id = c_custkey * 3 % 1000 where deleted_at is null group by id")
+@query(f"with {V.ORDERS} select id, min(l_partkey) as pos from assets_ord join lineitem on id = l_orderkey where deleted_at is null group by id")
 def lookup_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = V.read(spark, sf_dir, "customer").selectExpr("c_custkey as pos", "c_custkey * 3 % 1000 as id")
+    ids = V.read(spark, sf_dir, "lineitem").selectExpr("l_partkey as pos", "l_orderkey as id")
     return browse.by_ids(V.orders(spark, sf_dir), ids).select("id", "pos")
 
 
-@query(f"""with {V.ORDERS}, albums as (select c_custkey as id, lower(substr(c_mktsegment, 1, 1)) as q, c_nationkey % 8 as root_id, c_acctbal::bigint * 10 as size_min from customer where c_custkey % 50 = 0)
-select albums.id as album_id, count(a.id) as members from albums left join assets_ord a on a.deleted_at is null and a.root_id = albums.root_id and a.size_bytes >= greatest(size_min, 0) and a.gps_lat is not null group by albums.id""")
+@query(f"""with {V.ORDERS}, albums as (select s_suppkey as id, s_nationkey % 8 as root_id, s_acctbal::bigint * 10 as size_min, case when s_suppkey % 3 = 0 then 'f' end as format, s_suppkey % 4 = 0 as everywhere from supplier)
+select albums.id as album_id, count(a.id) as members from albums left join assets_ord a on a.deleted_at is null and (everywhere or a.root_id = albums.root_id) and (format is null or extension = format) and a.size_bytes >= greatest(size_min, 0) and a.gps_lat is not null group by albums.id""")
 def album_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = V.read(spark, sf_dir, "customer").where("c_custkey % 50 = 0")
+    roots = F.when(F.col("s_suppkey") % 4 != 0, F.array((F.col("s_nationkey") % 8).cast("long")))
     # round half away from zero, as the cast in SQL does
-    filter_json = F.to_json(F.struct(F.array((F.col("c_nationkey") % 8).cast("long")).alias("rootIds"), (F.round("c_acctbal").cast("long") * 10).alias("sizeMin"), F.lit(True).alias("hasGps")))
-    albums = customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), filter_json.alias("filter_json"))
+    filter_json = F.to_json(F.struct(roots.alias("rootIds"), F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit(".F"))).alias("formats"), (F.round("s_acctbal").cast("long") * 10).alias("sizeMin"), F.lit(True).alias("hasGps")))
+    albums = V.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), filter_json.alias("filter_json"))
     return browse.album_counts(V.orders(spark, sf_dir), albums).select("album_id", "members")
 
 
@@ -299,23 +282,35 @@ def grouping_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- text and vectors -------------------------------------------------------------------
 
-_TERMS = ["the", "de la", "und die", "ing the", "en en"]
-
-
-@query(
-    f"""with {V.DOCUMENTS}, tok as (select id, 0 as col, list_filter(regexp_split_to_array(lower(strip_accents(filename)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '') as w from assets_doc
+_TOKENS = f"""{V.DOCUMENTS}, tok as (select id, 0 as col, list_filter(regexp_split_to_array(lower(strip_accents(filename)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '') as w from assets_doc
   union all select id, 1, list_filter(regexp_split_to_array(lower(strip_accents(coalesce(ocr_text, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '') from assets_doc),
 sizes as (select id, sum(len(w)) as tokens from tok group by id), numbers as (select count(*) as docs, avg(tokens) as average from sizes),
-asked as (select * from (values {", ".join(f"({n}::bigint, {m}, '{w}')" for n, q in enumerate(_TERMS) for m, w in enumerate(q.split()))}) t(query_id, phrase, token)),
-hits as (select query_id, phrase, id, sum(len(list_filter(w, lambda x: x = token))) as tf from tok, asked group by all having tf > 0),
+asked as (select id as query_id, unnest([1, 2]) as phrase, unnest(w[1:2]) as token from tok where col = 1 and id % 20 = 0 and len(w) >= 2),
+hits as (select query_id, phrase, id, sum(len(list_filter(w, lambda x: x = token))) as tf from tok, asked where list_contains(w, token) group by all),
 spread as (select query_id, phrase, count(*) as df from hits group by all),
 scored as (select query_id, id, sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tokens / average))) as score, count(*) as n
-  from hits join spread using (query_id, phrase) join sizes using (id), numbers group by all)
-select query_id, id, round(score, 6) as score, count(*) over (partition by query_id) as total from scored join assets_doc using (id) where n = (select count(*) from asked x where x.query_id = scored.query_id) and deleted_at is null"""
-)
+  from hits join spread using (query_id, phrase) join sizes using (id), numbers group by all),
+found as (select query_id, id, round(score, 6) as score, count(*) over (partition by query_id) as total from scored join assets_doc using (id) where n = 2 and deleted_at is null)"""
+
+
+def _searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(assets, queries): the first two words of every document whose id is divisible by 20."""
+    assets = V.documents(spark, sf_dir)
+    first = F.slice(textsearch.words(F.col("ocr_text")), 1, 2)
+    return assets, assets.where("id % 20 = 0").select(F.col("id").alias("query_id"), first.alias("w")).where("size(w) = 2").select("query_id", F.array_join("w", " ").alias("query"))
+
+
+@query(f"with {_TOKENS} select * from found")
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = spark.createDataFrame(list(enumerate(_TERMS)), "query_id long, query string")
-    return textsearch.search(V.documents(spark, sf_dir), queries, limit=None).select("query_id", "id", F.round("score", 6).alias("score"), "total")
+    return textsearch.search(*_searches(spark, sf_dir), limit=None).select("query_id", "id", F.round("score", 6).alias("score"), "total")
+
+
+@query(f"with {_TOKENS} select query_id, id, score, total from found qualify row_number() over (partition by query_id order by score desc, id) between 4 and 13")
+def text_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assets, queries = _searches(spark, sf_dir)
+    found = textsearch.search(assets, queries, limit=None)
+    # the rank by the rounded score, as the SQL has it
+    return textsearch.page(found.withColumn("score", F.round("score", 6)), 10, 3).select("query_id", "id", "score", "total")
 
 
 _DISTANCE = "list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double)))"
@@ -342,12 +337,22 @@ def parsed_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.withColumn("tags", F.array_join("tags", ","))
 
 
-@query(f"with {V.TAGS}, {V.TAGGED}, kept as (select id from assets_part where deleted_at is null and size_bytes >= 10 and id in (select image_id from links where name = 'small')), found as (select v.vec_id as id, {_DISTANCE} as distance from embeddings v, (select embedding from embeddings where vec_id = 0) q where v.vec_id in (select id from kept)) select id, round(1 / (1 + distance), 6) as score, 'semantic' as source, row_number() over (order by distance, id) as rank from found qualify rank <= 40")
+@query(f"""with {V.TAGS}, {V.TAGGED}, asked as (select vec_id as query_id, case when vec_id % 60 = 0 then null else embedding end as embedding, vec_id % 40 = 20 as bare, p.word as word, case when vec_id % 60 = 0 then p.word else 'some' end as text, 10 + vec_id % 7 as least
+  from embeddings join (select p_partkey, string_split(p_name, ' ')[1] as word from part) p on p_partkey = vec_id % 200 where vec_id % 20 = 0),
+met as (select a.query_id, p.id, p.filename, p.mtime, bare, text, a.embedding from asked a join links l on l.name = a.word join assets_part p on p.id = l.image_id where p.deleted_at is null and p.size_bytes >= least group by all),
+found as (select query_id, id, {{distance}} as distance from met q join embeddings v on v.vec_id = q.id where not bare and q.embedding is not null),
+ranked as (select query_id, id, round(1 / (1 + distance), 6) as score, 'semantic' as source, row_number() over (partition by query_id order by distance, id) as rank from found
+  union all select query_id, id, 1.0, 'dsl', row_number() over (partition by query_id order by mtime desc, id desc) from met where bare
+  union all select query_id, id, 0.5, 'filename', row_number() over (partition by query_id order by mtime desc, id desc) from met where not bare and query_id not in (select query_id from found) and contains(lower(filename), lower(text)))
+select * from ranked where rank <= 40""".replace("{distance}", _DISTANCE))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, links = V.tags(spark, sf_dir)
     stored = V.vectors(spark, sf_dir)
-    wanted = vectors.vector_of(stored, 0).first()["embedding"]
-    found = vectors.hybrid_search(V.tagged_assets(spark, sf_dir), links, table, stored, "ring #small size:>=10b", wanted)
+    words = V.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.split("p_name", " ")[0].alias("word"))
+    asked = stored.where("image_id % 20 = 0").withColumn("part", F.col("image_id") % 200).join(words, "part")
+    text = F.expr("concat(case when image_id % 40 = 20 then '' when image_id % 60 = 0 then word else 'some' end, ' #', word, ' size:>=', 10 + image_id % 7, 'b')")
+    searches = asked.select(F.col("image_id").alias("query_id"), text.alias("query"), F.when(F.col("image_id") % 60 != 0, F.col("embedding")).alias("vector"))
+    found = vectors.hybrid_searches(V.tagged_assets(spark, sf_dir), links, table, stored, searches)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -374,9 +379,12 @@ def images_per_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- events ---------------------------------------------------------------------------
 
 
-@query()
+@query("""with recursive changes as (select user_id % 10 as root_id, epoch_us(ts) as fired_at from events where event_type in ('click', 'view', 'purchase')),
+fired(root_id, fired_at) as (select root_id, min(fired_at) from changes group by root_id union all select f.root_id, min(c.fired_at) from fired f join changes c on c.root_id = f.root_id and c.fired_at >= f.fired_at + 60000000 group by f.root_id)
+select root_id, fired_at from fired""")
 def debounced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.debounce_batch(events.watched(V.file_events(spark, sf_dir)), 60.0)
+    fired = events.debounce_batch(events.watched(V.file_events(spark, sf_dir)), 60.0)
+    return fired.select("root_id", F.unix_micros("ts").alias("fired_at"))
 
 
 @query(f"with {V.ORDERS} select id, rel_path, substr(sha1(chr(root_id::int)::blob || '\\x00\\x00\\x00\\x00\\x00\\x00\\x00|'::blob || rel_path::blob), 1, 16) as key from assets_ord")

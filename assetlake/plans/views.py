@@ -109,9 +109,9 @@ TAGGED = "assets_part as (select p_partkey as id, p_name as filename, lower(p_br
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64-bit signatures (id, dhash) of documents of 200 characters and more: signs of summed shingle hash bits."""
+    """64-bit signatures (id, dhash) of all documents with a text: signs of summed shingle hash bits."""
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ")
-    docs = read(spark, sf_dir, "documents").where("n_chars >= 200").select(F.col("doc_id").alias("id"), words.alias("w"))
+    docs = read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), words.alias("w"))
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))
     bits = docs.select("id", F.explode(runs).alias("run")).select("id", F.unhex(F.substring(F.md5("run"), 1, 16)).alias("raw"))
     value = bits.select("id", F.conv(F.hex("raw"), 16, -10).cast("bigint").alias("v"))
@@ -127,7 +127,7 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIGNATURES = """runs as (
   select distinct doc_id as id, unnest([array_to_string(w[i:i + 2], ' ') for i in range(1, greatest(len(w) - 2, 1) + 1)]) as run
-  from (select doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') as w from documents where n_chars >= 200)),
+  from (select doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') as w from documents where text is not null)),
 votes as (select id, b, sum(case when (('0x' || md5(run)[1:16])::ubigint >> b) & 1 = 1 then 1 else -1 end) as s from runs, range(64) t(b) group by all),
 sig as (select id, sum(case when s > 0 then case when b = 63 then (-9223372036854775808)::hugeint else (1::hugeint << b) end else 0 end)::bigint as dhash from votes group by id)"""
 

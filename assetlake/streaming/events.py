@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -39,18 +40,41 @@ def skipped_roots(roots: DataFrame) -> DataFrame:
     return roots.where("enabled and type != 'local'")
 
 
+#: Length of the pieces of time, in waits, at whose ends a root's events may be dealt to other tasks.
+_PIECE = 256
+
+
 def debounce_batch(events: DataFrame, seconds: float = SECONDS) -> DataFrame:
     """(root_id, ts) of the events that fire: per root, at least ``seconds`` after the last that fired.
 
-    Events that do not fire do not prolong the wait. Per root the times are
-    folded in order; times of one root are a bounded array of its window here,
-    the stream below needs no array.
+    Events that do not fire do not prolong the wait. An event that comes at least
+    the wait after the one before it always fires, so a root's time is cut there,
+    where such a gap falls on the end of a piece of time, and the parts are folded
+    apart. A task reads its parts in time order and holds one time.
     """
-    span = F.lit(int(seconds * 1_000_000))
-    at = events.select("root_id", F.unix_micros("ts").alias("at")).groupBy("root_id").agg(F.array_sort(F.collect_list("at")).alias("times"))
-    empty = F.array().cast("array<bigint>")
-    fired = F.aggregate("times", empty, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= span), F.concat(acc, F.array(t))).otherwise(acc))
-    return at.select("root_id", F.explode(fired).alias("at")).select("root_id", F.timestamp_micros("at").alias("ts"))
+    span = int(seconds * 1_000_000)
+    at = events.select("root_id", F.unix_micros("ts").alias("at")).where("at is not null").withColumn("piece", F.floor(F.col("at") / (span * _PIECE)))
+    own = Window.partitionBy("root_id").orderBy("piece")
+    pieces = at.groupBy("root_id", "piece").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    new = F.coalesce(F.col("first") - F.lag("last").over(own) >= span, F.lit(True))
+    parts = pieces.withColumn("new", new.cast("int")).select(F.col("root_id").alias("of_root"), F.col("piece").alias("of_piece"), F.sum("new").over(own).alias("part"))
+    placed = at.join(parts, F.col("root_id").eqNullSafe(F.col("of_root")) & (F.col("piece") == F.col("of_piece"))).select("root_id", "part", "at")
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.repartition(tasks, "root_id", "part").sortWithinPartitions("root_id", "part", "at")
+
+    def fold(batches):
+        of, last = None, None
+        for batch in batches:
+            keys = list(zip(batch.column("root_id").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            times, fired = batch.column("at").to_pylist(), []
+            for n, (key, t) in enumerate(zip(keys, times, strict=True)):
+                if key != of or t - last >= span:
+                    fired.append(n)
+                    of, last = key, t
+            yield batch.select(["root_id", "at"]).take(pa.array(fired, pa.int64()))
+
+    fired = dealt.mapInArrow(fold, dealt.select("root_id", "at").schema)
+    return fired.select("root_id", F.timestamp_micros("at").alias("ts"))
 
 
 class _Debounce(StatefulProcessor):

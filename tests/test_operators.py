@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetlake import schemas
-from assetlake.operators import backlog, browse, faces, fingerprint, graph, reconcile, resolve, tags, textsearch, vectors
+from assetlake.operators import backlog, browse, faces, fingerprint, graph, numbering, reconcile, resolve, tags, textsearch, vectors
 from assetlake.plans import views
 from assetlake.sources import export, files
 from assetlake.streaming import events
@@ -45,6 +45,22 @@ def test_reconcile_resets_changed_and_restores_deleted(spark):
     assert [tuple(r)[1:] for r in reconcile.scan_summary(changes).collect()] == [(2, 2, 1, 5)]
 
 
+def test_numbers_are_consecutive_whatever_the_sampling(spark):
+    """More rows than the sampling of ranges sees, and columns that a plan prunes."""
+    rows = spark.range(120_000).selectExpr("id % 7 as root_id", "sha2(cast(id as string), 256) as rel_path", "id as other")
+    got = numbering.numbered(rows, ["root_id", "rel_path"], 500).select("id", "root_id", "rel_path").toPandas().sort_values(["root_id", "rel_path"])
+    assert got["id"].tolist() == list(range(501, 120_501))
+    assert numbering.numbered(rows.where("false"), ["root_id"], 5).count() == 0
+
+
+def test_two_renames_to_one_name(spark):
+    prev = assets(spark, [asset(1), asset(2), asset(3)])
+    new = spark.createDataFrame([(1, "c.jpg", 7), (2, "c.jpg", 8), (3, "3.jpg", 9)], "id long, new_name string, size_bytes long")
+    renamed, rejects, undo = reconcile.rename_assets(prev, new, 5)
+    assert {r.id: (r.rel_path, r.size_bytes, r.indexed_at) for r in renamed.collect()} == {1: ("a/c.jpg", 7, 5), 2: ("a/2.jpg", 42, None), 3: ("a/3.jpg", 9, 5)}
+    assert [(r.id, r.reason) for r in rejects.collect()] == [(2, "name is taken")] and undo.count() == 2
+
+
 def test_incomplete_listing_removes_nothing(spark):
     prev = assets(spark, [asset(1)])
     none = spark.createDataFrame([], "root_id long, rel_path string, filename string, extension string, size_bytes long, mtime long")
@@ -328,6 +344,26 @@ def test_event_routing(spark):
     assert ids(events.skipped_roots(roots)) == [3]
 
 
+def test_debounce_across_pieces_of_time(spark):
+    rng = random.Random(3)
+    times = {}
+    for root in (1, 2):
+        at, own = 1_700_000_000_000_000, []
+        for _ in range(3000):
+            at += rng.choice([100_000, 400_000, 999_999, 1_000_000, 90_000_000, 400_000_000])
+            own.append(at)
+        times[root] = own
+    df = spark.createDataFrame([(r, t) for r, own in times.items() for t in own], "root_id long, at long").select("root_id", F.timestamp_micros("at").alias("ts"))
+    wanted = []
+    for root, own in times.items():
+        last = None
+        for t in own:
+            if last is None or t - last >= 1_000_000:
+                last = t
+                wanted.append((root, t))
+    assert sorted(tuple(r) for r in events.debounce_batch(df).select("root_id", F.unix_micros("ts")).collect()) == wanted
+
+
 def test_debounce_stream_equals_batch(spark, tmp_path):
     rows = [(r, t) for r in (1, 2) for t in (0.0, 0.9, 1.0, 1.9, 2.0)]
     df = spark.createDataFrame(rows, "root_id long, t double").select("root_id", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")).alias("ts"))

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from assetlake.plans import queries as Q
+from assetlake.plans import queries, registry as Q, state_queries  # noqa: F401  they register
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -38,13 +38,13 @@ def test_without_sql_runs(spark, name):
 
 
 def test_debounce_against_a_loop(spark):
-    got = [(r[0], r[1].timestamp()) for r in Q.QUERIES["debounced_events"](spark, SF).orderBy("root_id", "ts").collect()]
+    got = [tuple(r) for r in Q.QUERIES["debounced_events"](spark, SF).orderBy("root_id", "fired_at").collect()]
     events = duckdb.sql(f"select user_id % 10, epoch_us(ts) from '{SF}/events.parquet' where event_type in ('click', 'view', 'purchase') order by 1, 2").fetchall()
     last, wanted = {}, []
     for root, at in events:
         if root not in last or at - last[root] >= 60_000_000:
             last[root] = at
-            wanted.append((root, at / 1e6))
+            wanted.append((root, at))
     assert got == wanted
 
 
