@@ -10,7 +10,7 @@ has a probability and no softmax is as wide as the vocabulary.
 
 * Counting: all words of the training documents are counted by partial counts
   in the tasks and a shuffle. The whole vocabulary stays a distributed table;
-  tasks get its ``DICTIONARY`` most frequent words, and words beyond are joined
+  tasks get its most frequent words, at most ``DICTIONARY``, and words beyond are joined
   to the table, so that no count is missing and none is collected.
 * Encoding: one scan turns every text into its symbols, with all that the words
   themselves decide; training and scoring read those.
@@ -421,10 +421,28 @@ def word_counts(training: DataFrame) -> DataFrame:
     return common.materialize(partial.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
+def _frequent(counts: DataFrame, most: int = DICTIONARY) -> list[tuple[bytes, int]]:
+    """The most frequent words with their counts, at most ``most``, by falling count and then by word.
+
+    Words are taken by levels of their counts, sixteen for each doubling, as long
+    as whole levels fit in, so that no task sends more than it has of them.
+    """
+    level = F.floor(F.log2("n") * 16)
+    room, least = most, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["n"]) for r in counts.where(level >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def fit_vocabulary(counts: DataFrame) -> Vocabulary:
     """The dictionary, the suffix classes and all totals."""
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    dictionary = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()]
+    dictionary = _frequent(counts)
     suffix = lambda k: F.expr(f"substring(word, greatest(1, length(word) - {k - 1}), {k})")
     suffixes: list[bytes] = []
     for k in (3, 2):
