@@ -4,15 +4,21 @@ Documents become pieces of at most ``capacity`` tokens; full pieces are
 sequences of their own, the rest is packed. Pieces are dealt into demes by a
 hash. A deme has ``ISLANDS`` islands, tasks of their own that each evolve a
 population of packings (grouping representation: a packing is a list of bins).
-Crossover injects whole well-filled bins of one parent into the other, removes
-the bins that hold duplicates of the injected pieces and best-fits the displaced
-pieces again; mutation empties the worst bins the same way. After each epoch
-every island's best packing (its elite) migrates to the next island of its deme,
-through a shuffle. Then each deme keeps its best packing.
+The first island starts from best fit by falling length, all others from the
+same with jittered lengths. Crossover injects whole well-filled bins of one
+parent into the other and removes the bins that hold duplicates of the injected
+pieces; mutation empties the worst bins and a few others. The displaced pieces
+first take the places of smaller ones where they fill a bin better, and what is
+then left over is best-fitted. An island stops at the least possible number of
+bins, after ``STALL`` generations without a better packing, or after
+``GENERATIONS``. After each epoch every island's best packing (its elite)
+migrates to the next island of its deme, through a shuffle. Then each deme keeps
+its best packing.
 
 Bins that are filled less than ``WELL_FILLED`` are broken up and their pieces
 dealt into new, fewer demes for another round, so that a deme's leftover is
-packed with those of others, until one deme is left.
+packed with those of others, until one deme is left or ``MOST_ROUNDS`` are over;
+the last round's bins all stay.
 
 No text moves: tokenising leaves lengths and checksums, and those are packed. A
 deme is bounded by ``DEME`` pieces, on average.
@@ -27,8 +33,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -43,8 +50,9 @@ CLOSING_ID = 0
 DEME = 2_000
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 4
-POPULATION = 3
+GENERATIONS = 80
+STALL = 40
+POPULATION = 4
 WELL_FILLED = 0.97
 MOST_ROUNDS = 4
 #: Words whose ids a tokenising process remembers, in two generations.
@@ -158,79 +166,116 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 # --- grouping genetic algorithm ------------------------------------------------
 
 
-def _best_fit(order: list[int], lengths: list[int], bins: list[list[int]], capacity: int) -> None:
-    """Put the pieces, in the given order, where they leave the least room; ``bins`` grows."""
-    room = sorted((capacity - sum(lengths[i] for i in b), n) for n, b in enumerate(bins))
-    for i in order:
-        at = bisect_left(room, (lengths[i], -1))
-        if at < len(room):
-            left, n = room.pop(at)
-            bins[n].append(i)
-        else:
-            left, n = capacity, len(bins)
-            bins.append([i])
-        if left > lengths[i]:
-            insort(room, (left - lengths[i], n))
+class Packing:
+    """Bins of piece numbers, and the room that each has left."""
 
+    def __init__(self, bins: list[list[int]], room: list[int]):
+        self.bins, self.room = bins, room
 
-def _cost(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
-    """Bins, then minus the mean squared fill: fewer bins first, then fuller ones and an emptier rest."""
-    return len(bins), -sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
+    @classmethod
+    def of(cls, bins: list[list[int]], lengths: list[int], capacity: int) -> Packing:
+        return cls(bins, [capacity - sum(lengths[i] for i in b) for b in bins])
 
+    def copy_of(self, chosen: Iterable[int]) -> Packing:
+        chosen = list(chosen)
+        return Packing([list(self.bins[n]) for n in chosen], [self.room[n] for n in chosen])
 
-def _start(lengths: list[int], capacity: int, rng: np.random.Generator, first: bool) -> list[list[int]]:
+    def cost(self, capacity: int) -> tuple[int, float]:
+        """Bins, then minus the mean squared fill: fewer bins first, then fuller ones and an emptier rest."""
+        return len(self.bins), -sum((1 - r / capacity) ** 2 for r in self.room) / max(1, len(self.bins))
+
+    def best_fit(self, order: list[int], lengths: list[int], capacity: int) -> None:
+        """Put the pieces, in the given order, where they leave the least room; new bins as needed."""
+        free = sorted((r, n) for n, r in enumerate(self.room) if r)
+        for i in order:
+            at = bisect_left(free, (lengths[i], -1))
+            if at < len(free):
+                left, n = free.pop(at)
+                self.bins[n].append(i)
+            else:
+                left, n = capacity, len(self.bins)
+                self.bins.append([i])
+                self.room.append(capacity)
+            self.room[n] = left - lengths[i]
+            if self.room[n]:
+                insort(free, (self.room[n], n))
+
+    def replace(self, displaced: list[int], lengths: list[int]) -> list[int]:
+        """Give a displaced piece the place of one or two smaller ones of a bin where that fills it best; what is displaced then, the longest first."""
+        pool = sorted((lengths[i], i) for i in displaced)
+        for n in sorted((n for n, r in enumerate(self.room) if r), key=self.room.__getitem__):
+            own, room = self.bins[n], self.room[n]
+            groups = [(k,) for k in range(len(own))] + list(combinations(range(len(own)), 2))
+            gain, best = 0, None
+            for group in groups:
+                size = sum(lengths[own[k]] for k in group)
+                at = bisect_left(pool, (size + room + 1, -1)) - 1  # the longest that would fit in
+                if at >= 0 and pool[at][0] - size > gain:
+                    gain, best = pool[at][0] - size, (group, at)
+                    if gain == room:
+                        break
+            if best:
+                group, at = best
+                new = pool.pop(at)[1]
+                for k in reversed(group):
+                    i = own.pop(k)
+                    insort(pool, (lengths[i], i))
+                own.append(new)
+                self.room[n] = room - gain
+        return [i for _, i in reversed(pool)]
+
+
+def _start(lengths: list[int], capacity: int, rng: np.random.Generator, first: bool) -> Packing:
     """Best fit by falling length, exactly or with jittered lengths."""
     size = np.array(lengths, float)
     order = np.argsort(-size if first else -size * rng.uniform(0.9, 1.1, len(size)), kind="stable").tolist()
-    bins: list[list[int]] = []
-    _best_fit(order, lengths, bins, capacity)
-    return bins
-
-
-def _refit(bins: list[list[int]], displaced: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
-    _best_fit(sorted(displaced, key=lambda i: -lengths[i]), lengths, bins, capacity)
-    return bins
+    packing = Packing([], [])
+    packing.best_fit(order, lengths, capacity)
+    return packing
 
 
-def _cross(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """``a`` with a random half of the well-filled bins of ``b`` injected whole."""
-    good = [x for x in b if sum(lengths[i] for i in x) >= WELL_FILLED * capacity]
+def _cross(a: Packing, b: Packing, capacity: int, rng: np.random.Generator) -> tuple[Packing, list[int]]:
+    """``a`` with a random half of the well-filled bins of ``b`` injected whole, and the pieces that this displaces."""
+    good = [n for n, r in enumerate(b.room) if r <= (1 - WELL_FILLED) * capacity]
     if not good:
-        return [list(x) for x in a]
-    injected = [good[n] for n in rng.choice(len(good), max(1, len(good) // 2), replace=False)]
-    inside = {i for x in injected for i in x}
-    kept, displaced = [list(x) for x in injected], []
-    for x in a:
-        if inside.isdisjoint(x):
-            kept.append(list(x))
-        else:
-            displaced += [i for i in x if i not in inside]
-    return _refit(kept, displaced, lengths, capacity)
-
-
-def _mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Break up the emptiest bins and a few random ones."""
-    order = sorted(bins, key=lambda b: sum(lengths[i] for i in b))
-    share = max(1, len(order) // 20)
-    chosen = set(range(share)) | set(rng.integers(0, len(order), share).tolist())
-    return _refit([list(b) for n, b in enumerate(order) if n not in chosen], [i for n in chosen for i in order[n]], lengths, capacity)
-
-
-def evolve(lengths: list[int], capacity: int, seed: int, packings: list[list[list[int]]], generations: int = GENERATIONS) -> list[list[list[int]]]:
-    """The population after some generations, best first; stops at the least possible number of bins."""
+        return a.copy_of(range(len(a.bins))), []
+    child = b.copy_of(good[n] for n in rng.choice(len(good), max(1, len(good) // 2), replace=False))
+    inside = {i for x in child.bins for i in x}
+    kept = {n for n, x in enumerate(a.bins) if inside.isdisjoint(x)}
+    rest = a.copy_of(sorted(kept))
+    displaced = [i for n, x in enumerate(a.bins) if n not in kept for i in x if i not in inside]
+    return Packing(child.bins + rest.bins, child.room + rest.room), displaced
+
+
+def _mutate(packing: Packing, rng: np.random.Generator) -> tuple[Packing, list[int]]:
+    """``packing`` without its emptiest bins and a few random ones, and their pieces."""
+    count = len(packing.bins)
+    share = max(2, count // 50)
+    emptiest = sorted(range(count), key=lambda n: -packing.room[n])[:share]
+    gone = {*emptiest, *rng.integers(0, count, share).tolist()}
+    return packing.copy_of(n for n in range(count) if n not in gone), [i for n in sorted(gone) for i in packing.bins[n]]
+
+
+def evolve(lengths: list[int], capacity: int, seed: int, packings: list[Packing], generations: int = GENERATIONS, first: bool = True) -> list[Packing]:
+    """The population after some generations, best first. ``first``: whether it starts from best fit itself if no packing is given."""
     rng = np.random.default_rng(seed)
     least = -(-sum(lengths) // capacity)
+    key = lambda p: p.cost(capacity)
     people = [*packings]
-    while len(people) < POPULATION:
-        people.append(_start(lengths, capacity, rng, not people and seed % 2 == 0))
-    key = lambda p: _cost(p, lengths, capacity)
+    while len(people) < POPULATION and not (people and len(min(people, key=key).bins) <= least):
+        people.append(_start(lengths, capacity, rng, first and not people))
     people.sort(key=key)
+    best, since = key(people[0]), 0
     for _ in range(generations):
-        if len(people[0]) <= least:
+        if len(people[0].bins) <= least or since >= STALL:
             break
         a, b = rng.choice(len(people), 2, replace=False)
-        child = _mutate(_cross(people[a], people[b], lengths, capacity, rng), lengths, capacity, rng)
+        child, displaced = _cross(people[a], people[b], capacity, rng)
+        child, more = _mutate(child, rng) if child.bins else (child, [])
+        child.best_fit(child.replace(displaced + more, lengths), lengths, capacity)
         people = sorted([*people, child], key=key)[:POPULATION]
+        since = since + 1 if key(people[0]) >= best else 0
+        best = min(best, key(people[0]))
     return people
 
 
@@ -244,15 +289,15 @@ def _as_bins(number: np.ndarray) -> list[list[int]]:
 def _island(capacity: int, seed: int, pdf: pd.DataFrame) -> pd.DataFrame:
     """One epoch of an island: rows (deme, island, piece_id, length, own, guest) with the bins of its elite and of a migrant."""
     pdf = pdf.sort_values("piece_id", kind="stable").reset_index(drop=True)
-    lengths = pdf["length"].tolist()
-    packings = [_as_bins(pdf[c].to_numpy()) for c in ("own", "guest") if c in pdf and len(pdf) and pdf[c].iloc[0] >= 0]
-    best = evolve(lengths, capacity, seed + int(pdf["island"].iloc[0]), packings)[0]
+    lengths, island = pdf["length"].tolist(), int(pdf["island"].iloc[0])
+    packings = [Packing.of(_as_bins(pdf[c].to_numpy()), lengths, capacity) for c in ("own", "guest") if pdf[c].iloc[0] >= 0]
+    best = evolve(lengths, capacity, seed + island, packings, first=island == 0)[0]
     own = np.empty(len(pdf), np.int64)
-    for n, b in enumerate(best):
+    for n, b in enumerate(best.bins):
         own[b] = n
-    fill = np.bincount(own, pdf["length"].to_numpy(), minlength=len(best))
-    bins, square = _cost(best, lengths, capacity)
-    return pd.DataFrame({"deme": pdf["deme"], "island": pdf["island"], "piece_id": pdf["piece_id"], "length": pdf["length"], "own": own, "guest": np.int64(-1), "fill": fill[own].astype(np.int64), "bins": np.int64(bins), "square": float(square)})
+    fill = capacity - np.array(best.room, np.int64)
+    bins, square = best.cost(capacity)
+    return pd.DataFrame({"deme": pdf["deme"], "island": pdf["island"], "piece_id": pdf["piece_id"], "length": pdf["length"], "own": own, "guest": np.int64(-1), "fill": fill[own], "bins": np.int64(bins), "square": float(square)})
 
 
 def _epoch(capacity: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:

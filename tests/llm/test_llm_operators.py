@@ -197,17 +197,50 @@ def test_packing(spark, edges, nothing):
     assert packing.pack_documents(nothing, WORD_BPE).count() == 0
 
 
+def whole(packed, lengths, capacity):
+    """Whether a packing has every piece once, with right rooms that are not negative."""
+    return sorted(i for b in packed.bins for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) + r == capacity and r >= 0 for b, r in zip(packed.bins, packed.room, strict=True))
+
+
 def test_genetic_steps_keep_every_piece():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 100, 300).tolist()
     people = packing.evolve(lengths, 100, 0, [], generations=6)
-    for bins in people:
-        assert sorted(i for b in bins for i in b) == list(range(300))
-        assert all(sum(lengths[i] for i in b) <= 100 for b in bins)
-    best_fit = packing._start(lengths, 100, rng, True)
-    assert len(people[0]) <= len(best_fit)
-    child = packing._cross(people[0], people[1], lengths, 100, rng)
-    assert sorted(i for b in child for i in b) == list(range(300))
+    assert all(whole(p, lengths, 100) for p in people)
+    assert len(people[0].bins) <= len(packing._start(lengths, 100, rng, True).bins)
+    child, displaced = packing._cross(people[0], people[1], 100, rng)
+    assert sorted([*displaced, *(i for b in child.bins for i in b)]) == list(range(300))
+    child, more = packing._mutate(child, rng)
+    left = child.replace(displaced + more, lengths)
+    assert sorted([*left, *(i for b in child.bins for i in b)]) == list(range(300)) and sum(lengths[i] for i in left) <= sum(lengths[i] for i in displaced + more)
+    child.best_fit(left, lengths, 100)
+    assert whole(child, lengths, 100)
+
+
+def test_evolution_beats_best_fit_where_that_is_not_the_least():
+    """Pieces of two to five tenths of a sequence: three fit in one only if they are well chosen."""
+    gained, gap = 0, 0
+    for seed in range(4):
+        lengths = np.random.default_rng(seed).integers(200, 501, 300).tolist()
+        best_fit = len(packing._start(lengths, 1000, np.random.default_rng(0), True).bins)
+        people = packing.evolve(lengths, 1000, seed, [], generations=200)
+        least = -(-sum(lengths) // 1000)
+        assert whole(people[0], lengths, 1000) and least <= len(people[0].bins) < best_fit
+        gained, gap = gained + best_fit - len(people[0].bins), gap + best_fit - least
+    assert gained >= gap / 3
+
+
+def test_elites_migrate_and_the_best_island_stays(spark):
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(200, 1200, 400).tolist()
+    rest = spark.createDataFrame(list(enumerate(lengths)), "piece_id long, length long")
+    packed = packing._packed(rest, 1, 2048, 0).collect()
+    bins = defaultdict(list)
+    for r in packed:
+        bins[r.bin].append(r)
+    assert sorted(r.piece_id for r in packed) == list(range(400))
+    assert all(sum(r.length for r in b) == b[0].fill <= 2048 for b in bins.values())
+    assert len(bins) <= len(packing._start(lengths, 2048, rng, True).bins)
 
 
 # --- 3 language model ------------------------------------------------------------------
