@@ -71,16 +71,21 @@ def _embed(batches):
     for batch in common.batches(batches):
         n = len(batch["doc_id"])
         words, tokens, prints = [None] * n, [None] * n, [None] * n
+        held, sets = [], []
         for i, h, _, _ in common.hashed(batch["text"]):
-            if not len(h):
-                continue
-            s = (common.shingles(h, min(len(h), common.SHINGLE_WORDS)) >> np.uint64(32)).astype(np.uint32)
-            low = np.empty(TOKENS, np.uint32)
+            if len(h):
+                held.append(i)
+                words[i] = common.whole_hash(h)
+                sets.append((common.shingles(h, min(len(h), common.SHINGLE_WORDS)) >> np.uint64(32)).astype(np.uint32))
+        if held:
+            first = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+            every, low = np.concatenate(sets), np.empty((len(held), TOKENS), np.uint32)
             for j in range(TOKENS):
                 with np.errstate(over="ignore"):
-                    low[j] = (s * a[j]).min()
-            words[i], tokens[i] = common.whole_hash(h), low.tobytes()
-            prints[i] = (common.mix(low.astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes()
+                    low[:, j] = np.minimum.reduceat(every * a[j], first)
+            marks = (common.mix(low.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+            for k, i in enumerate(held):
+                tokens[i], prints[i] = low[k].tobytes(), marks[k].tobytes()
         yield pa.RecordBatch.from_pydict(
             {"row": pa.array(batch["row"], pa.int64()), "doc_id": pa.array(batch["doc_id"], pa.int64()), "words": pa.array(words, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "prints": pa.array(prints, pa.binary())}
         )

@@ -11,8 +11,8 @@ one template the one with the most matched words. A place that is only in part
 alike and lies inside one of another template with a greater coverage and no
 fewer matched words is a place of that other template, and only of it.
 
-The templates are a bounded table (``MOST_TEMPLATES`` rows are allowed) that
-every task gets; documents are only scanned, never shuffled.
+The templates are a dictionary that the driver holds; every executor gets it
+once, by a broadcast. Documents are only scanned, never shuffled.
 
 Defined cases: null and empty texts match nothing; templates without words are
 left out; long texts are scanned whole; several places of a template are a row
@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from . import common
 
 COVERAGE = 0.8
-MOST_TEMPLATES = 5_000
 _BITS = 18
 SCHEMA = "doc_id long, license string, coverage double, matched_words long, start long, stop long"
 
@@ -230,12 +229,10 @@ def _named(places: list[tuple[str, float, int, int, int]]) -> list[tuple[str, fl
 
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, matched_words, start, stop) of each place; offsets in code points, end exclusive."""
-    templates = TEMPLATES if templates is None else templates
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"at most {MOST_TEMPLATES} templates fit in one scan; scan them in several")
+    shipped = docs.sparkSession.sparkContext.broadcast(TEMPLATES if templates is None else templates)
 
     def scan(batches):
-        index = _Index(templates)
+        index = _Index(shipped.value)
         for batch in common.batches(batches):
             rows = []
             for i, h, starts, ends in common.hashed(batch["text"]):
