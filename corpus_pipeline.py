@@ -3,7 +3,24 @@
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written
 as Parquet in the shared folder and read again as the next stage's documents, so
 a lost executor costs no more than one stage. All stages but the last return the
-columns of ``documents``.
+columns of ``documents``, whatever they are, and may meet columns with any names.
+
+What a stage decides about a row depends on its text, or on a key that is given
+to each row, never on its id alone: ids may be missing or stand in several rows.
+
+* toxicity: a null text is scored as an empty one; rows of equal texts share
+  their fate; without labels of both kinds the fixed grammar decides.
+* near_copies: of each group of copies and near copies the row with the least id
+  stays, of rows that share it the first; a row without an id stays only if none
+  of the group has one; rows without a word all stay.
+* decontamination: rows without a text, or of fewer than five words, hold no
+  item; items without an id or a text are left out.
+* secrets: all rows stay; a null text stays null, and ``n_chars`` follows a text
+  that was masked.
+* packing: a null text is an empty one, which is a piece of one token; repeated
+  rows are packed each.
+
+Very long texts are read whole in every stage, and an empty table stays empty.
 """
 
 from __future__ import annotations
