@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 #: Bytes of an Arrow batch between Spark and Python.
 BATCH_BYTES = 4 << 20
+#: Rows of a batch that a Parquet reader decodes; a text column of 4096 rows takes tens of MB.
+READER_ROWS = 512
 #: Words in a shingle and the similarity of near-duplicates.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -57,8 +59,12 @@ def small(df: DataFrame, width: int = 32) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of this session by bytes: Spark's own bound would be many times the texts that a task works on at once."""
+    """Batches of this session fit for texts: Spark's own bounds hold many times what a task works on at once.
+
+    Arrow batches are bounded by bytes, and a Parquet reader holds so many rows.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -38,7 +38,6 @@ PERMUTATIONS = 64
 SMALLEST_CLASS = 1
 #: Items of one pass. A block's band keys take 8 bytes x PERMUTATIONS an item: 10 MB.
 ITEMS_PER_BLOCK = 20_000
-_TABLE_BITS = 21
 _WORD = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, item_id long, shared long, item_shingles long, containment double"
 
@@ -83,8 +82,9 @@ class _Block:
                 with np.errstate(over="ignore"):
                     keys[:, c] = (prints[n][None, :] * a[:, None]).min(axis=1)
             order = np.argsort(keys, axis=1)
-            near = np.zeros((PERMUTATIONS, 1 << _TABLE_BITS >> 3), np.bool_)
-            bits = np.uint32(32 - _TABLE_BITS + 3)
+            # a table of 64 places an item: one window in 64 passes by chance
+            places = (64 * len(members)).bit_length()
+            near, bits = np.zeros((PERMUTATIONS, 1 << places), np.bool_), np.uint32(32 - places)
             for j in range(PERMUTATIONS):
                 near[j, _scatter(keys[j]) >> bits] = True
             self.classes.append((u, np.take_along_axis(keys, order, 1), np.array(members)[order], near, bits))

@@ -158,6 +158,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
             )
+        encoder.old = {}  # between tasks a worker keeps the younger words only
+        common.release()
 
     cut_up = common.texts_of(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return common.materialize(cut_up.select(F.monotonically_increasing_id().alias("piece_id"), "*"), "pieces")
