@@ -115,5 +115,21 @@ with recursive words as (
 )
 select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(n_links, 0) as n_links, coalesce(classes.n - 1, 0) as n_copies
 from words left join classes using (w) left join groups on node = first left join counts on a = first
+""",
+    "op10_repeated_passages": r"""
+with texts as (
+  select row_number() over () as r, doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') as w, regexp_split_to_array(text, '[\p{L}\p{N}]+') as gaps from documents where text is not null
+), placed as (
+  select r, i, sum(length(word) + length(gap)) over (partition by r order by i) as stop, length(word) as n
+  from (select r, unnest(w) as word, unnest(gaps[1:len(w)]) as gap, unnest(range(len(w))) as i from texts)
+), windows as (
+  select r, doc_id, i, md5(lower(array_to_string(w[i + 1:i + 50], ' '))) as passage from (select r, doc_id, w, unnest(range(len(w) - 49)) as i from texts where len(w) >= 50)
+), repeated as (
+  select *, min({'doc': doc_id, 'word': i}) over (partition by passage) as lead from windows qualify count(*) over (partition by passage) > 1
+), runs as (
+  select *, i - lead.word as shift, i - dense_rank() over (partition by doc_id, lead.doc, i - lead.word order by i) as run from repeated
+)
+select doc_id, min(i) as word, min(a.stop - a.n)::bigint as start, max(b.stop)::bigint as stop, max(i) - min(i) + 50 as n_words, lead.doc as source_doc, min(i) - shift as source_word, lead.doc = doc_id and shift = 0 as keep
+from runs join placed a using (r, i) join (select r, i - 49 as i, stop from placed) b using (r, i) group by doc_id, lead.doc, shift, run
 """,
 }
