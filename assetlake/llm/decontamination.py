@@ -11,7 +11,7 @@ chance 0.81 ** 64, about 1e-6). Candidates are verified by exact containment:
 the shingles themselves, as strings, against those of the whole document.
 
 The items are the stated query set. They are searched in blocks of
-``ITEMS_PER_BLOCK``, which bounds what a task holds; documents are only
+``ITEMS_PER_BLOCK`` or ``CHARS_PER_BLOCK``, which bounds what a task holds; documents are only
 scanned, never shuffled.
 
 Defined cases: null, empty or short (under five words) items and documents have
@@ -38,6 +38,8 @@ PERMUTATIONS = 64
 SMALLEST_CLASS = 1
 #: Items of one pass. A block's band keys take 8 bytes x PERMUTATIONS an item: 10 MB.
 ITEMS_PER_BLOCK = 20_000
+#: Characters of the items of one pass, all of which the driver and every executor hold at once.
+CHARS_PER_BLOCK = 16 << 20
 _WORD = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, item_id long, shared long, item_shingles long, containment double"
 
@@ -173,7 +175,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILARIT
     """(document, item) for each item of whose distinct shingles the document holds ``threshold`` or more."""
     spark = docs.sparkSession
     wanted = common.texts_of(items, item_col).withColumnRenamed("doc_id", "item_id").where("item_id is not null and text != ''").distinct()
-    blocks = -(-wanted.count() // ITEMS_PER_BLOCK)
+    size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(-(-size[0] // ITEMS_PER_BLOCK), -(-size[1] // CHARS_PER_BLOCK))
     source = common.texts_of(docs, id_col)
     results = []
     for b in range(blocks):
