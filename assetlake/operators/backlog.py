@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from .graph import written
 
 # Most assets of one selection, and batch sizes, per step.
 LIMITS = {"embedding": 256, "tag": 256, "ocr": 128, "face": 128}
@@ -49,6 +50,12 @@ def backlog_counts(assets: DataFrame) -> DataFrame:
     return rows.groupBy("step", "status").agg(F.count(F.lit(1)).alias("assets"))
 
 
+def face_totals(faces: DataFrame) -> DataFrame:
+    """One row: faces, those without a cluster, and clusters with faces."""
+    none = F.count(F.when(F.col("cluster_id").isNull(), 1))
+    return faces.agg(F.count(F.lit(1)).alias("faces"), none.alias("unclustered"), F.countDistinct("cluster_id").alias("clusters"))
+
+
 def run_scorer(chosen: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], result_type: str, batch: int) -> DataFrame:
     """(id, result, error) of ``fn`` over batches of rows with ``id``; ``fn`` returns id and result.
 
@@ -86,6 +93,12 @@ def merge_results(assets: DataFrame, results: DataFrame, step: str, column: str
     return joined.select(*(value.get(c, F.col(c)).alias(c) for c in assets.columns))
 
 
+def enrich_once(assets: DataFrame, step: str, fn: Callable[[pd.DataFrame], pd.DataFrame], result_type: str, column: str | None = None) -> DataFrame:
+    """``assets`` after one selection of the step's backlog went through ``fn`` in batches; what a tick of the enrichment loop does."""
+    results = run_scorer(backlog(assets, step), fn, result_type, BATCHES[step])
+    return merge_results(assets, written(results), step, column)
+
+
 def fallback_vectors(keys: DataFrame, dims: int = 512) -> DataFrame:
     """(image_id, embedding) derived from the bytes of ``key`` alone: a stand-in where no model is installed."""
     import hashlib

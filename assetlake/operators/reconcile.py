@@ -69,6 +69,14 @@ def apply_changes(prev: DataFrame, classified: DataFrame, now: int) -> DataFrame
     return kept.unionByName(added)
 
 
+def reconcile_roots(assets: DataFrame, listing: DataFrame, roots: DataFrame, now: int) -> DataFrame:
+    """The catalog after only the ``roots`` (root_id) have been listed anew; what a fired root starts. Other roots stay as they are."""
+    chosen = roots.select("root_id").distinct()
+    of = lambda df, how: df.join(chosen, "root_id", how).select(df.columns)
+    changes = classify(of(assets, "left_semi"), of(listing, "left_semi"))
+    return apply_changes(assets, changes, now)
+
+
 def scan_summary(classified: DataFrame) -> DataFrame:
     """Numbers of added, updated (restored included) and removed paths and of all listed ones, per root."""
     is_ = lambda *kinds: F.count(F.when(F.col("change").isin(*kinds), 1))

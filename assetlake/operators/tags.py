@@ -90,6 +90,15 @@ def ocr_tags(recognised: DataFrame, name: str = "text") -> DataFrame:
     return recognised.where(F.trim(F.coalesce("ocr_text", F.lit(""))) != "").select(F.col("id").alias("image_id"), F.lit(name).alias("name"), F.lit(1.0).alias("score"), F.lit("ocr").alias("source"))
 
 
+def attach_ocr_tags(links: DataFrame, tags: DataFrame, recognised: DataFrame, now: int, name: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(tags, links) with the tag ``name`` on all images whose recognised text is not blank; who has it already keeps it once."""
+    found = ocr_tags(recognised, name)
+    all_tags = upsert_tags(tags, found.select("name", "source", F.lit(None).cast("string").alias("category")).distinct(), now)
+    named = found.join(all_tags.select(F.col("id").alias("tag_id"), "name"), "name").select("image_id", "tag_id", "source", "score", F.lit(now).cast("long").alias("created_at"))
+    fresh = named.dropDuplicates(["image_id"]).join(links, ["image_id", "tag_id", "source"], "left_anti")
+    return all_tags, links.unionByName(fresh.select(links.columns))
+
+
 def split_tags(text: Column) -> Column:
     """Distinct trimmed parts of a tag string, in order; bars and commas of wide width separate like a bar."""
     parts = F.split(F.translate(text, "｜，", "||"), "\\|")

@@ -185,6 +185,17 @@ def updated_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.set_status(V.orders(spark, sf_dir), updates, "tag_status").select("id", "tag_status")
 
 
+@query(f"""with {V.ORDERS}, {V.LISTING}, fired as (select distinct user_id % 10 as root_id from events where event_type in ('click', 'view', 'purchase') and user_id % 3 = 0 and user_id % 10 < 4)
+select a.id, a.root_id, a.rel_path, case when c.change in ('updated', 'restored') then 'pending' else a.thumb_status end as thumb_status, case when c.change = 'removed' then {NOW} when c.change in ('updated', 'restored') then null else a.deleted_at end as deleted_at
+from assets_ord a left join classified c on a.id = c.id and c.root_id in (select root_id from fired)
+union all
+select (select max(id) from assets_ord) + row_number() over (order by root_id, rel_path), root_id, rel_path, 'pending', null from classified where change = 'added' and root_id in (select root_id from fired)""")
+def reconcile_fired_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fired = events.debounce_batch(events.watched(V.file_events(spark, sf_dir).join(V.read(spark, sf_dir, "events").where("user_id % 3 = 0 and user_id % 10 < 4").select("event_id"), "event_id", "left_semi")))
+    after = reconcile.reconcile_roots(V.orders(spark, sf_dir), V.listing(spark, sf_dir), fired, NOW)
+    return after.select("id", "root_id", "rel_path", "thumb_status", "deleted_at")
+
+
 # --- backlogs ----------------------------------------------------------------------------
 
 
@@ -215,6 +226,20 @@ def scored_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("id", "result", F.when(F.col("error").isNotNull(), "failed").alias("outcome"))
 
 
+@query(f"with {V.ORDERS}, chosen as (select id from assets_ord where deleted_at is null and thumb_status = 'ready' and tag_status = 'pending' order by indexed_at, id limit 256) select a.id, case when c.id is null then tag_status when a.id % 5 = 2 then 'failed' else 'ready' end as tag_status from assets_ord a left join chosen c on a.id = c.id")
+def enriched_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def score(rows):
+        return rows.assign(result="tagged")[rows["id"] % 5 != 2][["id", "result"]]
+
+    return backlog.enrich_once(V.orders(spark, sf_dir), "tag", score, "string").select("id", "tag_status")
+
+
+@query("select count(*) as faces, count(*) filter (label % 4 = 1) as unclustered, count(distinct label) filter (label % 4 != 1) as clusters from embeddings")
+def face_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = V.faces(spark, sf_dir)[0]
+    return backlog.face_totals(found.withColumn("cluster_id", F.when(F.col("cluster_id") % 4 != 1, F.col("cluster_id"))))
+
+
 @query("select o_orderkey as id, trim(o_orderstatus) || case when trim(o_orderpriority) != '' then chr(10) || trim(o_orderpriority) else '' end as ocr_text from orders")
 def recognised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = "array(array('0', concat('  ', o_orderstatus, ' '), '0.9'), array('0', ' '), array('0', '   ', '0.1'), array('1', o_orderpriority, '0.8'))"
@@ -424,6 +449,14 @@ def ocr_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.ocr_tags(V.documents(spark, sf_dir))
 
 
+@query(f"with {V.TAGS}, {V.DOCUMENTS} select image_id, name, source from links union all select id, 'text', 'ocr' from assets_doc where trim(coalesce(ocr_text, '')) != ''")
+def ocr_tag_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, links = V.tags(spark, sf_dir)
+    full = table.select("id", "name", F.lit("ai").alias("source"), F.lit(None).cast("string").alias("category"), F.lit(0).cast("long").alias("created_at"))
+    all_tags, after = tags.attach_ocr_tags(links.withColumn("created_at", F.lit(0).cast("long")), full, V.documents(spark, sf_dir), NOW)
+    return after.join(all_tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").select("image_id", "name", "source")
+
+
 @query("""with c as (select p_partkey as id, p_partkey % 17 * 10.0::double as r, p_partkey % 13 * 12.0::double as g, p_partkey % 11 * 14.0::double as b, p_size as w, p_partkey % 50 as h from part),
 held as (select id, r > b * 1.08 and r > g as warm, b > r * 1.08 and b > g * 1.02 as blue, g > r * 1.04 and g > b * 1.04 as green, abs(w - h) < 8 as square from c),
 named as (select id, unnest(case when blue then ['蓝色', '天空'] else [] end || case when warm then ['暖色', '日落'] else [] end || case when green then ['绿色', '森林'] else [] end || case when square then ['方形'] else [] end || case when not (blue or warm or green or square) then ['照片'] else [] end) as name from held) select id, name from named""")

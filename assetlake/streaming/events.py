@@ -114,7 +114,7 @@ def debounce(events: DataFrame, seconds: float = SECONDS, watermark: str = "10 s
 
 
 def start_reconcile(fired: DataFrame, reconcile: Callable[[DataFrame, int], None], checkpoint: str, trigger: str = "1 second") -> StreamingQuery:
-    """Call ``reconcile(roots, batch_id)`` with the distinct roots that fired in each micro-batch."""
+    """Call ``reconcile(roots, batch_id)`` with the distinct roots that fired in each micro-batch (see ``reconcile.reconcile_roots``)."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
         reconcile(df.select("root_id").distinct(), batch_id)
@@ -123,5 +123,5 @@ def start_reconcile(fired: DataFrame, reconcile: Callable[[DataFrame, int], None
 
 
 def start_enrichment(ticks: DataFrame, enrich: Callable[[int], None], checkpoint: str, trigger: str = "2 seconds") -> StreamingQuery:
-    """Call ``enrich(batch_id)`` at each tick: it takes one batch off each automatic backlog (embedding, tag)."""
+    """Call ``enrich(batch_id)`` at each tick: it takes one selection off each automatic backlog (embedding, tag; see ``backlog.enrich_once``)."""
     return ticks.writeStream.foreachBatch(lambda _, batch_id: enrich(batch_id)).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
