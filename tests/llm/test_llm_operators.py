@@ -312,6 +312,36 @@ def test_state_is_carried_and_documents_stay_apart():
     assert together[4] != pytest.approx(language_model.score(model, v, [docs[4][:32]])[0] + language_model.score(model, v, [docs[4][32:]])[0], rel=1e-6)
 
 
+def naive_score(model, v, doc):
+    """Log10 probability of a document's classes and frequent words, token by token with plain numbers."""
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    p = {k: x.astype(float) for k, x in model.p.items()}
+    n, before, h, total = language_model.HIDDEN, v.start, [0.0] * language_model.HIDDEN, 0.0
+    for symbol in doc.tolist():
+        x = p["input"][before]
+        u = [sum(h[i] * p["state"][i, j] for i in range(n)) for j in range(3 * n)]
+        z = [sigmoid(x[j] + u[j]) for j in range(n)]
+        r = [sigmoid(x[n + j] + u[n + j]) for j in range(n)]
+        c = [math.tanh(x[2 * n + j] + r[j] * u[2 * n + j]) for j in range(n)]
+        h = [c[j] + z[j] * (h[j] - c[j]) for j in range(n)]
+        own = int(v.class_of_symbol[symbol])
+        logits = [sum(h[i] * p["class_w"][i, k] for i in range(n)) + p["class_b"][k] for k in range(v.classes)]
+        total += logits[own] - math.log(sum(map(math.exp, logits)))
+        if symbol < v.n_words:
+            place, size = symbol % language_model.CLASS_WORDS, min(language_model.CLASS_WORDS, v.n_words - own * language_model.CLASS_WORDS)
+            logits = [sum(h[i] * p["word_w"][own, i, k] for i in range(n)) + p["word_b"][own, k] for k in range(size)]
+            total += logits[place] - math.log(sum(map(math.exp, logits)))
+        before = symbol
+    return total / math.log(10)
+
+
+def test_scores_against_a_plain_loop():
+    model, v = small_model()
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(0, v.symbols, n).astype(np.int32) for n in (1, 5, 33, 70)]
+    assert language_model.score(model, v, docs) == pytest.approx([naive_score(model, v, d) for d in docs], rel=1e-4)
+
+
 def test_probabilities_sum_to_one():
     model, v = small_model()
     states = np.random.default_rng(2).standard_normal((1, language_model.HIDDEN)).astype(np.float32)
