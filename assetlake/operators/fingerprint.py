@@ -66,6 +66,16 @@ def _keys(h: Column, t: int) -> Column:
     return F.array(*(F.struct(F.lit(n).alias("subset"), F.xxhash64(*(band[i] for i in chosen)).alias("bits")) for n, chosen in enumerate(combinations(range(bands), agree))))
 
 
+def _heavy(keyed: DataFrame) -> DataFrame:
+    """(key, blocks) of the keys with more rows than a block takes."""
+    return keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1")
+
+
+def _with_blocks(keyed: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``keyed`` with the number of blocks of its key."""
+    return keyed.join(heavy, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
 def hamming_pairs(hashes: DataFrame, t: int = DEFAULT_THRESHOLD) -> DataFrame:
     """Pairs of distinct signatures of ``hashes`` (id, dhash) within ``t`` bits: (a, b, distance) with a < b.
 
@@ -77,10 +87,7 @@ def hamming_pairs(hashes: DataFrame, t: int = DEFAULT_THRESHOLD) -> DataFrame:
     # the signatures are read several times below and can be costly to make
     reps = written(hashes.where("dhash is not null").groupBy("dhash").agg(F.min("id").alias("id")))
     keyed = reps.select("id", "dhash", F.explode(_keys(F.col("dhash"), t)).alias("key"))
-    heavy = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).where("blocks > 1")
-    keyed = keyed.join(heavy, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    keyed = keyed.withColumn("block", block)
+    keyed = _with_blocks(keyed, _heavy(keyed)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = keyed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.col("block").alias("i"), F.col("mate").alias("j"), F.col("id").alias("a"), F.col("dhash").alias("ha"))
     right = keyed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.col("mate").alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("dhash").alias("hb"))
     distance = E.hamming(F.col("ha"), F.col("hb"))
@@ -98,8 +105,11 @@ def hamming_search(hashes: DataFrame, probes: DataFrame, t: int) -> DataFrame:
     """(probe_id, id, distance) of all signatures within ``t`` bits of each probe (probe_id, dhash), itself included."""
     keys = hashes.where("dhash is not null").select("id", "dhash", F.explode(_keys(F.col("dhash"), t)).alias("key"))
     asked = probes.where("dhash is not null").select("probe_id", F.col("dhash").alias("wanted"), F.explode(_keys(F.col("dhash"), t)).alias("key"))
+    heavy = _heavy(keys)  # a key with many signatures is cut into blocks, and its probes meet each of them
+    keys = _with_blocks(keys, heavy).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    asked = _with_blocks(asked, heavy).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     distance = E.hamming(F.col("dhash"), F.col("wanted"))
-    met = asked.join(keys, "key").where((distance <= t) & _first_key(F.col("dhash"), F.col("wanted"), F.col("key.subset"), t))
+    met = asked.join(keys, ["key", "block"]).where((distance <= t) & _first_key(F.col("dhash"), F.col("wanted"), F.col("key.subset"), t))
     return met.select("probe_id", "id", distance.alias("distance"))
 
 
