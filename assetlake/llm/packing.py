@@ -55,8 +55,8 @@ STALL = 40
 POPULATION = 4
 WELL_FILLED = 0.97
 MOST_ROUNDS = 4
-#: Words whose ids a tokenising process remembers, in two generations.
-WORD_CACHE = 500_000
+#: Words whose ids a tokenising process remembers, in each of two generations: about 100 MB of a worker, which other stages go on with.
+WORD_CACHE = 350_000
 _PIECES = "piece_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -158,8 +158,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
             )
-        encoder.old = {}  # between tasks a worker keeps the younger words only
-        common.release()
 
     cut_up = common.texts_of(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return common.materialize(cut_up.select(F.monotonically_increasing_id().alias("piece_id"), "*"), "pieces")
@@ -318,7 +316,9 @@ def _packed(rest: DataFrame, demes: int, capacity: int, round_: int) -> DataFram
         if epoch:
             migrants = state.select("deme", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "piece_id", "length", F.lit(-1).cast("long").alias("own"), F.col("own").alias("guest"))
             state = state.select("deme", "island", "piece_id", "length", "own", "guest").unionByName(migrants).groupBy("deme", "island", "piece_id", "length").agg(F.max("own").alias("own"), F.max("guest").alias("guest"))
-        state = common.materialize(state.groupBy("deme", "island").applyInPandas(_epoch(capacity, seed), _ISLAND), "islands")
+        # islands are little data but much work: as many tasks as the session has partitions, not as few as their bytes suggest
+        dealt = state.repartition(common.tasks(rest.sparkSession), "deme", "island")
+        state = common.materialize(dealt.groupBy("deme", "island").applyInPandas(_epoch(capacity, seed), _ISLAND), "islands")
     best = state.groupBy("deme").agg(F.min(F.struct("bins", "square", "island")).alias("best")).select("deme", F.col("best.island").alias("island"))
     best = common.materialize(best, "elites")
     return state.join(common.small(best), ["deme", "island"]).select("piece_id", "length", "deme", F.col("own").alias("bin"), "fill")
