@@ -32,6 +32,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable
 from functools import lru_cache
@@ -63,6 +64,17 @@ _PIECES = "piece_id long, doc_id long, piece int, start long, length long, ids_c
 # --- tokenising --------------------------------------------------------------
 
 
+def _byte_letters() -> dict[int, str]:
+    """What byte-level tokenizers read for a letter up to U+00FF: a character for each of its bytes, visible ones for themselves."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    letter = {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+    return {code: "".join(letter[b] for b in chr(code).encode()) for code in range(256)}
+
+
+_BYTES = _byte_letters()
+
+
 class _WordEncoder:
     """Ids of a text, word by word, for tokenizers that never join tokens across blanks.
 
@@ -117,7 +129,7 @@ class _WordEncoder:
                 continue
             # of plain words, case and a mark at the end don't touch the word's own ids
             stem, mark = (w[:-1], w[-1]) if w[-1:] in marks else (w, "")
-            if stem.isascii() and stem.isalpha():
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
                 stem = stem.lower()
                 stems[w] = (stem, mark)
                 if stem not in young and stem in old:
@@ -126,8 +138,8 @@ class _WordEncoder:
                 unknown[w] = None
         model = self.tokenizer.model
         for stem in dict.fromkeys(x for x, _ in stems.values() if x not in young):
-            # lower-case ASCII letters are one pre-token that normalising leaves alone: straight to the merges
-            young[stem] = np.array([t.id for t in model.tokenize(stem)], "<u4").tobytes()
+            # lower-case Latin letters are one pre-token that normalising leaves alone: straight to the merges of its bytes
+            young[stem] = array("I", [t.id for t in model.tokenize(stem if stem.isascii() else stem.translate(_BYTES))]).tobytes()
         unknown = list(unknown)
         for at in range(0, len(unknown), 4096):
             part = unknown[at : at + 4096]
