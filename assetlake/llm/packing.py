@@ -36,7 +36,6 @@ from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -183,6 +182,7 @@ class Packing:
 
     def __init__(self, bins: list[list[int]], room: list[int]):
         self.bins, self.room = bins, room
+        self.known: tuple[int, float] | None = None
 
     @classmethod
     def of(cls, bins: list[list[int]], lengths: list[int], capacity: int) -> Packing:
@@ -193,7 +193,12 @@ class Packing:
         return Packing([list(self.bins[n]) for n in chosen], [self.room[n] for n in chosen])
 
     def cost(self, capacity: int) -> tuple[int, float]:
-        """Bins, then minus the mean squared fill: fewer bins first, then fuller ones and an emptier rest."""
+        """Bins, then minus the mean squared fill: fewer bins first, then fuller ones and an emptier rest. For a packing that is done."""
+        if self.known is None:
+            self.known = self._cost(capacity)
+        return self.known
+
+    def _cost(self, capacity: int) -> tuple[int, float]:
         return len(self.bins), -sum((1 - r / capacity) ** 2 for r in self.room) / max(1, len(self.bins))
 
     def best_fit(self, order: list[int], lengths: list[int], capacity: int) -> None:
@@ -217,11 +222,12 @@ class Packing:
         pool = sorted((lengths[i], i) for i in displaced)
         for n in sorted((n for n, r in enumerate(self.room) if r), key=self.room.__getitem__):
             own, room = self.bins[n], self.room[n]
-            groups = [(k,) for k in range(len(own))] + list(combinations(range(len(own)), 2))
+            sizes = [lengths[i] for i in own]
+            groups = [(x, (k,)) for k, x in enumerate(sizes)]
+            groups += [(x + sizes[j], (k, j)) for k, x in enumerate(sizes) for j in range(k + 1, len(sizes))]
             gain, best = 0, None
-            for group in groups:
-                size = sum(lengths[own[k]] for k in group)
-                at = bisect_left(pool, (size + room + 1, -1)) - 1  # the longest that would fit in
+            for size, group in groups:
+                at = bisect_left(pool, (size + room + 1,)) - 1  # the longest that would fit in
                 if at >= 0 and pool[at][0] - size > gain:
                     gain, best = pool[at][0] - size, (group, at)
                     if gain == room:
