@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_model, license_scan, order_minhash, packing, passages, secret_scan, substring_dedup, token_counts, toxicity
+from . import decontamination, jaccard_join, language_model, license_scan, order_minhash, packing, passages, secret_scan, simhash, substring_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_read(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_substring_dedup": op10_substring_dedup,
     "op10_repeated_passages": op10_repeated_passages,
+    "op12_simhash": op12_simhash,
 }
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
