@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_model, license_scan, order_minhash, packing, passages, secret_scan, simhash, substring_dedup, token_counts, toxicity
+from . import conversation_repair, decontamination, jaccard_join, language_model, license_scan, order_minhash, packing, passages, secret_scan, simhash, substring_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _read(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversations, conversation_repair.damaged(conversations))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_substring_dedup": op10_substring_dedup,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_simhash": op12_simhash,
 }
 
