@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, decontamination, jaccard_join, language_model, license_scan, order_minhash, packing, passages, secret_scan, simhash, substring_dedup, token_counts, toxicity
+from . import conversation_repair, decontamination, jaccard_join, language_model, license_scan, order_minhash, packing, passages, prefix_trie, secret_scan, simhash, substring_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(_read(spark, sf_dir, "conversations"), prefix_trie.shared_turns(F.col("conv_id")))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -81,6 +85,7 @@ QUERIES = {
     "op10_repeated_passages": op10_repeated_passages,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_simhash": op12_simhash,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
