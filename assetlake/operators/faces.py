@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import expressions as E
-from .graph import connected_components
+from . import lists
+from .graph import connected_components, written
 from .numbering import greatest, numbered
 
 THRESHOLD = 0.82
-#: Vectors in a block of the all-pairs comparison.
-BLOCK = 512
 
 
 def replace_faces(faces: DataFrame, new: DataFrame) -> DataFrame:
@@ -29,37 +32,79 @@ def replace_faces(faces: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(fresh.select(*(given.get(c, F.lit(None)).cast(faces.schema[c].dataType).alias(c) for c in faces.columns)))
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity) with a < b of all vectors (id, embedding) at or over ``threshold``; exact.
+def _unit(vectors: DataFrame) -> DataFrame:
+    """(id, vector) of the usable vectors (id, embedding), of length 1."""
+    return vectors.where((F.size("embedding") > 0) & (E.norm(F.col("embedding")) > 1e-12)).select("id", E.l2_normalise(F.col("embedding")).alias("vector"))
+
 
-    Unit vectors are dealt into blocks and every pair of blocks is compared once
-    in a task of its own, so the comparison spreads and no side is broadcast.
-    Only pairs over the threshold leave a task.
+def _met(unit: DataFrame, threshold: float, forest: bool) -> DataFrame | None:
+    """What the blocks of the lists of ``unit`` (id, vector) hold: all pairs at the threshold, or a spanning forest of them; none without vectors.
+
+    A vector visits its own list and the later ones whose members it can reach:
+    vectors at a cosine of t are sqrt(2 - 2t) apart.
     """
-    usable = vectors.where((F.size("embedding") > 0) & (E.norm(F.col("embedding")) > 1e-12)).select("id", E.l2_normalise(F.col("embedding")).alias("unit"))
-    blocks = max(1, -(-usable.count() // BLOCK))
-    placed = usable.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("mate", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    tiles = placed.select(F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j"), "block", "id", "unit")
-
-    def compare(pdf):
-        import numpy as np
-        import pandas as pd
-
-        out = {"a": [], "b": [], "similarity": []}
-        for _, same in pdf.groupby(pdf["unit"].map(len)):
-            unit = np.stack(same["unit"].to_numpy())
-            ids, block = same["id"].to_numpy(), same["block"].to_numpy()
-            products = unit @ unit.T
-            hit = (products >= threshold - 1e-12) & (ids[:, None] < ids[None, :])
-            if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
-                hit &= block[:, None] != block[None, :]
-            a, b = np.nonzero(hit)
-            out["a"] += ids[a].tolist()
-            out["b"] += ids[b].tolist()
-            out["similarity"] += products[a, b].tolist()
-        return pd.DataFrame(out)
-
-    return tiles.groupBy("i", "j").applyInPandas(compare, "a long, b long, similarity double")
+    unit = written(unit)
+    points = lists.pivots(unit)
+    if not len(points):
+        return None
+    members = written(lists.dealt(unit, points))
+    sizes = written(lists.list_sizes(members))
+    known = sizes.orderBy("list").toPandas()  # a row for each list
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + lists.SLACK
+    radius, number = known["radius"].to_numpy(), known["list"].to_numpy()
+
+    def choose(rows: pd.DataFrame, far: np.ndarray) -> np.ndarray:
+        own = rows["home"].to_numpy()[:, None]
+        return (number[None, :] == own) | ((number[None, :] > own) & (far - radius[None, :] <= reach))
+
+    def compare(block: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
+        if not len(block) or not len(probes):
+            return pd.DataFrame({c: [] for c in (("a", "b") if forest else ("a", "b", "similarity"))})
+        ids, asked = block["id"].to_numpy(), probes["id"].to_numpy()
+        products = lists.matrix(block["vector"]) @ lists.matrix(probes["vector"]).T
+        same = (probes["home"] == block["list"].iloc[0]).to_numpy()[None, :]
+        i, j = np.nonzero((products >= threshold - 1e-12) & (~same | (ids[:, None] < asked[None, :])))
+        if forest:
+            return _spanning(ids[i], asked[j])
+        a, b = ids[i], asked[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": products[i, j]})
+
+    probes = lists.visits(members.select("id", "vector", F.col("list").alias("home")), points, known, choose)
+    return lists.compared(members, sizes, probes, "id", compare, _LINKS if forest else _PAIRS)
+
+
+_PAIRS, _LINKS = "a long, b long, similarity double", "a long, b long"
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Links that connect what the links (a, b) do, each to the least node of its part."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, left, label[right])
+        np.minimum.at(low, right, label[left])
+        low = low[low]
+        if (low == label).all():
+            moved = np.flatnonzero(label != np.arange(len(nodes)))
+            return pd.DataFrame({"a": nodes[label[moved]], "b": nodes[moved]})
+        label = low
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, similarity) with a < b of all vectors (id, embedding) at or over ``threshold``; exact, and as many rows as there are such pairs."""
+    found = _met(_unit(vectors), threshold, False)
+    return vectors.sparkSession.createDataFrame([], _PAIRS) if found is None else found
+
+
+def cosine_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) with the same components as ``cosine_pairs``: equal vectors are one, and a pair of blocks gives a spanning forest, so dense groups stay small."""
+    unit = written(_unit(vectors))
+    classes = written(unit.groupBy("vector").agg(F.min("id").alias("id")))
+    equal = unit.join(classes.withColumnRenamed("id", "b"), "vector").where("id != b").select(F.col("id").alias("a"), "b")
+    found = _met(classes.select("id", "vector"), threshold, True)
+    return equal if found is None else equal.unionByName(found.select("a", "b"))
 
 
 def cluster_faces(faces: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -71,7 +116,7 @@ def cluster_faces(faces: DataFrame, vectors: DataFrame, threshold: float = THRES
     face had; its sample is its least face's image.
     """
     own = vectors.join(faces.select(F.col("id").alias("face_id")), "face_id", "left_semi").select(F.col("face_id").alias("id"), "embedding")
-    joined = connected_components(cosine_pairs(own, threshold))
+    joined = connected_components(cosine_links(own, threshold))
     named = faces.join(joined, "id", "left").withColumn("new_cluster", F.coalesce("component", "id"))
     if prior is not None:
         old = prior.where("label is not null").select(F.col("id").alias("cluster_id"), F.col("label").alias("old_label"))

@@ -5,18 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the folder that driver and executors share, read back: rounds don't pile up lineage.
+def fresh_path(spark: SparkSession, name: str = "table") -> str:
+    """A new place in the folder that driver and executors share: ``spark.checkpoint.dir``; one of this machine only where that is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/assetlake-tables"
+    return f"{folder.rstrip('/')}/catalog/{name}-{uuid.uuid4().hex}"
 
-    The folder is ``spark.checkpoint.dir``; one of this machine only where that is unset (tests).
-    """
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back: rounds don't pile up lineage."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/assetlake-tables"
-    path = f"{folder.rstrip('/')}/catalog/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from . import browse, tags
+from . import browse, lists, tags
+from .graph import written
 
 DEFAULT_HITS, MOST_HITS = 40, 200
 
@@ -30,16 +33,88 @@ def vector_of(vectors: DataFrame, image_id: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest vectors (image_id, embedding) of every query (query_id, query): (query_id, image_id, distance, score, rank).
 
-    Exact: squared distances of all vectors to a bounded set of queries, which
-    Spark broadcasts while it is small; ranking keeps ``k`` rows per query and
-    task before anything is shuffled. The score is 1 / (1 + distance).
+    Exact, by squared distances; the score is 1 / (1 + distance). A query first
+    visits the lists (see ``lists``) nearest to it that hold ``k`` vectors; of
+    the others only those that the k-th distance so far can reach.
     """
-    pairs = vectors.select("image_id", "embedding").join(queries.select("query_id", "query"))
-    same = F.size("embedding") == F.size("query")
-    distance = F.when(same, E.squared_distance(F.col("embedding"), F.col("query"))).otherwise(F.raise_error(F.lit("a query has another number of elements than the vectors")))
-    measured = pairs.select("query_id", "image_id", distance.alias("distance"))
+    stored = vectors.select(F.col("image_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    asked = written(queries.select("query_id", F.col("query").cast("array<double>").alias("vector")))
+    near = _lists_of(stored)
+    if near is None:
+        return _ranked(stored.sparkSession.createDataFrame([], _FOUND), k)
+    points, members, sizes, known = near
+    first = lambda rows, far: _nearest_lists(far, known, k)
+    best = written(lists.compared(members, sizes, lists.visits(asked, points, known, first), "query_id", _nearest(k), _FOUND))
+    reach = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "image_id"))).where(F.col("rank") == k)
+    reached = asked.join(reach.select("query_id", F.sqrt("distance").alias("reach")), "query_id", "left")
+    radius = known["radius"].to_numpy()
+
+    def others(rows: pd.DataFrame, far: np.ndarray) -> np.ndarray:
+        least = rows["reach"].fillna(np.inf).to_numpy()[:, None]
+        return ~_nearest_lists(far, known, k) & (far - radius[None, :] <= least * (1 + lists.SLACK) + lists.SLACK)
+
+    more = lists.compared(members, sizes, lists.visits(reached, points, known, others), "query_id", _nearest(k), _FOUND)
+    return _ranked(best.unionByName(more), k)
+
+
+_FOUND = "query_id long, image_id long, distance double"
+
+
+def _lists_of(stored: DataFrame):
+    """(pivots, members, sizes, sizes in the driver: a row for each list), or none without vectors."""
+    stored = written(stored)
+    points = lists.pivots(stored)
+    if not len(points):
+        return None
+    members = written(lists.dealt(stored, points))
+    sizes = written(lists.list_sizes(members))
+    return points, members, sizes, sizes.orderBy("list").toPandas()
+
+
+def _nearest_lists(far: np.ndarray, known: pd.DataFrame, k: int) -> np.ndarray:
+    """For each probe its nearest lists that hold ``k`` vectors together."""
+    order = np.argsort(far, axis=1, kind="stable")
+    before = np.cumsum(known["n"].to_numpy()[order], axis=1) - known["n"].to_numpy()[order]
+    out = np.zeros(far.shape, bool)
+    np.put_along_axis(out, order, before < k, axis=1)
+    return out
+
+
+def _nearest(k: int):
+    """The ``k`` nearest members of a block for each of its probes; equal vectors have equal distances, so ids decide."""
+
+    def compare(block: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
+        if not len(block) or not len(probes):
+            return pd.DataFrame({"query_id": [], "image_id": [], "distance": []})
+        own, asked, ids = lists.matrix(block["vector"]), lists.matrix(probes["vector"]), block["id"].to_numpy()
+        far = lists.distances(asked, own)
+        n = min(k, len(block))
+        edge = np.partition(far, n - 1, axis=1)[:, n - 1]
+        row, place = np.nonzero(far <= edge[:, None] * (1 + lists.SLACK) + lists.SLACK)
+        exact = ((asked[row] - own[place]) ** 2).sum(1)
+        order = np.lexsort((ids[place], exact, row))
+        row, place, exact = row[order], place[order], exact[order]
+        start = np.searchsorted(row, row)
+        kept = np.arange(len(row)) - start < n
+        return pd.DataFrame({"query_id": probes["query_id"].to_numpy()[row[kept]], "image_id": ids[place[kept]], "distance": exact[kept]})
+
+    return compare
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "image_id"))
-    return measured.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", 1 / (1 + F.greatest("distance", F.lit(0.0))))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", 1 / (1 + F.greatest("distance", F.lit(0.0)))).select("query_id", "image_id", "distance", "score", "rank")
+
+
+def visited_share(vectors: DataFrame, queries: DataFrame, k: int) -> float:
+    """Of all pairs of a query and a list, the share that ``top_k`` visits."""
+    stored = vectors.select(F.col("image_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    points, _, _, known = _lists_of(stored)
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("vector"))
+    reach = top_k(vectors, queries, k).where(F.col("rank") == k).select("query_id", F.sqrt("distance").alias("reach"))
+    radius = known["radius"].to_numpy()
+    wanted = lambda rows, far: _nearest_lists(far, known, k) | (far - radius[None, :] <= rows["reach"].fillna(np.inf).to_numpy()[:, None])
+    return lists.visits(asked.join(reach, "query_id", "left"), points, known, wanted).count() / max(1, asked.count() * len(known))
 
 
 def vector_count(vectors: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from ..functions import expressions as E
-from ..operators import backlog, browse, faces, fingerprint, graph, reconcile, resolve, rollup, tags, textsearch, vectors
+from ..operators import backlog, browse, faces, fingerprint, graph, reconcile, resolve, rollup, tags, textindex, textsearch, vectors
 from ..streaming import events
 from . import views as V
 from .registry import NOW, query
@@ -282,30 +282,33 @@ def grouping_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- text and vectors -------------------------------------------------------------------
 
-_TOKENS = f"""{V.DOCUMENTS}, tok as (select id, 0 as col, list_filter(regexp_split_to_array(lower(strip_accents(filename)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '') as w from assets_doc
-  union all select id, 1, list_filter(regexp_split_to_array(lower(strip_accents(coalesce(ocr_text, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '') from assets_doc),
+def _tokens(keep: str = "true") -> str:
+    """SQL of what the searches find among the documents' assets for which ``keep`` holds."""
+    return f"""{V.DOCUMENTS}, held as (select * from assets_doc where {keep}),
+tok as (select id, 0 as col, list_filter(regexp_split_to_array(lower(strip_accents(filename)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '') as w from held
+  union all select id, 1, list_filter(regexp_split_to_array(lower(strip_accents(coalesce(ocr_text, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x != '') from held),
 sizes as (select id, sum(len(w)) as tokens from tok group by id), numbers as (select count(*) as docs, avg(tokens) as average from sizes),
 asked as (select id as query_id, unnest([1, 2]) as phrase, unnest(w[1:2]) as token from tok where col = 1 and id % 20 = 0 and len(w) >= 2),
 hits as (select query_id, phrase, id, sum(len(list_filter(w, lambda x: x = token))) as tf from tok, asked where list_contains(w, token) group by all),
 spread as (select query_id, phrase, count(*) as df from hits group by all),
 scored as (select query_id, id, sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tokens / average))) as score, count(*) as n
   from hits join spread using (query_id, phrase) join sizes using (id), numbers group by all),
-found as (select query_id, id, round(score, 6) as score, count(*) over (partition by query_id) as total from scored join assets_doc using (id) where n = 2 and deleted_at is null)"""
+found as (select query_id, id, round(score, 6) as score, count(*) over (partition by query_id) as total from scored join held using (id) where n = 2 and deleted_at is null)"""
 
 
-def _searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _searches(spark: SparkSession, sf_dir: str, keep: str = "true") -> tuple[DataFrame, DataFrame]:
     """(assets, queries): the first two words of every document whose id is divisible by 20."""
-    assets = V.documents(spark, sf_dir)
+    assets = V.documents(spark, sf_dir).where(keep)
     first = F.slice(textsearch.words(F.col("ocr_text")), 1, 2)
     return assets, assets.where("id % 20 = 0").select(F.col("id").alias("query_id"), first.alias("w")).where("size(w) = 2").select("query_id", F.array_join("w", " ").alias("query"))
 
 
-@query(f"with {_TOKENS} select * from found")
+@query(f"with {_tokens()} select * from found")
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textsearch.search(*_searches(spark, sf_dir), limit=None).select("query_id", "id", F.round("score", 6).alias("score"), "total")
 
 
-@query(f"with {_TOKENS} select query_id, id, score, total from found qualify row_number() over (partition by query_id order by score desc, id) between 4 and 13")
+@query(f"with {_tokens()} select query_id, id, score, total from found qualify row_number() over (partition by query_id order by score desc, id) between 4 and 13")
 def text_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     assets, queries = _searches(spark, sf_dir)
     found = textsearch.search(assets, queries, limit=None)
@@ -313,6 +316,31 @@ def text_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textsearch.page(found.withColumn("score", F.round("score", 6)), 10, 3).select("query_id", "id", "score", "total")
 
 
+_TEN = "select query_id, id, score, total, row_number() over (partition by query_id order by score desc, id) as rank from found qualify rank <= 10"
+
+
+@query(f"with {_tokens()} {_TEN}")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assets, queries = _searches(spark, sf_dir)
+    path = graph.fresh_path(spark, "text-index")
+    textindex.write_index(assets, path)
+    return textindex.search_index(spark, path, queries, 10).select("query_id", "id", "score", "total", "rank")
+
+
+@query(f"with {_tokens('id % 9 != 4')} {_TEN}")
+def indexed_search_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of an earlier state, brought up to date by what was added, changed, deleted and removed since."""
+    now, queries = _searches(spark, sf_dir, "id % 9 != 4")
+    text = F.when(F.col("id") % 11 == 0, F.concat(F.lit("other words once "), F.col("ocr_text"))).otherwise(F.col("ocr_text"))
+    alive = F.when((F.col("id") % 26 == 0), F.lit(None)).otherwise(F.col("deleted_at"))
+    earlier = V.documents(spark, sf_dir).where("id % 10 != 7").withColumns({"ocr_text": text, "deleted_at": alive})
+    changed = "id % 9 = 4 or id % 11 = 0 or id % 26 = 0"
+    path = graph.fresh_path(spark, "text-index")
+    textindex.write_index(earlier, path)
+    textindex.update_index(path, earlier.where(changed), now.where(f"id % 10 = 7 or {changed}"))
+    return textindex.search_index(spark, path, queries, 10).select("query_id", "id", "score", "total", "rank")
+
+
 _DISTANCE = "list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double)))"
 
 
@@ -358,14 +386,26 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- faces ---------------------------------------------------------------------------
 
-_FACE_PAIRS = "units as (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings), pairs as (select a.id as a, b.id as b from units a join units b on a.id < b.id where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.42)"
+_FACE_PAIRS = lambda t: f"units as (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings), pairs as (select a.id as a, b.id as b from units a join units b on a.id < b.id where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= {t})"
 
 
-@query(f"with recursive {_FACE_PAIRS}, both_ways as (select a, b from pairs union all select b, a from pairs), reach(id, other) as (select vec_id, vec_id from embeddings union select id, b from reach join both_ways on other = a), named as (select id, min(other) as cluster_id from reach group by id) select cluster_id, count(*) as face_count, arg_min(id % 200, id) as sample_image_id, arg_min('old ' || label, id) filter (label % 2 = 0) as label from named join embeddings on id = vec_id group by cluster_id")
+_CLUSTERS = lambda t: f"with recursive {_FACE_PAIRS(t)}, both_ways as (select a, b from pairs union all select b, a from pairs), reach(id, other) as (select vec_id, vec_id from embeddings union select id, b from reach join both_ways on other = a), named as (select id, min(other) as cluster_id from reach group by id) select cluster_id, count(*) as face_count, arg_min(id % 200, id) as sample_image_id, arg_min('old ' || label, id) filter (label % 2 = 0) as label from named join embeddings on id = vec_id group by cluster_id"
+
+
+@query(_CLUSTERS(0.42))
 def face_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _face_clusters(spark, sf_dir, 0.42)
+
+
+@query(_CLUSTERS(faces.THRESHOLD))
+def face_clusters_by_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _face_clusters(spark, sf_dir, faces.THRESHOLD)
+
+
+def _face_clusters(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
     found, stored = V.faces(spark, sf_dir)
     prior = found.select(F.col("cluster_id").alias("id")).distinct().where("id % 2 = 0").select("id", F.concat(F.lit("old "), F.col("id")).alias("label"))
-    _, clusters = faces.cluster_faces(found, stored, 0.42, prior)
+    _, clusters = faces.cluster_faces(found, stored, threshold, prior)
     return clusters.select(F.col("id").alias("cluster_id"), "face_count", "sample_image_id", "label")
 
 
