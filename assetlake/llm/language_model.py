@@ -329,32 +329,26 @@ def _windows(docs: list[np.ndarray], start: int) -> Iterator[tuple]:
     """(inputs, targets, resets, owner) of each window over the lanes: steps first, only lanes that are not over.
 
     The input of a document's first token is ``start``. Lanes end inside a
-    window: their places beyond are -1 in ``targets``.
+    window: their places beyond are -1 in ``targets``. The lanes lie one after
+    another in one array and a window is read from it, so a long lane pads no other.
     """
     lanes = _lanes([len(d) for d in docs])
-    sizes = [sum(len(docs[d]) for d in lane) for lane in lanes]
-    steps = max(sizes)
-    target = np.full((len(lanes), -(-steps // WINDOW) * WINDOW), -1, np.int32)
-    owner = np.zeros_like(target)
-    first: list[list[int]] = [[] for _ in range(target.shape[1])]
-    for n, lane in enumerate(lanes):
-        at = 0
-        for d in lane:
-            target[n, at : at + len(docs[d])] = docs[d]
-            owner[n, at : at + len(docs[d])] = d
-            first[at].append(n)
-            at += len(docs[d])
-    inputs = np.empty_like(target)
-    inputs[:, 0] = start
-    inputs[:, 1:] = target[:, :-1]
-    for t, own in enumerate(first):
-        inputs[own, t] = start
-    inputs[inputs < 0] = start
-    alive = np.array(sizes)
-    for at in range(0, target.shape[1], WINDOW):
-        n = int((alive > at).sum())
-        part = slice(at, at + WINDOW)
-        yield inputs[:n, part].T, target[:n, part].T, [np.array(x, np.int64) for x in first[part]], owner[:n, part].T
+    order = [d for lane in lanes for d in lane]
+    lengths = np.array([len(docs[d]) for d in order], np.int64)
+    stream = np.concatenate([docs[d] for d in order]).astype(np.int32)
+    owner = np.repeat(np.array(order, np.int32), lengths)
+    begins = np.zeros(len(stream), bool)
+    begins[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    sizes = np.array([sum(len(docs[d]) for d in lane) for lane in lanes], np.int64)
+    base = np.cumsum(sizes) - sizes
+    for at in range(0, int(sizes.max()), WINDOW):
+        n = int((sizes > at).sum())
+        step = at + np.arange(WINDOW)[:, None]
+        real = step < sizes[None, :n]
+        place = np.where(real, base[None, :n] + step, 0)
+        first = real & begins[place]
+        inputs = np.where(first | ~real, start, stream[place - 1]).astype(np.int32)
+        yield inputs, np.where(real, stream[place], -1).astype(np.int32), [np.flatnonzero(x) for x in first], owner[place]
 
 
 def train(model: Model, vocabulary: Vocabulary, docs: list[np.ndarray], adam: _Adam) -> None:
@@ -422,21 +416,42 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def _frequent(counts: DataFrame, most: int = DICTIONARY) -> list[tuple[bytes, int]]:
-    """The most frequent words with their counts, at most ``most``, by falling count and then by word.
+    """The ``most`` most frequent words (all, if there are fewer) with their counts, by falling count and then by word.
 
-    Words are taken by levels of their counts, sixteen for each doubling, as long
-    as whole levels fit in, so that no task sends more than it has of them.
+    Words are taken by levels of their counts, sixteen for each doubling, then by
+    counts inside the level that no longer fits whole, then, of one count, by
+    ranges of words: no task sends more than it has of what is taken.
     """
     level = F.floor(F.log2("n") * 16)
-    room, least = most, None
-    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r["level"]
-    if least is None:
-        return []
-    return sorted(((bytes(r["word"]), r["n"]) for r in counts.where(level >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+    def fitting(rows: DataFrame, key: Column, room: int):
+        """Of the groups of ``key``, from the greatest on: the least that still fits whole, the next one, and the room that is left."""
+        least = None
+        for r in rows.groupBy(key.alias("key")).count().orderBy(F.desc("key")).collect():
+            if r["count"] > room:
+                return least, r["key"], room
+            room -= r["count"]
+            least = r["key"]
+        return least, None, room
+
+    taken, room = [], most
+    least, split, room = fitting(counts, level, room)
+    if least is not None:
+        taken += counts.where(level >= least).collect()
+    if split is not None and room:
+        inside = counts.where(level == split)
+        least, split, room = fitting(inside, F.col("n"), room)
+        if least is not None:
+            taken += inside.where(F.col("n") >= least).collect()
+        if room:
+            equal = counts.where(F.col("n") == split).repartitionByRange(common.tasks(counts.sparkSession), "word")
+            equal = common.materialize(equal.withColumn("part", F.spark_partition_id()), "equal-counts")
+            least, split, room = fitting(equal, -F.col("part"), room)
+            if least is not None:
+                taken += equal.where(F.col("part") <= -least).collect()
+            taken += equal.where(F.col("part") == -split).orderBy("word").limit(room).collect() if room else []
+            common.discard(equal)
+    return sorted(((bytes(r["word"]), r["n"]) for r in taken), key=lambda x: (-x[1], x[0]))
 
 
 def fit_vocabulary(counts: DataFrame) -> Vocabulary:

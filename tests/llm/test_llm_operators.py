@@ -833,3 +833,45 @@ def test_passages_against_brute_force(spark):
 def test_passage_edges(spark, edges, nothing):
     (long,) = {r.doc_id for r in passages.repeated_passages(edges).collect()}
     assert long == 8 and passages.repeated_passages(nothing).count() == 0
+
+
+def test_windows_of_one_very_long_text():
+    """A text of a million tokens beside short ones: memory follows the tokens, not the longest lane times all lanes."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 500, 1_000_000).astype(np.int32)] + [rng.integers(0, 500, 50).astype(np.int32) for _ in range(600)]
+    tracemalloc.start()
+    seen, starts = np.zeros(len(docs), np.int64), 0
+    for inputs, target, resets, owner in language_model._windows(docs, 777):
+        real = target >= 0
+        seen += np.bincount(owner[real], minlength=len(docs))
+        starts += int((inputs[real] == 777).sum())
+        assert inputs.shape == target.shape == owner.shape and len(resets) == len(target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen.tolist() == [len(d) for d in docs] and starts == len(docs) and peak < 100e6
+
+
+def test_windows_against_a_loop():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 90, n).astype(np.int32) for n in rng.integers(1, 200, 700)]
+    got = defaultdict(list)
+    for inputs, target, resets, owner in language_model._windows(docs, 99):
+        for t in range(len(target)):
+            assert resets[t].tolist() == [n for n in range(target.shape[1]) if target[t, n] >= 0 and inputs[t, n] == 99]
+            for n in range(target.shape[1]):
+                if target[t, n] >= 0:
+                    got[owner[t, n]].append((inputs[t, n], target[t, n]))
+    assert got == {d: list(zip([99, *x[:-1].tolist()], x.tolist(), strict=True)) for d, x in enumerate(docs)}
+
+
+def test_dictionary_is_filled_to_its_size(spark):
+    rng = random.Random(9)
+    words_ = {f"w{n}".encode(): rng.choice((1, 1, 1, 1, 2, 3, 40, 41, 42)) for n in range(3000)}
+    counts = spark.createDataFrame([(bytearray(w), n) for w, n in words_.items()], "word binary, n long")
+    wanted = sorted(words_.items(), key=lambda x: (-x[1], x[0]))
+    for most in (1, 10, 500, 1200, 2999, 3000, 5000):
+        assert language_model._frequent(counts, most) == wanted[:most]
+    once = spark.createDataFrame([(bytearray(f"v{n}".encode()), 1) for n in range(70_000)] + [(bytearray(b"end"), 5)], "word binary, n long")
+    assert len(language_model._frequent(once, 65_536)) == 65_536
