@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import expressions as E
+from . import boxes
 from .numbering import greatest, numbered
 
 DEFAULT_PAGE, LARGEST_PAGE = 200, 500
@@ -106,21 +106,6 @@ def clean_ids(ids: Column) -> Column:
 
 # --- smart albums ---------------------------------------------------------------
 
-_FILTER = T.StructType(
-    [
-        T.StructField("rootIds", T.ArrayType(T.LongType())),
-        T.StructField("formats", T.ArrayType(T.StringType())),
-        T.StructField("q", T.StringType()),
-        T.StructField("sizeMin", T.LongType()),
-        T.StructField("sizeMax", T.LongType()),
-        T.StructField("takenFrom", T.LongType()),
-        T.StructField("takenTo", T.LongType()),
-        T.StructField("hasGps", T.BooleanType()),
-        T.StructField("includeDeleted", T.BooleanType()),
-    ]
-)
-
-
 def save_albums(albums: DataFrame, new: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
     """(albums with the valid rows of ``new`` (name, filter_json, icon, sort_order), rejected rows with a reason)."""
     reason = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "blank name").when(F.try_parse_json("filter_json").isNull(), "invalid filter")
@@ -139,37 +124,13 @@ def drop_albums(albums: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def album_members(assets: DataFrame, albums: DataFrame) -> DataFrame:
-    """(album_id, id) for every asset that an album's filter takes.
-
-    Albums that name roots meet only the assets of these, others that name
-    formats only those of these; only albums with neither meet all assets.
-    """
-    f = albums.select(F.col("id").alias("album_id"), F.from_json("filter_json", _FILTER).alias("f"))
-    roots, formats, text = F.col("f.rootIds"), F.transform("f.formats", lambda x: E.ascii_lower(F.ltrim(x, F.lit(".")))), F.trim(F.coalesce("f.q", F.lit("")))
-    absent = lambda a: F.coalesce(F.size(a), F.lit(0)) <= 0
-    located = F.col("gps_lat").isNotNull() & F.col("gps_lng").isNotNull()
-    takes = (
-        (F.coalesce("f.includeDeleted", F.lit(False)) | E.live())
-        & (absent(F.col("formats")) | F.array_contains("formats", F.col("extension")))
-        & F.contains(E.ascii_lower(F.col("filename")), F.col("text"))
-        & (F.col("size_bytes") >= F.greatest(F.coalesce("f.sizeMin", F.lit(0)), F.lit(0)))
-        & (F.col("f.sizeMax").isNull() | (F.col("size_bytes") <= F.greatest("f.sizeMax", F.lit(0))))
-        & (F.col("f.takenFrom").isNull() | (E.shown_at() >= F.col("f.takenFrom")))
-        & (F.col("f.takenTo").isNull() | (E.shown_at() <= F.col("f.takenTo")))
-        & (F.col("f.hasGps").isNull() | (F.col("f.hasGps") == located))
-    )
-    f = f.withColumns({"roots": F.array_distinct(roots), "formats": F.array_distinct(formats), "text": E.ascii_lower(text)})
-    by_root = f.where(~absent(F.col("roots"))).withColumn("of_root", F.explode("roots"))
-    by_format = f.where(absent(F.col("roots")) & ~absent(F.col("formats"))).withColumn("of_format", F.explode("formats"))
-    rest = f.where(absent(F.col("roots")) & absent(F.col("formats")))
-    parts = [assets.join(by_root, (F.col("root_id") == F.col("of_root")) & takes), assets.join(by_format, (F.col("extension") == F.col("of_format")) & takes), assets.join(rest, takes)]
-    return reduce(DataFrame.unionByName, (p.select("album_id", "id") for p in parts))
+    """(album_id, id) for every asset that an album's filter takes (see ``boxes``)."""
+    return boxes.members(assets, albums)
 
 
 def album_counts(assets: DataFrame, albums: DataFrame) -> DataFrame:
     """Members of each album, 0 included."""
-    counts = album_members(assets, albums).groupBy("album_id").count()
-    return albums.select(F.col("id").alias("album_id"), "name").join(counts, "album_id", "left").select("album_id", "name", F.coalesce("count", F.lit(0)).alias("members"))
+    return albums.select(F.col("id").alias("album_id"), "name").join(boxes.all_counts(assets, albums), "album_id", "left").select("album_id", "name", F.coalesce("members", F.lit(0)).alias("members"))
 
 
 def album_page(assets: DataFrame, albums: DataFrame, album_id: int, offset: int = 0, limit: int = DEFAULT_PAGE) -> DataFrame:

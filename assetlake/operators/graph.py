@@ -23,6 +23,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, dealt to all cores if it comes in fewer parts than half of them: a small file is one task else."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores // 2 else df
+
+
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component) of the nodes of ``edges`` (a, b): the least id of each component.
 

@@ -54,6 +54,30 @@ def album_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.album_counts(V.orders(spark, sf_dir), albums).select("album_id", "members")
 
 
+_CUSTOMER_ALBUMS = """albums as (select c_custkey as id, case when c_custkey % 4 = 1 then c_nationkey % 8 end as root_id, case c_custkey % 5 when 1 then 'f' when 2 then 'o' end as format, case when c_custkey % 70 = 3 then 'img_1' else '' end as text,
+  case when c_custkey % 3 = 0 then c_acctbal::bigint * 20 end as size_min, case when c_custkey % 2 = 0 then 100000 + c_acctbal::bigint * 20 end as size_max,
+  case when c_custkey % 3 != 1 then 700000000 + c_custkey * 4099 % 200000000 end as taken_from, case when c_custkey % 6 != 2 then 720000000 + c_custkey * 7919 % 200000000 end as taken_to, case c_custkey % 11 when 0 then true when 1 then false end as has_gps, c_custkey % 13 = 0 as deleted from customer)"""
+
+
+@query(f"""with {V.ORDERS}, {_CUSTOMER_ALBUMS},
+taken as (select b.id, count(*) as n from albums b join assets_ord a on (root_id_of is null or a.root_id = root_id_of) and (format is null or extension = format) and contains(lower(filename), text) and size_bytes >= greatest(coalesce(size_min, 0), 0) and (size_max is null or size_bytes <= greatest(size_max, 0))
+  and (taken_from is null or coalesce(taken_at, mtime) >= taken_from) and (taken_to is null or coalesce(taken_at, mtime) <= taken_to) and (has_gps is null or has_gps = (gps_lat is not null and gps_lng is not null)) and (deleted or deleted_at is null) group by b.id)
+select albums.id as album_id, coalesce(n, 0) as members from albums left join taken using (id)""".replace("case when c_custkey % 4 = 1 then c_nationkey % 8 end as root_id", "case when c_custkey % 4 = 1 then c_nationkey % 8 end as root_id_of"))
+def customer_albums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An album for each customer, with every mixture of bounds."""
+    key = F.col("c_custkey")
+    balance = F.round("c_acctbal").cast("long") * 20
+    parts = {
+        "rootIds": F.when(key % 4 == 1, F.array((F.col("c_nationkey") % 8).cast("long"))), "formats": F.when(key % 5 == 1, F.array(F.lit("F"))).when(key % 5 == 2, F.array(F.lit(".o"))),
+        "q": F.when(key % 70 == 3, " IMG_1 "), "sizeMin": F.when(key % 3 == 0, balance), "sizeMax": F.when(key % 2 == 0, 100000 + balance),
+        "takenFrom": F.when(key % 3 != 1, 700000000 + key * 4099 % 200000000), "takenTo": F.when(key % 6 != 2, 720000000 + key * 7919 % 200000000),
+        "hasGps": F.when(key % 11 == 0, True).when(key % 11 == 1, False), "includeDeleted": key % 13 == 0,
+    }
+    filter_json = F.to_json(F.struct(*(v.alias(k) for k, v in parts.items())))
+    albums = V.read(spark, sf_dir, "customer").select(key.alias("id"), F.col("c_name").alias("name"), filter_json.alias("filter_json"))
+    return browse.album_counts(V.orders(spark, sf_dir), albums).select("album_id", "members")
+
+
 @query(f"with {V.ORDERS} select id, case when size_bytes >= 1048576 then printf('%.1f MB', round(size_bytes / 1048576.0::double, 1)) when size_bytes / 1024.0 >= 10 then round(size_bytes / 1024.0::double)::bigint || ' KB' when size_bytes >= 1024 then printf('%.1f KB', round(size_bytes / 1024.0::double, 1)) else size_bytes || ' B' end as size_text from assets_ord")
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.orders(spark, sf_dir).select("id", E.human_bytes(F.col("size_bytes")).alias("size_text"))
@@ -366,7 +390,7 @@ def parsed_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {V.TAGS}, {V.TAGGED}, asked as (select vec_id as query_id, case when vec_id % 60 = 0 then null else embedding end as embedding, vec_id % 40 = 20 as bare, p.word as word, case when vec_id % 60 = 0 then p.word else 'some' end as text, 10 + vec_id % 7 as least
-  from embeddings join (select p_partkey, string_split(p_name, ' ')[1] as word from part) p on p_partkey = vec_id % 200 where vec_id % 20 = 0),
+  from embeddings join (select p_partkey, string_split(p_name, ' ')[1] as word from part) p on p_partkey = vec_id % (select count(*) from part) + 1 where vec_id % 20 = 0),
 met as (select a.query_id, p.id, p.filename, p.mtime, bare, text, a.embedding from asked a join links l on l.name = a.word join assets_part p on p.id = l.image_id where p.deleted_at is null and p.size_bytes >= least group by all),
 found as (select query_id, id, {{distance}} as distance from met q join embeddings v on v.vec_id = q.id where not bare and q.embedding is not null),
 ranked as (select query_id, id, round(1 / (1 + distance), 6) as score, 'semantic' as source, row_number() over (partition by query_id order by distance, id) as rank from found
@@ -377,7 +401,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, links = V.tags(spark, sf_dir)
     stored = V.vectors(spark, sf_dir)
     words = V.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.split("p_name", " ")[0].alias("word"))
-    asked = stored.where("image_id % 20 = 0").withColumn("part", F.col("image_id") % 200).join(words, "part")
+    asked = stored.where("image_id % 20 = 0").withColumn("part", F.col("image_id") % F.lit(words.count()) + 1).join(words, "part")
     text = F.expr("concat(case when image_id % 40 = 20 then '' when image_id % 60 = 0 then word else 'some' end, ' #', word, ' size:>=', 10 + image_id % 7, 'b')")
     searches = asked.select(F.col("image_id").alias("query_id"), text.alias("query"), F.when(F.col("image_id") % 60 != 0, F.col("embedding")).alias("vector"))
     found = vectors.hybrid_searches(V.tagged_assets(spark, sf_dir), links, table, stored, searches)
