@@ -13,12 +13,14 @@ no passages; case and what stands between words do not matter; passages that
 repeat inside one text count, also where the places overlap; repeated rows
 repeat their passages, and those at the same first place all stay; rows with a
 null id sort first; extra columns are ignored; an empty table gives no rows.
+Rows are told apart by a number of their own, so each row of a shared id has its spans.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,13 +59,15 @@ def _anchor_rows(batches):
 
 
 def _window_rows(batches):
-    """(doc_id, word, start, stop, passage) of the windows whose anchor is one of the document's ``runs``."""
+    """(row, doc_id, word, start, stop, passage) of the windows whose anchor is one of the document's ``runs``; rows are numbered by task."""
+    row = TaskContext.get().partitionId() << 40
     for batch in common.batches(batches):
         for i, h, starts, ends in common.hashed(batch["text"]):
+            row += 1
             word = np.flatnonzero(np.isin(_lows(h)[1], np.array(batch["runs"][i], np.int64).view(np.uint64)))
             if not len(word):
                 continue
-            out = {"doc_id": pa.array([batch["doc_id"][i]] * len(word), pa.int64()), "word": pa.array(word, pa.int64())}
+            out = {"row": pa.array(np.full(len(word), row)), "doc_id": pa.array([batch["doc_id"][i]] * len(word), pa.int64()), "word": pa.array(word, pa.int64())}
             out |= {"start": pa.array(starts[word], pa.int64()), "stop": pa.array(ends[word + LEAST_WORDS - 1], pa.int64())}
             yield pa.RecordBatch.from_pydict(out | {"passage": pa.array(common.shingles(h, LEAST_WORDS)[word].view(np.int64))})
 
@@ -84,12 +88,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     common.discard(anchors)
     same = F.col("id").eqNullSafe(F.col("doc_id"))
     wanted = texts.join(common.small(own.select("id")), same, "left_semi").join(own, same).select("doc_id", "text", "runs")
-    windows = wanted.mapInArrow(_window_rows, "doc_id long, word long, start long, stop long, passage long")
-    alike = Window.partitionBy("passage")
-    placed = windows.withColumns({"n": F.count(F.lit(1)).over(alike), "lead": F.min(F.struct("doc_id", "word")).over(alike)}).where("n > 1")
-    placed = placed.select("doc_id", "word", "start", "stop", F.col("lead.doc_id").alias("source_doc"), (F.col("word") - F.col("lead.word")).alias("shift"))
-    run = Window.partitionBy("doc_id", "source_doc", "shift").orderBy("word")
-    placed = placed.withColumn("span", F.col("word") - F.dense_rank().over(run))
-    spans = placed.groupBy("doc_id", "source_doc", "shift", "span").agg(F.min("word").alias("word"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("word").alias("last"))
+    windows = wanted.mapInArrow(_window_rows, "row long, doc_id long, word long, start long, stop long, passage long")
+    windows = common.materialize(windows, "windows")
+    common.discard(own)
+    # counted apart from the windows, so the windows of a frequent passage meet in no task
+    first = F.min(F.struct("doc_id", "word")).alias("lead")
+    several = windows.groupBy("passage").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("passage", "lead")
+    placed = windows.join(several, "passage")
+    placed = placed.select("row", "doc_id", "word", "start", "stop", F.col("lead.doc_id").alias("source_doc"), (F.col("word") - F.col("lead.word")).alias("shift"))
+    key = ("row", "doc_id", "source_doc", "shift")
+    run = Window.partitionBy(*key).orderBy("word")
+    placed = placed.withColumn("span", F.col("word") - F.row_number().over(run))
+    spans = placed.groupBy(*key, "span").agg(F.min("word").alias("word"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("word").alias("last"))
     keep = F.col("source_doc").eqNullSafe(F.col("doc_id")) & (F.col("shift") == 0)
     return spans.select("doc_id", "word", "start", "stop", (F.col("last") - F.col("word") + LEAST_WORDS).alias("n_words"), "source_doc", (F.col("word") - F.col("shift")).alias("source_word"), keep.alias("keep"))

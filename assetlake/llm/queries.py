@@ -143,9 +143,9 @@ with texts as (
 ), repeated as (
   select *, min({'doc': doc_id, 'word': i}) over (partition by passage) as lead from windows qualify count(*) over (partition by passage) > 1
 ), runs as (
-  select *, i - lead.word as shift, i - dense_rank() over (partition by doc_id, lead.doc, i - lead.word order by i) as run from repeated
+  select *, i - lead.word as shift, i - row_number() over (partition by r, lead.doc, i - lead.word order by i) as run from repeated
 )
 select doc_id, min(i) as word, min(a.stop - a.n)::bigint as start, max(b.stop)::bigint as stop, max(i) - min(i) + 50 as n_words, lead.doc as source_doc, min(i) - shift as source_word, lead.doc = doc_id and shift = 0 as keep
-from runs join placed a using (r, i) join (select r, i - 49 as i, stop from placed) b using (r, i) group by doc_id, lead.doc, shift, run
+from runs join placed a using (r, i) join (select r, i - 49 as i, stop from placed) b using (r, i) group by r, doc_id, lead.doc, shift, run
 """,
 }

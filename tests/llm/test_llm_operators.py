@@ -830,6 +830,12 @@ def test_passages_against_brute_force(spark):
     assert {1, 3, 48, 49, 50, None} <= {r.doc_id for r in got} and 60 not in {r.doc_id for r in got}
 
 
+def test_passages_of_rows_that_share_an_id(spark):
+    text = " ".join(words(random.Random(14), 60))
+    got = passages.repeated_passages(table(spark, [(1, text), (2, text), (2, text)])).collect()
+    assert sorted((r.doc_id, r.word, r.n_words, r.keep) for r in got) == [(1, 0, 60, True), (2, 0, 60, False), (2, 0, 60, False)]
+
+
 def test_passage_edges(spark, edges, nothing):
     (long,) = {r.doc_id for r in passages.repeated_passages(edges).collect()}
     assert long == 8 and passages.repeated_passages(nothing).count() == 0
