@@ -59,15 +59,18 @@ def _anchor_rows(batches):
 
 
 def _window_rows(batches):
-    """(row, doc_id, word, start, stop, passage) of the windows whose anchor is one of the document's ``runs``; rows are numbered by task."""
-    row = TaskContext.get().partitionId() << 40
+    """(row, doc_id, word, start, stop, passage) of the windows whose anchor is one of the document's ``runs``.
+
+    Rows whose id stands in others too are numbered by task; of the others the id is enough.
+    """
+    number = TaskContext.get().partitionId() << 40
     for batch in common.batches(batches):
         for i, h, starts, ends in common.hashed(batch["text"]):
-            row += 1
+            number += 1
             word = np.flatnonzero(np.isin(_lows(h)[1], np.array(batch["runs"][i], np.int64).view(np.uint64)))
             if not len(word):
                 continue
-            out = {"row": pa.array(np.full(len(word), row)), "doc_id": pa.array([batch["doc_id"][i]] * len(word), pa.int64()), "word": pa.array(word, pa.int64())}
+            out = {"row": pa.array(np.full(len(word), number if batch["several"][i] else 0)), "doc_id": pa.array([batch["doc_id"][i]] * len(word), pa.int64()), "word": pa.array(word, pa.int64())}
             out |= {"start": pa.array(starts[word], pa.int64()), "stop": pa.array(ends[word + LEAST_WORDS - 1], pa.int64())}
             yield pa.RecordBatch.from_pydict(out | {"passage": pa.array(common.shingles(h, LEAST_WORDS)[word].view(np.int64))})
 
@@ -84,17 +87,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     anchors = common.materialize(texts.mapInArrow(_anchor_rows, "doc_id long, run long"), "anchors")
     often = common.materialize(anchors.groupBy("run").count().where("count > 1").select("run"), "repeated-anchors")
     own = anchors.join(common.small(often), "run", "left_semi").groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
-    own = common.materialize(own, "anchors-by-text").withColumnRenamed("doc_id", "id")
+    shared_ids = texts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("several"))
+    own = own.join(shared_ids, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(F.col("doc_id").alias("id"), "runs", F.coalesce("several", F.lit(False)).alias("several"))
+    own = common.materialize(own, "anchors-by-text")
     common.discard(anchors)
     same = F.col("id").eqNullSafe(F.col("doc_id"))
-    wanted = texts.join(common.small(own.select("id")), same, "left_semi").join(own, same).select("doc_id", "text", "runs")
+    wanted = texts.join(common.small(own.select("id")), same, "left_semi").join(own, same).select("doc_id", "text", "runs", "several")
     windows = wanted.mapInArrow(_window_rows, "row long, doc_id long, word long, start long, stop long, passage long")
-    windows = common.materialize(windows, "windows")
-    common.discard(own)
-    # counted apart from the windows, so the windows of a frequent passage meet in no task
-    first = F.min(F.struct("doc_id", "word")).alias("lead")
-    several = windows.groupBy("passage").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("passage", "lead")
-    placed = windows.join(several, "passage")
+    alike = Window.partitionBy("passage")
+    placed = windows.withColumns({"n": F.count(F.lit(1)).over(alike), "lead": F.min(F.struct("doc_id", "word")).over(alike)}).where("n > 1")
     placed = placed.select("row", "doc_id", "word", "start", "stop", F.col("lead.doc_id").alias("source_doc"), (F.col("word") - F.col("lead.word")).alias("shift"))
     key = ("row", "doc_id", "source_doc", "shift")
     run = Window.partitionBy(*key).orderBy("word")
