@@ -12,7 +12,7 @@ from ..functions import expressions as E
 def scan_assets(spark: SparkSession, root_id: int, path: str) -> DataFrame:
     """A listing (``schemas.LISTED`` and path) of the image files under ``path``; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
-    bare = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/*", "/")
+    bare = F.regexp_replace("path", "^file:/*", "/")
     root = "/" + path.removeprefix("file:").strip("/")
     rel = F.substring(bare, len(root) + 2, 1_000_000)
     name = F.element_at(F.split(rel, "/"), -1)
