@@ -123,6 +123,44 @@ def neardup_groups(hashes: DataFrame, t: int = DEFAULT_THRESHOLD) -> DataFrame:
     return named.join(several, "group_id").select("group_id", "id", "dhash")
 
 
+def grouped_hashes(hashes: DataFrame, t: int = DEFAULT_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(members, keys) to be kept for ``extend_groups``: members (id, dhash, group_id) with groups of one too, and the band keys (key, id, dhash) of each distinct signature."""
+    hashes = written(hashes.where("dhash is not null").select("id", "dhash"))
+    classes = hash_classes(hashes)
+    joined = connected_components(hamming_pairs(hashes, t).select("a", "b")).select(F.col("id").alias("rep"), "component")
+    members = classes.join(joined, "rep", "left").select("id", "dhash", F.coalesce("component", "rep").alias("group_id"))
+    return members, band_keys(hashes, t)
+
+
+def band_keys(hashes: DataFrame, t: int) -> DataFrame:
+    """(key, id, dhash) of the least id of each signature."""
+    reps = hashes.groupBy("dhash").agg(F.min("id").alias("id"))
+    return reps.select(F.explode(_keys(F.col("dhash"), t)).alias("key"), "id", "dhash")
+
+
+def extend_groups(members: DataFrame, keys: DataFrame, new: DataFrame, t: int = DEFAULT_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(members, keys) after the signatures ``new`` (id, dhash; ids that are not members yet) have come.
+
+    Only the new signatures look for keys, and among themselves for pairs; the
+    old groups are not rebuilt: each is one node, which new links join to others.
+    """
+    new = written(new.where("dhash is not null").select("id", "dhash"))
+    known = members.select("dhash", "group_id").distinct()  # equal signatures have one group
+    placed = written(new.join(known, "dhash", "left"))
+    fresh = written(placed.where("group_id is null").groupBy("dhash").agg(F.min("id").alias("id")))
+    asked = written(band_keys(fresh, t))
+    stored = keys.select("key", F.col("id").alias("old"), F.col("dhash").alias("had"))
+    near = asked.join(stored, "key").where((E.hamming(F.col("dhash"), F.col("had")) <= t) & _first_key(F.col("dhash"), F.col("had"), F.col("key.subset"), t))
+    near = near.select(F.col("id").alias("a"), "had").join(known.withColumnRenamed("dhash", "had"), "had").select("a", F.col("group_id").alias("b"))
+    equal = placed.where("group_id is not null").select(F.col("id").alias("a"), F.col("group_id").alias("b"))  # a lesser id renames its group
+    links = near.unionByName(equal).unionByName(hamming_pairs(fresh, t).select("a", "b"))
+    joined = written(connected_components(links))
+    own = placed.where("group_id is null").join(fresh.select("dhash", F.col("id").alias("rep")), "dhash").select("id", "dhash", F.col("rep").alias("group_id"))
+    rows = members.select("id", "dhash", "group_id").unionByName(placed.where("group_id is not null").select("id", "dhash", "group_id")).unionByName(own)
+    renamed = rows.join(joined.select(F.col("id").alias("group_id"), "component"), "group_id", "left")
+    return renamed.select("id", "dhash", F.coalesce("component", "group_id").alias("group_id")), keys.select("key", "id", "dhash").unionByName(asked)
+
+
 def with_similarity(items: DataFrame) -> DataFrame:
     """Items (group_id, id, dhash) with 1 - distance / 64 to the signature of the group's least id."""
     first = items.groupBy("group_id").agg(F.min_by("dhash", "id").alias("first"))

@@ -288,6 +288,18 @@ def neardup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_similarity(fingerprint.neardup_groups(V.signatures(spark, sf_dir), 5))
 
 
+@query(f"with recursive {_GROUPS}, {_REACH} select group_id, id, 1 - bit_count(xor(dhash, first_value(dhash) over (partition by group_id order by id))) / 64.0::double as similarity from members")
+def extended_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of all signatures, of which those of some ids came later, in two parts."""
+    own = graph.written(V.signatures(spark, sf_dir))
+    late = F.pmod(F.xxhash64("id"), F.lit(10))
+    members, keys = fingerprint.grouped_hashes(own.where(late > 1), 5)
+    for part in (0, 1):
+        members, keys = (graph.written(df) for df in fingerprint.extend_groups(members, keys, own.where(late == part), 5))
+    several = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group_id")
+    return fingerprint.with_similarity(members.join(several, "group_id"))
+
+
 @query(f"with {V.SIGNATURES} select p.id as probe_id, s.id, bit_count(xor(p.dhash, s.dhash))::bigint as distance from sig p join sig s on bit_count(xor(p.dhash, s.dhash)) <= 7 where p.id % 20 = 0")
 def hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = graph.written(V.signatures(spark, sf_dir))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import expressions as E
-from ..operators import backlog, browse, faces, fingerprint, reconcile, resolve, tags, vectors
+from ..operators import backlog, browse, faces, fingerprint, graph, reconcile, resolve, rollup, tags, vectors
 from ..sources import export, files
-from ..streaming import events
+from ..streaming import events, tables
 from . import views as V
 from .queries import _EXACT, _GROUPS, _REACH
 from .registry import NOW, query
@@ -185,17 +185,34 @@ def updated_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.set_status(V.orders(spark, sf_dir), updates, "tag_status").select("id", "tag_status")
 
 
-@query(f"""with {V.ORDERS}, {V.LISTING}, fired as (select distinct user_id % 10 as root_id from events where event_type in ('click', 'view', 'purchase') and user_id % 3 = 0 and user_id % 10 < 4)
+_FIRED = f"""with {V.ORDERS}, {V.LISTING}, fired as (select distinct user_id % 10 as root_id from events where event_type in ('click', 'view', 'purchase'))
 select a.id, a.root_id, a.rel_path, case when c.change in ('updated', 'restored') then 'pending' else a.thumb_status end as thumb_status, case when c.change = 'removed' then {NOW} when c.change in ('updated', 'restored') then null else a.deleted_at end as deleted_at
 from assets_ord a left join classified c on a.id = c.id and c.root_id in (select root_id from fired)
 union all
-select (select max(id) from assets_ord) + row_number() over (order by root_id, rel_path), root_id, rel_path, 'pending', null from classified where change = 'added' and root_id in (select root_id from fired)""")
+select (select max(id) from assets_ord) + row_number() over (order by root_id, rel_path), root_id, rel_path, 'pending', null from classified where change = 'added' and root_id in (select root_id from fired)"""
+
+
+@query(_FIRED)
 def reconcile_fired_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fired = events.debounce_batch(events.watched(V.file_events(spark, sf_dir).join(V.read(spark, sf_dir, "events").where("user_id % 3 = 0 and user_id % 10 < 4").select("event_id"), "event_id", "left_semi")))
+    fired = events.debounce_batch(events.watched(V.file_events(spark, sf_dir)))
     after = reconcile.reconcile_roots(V.orders(spark, sf_dir), V.listing(spark, sf_dir), fired, NOW)
     return after.select("id", "root_id", "rel_path", "thumb_status", "deleted_at")
 
 
+@query(_FIRED)
+def streamed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stream of events whose batches write versions of the catalog."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    table = tables.VersionedTable(spark, graph.fresh_path(spark, "catalog-versions"))
+    table.write(V.orders(spark, sf_dir))
+    listing = V.listing(spark, sf_dir)
+    source = spark.readStream.schema(V.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, as the table may be one file
+    fired = events.debounce(events.watched(V.as_file_events(source)))
+    query = tables.reconcile_into(fired, table, lambda roots: listing.join(roots, "root_id", "left_semi"), lambda: NOW, graph.fresh_path(spark, "checkpoint"), availableNow=True)
+    query.awaitTermination()
+    return table.read().select("id", "root_id", "rel_path", "thumb_status", "deleted_at")
+
+
 # --- backlogs ----------------------------------------------------------------------------
 
 

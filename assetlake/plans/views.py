@@ -144,5 +144,9 @@ def faces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User events as changes of files under ten roots."""
+    return as_file_events(read(spark, sf_dir, "events"))
+
+
+def as_file_events(events: DataFrame) -> DataFrame:
     kind = "case event_type when 'click' then 'create' when 'view' then 'modify' when 'purchase' then 'remove' else 'other' end"
-    return read(spark, sf_dir, "events").selectExpr("user_id % 10 as root_id", f"{kind} as kind", "cast(ts as timestamp) as ts", "event_id")
+    return events.selectExpr("user_id % 10 as root_id", f"{kind} as kind", "cast(ts as timestamp) as ts", "event_id")

@@ -392,3 +392,23 @@ def test_signature_of_a_very_long_document(spark, tmp_path):
     wanted = sum(1 << b for b in range(64) if votes[b] > 0)
     (got,) = views.signatures(spark, str(tmp_path)).collect()
     assert got.dhash & (1 << 64) - 1 == wanted
+
+
+def test_extended_groups_equal_a_rebuild(spark):
+    """Signatures that come in three parts, with links inside a part, between parts and to equal ones."""
+    rng = random.Random(21)
+    base = [rng.getrandbits(63) for _ in range(30)]
+    rows = []
+    for n in range(240):
+        h = rng.choice(base)
+        for _ in range(rng.randint(0, 3)):
+            h ^= 1 << rng.randrange(63)
+        rows.append((rng.randrange(10_000) * 1000 + n, h if n % 17 else None))
+    rng.shuffle(rows)
+    schema = "id long, dhash long"
+    members, keys = fingerprint.grouped_hashes(spark.createDataFrame(rows[:150], schema), 3)
+    for part in (rows[150:200], rows[200:200], rows[200:]):
+        members, keys = (graph.written(df) for df in fingerprint.extend_groups(members, keys, spark.createDataFrame(part, schema), 3))
+    wanted, wanted_keys = fingerprint.grouped_hashes(spark.createDataFrame(rows, schema), 3)
+    assert {tuple(r) for r in members.collect()} == {tuple(r) for r in wanted.collect()} and members.count() == wanted.count()
+    assert {(r.key, r.dhash) for r in keys.collect()} == {(r.key, r.dhash) for r in wanted_keys.collect()} and keys.count() == wanted_keys.count()
