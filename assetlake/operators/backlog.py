@@ -40,14 +40,18 @@ def in_batches(chosen: DataFrame, step: str) -> DataFrame:
 
 def backlog_counts(assets: DataFrame) -> DataFrame:
     """(step, status, assets) over live assets; embedding and tag only count those with a thumbnail. One pass."""
+    return step_statuses(assets).groupBy("step", "status").agg(F.count(F.lit(1)).alias("assets"))
+
+
+def step_statuses(assets: DataFrame) -> DataFrame:
+    """(step, status): the rows that ``backlog_counts`` counts; its table is kept up by ``rollup.changed_counts`` over those of changed assets."""
     steps = F.array(
         *(
             F.struct(F.lit(step).alias("step"), F.when(_ready() if step in ("embedding", "tag") else E.live(), F.col(f"{step}_status")).alias("status"))
             for step in ("embedding", "tag", "ocr", "face")
         )
     )
-    rows = assets.where(E.live()).select(F.explode(steps).alias("s")).select("s.step", "s.status").where("status is not null")
-    return rows.groupBy("step", "status").agg(F.count(F.lit(1)).alias("assets"))
+    return assets.where(E.live()).select(F.explode(steps).alias("s")).select("s.step", "s.status").where("status is not null")
 
 
 def face_totals(faces: DataFrame) -> DataFrame:

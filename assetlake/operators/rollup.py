@@ -40,3 +40,40 @@ def selection_stats(assets: DataFrame, ids: DataFrame) -> DataFrame:
     """Number and total size of the chosen assets."""
     chosen = assets.join(ids.select("id").distinct(), "id", "left_semi")
     return chosen.agg(F.count(F.lit(1)).alias("assets"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+
+
+# --- roll-ups that are kept, and follow changes --------------------------------------
+
+
+def changed_counts(kept: DataFrame, before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts ``kept`` (keys, n) less the rows of ``before`` and with those of ``after``: of the changed rows, as they were and as they are. What falls to 0 goes."""
+    signed = lambda df, sign: df.select(*keys, F.lit(sign).cast("long").alias("n"))
+    change = signed(before, -1).unionByName(signed(after, 1)).groupBy(*keys).agg(F.sum("n").alias("n")).where("n != 0")
+    return kept.select(*keys, "n").unionByName(change).groupBy(*keys).agg(F.sum("n").alias("n")).where("n != 0")
+
+
+_MOMENT, _MONTH = ["year", "month", "shown_at"], ["year", "month"]
+
+
+def kept_timeline(assets: DataFrame, tz: str = "UTC") -> tuple[DataFrame, DataFrame]:
+    """(months, moments) to be kept: what ``timeline`` counts, for all months, and how many live assets each moment has, from which a lost extreme is found again."""
+    moments = _dated(assets, tz).groupBy(*_MOMENT).agg(F.count(F.lit(1)).alias("n"))
+    return _months(moments), moments
+
+
+def _months(moments: DataFrame) -> DataFrame:
+    return moments.groupBy(*_MONTH).agg(F.sum("n").alias("assets"), F.min("shown_at").alias("first_at"), F.max("shown_at").alias("last_at"))
+
+
+def updated_timeline(months: DataFrame, moments: DataFrame, before: DataFrame, after: DataFrame, tz: str = "UTC") -> tuple[DataFrame, DataFrame]:
+    """(months, moments) after a change set; months that it does not touch are taken over as they are."""
+    old, new = _dated(before, tz).select(*_MOMENT), _dated(after, tz).select(*_MOMENT)
+    touched = old.unionByName(new).select(*_MONTH).distinct()
+    now = changed_counts(moments, old, new, _MOMENT)
+    again = _months(now.join(touched, _MONTH, "left_semi"))
+    return months.join(touched, _MONTH, "left_anti").unionByName(again), now
+
+
+def newest_months(months: DataFrame, limit: int = 120) -> DataFrame:
+    """``timeline`` from the kept months."""
+    return months.orderBy(F.desc("year"), F.desc("month")).limit(min(max(limit, 1), 240))

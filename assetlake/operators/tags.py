@@ -32,6 +32,41 @@ def images_with_all(links: DataFrame, tags: DataFrame, names: list[str]) -> Data
     return links.join(chosen, "tag_id").groupBy("image_id").agg(F.countDistinct("tag_id").alias("n")).where(F.col("n") == len(wanted)).select("image_id")
 
 
+#: Ids of one bitmap, as Spark's bitmap functions deal them.
+_BITS = 32_768
+
+
+def tag_bitmaps(links: DataFrame) -> DataFrame:
+    """(tag_id, bucket, bits): which images carry a tag, as one bitmap for each 32,768 ids; built once and kept."""
+    return links.groupBy("tag_id", F.bitmap_bucket_number("image_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("image_id")).alias("bits"))
+
+
+def lists_of_tags(bitmaps: DataFrame, lists: DataFrame) -> DataFrame:
+    """(list_id, bucket, bits): the images that carry all tags of each list (list_id, tag_id), by bit operations; what has none is left out.
+
+    A list meets its tags' bitmaps only, one for each bucket, however many images they hold.
+    """
+    asked = lists.select("list_id", "tag_id").distinct()
+    size = asked.groupBy("list_id").agg(F.count(F.lit(1)).alias("tags"))
+    met = asked.join(bitmaps, "tag_id").groupBy("list_id", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
+    return met.join(size, "list_id").where((F.col("n") == F.col("tags")) & (F.bitmap_count("bits") > 0)).select("list_id", "bucket", "bits")
+
+
+def image_counts(found: DataFrame) -> DataFrame:
+    """(list_id, images) of ``lists_of_tags``."""
+    return found.groupBy("list_id").agg(F.sum(F.bitmap_count("bits")).alias("images"))
+
+
+def images_in(found: DataFrame) -> DataFrame:
+    """(list_id, image_id): the bits of ``lists_of_tags`` as ids."""
+    byte = lambda i: F.conv(F.hex(F.substring("bits", i + 1, 1)), 16, 10).cast("int")
+    held = found.withColumn("at", F.explode(F.filter(F.sequence(F.lit(0), F.lit(_BITS // 8 - 1)), lambda i: byte(i) != 0)))
+    bits = held.select("list_id", "bucket", "at", byte(F.col("at")).alias("byte"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
+    place = (F.col("at") * 8 + F.col("bit")).cast("long")
+    image_id = F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * _BITS + place + 1).otherwise(F.col("bucket") * _BITS - place)
+    return bits.where(F.expr("getbit(byte, bit) = 1")).select("list_id", image_id.alias("image_id"))
+
+
 def tags_of_image(links: DataFrame, tags: DataFrame) -> DataFrame:
     """Each image's tags with their rank: by score, then name."""
     named = links.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")

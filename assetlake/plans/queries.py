@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 from ..operators import backlog, browse, faces, fingerprint, graph, reconcile, resolve, rollup, tags, textindex, textsearch, vectors
 from ..streaming import events
+from . import registry
 from . import views as V
 from .registry import NOW, query
 
@@ -91,6 +92,30 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.timeline(V.orders(spark, sf_dir), TZ)
 
 
+def _three_changes(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Four states of the orders' assets, the last the present one; each differs from the next by additions, by times and statuses, by deletions."""
+    now = V.orders(spark, sf_dir)
+    alive = now.withColumn("deleted_at", F.when(F.col("id") % 17 != 0, F.col("deleted_at")))
+    moved = alive.withColumns({"taken_at": F.when(F.col("id") % 11 == 0, F.col("mtime") + 40 * 86_400).otherwise(F.col("taken_at")), "tag_status": F.when(F.col("id") % 11 == 0, "pending").otherwise(F.col("tag_status"))})
+    return [moved.where("id % 10 != 7"), moved, alive, now]
+
+
+def _change_sets(states: list[DataFrame]) -> list[tuple[DataFrame, DataFrame]]:
+    """(before, after) of the changed assets between neighbouring states of ``_three_changes``."""
+    changed = ("id % 10 = 7", "id % 11 = 0", "id % 17 = 0")
+    return [(a.where(c), b.where(c)) for a, b, c in zip(states, states[1:], changed, strict=False)]
+
+
+@query(registry.ORACLE_SQL["timeline"])
+def kept_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline from kept months, after three change sets."""
+    states = _three_changes(spark, sf_dir)
+    months, moments = (graph.written(df) for df in rollup.kept_timeline(states[0], TZ))
+    for before, after in _change_sets(states):
+        months, moments = (graph.written(df) for df in rollup.updated_timeline(months, moments, before, after, TZ))
+    return rollup.newest_months(months)
+
+
 @query(f"with {V.ORDERS}, dated as (select id, coalesce(taken_at, mtime) as shown_at, make_timestamp(1000000 * (coalesce(taken_at, mtime) + 7200)) as t from assets_ord where deleted_at is null) select id, year(t)::int as year, month(t)::int as month, shown_at, row_number() over (partition by year(t), month(t) order by shown_at desc, id desc) as rank from dated qualify rank <= 50")
 def timeline_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.timeline_samples(V.orders(spark, sf_dir), TZ)
@@ -127,6 +152,15 @@ def tag_all_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.images_with_all(links, table, ["small", "ring", "small"])
 
 
+@query(f"with {V.TAGS}, lists as (select distinct p_partkey as list_id, unnest(string_split(p_name, ' ')[1:2] || [p_type][1:(p_partkey % 2)::int]) as name from part), sizes as (select list_id, count(*) as n from lists group by list_id), carried as (select distinct image_id, name from links), met as (select list_id, image_id from lists join carried using (name) join sizes using (list_id) group by all having count(*) = any_value(n)) select list_id, count(*) as images from met group by list_id")
+def tag_lists_all_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part the images that carry the first two words of its name, and for every other one its type too."""
+    _, links = V.tags(spark, sf_dir)
+    names = F.concat(F.slice(F.split("p_name", " "), 1, 2), F.when(F.col("p_partkey") % 2 == 1, F.array("p_type")).otherwise(F.array().cast("array<string>")))
+    lists = V.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("list_id"), F.explode(names).alias("name")).select("list_id", F.xxhash64("name").alias("tag_id"))
+    return tags.image_counts(tags.lists_of_tags(graph.written(tags.tag_bitmaps(links)), lists))
+
+
 @query(f"with {V.TAGS}, {V.TAGGED} select id, max(score) as score, any_value(mtime) as mtime from links join assets_part on id = image_id where name = 'small' and deleted_at is null group by id order by score desc, mtime desc, id desc limit 200")
 def images_of_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, links = V.tags(spark, sf_dir)
@@ -209,6 +243,17 @@ def backlog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backlog.backlog_counts(V.orders(spark, sf_dir))
 
 
+@query(registry.ORACLE_SQL["backlog_counts"])
+def kept_backlog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backlog's counts, kept and brought up to date by three change sets."""
+    states = _three_changes(spark, sf_dir)
+    keys = ["step", "status"]
+    kept = backlog.step_statuses(states[0]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    for before, after in _change_sets(states):
+        kept = rollup.changed_counts(graph.written(kept), backlog.step_statuses(before), backlog.step_statuses(after), keys)
+    return kept.withColumnRenamed("n", "assets")
+
+
 @query(f"with {V.ORDERS}, chosen as (select id, row_number() over (order by indexed_at, id) - 1 as n from assets_ord where deleted_at is null and thumb_status = 'ready' and tag_status = 'pending' order by indexed_at, id limit 256) select id, (n // 16)::bigint as batch from chosen")
 def tag_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backlog.in_batches(backlog.backlog(V.orders(spark, sf_dir), "tag"), "tag").select("id", "batch")

@@ -412,3 +412,27 @@ def test_extended_groups_equal_a_rebuild(spark):
     wanted, wanted_keys = fingerprint.grouped_hashes(spark.createDataFrame(rows, schema), 3)
     assert {tuple(r) for r in members.collect()} == {tuple(r) for r in wanted.collect()} and members.count() == wanted.count()
     assert {(r.key, r.dhash) for r in keys.collect()} == {(r.key, r.dhash) for r in wanted_keys.collect()} and keys.count() == wanted_keys.count()
+
+
+def test_bitmaps_of_tags(spark):
+    rng = random.Random(22)
+    images = [1, 2, 32_768, 32_769, 70_000, 0, -3, *(rng.randrange(200_000) for _ in range(60))]
+    links = {(i, t) for i in images for t in range(6) if rng.random() < 0.6}
+    lists = [(n, t) for n in range(12) for t in rng.sample(range(7), rng.randint(1, 3))] + [(0, 0), (0, 0)]
+    bitmaps = tags.tag_bitmaps(spark.createDataFrame(sorted(links), "image_id long, tag_id long"))
+    found = tags.lists_of_tags(bitmaps, spark.createDataFrame(lists, "list_id long, tag_id long"))
+    wanted = {(n, i) for n, _ in lists for i in images if all((i, t) in links for m, t in lists if m == n)}
+    assert {tuple(r) for r in tags.images_in(found).collect()} == wanted
+    assert {r.list_id: r.images for r in tags.image_counts(found).collect()} == {n: len({i for m, i in wanted if m == n}) for n, _ in wanted}
+
+
+def test_kept_timeline_loses_an_extreme(spark):
+    from assetlake.operators import rollup
+
+    schema = "id long, taken_at long, mtime long, deleted_at long"
+    rows = spark.createDataFrame([(1, 100, 0, None), (2, 200, 0, None), (3, 40 * 86_400, 0, None), (4, 300, 0, None)], schema)
+    gone = spark.createDataFrame([(4, 300, 0, 9), (1, 150, 0, None)], schema)
+    months, moments = rollup.updated_timeline(*rollup.kept_timeline(rows), rows.where("id in (1, 4)"), gone)
+    assert [tuple(r) for r in rollup.newest_months(months).collect()] == [(1970, 2, 1, 3_456_000, 3_456_000), (1970, 1, 2, 150, 200)]
+    months, moments = rollup.updated_timeline(months, moments, rows.where("id = 3"), rows.where("false"))
+    assert [tuple(r) for r in months.collect()] == [(1970, 1, 2, 150, 200)] and moments.count() == 2
