@@ -11,6 +11,8 @@ from ..functions import expressions as E
 UNDO_SECONDS = 30 * 86_400
 RULES = ("largest", "newest", "biggest_file", "shortest_name")
 LARGEST_PAGE = 500
+#: Items of a row of an undo entry, on average.
+ITEMS_OF_A_ROW = 10_000
 
 
 
@@ -148,14 +150,16 @@ def merge_groups(groups: DataFrame, items: DataFrame, source: int, target: int)
 def soft_delete(assets: DataFrame, roots: DataFrame, ids: DataFrame, now: int, permanent: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(assets, undo rows, failures): the live assets of ``ids`` are deleted as of ``now``; unknown ids fail.
 
-    One undo row covers all that were deleted; without any there is none.
+    One undo entry covers all that were deleted, in a row for each ``ITEMS_OF_A_ROW`` items or so, which
+    share what else an entry has; without any there is none.
     """
     asked = ids.select("id").where("id > 0").distinct()
     paths = roots.select(F.col("id").alias("root_id"), F.col("path").alias("root_path"))
     found = assets.where(E.live()).join(asked, "id", "left_semi").join(paths, "root_id", "left")
     item = F.struct(F.col("id").alias("imageId"), F.concat_ws("/", "root_path", "rel_path").alias("originalPath"), F.lit(permanent).alias("permanent"))
     payload = F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("items")))
-    undo = found.agg(payload.alias("payload_json"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    parts = found.agg(F.ceil(F.count(F.lit(1)) / ITEMS_OF_A_ROW).alias("parts"))  # one row
+    undo = found.crossJoin(F.broadcast(parts)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).groupBy("part").agg(payload.alias("payload_json"))
     undo = undo.select(F.lit("trash").alias("action"), "payload_json", F.lit(now + UNDO_SECONDS).cast("long").alias("can_undo_until"), F.lit(None).cast("long").alias("undone_at"), F.lit(now).cast("long").alias("created_at"))
     mark = asked.withColumn("gone", F.lit(True))
     deleted = assets.join(mark, "id", "left").withColumn("deleted_at", F.when(F.col("gone") & E.live(), F.lit(now)).otherwise(F.col("deleted_at"))).select(assets.columns)
@@ -186,11 +190,17 @@ def undo(assets: DataFrame, undo_log: DataFrame, undo_id: int, now: int, enforce
 
 
 def undo_history(undo_log: DataFrame, limit: int = 50) -> DataFrame:
-    """Entries that can still be undone, newest first, with their number of items."""
+    """Entries that can still be undone, newest first, with their number of items; an entry's rows are one, without the payload."""
     n = F.coalesce(F.size(F.from_json("payload_json", schemas.UNDO_ITEMS)["items"]), F.lit(0))
-    return undo_log.where("undone_at is null").orderBy(F.desc("created_at"), F.desc("id")).limit(min(max(limit, 1), 200)).withColumn("item_count", n)
+    entries = undo_log.where("undone_at is null").groupBy(*_entry(undo_log)).agg(F.sum(n).alias("item_count"))
+    return entries.orderBy(F.desc("created_at"), F.desc("id")).limit(min(max(limit, 1), 200))
 
 
 def expired_undo(undo_log: DataFrame, now: int) -> DataFrame:
-    """Entries whose window is over."""
-    return undo_log.where((F.col("can_undo_until") < now) & F.col("undone_at").isNull())
+    """Entries whose window is over, without their payloads."""
+    return undo_log.where((F.col("can_undo_until") < now) & F.col("undone_at").isNull()).select(*_entry(undo_log)).distinct()
+
+
+def _entry(undo_log: DataFrame) -> list[str]:
+    """The columns that all rows of an entry share."""
+    return [c for c in undo_log.columns if c != "payload_json"]

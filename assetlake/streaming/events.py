@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.graph import written
+
 KINDS = ("create", "modify", "remove")
 SECONDS = 1.0
 
@@ -42,6 +45,8 @@ def skipped_roots(roots: DataFrame) -> DataFrame:
 
 #: Length of the pieces of time, in waits, at whose ends a root's events may be dealt to other tasks.
 _PIECE = 256
+#: Pieces of a part that one task folds; longer parts are folded piece by piece.
+_SHORT = 64
 
 
 def debounce_batch(events: DataFrame, seconds: float = SECONDS) -> DataFrame:
@@ -50,17 +55,21 @@ def debounce_batch(events: DataFrame, seconds: float = SECONDS) -> DataFrame:
     Events that do not fire do not prolong the wait. An event that comes at least
     the wait after the one before it always fires, so a root's time is cut there,
     where such a gap falls on the end of a piece of time, and the parts are folded
-    apart. A task reads its parts in time order and holds one time.
+    apart. A task reads its parts in time order and holds one time. A part
+    without gaps that is longer than ``_SHORT`` pieces is folded in many tasks (``_fold_long``).
     """
     span = int(seconds * 1_000_000)
     at = events.select("root_id", F.unix_micros("ts").alias("at")).where("at is not null").withColumn("piece", F.floor(F.col("at") / (span * _PIECE)))
     own = Window.partitionBy("root_id").orderBy("piece")
     pieces = at.groupBy("root_id", "piece").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     new = F.coalesce(F.col("first") - F.lag("last").over(own) >= span, F.lit(True))
-    parts = pieces.withColumn("new", new.cast("int")).select(F.col("root_id").alias("of_root"), F.col("piece").alias("of_piece"), F.sum("new").over(own).alias("part"))
-    placed = at.join(parts, F.col("root_id").eqNullSafe(F.col("of_root")) & (F.col("piece") == F.col("of_piece"))).select("root_id", "part", "at")
+    parts = pieces.withColumn("new", new.cast("int")).select("root_id", "piece", "first", F.sum("new").over(own).alias("part"))
+    parts = written(parts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("root_id", "part"))))
+    most = parts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    named = parts.select(F.col("root_id").alias("of_root"), F.col("piece").alias("of_piece"), "part", "n")
+    placed = at.join(named, F.col("root_id").eqNullSafe(F.col("of_root")) & (F.col("piece") == F.col("of_piece"))).select("root_id", "part", "piece", "n", "at")
     tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.repartition(tasks, "root_id", "part").sortWithinPartitions("root_id", "part", "at")
+    dealt = placed.where(F.col("n") <= _SHORT).repartition(tasks, "root_id", "part").sortWithinPartitions("root_id", "part", "at").select("root_id", "part", "at")
 
     def fold(batches):
         of, last = None, None
@@ -74,9 +83,62 @@ def debounce_batch(events: DataFrame, seconds: float = SECONDS) -> DataFrame:
             yield batch.select(["root_id", "at"]).take(pa.array(fired, pa.int64()))
 
     fired = dealt.mapInArrow(fold, dealt.select("root_id", "at").schema)
+    if most > _SHORT:
+        fired = fired.unionByName(_fold_long(placed.where(F.col("n") > _SHORT).drop("n"), span, most))
     return fired.select("root_id", F.timestamp_micros("at").alias("ts"))
 
 
+def _fold_long(placed: DataFrame, span: int, most: int) -> DataFrame:
+    """(root_id, at) of what fires in parts (root_id, part, piece, at) of at most ``most`` neighbouring pieces each.
+
+    Where a piece is entered decides all that fires in it, and it is entered
+    within its first wait or at the next event. For each such entry a piece gives
+    its last firing, hence the entry of the next piece. Which entries are met
+    from a part's first event on is found by doubling: jumps of one piece, of two,
+    of four and so on. Then every piece is folded from its own entry.
+    """
+    times = written(placed.distinct().withColumn("root", F.struct("root_id")))  # a struct, so that null roots meet too
+    key = ("root", "part", "piece")
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["at"].to_numpy())
+        jump = np.append(np.searchsorted(t, t + span), len(t))
+        last = np.arange(len(t) + 1)
+        while (jump < len(t)).any():
+            last, jump = np.where(jump < len(t), last[jump], last), jump[jump]
+        begin = int(pdf["piece"].iloc[0]) * _PIECE * span + span
+        n = min(int(np.searchsorted(t, begin)) + 1, len(t))
+        return pd.DataFrame({"root_id": [pdf["root_id"].iloc[0]] * n, "part": pdf["part"].iloc[0], "piece": pdf["piece"].iloc[0], "entry": t[:n], "last": t[last[:n]]})
+
+    kind = {f.name: f.dataType.simpleString() for f in times.schema.fields}
+    entries = times.groupBy(*key).applyInPandas(ends, f"root_id {kind['root_id']}, part {kind['part']}, piece {kind['piece']}, entry long, last long")
+    entries = written(entries.withColumn("root", F.struct("root_id")))
+    after = entries.select("root", "part", (F.col("piece") + 1).alias("piece"), (F.col("last") + span).alias("x"), F.col("entry").alias("of"))
+    here = entries.select("root", "part", "piece", F.col("entry").alias("x"), F.lit(None).cast("long").alias("of"))
+    order = Window.partitionBy(*key).orderBy("x", F.col("of").isNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    met = after.unionByName(here).withColumn("to", F.first(F.when(F.col("of").isNull(), F.col("x")), ignorenulls=True).over(order)).where("of is not null and to is not null")
+    jumps = written(met.select("root", "part", (F.col("piece") - 1).alias("piece"), F.col("of").alias("entry"), "to"))
+    first = entries.groupBy("root", "part").agg(F.min(F.struct("piece", "entry")).alias("first"))
+    seen = written(first.select("root", "part", "first.piece", "first.entry"))
+    length = 1
+    while length < most:
+        reached = seen.join(jumps, [*key, "entry"]).select("root", "part", (F.col("piece") + length).alias("piece"), F.col("to").alias("entry"))
+        seen = written(seen.unionByName(reached))
+        onward = jumps.select("root", "part", (F.col("piece") - length).alias("piece"), F.col("entry").alias("to"), F.col("to").alias("on"))
+        jumps = written(jumps.join(onward, [*key, "to"]).select(*key, "entry", F.col("on").alias("to")))
+        length *= 2
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["at"].to_numpy())
+        n, fired = int(np.searchsorted(t, pdf["entry"].iloc[0])), []
+        while n < len(t):
+            fired.append(int(t[n]))
+            n = int(np.searchsorted(t, t[n] + span))
+        return pd.DataFrame({"root_id": [pdf["root_id"].iloc[0]] * len(fired), "at": fired})
+
+    return times.join(seen, [*key]).groupBy(*key).applyInPandas(fold, f"root_id {kind['root_id']}, at long")
+
+
 class _Debounce(StatefulProcessor):
     """Keeps the last fired time (microseconds) of a root."""
 

@@ -436,3 +436,35 @@ def test_kept_timeline_loses_an_extreme(spark):
     assert [tuple(r) for r in rollup.newest_months(months).collect()] == [(1970, 2, 1, 3_456_000, 3_456_000), (1970, 1, 2, 150, 200)]
     months, moments = rollup.updated_timeline(months, moments, rows.where("id = 3"), rows.where("false"))
     assert [tuple(r) for r in months.collect()] == [(1970, 1, 2, 150, 200)] and moments.count() == 2
+
+
+def test_debounce_of_dense_roots_in_many_tasks(spark, monkeypatch):
+    """Roots without a gap, longer than one task takes, against the loop; also a root without an id."""
+    monkeypatch.setattr(events, "_SHORT", 2)
+    monkeypatch.setattr(events, "_PIECE", 4)
+    rng = random.Random(23)
+    rows = []
+    for root, gap, n in ((1, 900_000, 600), (2, 300_000, 900), (3, 5_000_000, 50), (None, 700_000, 300), (4, 1_000_000, 200)):
+        t = 1_700_000_000_000_000 + rng.randrange(10**6)
+        for _ in range(n):
+            t += gap if root == 4 else rng.randrange(gap)
+            rows += [(root, t)] * rng.choice((1, 1, 2))
+    df = spark.createDataFrame(rows, "root_id long, at long").select("root_id", F.timestamp_micros("at").alias("ts"))
+    wanted, last = [], {}
+    for root, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        if root not in last or t - last[root] >= 1_000_000:
+            last[root] = t
+            wanted.append((root, t))
+    got = [tuple(r) for r in events.debounce_batch(df, 1.0).select("root_id", F.unix_micros("ts")).collect()]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+
+
+def test_undo_entry_in_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "ITEMS_OF_A_ROW", 2)
+    table = assets(spark, [asset(n) for n in range(1, 10)])
+    after, undo, _ = resolve.soft_delete(table, spark.createDataFrame([(1, "/r")], "id long, path string"), spark.createDataFrame([(n,) for n in range(1, 8)], "id long"), 100)
+    log = graph.written(undo.withColumn("id", F.lit(1).cast("long")))
+    assert log.count() > 1 and resolve.undo_history(log).first().item_count == 7 and resolve.undo_history(log).count() == 1
+    back, log = resolve.undo(after, log, 1, 200)
+    assert back.where("deleted_at is null").count() == 9 and log.where("undone_at is null").count() == 0
+    assert resolve.expired_undo(undo.withColumn("id", F.lit(2).cast("long")), 10**12).count() == 1
