@@ -571,6 +571,21 @@ def test_grammar_of_clauses():
 # --- 7 token counts ----------------------------------------------------------------------
 
 
+def test_token_counts_against_the_library(spark):
+    """The library itself, not the operator's way of calling it."""
+    import sentencepiece
+    import tokenizers
+
+    rows = EDGES + [(n, " ".join(words(random.Random(n), 40)) + " é\u3000x <s></s> <unk>\n") for n in range(20, 40)]
+    piece = sentencepiece.SentencePieceProcessor(model_file=str(PIECE_BPE))
+    whole = tokenizers.Tokenizer.from_file(str(WORD_BPE))
+    whole.no_truncation()
+    whole.no_padding()
+    for path, count in ((PIECE_BPE, lambda t: len(piece.encode(t))), (WORD_BPE, lambda t: len(whole.encode(t, add_special_tokens=False).ids))):
+        got = token_counts.token_counts(table(spark, rows), path).collect()
+        assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == sorted((i or 0, count(t or "")) for i, t in rows)
+
+
 @pytest.mark.parametrize("path", [PIECE_BPE, WORD_BPE])
 def test_token_counts(spark, edges, nothing, path, tmp_path):
     cache = f"file://{tmp_path}/cache"
