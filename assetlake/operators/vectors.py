@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from . import browse, lists, tags
+from . import backlog, browse, lists, tags
 from .graph import written
 
 DEFAULT_HITS, MOST_HITS = 40, 200
@@ -26,6 +26,14 @@ def upsert_vectors(old: DataFrame, new: DataFrame, dims: int, key: str = "image_
     return old.join(new.select(key), key, "left_anti").select(old.columns).unionByName(checked.select(old.columns))
 
 
+def write_back(assets: DataFrame, vectors: DataFrame, results: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """(assets, vectors) after a batch of the embedding model: ``results`` (id, result); an asset without a vector in it has failed, the others are ready and their vectors stored."""
+    given = results.where("result is not null").select(F.col("id").alias("image_id"), F.col("result").alias("embedding"))
+    judged = results.select("id", "result", F.when(F.col("result").isNull(), F.lit("no vector")).alias("error"))
+    fresh = with_dimension(given, dims).select(*(F.col(c) if c in ("image_id", "embedding") else F.lit(None).cast(vectors.schema[c].dataType).alias(c) for c in vectors.columns))
+    return backlog.merge_results(assets, judged, "embedding"), upsert_vectors(vectors, fresh, dims)
+
+
 def vector_of(vectors: DataFrame, image_id: int) -> DataFrame:
     return vectors.where(F.col("image_id") == image_id).limit(1)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from functools import reduce
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..operators import backlog, browse, faces, fingerprint, graph, reconcile, resolve, rollup, tags, textindex, textsearch, vectors
@@ -34,6 +35,21 @@ def browse_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.browse(V.orders(spark, sf_dir), _PAGE, V.roots(spark, sf_dir)).select("id", "full_path", E.shown_at().alias("shown_at"))
 
 
+_ORDERS = {"taken_at": "coalesce(taken_at, mtime)", "filename": "lower(filename)", "size_bytes": "size_bytes", "mtime": "mtime"}
+
+
+@query(f"with {V.ORDERS} " + " union all ".join(f"(select '{key}' as sort, '{way}' as direction, id, row_number() over (order by {by} {way}, id {way}) as place from assets_ord where deleted_at is null and extension in ('o', 'f') qualify place between 6 and 105)" for key, by in _ORDERS.items() for way in ("asc", "desc")))
+def browse_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of each of the eight orders."""
+    pages = []
+    for key in browse.SORT_KEYS:
+        for way in ("asc", "desc"):
+            p = browse.BrowseParams(formats=("o", "f"), sort=key, direction=way, offset=5, limit=100)
+            place = F.row_number().over(Window.orderBy(*browse.ordering(p))) + p.offset  # a page's rows
+            pages.append(browse.browse(V.orders(spark, sf_dir), p).select(F.lit(key).alias("sort"), F.lit(way).alias("direction"), "id", place.alias("place")))
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query(f"with {V.ORDERS} select count(*) as total from assets_ord where {_WHERE}")
 def page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.page_total(V.orders(spark, sf_dir), _PAGE)
@@ -432,6 +448,16 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(stored, asked, 10).select("query_id", "image_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"with {V.ORDERS} select a.id, case when e.vec_id is null then a.embedding_status when e.vec_id % 3 = 0 then 'failed' else 'ready' end as embedding_status, case when e.vec_id % 3 != 0 then round(list_sum(list_transform(e.embedding, lambda x: 2 * x::double)), 4) when e.vec_id % 2 = 0 then round(list_sum(list_transform(e.embedding, lambda x: x::double)), 4) end as total from assets_ord a left join embeddings e on e.vec_id = a.id")
+def vector_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of doubled vectors, every third of them missing, written over a store that has every other one."""
+    stored = V.vectors(spark, sf_dir).select("image_id", "embedding")
+    doubled = F.when(F.col("image_id") % 3 != 0, F.transform("embedding", lambda x: 2 * x))
+    assets, after = vectors.write_back(V.orders(spark, sf_dir), stored.where("image_id % 2 = 0"), stored.select(F.col("image_id").alias("id"), doubled.alias("result")), 64)
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda n, x: n + x.cast("double")), 4)
+    return assets.select("id", "embedding_status").join(after.select(F.col("image_id").alias("id"), total.alias("total")), "id", "left")
+
+
 @query(f"with found as (select q.vec_id as query_id, v.vec_id as image_id, {_DISTANCE} as distance from embeddings v, embeddings q where q.vec_id % 20 = 0 and v.vec_id != q.vec_id) select query_id, image_id, row_number() over (partition by query_id order by distance, image_id) as rank from found qualify rank <= 40")
 def similar_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = V.vectors(spark, sf_dir)

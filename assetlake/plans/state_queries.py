@@ -585,3 +585,14 @@ def watched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def skipped_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = _roots(spark, sf_dir).withColumn("type", F.when(F.col("created_at") % 2 == 1, "network").otherwise(F.col("type")))
     return events.skipped_roots(network).select("id")
+
+
+@query(f"with {V.ORDERS}, {V.TAGS} select 'assets' as table, 'table' as kind, count(*) as rows from assets_ord union all select 'links', 'table', count(*) from links union all select 'vectors', 'table', count(*) from embeddings")
+def restored_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of a snapshot whose tables were restored by it."""
+    path = graph.fresh_path(spark, "snapshot")
+    held = {"assets": V.orders(spark, sf_dir), "links": V.tags(spark, sf_dir)[1], "vectors": V.vectors(spark, sf_dir)}
+    manifest = export.export_snapshot(held, path)
+    back = export.restore_snapshot(spark, path, graph.fresh_path(spark, "staging"))
+    counts = reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows") for name, df in back.items()))
+    return manifest.select("table", "kind").join(counts, "table")

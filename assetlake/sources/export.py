@@ -28,26 +28,49 @@ def export_duplicates_csv(report: DataFrame, path: str) -> None:
     marked.write.csv(path, header=True, quote='"', escape='"', emptyValue="", mode="overwrite")
 
 
-def export_snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Write every table as Parquet under ``path`` and a manifest (table, rows, files) beside; returns the manifest."""
+_MANIFEST = "table string, kind string, rows long, files long, digest string"
+
+
+def table_digest(df: DataFrame) -> DataFrame:
+    """One row (rows, digest): a sum of the rows' hashes, whatever their order."""
+    total = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(total, F.lit(0)).cast("string").alias("digest"))
+
+
+def folder_table(spark: SparkSession, path: str) -> DataFrame:
+    """(rel_path, bytes, sha256, content) of all files below a folder, thumbnails or models."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    root = "/" + path.removeprefix("file:").strip("/")
+    return files.select(F.substring(bare("path"), len(root) + 2, 1_000_000).alias("rel_path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
+
+
+def export_snapshot(tables: dict[str, DataFrame], path: str, folders: dict[str, str] | None = None) -> DataFrame:
+    """Write every table as Parquet under ``path``, on request ``folders`` (thumbnails, models) as tables of files, and a manifest beside.
+
+    Returns the manifest (table, kind, rows, files, digest).
+    """
     spark = next(iter(tables.values())).sparkSession
     rows = []
-    for name, df in sorted(tables.items()):
+    held = [(name, "table", df) for name, df in sorted(tables.items())] + [(name, "folder", folder_table(spark, place)) for name, place in sorted((folders or {}).items())]
+    for name, kind, df in held:
         df.write.parquet(f"{path}/{name}", mode="overwrite")
         back = spark.read.parquet(f"{path}/{name}")
-        rows.append((name, back.count(), len(back.inputFiles())))
-    manifest = spark.createDataFrame(rows, "table string, rows long, files long")
+        facts = table_digest(back).first()
+        rows.append((name, kind, facts["rows"], len(back.inputFiles()), facts["digest"]))
+    manifest = spark.createDataFrame(rows, _MANIFEST)
     manifest.coalesce(1).write.json(f"{path}/manifest", mode="overwrite")
     return manifest
 
 
 def restore_snapshot(spark: SparkSession, path: str, staging: str) -> dict[str, DataFrame]:
-    """Copy a snapshot into ``staging`` and return its tables, after checking their rows against the manifest."""
+    """Copy a snapshot into ``staging`` and return its tables, after checking their rows and digests against the manifest."""
     out = {}
-    for r in spark.read.schema("table string, rows long, files long").json(f"{path}/manifest").collect():
+    for r in spark.read.schema(_MANIFEST).json(f"{path}/manifest").collect():
         df = spark.read.parquet(f"{path}/{r['table']}")
-        if df.count() != r["rows"]:
-            raise ValueError(f"{r['table']} has not the {r['rows']} rows of the manifest")
+        facts = table_digest(df).first()
+        if (facts["rows"], facts["digest"]) != (r["rows"], r["digest"]):
+            raise ValueError(f"{r['table']} is not the table of {r['rows']} rows that the manifest has")
         df.write.parquet(f"{staging}/{r['table']}", mode="error")
         out[r["table"]] = spark.read.parquet(f"{staging}/{r['table']}")
     return out

@@ -335,6 +335,15 @@ def test_report_and_snapshot(spark, tmp_path):
     export.export_snapshot({"items": items, "roots": roots}, str(tmp_path / "snap"))
     back = export.restore_snapshot(spark, str(tmp_path / "snap"), str(tmp_path / "staging"))
     assert back["items"].count() == 2 and back["roots"].count() == 1
+    (tmp_path / "thumbs" / "ab").mkdir(parents=True)
+    (tmp_path / "thumbs" / "ab" / "x 1%.webp").write_bytes(b"picture")
+    manifest = export.export_snapshot({"items": items}, str(tmp_path / "snap2"), {"thumbnails": f"file://{tmp_path}/thumbs"})
+    assert {(r.table, r.kind, r.rows) for r in manifest.collect()} == {("items", "table", 2), ("thumbnails", "folder", 1)}
+    (kept,) = export.restore_snapshot(spark, str(tmp_path / "snap2"), str(tmp_path / "staging2"))["thumbnails"].collect()
+    assert (kept.rel_path, kept.bytes, kept.sha256, bytes(kept.content)) == ("ab/x 1%.webp", 7, hashlib.sha256(b"picture").hexdigest(), b"picture")
+    spark.createDataFrame([(1, 1, 0.5), (1, 2, None)], schemas.GROUP_ITEMS).write.mode("overwrite").parquet(str(tmp_path / "snap" / "items"))
+    with pytest.raises(ValueError, match="items"):
+        export.restore_snapshot(spark, str(tmp_path / "snap"), str(tmp_path / "staging3"))
 
 
 def test_event_routing(spark):
