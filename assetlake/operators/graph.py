@@ -24,9 +24,12 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, a scan, dealt to all cores if it comes in fewer parts than half of them: a small file is one task else."""
+    """``df`` dealt to all cores if it is a mere scan of fewer parts than half of them: a small file is one task else."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores // 2 else df
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores // 2 else df
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textsearch as S
-from .graph import written
+from .graph import spread, written
 
 BUCKETS = 64
 BLOCK_IDS = 256
@@ -74,6 +74,7 @@ def _numbers(assets: DataFrame) -> DataFrame:
 def _write(spark: SparkSession, path: str, before: DataFrame | None, after: DataFrame) -> int:
     """One version: ``after`` takes the place of ``before`` (assets as they were)."""
     version = (_versions(spark, path) or [0])[-1] + 1
+    after = spread(after)
     place = lambda table: f"{path}/{table}/version={version}"
     alive = after.select("id", F.col("deleted_at").isNull().alias("live"))
     rows = S.postings(after).withColumn("block", block_of(F.col("id"))).join(alive, "id").withColumn("bucket", bucket_of(F.col("token")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from ..operators import backlog, browse, faces, fingerprint, graph, reconcile, resolve, rollup, tags, textindex, textsearch, vectors
+from ..operators import backlog, browse, buckets, faces, fingerprint, graph, reconcile, resolve, rollup, tags, textindex, textsearch, vectors
 from ..streaming import events
 from . import registry
 from . import views as V
@@ -254,6 +254,14 @@ def reconcile_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("id", "root_id", "rel_path", "size_bytes", "thumb_status", "ocr_status", "deleted_at")
 
 
+@query(registry.ORACLE_SQL["reconcile_apply"])
+def reconcile_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from catalog and listing in buckets, by one join that moves neither."""
+    prev, listing = buckets.write_buckets(V.orders(spark, sf_dir), "assets"), buckets.write_buckets(V.listing(spark, sf_dir), "listing")
+    after = buckets.next_version(prev, listing, NOW)
+    return after.select("id", "root_id", "rel_path", "size_bytes", "thumb_status", "ocr_status", "deleted_at")
+
+
 @query(f"with {V.ORDERS}, counted as (select unnest([{{'step': 'embedding', 'status': case when thumb_status = 'ready' then embedding_status end}}, {{'step': 'tag', 'status': case when thumb_status = 'ready' then tag_status end}}, {{'step': 'ocr', 'status': ocr_status}}, {{'step': 'face', 'status': face_status}}]) as s from assets_ord where deleted_at is null) select s.step as step, s.status as status, count(*) as assets from counted where s.status is not null group by all")
 def backlog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backlog.backlog_counts(V.orders(spark, sf_dir))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import spread
+
 #: Catalog columns that the orders view does not fill.
 _EMPTY = {"camera_make": "string", "camera_model": "string", "thumb_hash": "string", "thumb_error": "string", "content_hash": "string", "phash": "bigint", "dhash": "bigint", "ocr_text": "string"}
 
@@ -111,7 +113,7 @@ TAGGED = "assets_part as (select p_partkey as id, p_name as filename, lower(p_br
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-bit signatures (id, dhash) of all documents with a text: signs of summed shingle hash bits."""
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ")
-    docs = read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), words.alias("w"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).where("text is not null").select(F.col("doc_id").alias("id"), words.alias("w"))
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))
     bits = docs.select("id", F.explode(runs).alias("run")).select("id", F.unhex(F.substring(F.md5("run"), 1, 16)).alias("raw"))
     value = bits.select("id", F.conv(F.hex("raw"), 16, -10).cast("bigint").alias("v"))
