@@ -1,18 +1,26 @@
-"""License scans: a word index of the templates picks candidates, banded alignment measures them.
+"""License scans: winnowed fingerprints of the templates pick candidates, banded alignment measures them.
 
-All words of the templates are in an inverted index (hash -> template, place),
-so no edit can hide a place. A template is a candidate where a stretch of its
-length and a band on either side holds as many of its words as ``COVERAGE``
-asks for; there the equal words are counted by diagonals, and on each diagonal
-whose band has enough of them the template's words are aligned to the
+The words of a template are winnowed: of every ``window`` words in a row the one
+with the smallest hash is a fingerprint (of equal ones the last), and an inverted
+index maps each fingerprint to the templates that chose it. A fingerprint is one
+word, so an edit beside it does not hide it: of a place with a coverage of
+``COVERAGE`` at most a known number of words is missing, so at least
+``fingerprints - missing`` of them stand in the document, within the template's
+length and a band on either side. That is how a candidate is picked. Each
+template gets the widest window, of ``WINDOW`` words at most, that leaves more
+than half of its fingerprints to count on, so no place is lost.
+
+Around a candidate the equal words are counted by diagonals, and on each
+diagonal whose band has enough of them the template's words are aligned to the
 document's inside the band. The matched words give coverage and span. Places
 with a coverage of ``COVERAGE`` or more are reported; of overlapping places of
 one template the one with the most matched words. A place that is only in part
 alike and lies inside one of another template with a greater coverage and no
 fewer matched words is a place of that other template, and only of it.
 
-The templates are a dictionary that the driver holds; every executor gets it
-once, by a broadcast. Documents are only scanned, never shuffled.
+The templates are a dictionary that the driver holds, of ``TEMPLATE_BYTES`` of
+text at most (more raises a ValueError); every executor gets it once, by a
+broadcast. Documents are only scanned, never shuffled.
 
 Defined cases: null and empty texts match nothing; templates without words are
 left out; long texts are scanned whole; several places of a template are a row
@@ -32,6 +40,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 COVERAGE = 0.8
+WINDOW = 4
+TEMPLATE_BYTES = 16 << 20
 _BITS = 18
 SCHEMA = "doc_id long, license string, coverage double, matched_words long, start long, stop long"
 
@@ -104,32 +114,46 @@ sell, or distribute this software, either in source code form or as a compiled b
 } | {f"{code}/spdx": f"SPDX-License-Identifier: {code}" for code in _SPDX}
 
 
+def winnowed(h: np.ndarray, window: int) -> np.ndarray:
+    """Places of the fingerprints: the smallest hash of every ``window`` in a row, of equal ones the last."""
+    window = min(window, len(h))
+    runs = np.lib.stride_tricks.sliding_window_view(h, window)[:, ::-1]
+    return np.unique(np.arange(len(runs)) + window - 1 - runs.argmin(axis=1))
+
+
 class _Index:
-    """Words of the templates: which templates hold them, and where."""
+    """Fingerprints of the templates: which templates chose them, and how many of them a place cannot be without."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.names, self.words = [], []
         for name, text in sorted(templates.items()):
             h, _, _ = common.word_hashes(text)
             if len(h):
                 self.names.append(name)
                 self.words.append(h)
-        self.keys = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
-        self.near = np.zeros(1 << _BITS, bool)
-        self.near[self.keys >> np.uint64(64 - _BITS)] = True
-        self.sizes = np.array([len(w) for w in self.words])
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.bands = np.maximum(1, np.minimum(16, self.sizes // 4))
+        self.need = _needed(self.sizes, coverage)
+        self.reach = self.sizes + 2 * self.bands
         self.order = [np.argsort(w, kind="stable") for w in self.words]
         self.sorted = [w[o] for w, o in zip(self.words, self.order, strict=True)]
-        # (word, template) pairs by word
-        pairs = [(np.searchsorted(self.keys, np.unique(w)), t) for t, w in enumerate(self.words)]
-        word = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in pairs)])
+        prints, hits = [], []
+        for w, missing in zip(self.words, (self.sizes - self.need).tolist(), strict=True):
+            places = next(p for n in range(WINDOW, 0, -1) if len(p := winnowed(w, n)) > 2 * missing or n == 1)
+            prints.append(np.unique(w[places]))
+            hits.append(max(1, len(places) - missing))
+        self.hits = np.array(hits, np.int64)
+        self.keys = np.unique(np.concatenate([*prints, np.zeros(0, np.uint64)]))
+        self.near = np.zeros(1 << _BITS, bool)
+        self.near[self.keys >> np.uint64(64 - _BITS)] = True
+        # (fingerprint, template) pairs by fingerprint
+        word = np.concatenate([np.zeros(0, np.int64), *(np.searchsorted(self.keys, p) for p in prints)])
         by = np.argsort(word, kind="stable")
-        self.holders = np.concatenate([np.zeros(0, np.int64), *(np.full(len(k), t) for k, t in pairs)])[by]
+        self.holders = np.concatenate([np.zeros(0, np.int64), *(np.full(len(p), t) for t, p in enumerate(prints))])[by]
         self.first = np.searchsorted(word[by], np.arange(len(self.keys) + 1))
 
-    def places(self, h: np.ndarray, coverage: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(template, its places, the document's places) of the equal words where enough of a template's words are near each other."""
+    def places(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(template, its places, the document's places) of the equal words around each candidate."""
         at = np.flatnonzero(self.near[h >> np.uint64(64 - _BITS)])
         if not len(at):
             return
@@ -139,24 +163,38 @@ class _Index:
         n = self.first[word + 1] - self.first[word]
         rows = np.repeat(np.arange(len(at)), n)
         holder = self.holders[np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + self.first[word][rows]]
-        need = _needed(self.sizes, coverage)
-        enough = np.flatnonzero(np.bincount(holder, minlength=len(self.sizes)) >= need)
-        for t in enough.tolist():
+        for t in np.flatnonzero(np.bincount(holder, minlength=len(self.sizes)) >= self.hits).tolist():
+            reach, hits, need = int(self.reach[t]), int(self.hits[t]), int(self.need[t])
             p = at[rows[holder == t]]
-            # matched words of one place lie inside the template's length and a band on either side
-            a = np.flatnonzero(p[need[t] - 1 :] - p[: len(p) - need[t] + 1] < self.sizes[t] + 2 * self.bands[t])
+            last = p[hits - 1 :]
+            first = p[: len(p) - hits + 1]
+            close = last - first < reach
+            # the words of a place are within its reach of each of its fingerprints
+            p = _covered(len(h), last[close] - reach + 1, first[close] + reach)
+            p = p[_holds(self.sorted[t], h[p])]
+            a = np.flatnonzero(p[need - 1 :] - p[: max(0, len(p) - need + 1)] < reach)
             if not len(a):
                 continue
-            inside = np.zeros(len(p) + 1, np.int64)
-            np.add.at(inside, a, 1)
-            np.add.at(inside, a + need[t], -1)
-            p = p[np.cumsum(inside[:-1]) > 0]
+            p = p[_covered(len(p), a, a + need)]
             lo, hi = np.searchsorted(self.sorted[t], h[p], "left"), np.searchsorted(self.sorted[t], h[p], "right")
             p2 = np.repeat(p, hi - lo)
             i = self.order[t][np.arange(len(p2)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
             yield t, i, p2
 
 
+def _covered(size: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places under ``size`` that lie in one of the ranges."""
+    inside = np.zeros(size + 1, np.int64)
+    np.add.at(inside, np.maximum(begins, 0), 1)
+    np.add.at(inside, np.minimum(ends, size), -1)
+    return np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+
+
+def _holds(among: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of ``h`` are in the sorted ``among``."""
+    return among[np.minimum(np.searchsorted(among, h), len(among) - 1)] == h
+
+
 def _needed(size, coverage: float):
     """The least number of matched words with a share of ``coverage`` in ``size`` words; at least one."""
     return np.maximum(1, np.ceil(size * coverage - 1e-9).astype(np.int64))
@@ -183,12 +221,12 @@ def _align(template: list[int], doc: list[int], diagonal: int, band: int) -> tup
     return matched, start, end - 1
 
 
-def matches(h: np.ndarray, index: _Index, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
+def matches(h: np.ndarray, index: _Index) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched words, first word, last word) of each place in a document's word hashes."""
     out = []
-    for t, i, j in index.places(h, coverage):
+    for t, i, j in index.places(h):
         template, band = index.words[t], int(index.bands[t])
-        n, need = len(template), int(_needed(len(template), coverage))
+        n, need = len(template), int(index.need[t])
         order = np.argsort(j - i, kind="stable")
         d, i = (j - i)[order], i[order]
         tried = np.unique((np.unique(d)[:, None] + np.arange(-band, band + 1)[None, :]).ravel())
@@ -229,15 +267,18 @@ def _named(places: list[tuple[str, float, int, int, int]]) -> list[tuple[str, fl
 
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, matched_words, start, stop) of each place; offsets in code points, end exclusive."""
-    shipped = docs.sparkSession.sparkContext.broadcast(TEMPLATES if templates is None else templates)
+    templates = TEMPLATES if templates is None else templates
+    if (size := sum(len(t.encode()) for t in templates.values())) > TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of templates, {TEMPLATE_BYTES} at most")
+    shipped = docs.sparkSession.sparkContext.broadcast(templates)
 
     def scan(batches):
-        index = _Index(shipped.value)
+        index = _Index(shipped.value, coverage)
         for batch in common.batches(batches):
             rows = []
             for i, h, starts, ends in common.hashed(batch["text"]):
                 if len(h) and index.names:
-                    rows += [(batch["doc_id"][i], name, c, m, int(starts[a]), int(ends[b])) for name, c, m, a, b in matches(h, index, coverage)]
+                    rows += [(batch["doc_id"][i], name, c, m, int(starts[a]), int(ends[b])) for name, c, m, a, b in matches(h, index)]
             if rows:
                 kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
                 names = ("doc_id", "license", "coverage", "matched_words", "start", "stop")

@@ -633,6 +633,38 @@ def test_license_lines_of_the_tables(spark):
     assert {(n, common_ones[t], 1.0) for n, t in rows if t in common_ones} <= got
 
 
+def longest_chain(template, doc, band):
+    """Most equal words in order in both whose diagonals are within ``band`` of a common one, by all chains of equal pairs."""
+    pairs = [(i, j) for i, w in enumerate(template) for j, x in enumerate(doc) if w == x]
+    best = 0
+    for d in range(-len(template), len(doc)):
+        near = [(i, j) for i, j in pairs if abs(j - i - d) <= band]
+        length = []
+        for i, j in near:
+            length.append(1 + max((n for n, (x, y) in zip(length, near) if x < i and y < j), default=0))
+        best = max([best, *length])
+    return best
+
+
+def test_winnowed_fingerprints():
+    rng = np.random.default_rng(8)
+    for size in (1, 2, 3, 7, 40, 200):
+        h = rng.integers(0, 30, size).astype(np.uint64)
+        for window in (1, 2, 4, 9):
+            places = license_scan.winnowed(h, window).tolist()
+            width = min(window, size)
+            naive = {max(range(a, a + width), key=lambda x: (-int(h[x]), x)) for a in range(size - width + 1)}
+            assert places == sorted(naive)
+    index = license_scan._Index(license_scan.TEMPLATES)
+    # far fewer keys than words, and no place can be without all of its fingerprints
+    assert len(index.keys) < 0.7 * len(np.unique(np.concatenate(index.words))) and (index.hits >= 1).all()
+
+
+def test_templates_beyond_the_bound(spark):
+    with pytest.raises(ValueError):
+        license_scan.license_spans(table(spark, EDGES), {"t": "word " * (license_scan.TEMPLATE_BYTES // 5 + 1)})
+
+
 def test_edited_licenses_against_brute_force():
     rng = random.Random(8)
     templates = {f"t{n}": " ".join(words(rng, size, "abc"[n % 3])) for n, size in enumerate((1, 2, 4, 5, 6, 8, 10, 15, 23, 40))} | {"MIT": license_scan.TEMPLATES["MIT/statement"], "the": "the law of the land and the rule of the house"}
@@ -647,7 +679,7 @@ def test_edited_licenses_against_brute_force():
             w[at : at + 1] = rng.choice(([], ["other"], [w[at], "more"]))
         doc = common.word_hashes(" ".join(words(rng, 9, "x") + w + words(rng, 9, "y")))[0]
         template = common.word_hashes(templates[name])[0].tolist()
-        best = max(license_scan._align(template, doc[max(0, d - band) : d + len(template) + band].tolist(), d - max(0, d - band), band)[0] for d in range(-len(template), len(doc)))
+        best = longest_chain(template, doc.tolist(), band)
         got = [m for m in license_scan.matches(doc, index) if m[0] == name]
         wanted = best / len(template) >= license_scan.COVERAGE
         assert bool(got) == wanted and (not wanted or max(m[2] for m in got) == best)
