@@ -5,16 +5,24 @@ A clause is read by a cascade of weighted transducers (``transducers``):
 1. the lexicon maps a word to a class (insult, threat, target, negation,
    report, other) with a weight. Its insult arcs are words and word prefixes:
    fixed ones with a prior weight, and ones learned from labelled documents,
-   weighted by a lower bound of their log odds;
+   weighted by a lower bound of their log odds; words of the other classes keep
+   those;
 2. negation weakens insults and threats of the next ``NEGATION_SCOPE`` words;
 3. reported speech weakens them to the clause's end, and in the next clause
    after a colon or an opening quote;
 4. a threat verb counts if a target follows it in the clause, else not at all:
    the machine guesses, and only right guesses are accepted;
-5. an insult with a target beside it (the word before, or one of the next two,
-   again guessed) counts more than one that is not addressed to anyone.
+5. an insult after another one of the clause counts by a factor of its own;
+6. so does an insult with a target beside it (the word before, or one of the next
+   two, again guessed), and one that is not addressed to anyone.
 
-Machines 2 to 5 are state tables that ``compose`` joins into one; a clause's
+The factors of machines 2 to 6 (``Factors``) start from fixed values and are
+learned: each pattern's share of a document's weight is an input of a logistic
+regression whose coefficients are drawn to one common value; what a pattern's
+coefficient has beyond that scales its factor. Patterns that labelled documents
+do not show keep their first value.
+
+Machines 2 to 6 are state tables that ``compose`` joins into one; a clause's
 weight is that of the best path that it accepts, and clauses of weight 0 do not
 match. Only whole clauses are scored: the same word counts by what stands around.
 
@@ -38,7 +46,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import astuple, dataclass, fields, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -60,6 +70,8 @@ NEGATED = 0.4
 REPORTED = 0.7
 TARGETED = 1.25
 THREAT = 2.0
+FACTOR_RIDGE = 5.0
+FACTOR_RANGE = (0.25, 4.0)
 # Seed words of the lexicon.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown imbecile jerk fool filth vermin".split())
 THREATS = frozenset("kill hurt destroy beat shoot stab burn hang crush tuer töten matar".split())
@@ -76,41 +88,65 @@ OTHER, INSULT, THREATENING, TARGET, NEGATION, REPORT = CLASSES = ("other", "insu
 HOSTILE = (INSULT, THREATENING)
 
 
-def negation(scope: int = NEGATION_SCOPE) -> Transducer:
+@dataclass(frozen=True)
+class Factors:
+    """What a hostile word counts by the pattern that it stands in."""
+
+    plain: float = 1.0
+    targeted: float = TARGETED
+    piled: float = 1.0
+    negated: float = NEGATED
+    reported: float = REPORTED
+    threat: float = THREAT
+
+
+def negation(factor: float = NEGATED, scope: int = NEGATION_SCOPE) -> Transducer:
     """State n: the next n words are negated."""
-    arcs = [(n, c, c, scope if c == NEGATION else max(n - 1, 0), NEGATED if n and c in HOSTILE else 1.0) for n in range(scope + 1) for c in CLASSES]
+    arcs = [(n, c, c, scope if c == NEGATION else max(n - 1, 0), factor if n and c in HOSTILE else 1.0) for n in range(scope + 1) for c in CLASSES]
     return Transducer(tuple(arcs), {"": 0}, frozenset(range(scope + 1)))
 
 
-def reported_speech() -> Transducer:
+def reported_speech(factor: float = REPORTED) -> Transducer:
     """State 1: the rest is what someone else said."""
-    arcs = [(n, c, c, 1 if c == REPORT else n, REPORTED if n and c in HOSTILE else 1.0) for n in (0, 1) for c in CLASSES]
+    arcs = [(n, c, c, 1 if c == REPORT else n, factor if n and c in HOSTILE else 1.0) for n in (0, 1) for c in CLASSES]
     return Transducer(tuple(arcs), {"plain": 0, "quoted": 1}, frozenset({0, 1}))
 
 
-def threats() -> Transducer:
+def threats(factor: float = THREAT) -> Transducer:
     """State 1: a threat waits for its target. A threat verb that none follows must be read as any other word."""
     arcs = [(n, c, c, 0 if c == TARGET else n, 1.0) for n in (0, 1) for c in CLASSES if c != THREATENING]
-    arcs += [(0, THREATENING, OTHER, 0, 0.0), (1, THREATENING, OTHER, 1, 0.0), (0, THREATENING, THREATENING, 1, THREAT)]
+    arcs += [(0, THREATENING, OTHER, 0, 0.0), (1, THREATENING, OTHER, 1, 0.0), (0, THREATENING, THREATENING, 1, factor)]
     return Transducer(tuple(arcs), {"": 0}, frozenset({0}))
 
 
-def targets() -> Transducer:
+def piled(factor: float = 1.0) -> Transducer:
+    """State 1: an insult stands before in the clause."""
+    arcs = [(n, c, c, 1 if c == INSULT else n, factor if n and c == INSULT else 1.0) for n in (0, 1) for c in CLASSES]
+    return Transducer(tuple(arcs), {"": 0}, frozenset({0, 1}))
+
+
+def targets(factor: float = TARGETED, plain: float = 1.0) -> Transducer:
     """States: 0 nothing, 1 just after a target, 2 and 3 an insult that a target must follow within one or two words."""
     after = {0: 0, 1: 0, 3: 2}
-    arcs = [(n, c, c, to, 1.0) for n, to in after.items() for c in CLASSES if c != TARGET]
+    arcs = [(n, c, c, to, plain if c == INSULT else 1.0) for n, to in after.items() for c in CLASSES if c != TARGET]
     arcs += [(n, TARGET, TARGET, 1, 1.0) for n in range(4)]
-    arcs += [(0, INSULT, INSULT, 3, TARGETED), (1, INSULT, INSULT, 0, TARGETED), (3, INSULT, INSULT, 2, TARGETED)]
+    arcs += [(0, INSULT, INSULT, 3, factor), (1, INSULT, INSULT, 0, factor), (3, INSULT, INSULT, 2, factor)]
     return Transducer(tuple(arcs), {"": 0}, frozenset({0, 1}))
 
 
-def clause_grammar() -> Transducer:
+def clause_grammar(factors: Factors = Factors()) -> Transducer:
     """All machines in a row; its start states are ``plain`` and ``quoted``."""
-    machine = compose(compose(compose(negation(), reported_speech()), threats()), targets())
+    machine = compose(negation(factors.negated), reported_speech(factors.reported))
+    for further in (threats(factors.threat), piled(factors.piled), targets(factors.targeted, factors.plain)):
+        machine = compose(machine, further)
     return machine
 
 
-_MATCHER = Matcher(clause_grammar())
+@lru_cache(maxsize=64)
+def matcher(factors: Factors) -> Matcher:
+    return Matcher(clause_grammar(factors))
+
+
 _FIXED = {w: c for c, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREATENING, THREATS)) for w in words}
 
 
@@ -136,9 +172,12 @@ class Grammar:
     n_toxic: int = 0
     n_clean: int = 0
     calibration: tuple[float, ...] = (-4.0, 0.8, 0.8, 0.0)
+    factors: Factors = Factors()
 
     def insult(self, word: str, own: int | None = None) -> float:
         """Weight of the best insult arc of ``word``; ``own``: label to take out of the counts."""
+        if word in _FIXED:
+            return 0.0
         best = PRIOR if word in INSULTS else 0.0
         for key in (f"{word}$", *(word[:n] for n in PREFIXES if len(word) >= n)):
             if arc := self.arcs.get(key):
@@ -146,14 +185,13 @@ class Grammar:
                 best = max(best, w if w >= LEAST_WEIGHT else 0.0)
         return best
 
-    def clauses(self, text: str, own: int | None = None) -> list[float]:
-        """Weights of the matched clauses of a text."""
+    def hostile(self, text: str, own: int | None = None) -> Iterator[tuple[list[tuple[str, float]], str]]:
+        """(classes and weights of the words, start state) of each clause with an insult or a threat."""
         low = text.lower()
         words = set(_WORD.findall(low))
         weights = {w: x for w in words if (x := self.insult(w, own))} if self.arcs else {w: PRIOR for w in words & INSULTS}
         if not weights and words.isdisjoint(THREATS):
-            return []
-        out = []
+            return
         quoted, at = False, 0
         for m in [*_CLAUSE.finditer(low), None]:
             clause = low[at : m.start()] if m else low[at:]
@@ -161,12 +199,24 @@ class Grammar:
             report = quoted or any(c == REPORT for c, _ in read)
             if any(c in HOSTILE for c, _ in read):
                 # the weights of words that are no insult and no threat do not count
-                weight = _MATCHER.weight(((c, x if c in HOSTILE else 0.0) for c, x in read), "quoted" if quoted else "plain")
-                if weight:
-                    out.append(weight)
+                yield [(c, x if c in HOSTILE else 0.0) for c, x in read], "quoted" if quoted else "plain"
             quoted = bool(m) and report and (":" in m[0] or bool(_QUOTE.search(clause)))
             at = m.end() if m else at
-        return out
+
+    def clauses(self, text: str, own: int | None = None) -> list[float]:
+        """Weights of the matched clauses of a text."""
+        machine = matcher(self.factors)
+        return [w for read, start in self.hostile(text, own) if (w := machine.weight(read, start))]
+
+    def patterns(self, text: str, own: int | None = None) -> list[float]:
+        """The text's weight, and what of it each pattern of ``Factors`` holds; a word in two patterns is in both.
+
+        The weight of a path is linear in each factor, so a pattern's part is what a slightly greater factor adds.
+        """
+        read = list(self.hostile(text, own))
+        more = [replace(self.factors, **{f.name: getattr(self.factors, f.name) * (1 + 1e-6)}) for f in fields(Factors)]
+        total, *changed = (sum(matcher(f).weight(r, start) or 0.0 for r, start in read) for f in (self.factors, *more))
+        return [total, *(round((x - total) * 1e6, 3) for x in changed)]
 
     def score(self, text: str) -> float:
         """Probability-like score of a text, 0 to 1."""
@@ -179,10 +229,10 @@ def features(clauses: list[float]) -> tuple[float, ...]:
     return 1.0, max(clauses, default=0.0), math.log1p(sum(clauses)), math.log1p(len(clauses))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = 0.1) -> tuple[float, ...]:
     """Logistic regression by Newton steps; the constant is not shrunk."""
     c = np.zeros(x.shape[1])
-    shrink = np.full(x.shape[1], ridge)
+    shrink = np.zeros(x.shape[1]) + ridge
     shrink[0] = 1e-6
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
@@ -193,6 +243,18 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
     return tuple(float(v) for v in c)
 
 
+def fitted_factors(first: Factors, parts: np.ndarray, y: np.ndarray) -> Factors:
+    """Factors from the documents' ``Grammar.patterns`` under ``first`` and their labels."""
+    total = parts[:, :1]
+    shares = parts * np.where(total > 0, np.log1p(total) / np.maximum(total, 1e-9), 0.0)
+    ridge = np.array([0.0, 0.1, *[FACTOR_RIDGE] * (parts.shape[1] - 1)])
+    _, every, *beyond = _fit(np.hstack([np.ones_like(total), shares]), y, ridge)
+    if every <= 0:
+        return first
+    scaled = [x * float(np.clip(1 + b / every, *FACTOR_RANGE)) for x, b in zip(astuple(first), beyond, strict=True)]
+    return Factors(*scaled)
+
+
 def remainder(key: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(divisor))
@@ -255,14 +317,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     arcs = counted.where((t >= 5) & (weight >= LEAST_WEIGHT)).collect()  # bounded by the sample
     grammar = Grammar(_specific({r["key"]: Arc(r["toxic"], r["clean"]) for r in arcs}), n_toxic, n_clean)
 
-    def examples(batches):
-        for batch in common.batches(batches):
-            rows = [(label, *features(grammar.clauses(text, label))) for label, text in zip(batch["toxic"], batch["text"], strict=True)]
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_pydict({n: pa.array(map(float, v), pa.float64()) for n, v in zip("ycmst", columns, strict=True)})
+    def examples(what):
+        """Label and ``what(text, label)`` of each sample document; bounded by the sample."""
+
+        def rows(batches):
+            for batch in common.batches(batches):
+                found = [what(text, label) for label, text in zip(batch["toxic"], batch["text"], strict=True)]
+                yield pa.RecordBatch.from_pydict({"y": pa.array(batch["toxic"], pa.int64()), "x": pa.array([list(map(float, x)) for x in found], pa.list_(pa.float64()))})
+
+        got = texts.mapInArrow(rows, "y long, x array<double>").collect()
+        return np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)
 
-    xy = np.array([list(r) for r in texts.mapInArrow(examples, "y double, c double, m double, s double, t double").collect()])
-    grammar.calibration = _fit(xy[:, 1:], xy[:, 0])
+    grammar.factors = fitted_factors(grammar.factors, *examples(grammar.patterns))
+    grammar.calibration = _fit(*examples(lambda text, label: features(grammar.clauses(text, label))))
     return grammar
 
 

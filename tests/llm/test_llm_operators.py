@@ -526,9 +526,9 @@ def test_toxicity_edges(spark, edges, nothing):
     assert toxicity.toxicity(nothing, none).count() == 0
 
 
-def every_path(symbols, start):
+def every_path(symbols, start, f=toxicity.Factors()):
     """Factors of every path that all machines accept one after the other, without composing them."""
-    chain = [(toxicity.negation(), ""), (toxicity.reported_speech(), start), (toxicity.threats(), ""), (toxicity.targets(), "")]
+    chain = [(toxicity.negation(f.negated), ""), (toxicity.reported_speech(f.reported), start), (toxicity.threats(f.threat), ""), (toxicity.piled(f.piled), ""), (toxicity.targets(f.targeted, f.plain), "")]
     paths = [(list(symbols), [1.0] * len(symbols))]
     for machine, begin in chain:
         paths = [(out, [a * b for a, b in zip(f, g, strict=True)]) for read, f in paths for out, g in machine.outputs(read, begin)]
@@ -537,14 +537,15 @@ def every_path(symbols, start):
 
 def test_composed_machine_against_every_path():
     rng = random.Random(9)
-    machine = toxicity.clause_grammar()
     for n in range(400):
+        factors = toxicity.Factors(*(rng.choice([0.3, 0.8, 1.0, 1.7]) for _ in range(6)))
+        machine = toxicity.clause_grammar(factors)
         clause = [(rng.choice(toxicity.CLASSES), rng.choice([0.5, 1.0, 2.5])) for _ in range(rng.randint(0, 8))]
         read = [(c, x if c in toxicity.HOSTILE else 0.0) for c, x in clause]
         start = ("plain", "quoted")[n % 2]
-        paths = every_path([c for c, _ in read], start)
+        paths = every_path([c for c, _ in read], start, factors)
         wanted = max((sum(x * f for (_, x), f in zip(read, p, strict=True)) for p in paths), default=None)
-        got = toxicity._MATCHER.weight(read, start)
+        got = toxicity.matcher(factors).weight(read, start)
         assert got == pytest.approx(wanted) and wanted is not None
         composed = sorted(tuple(round(x, 9) for x in f) for _, f in machine.outputs([c for c, _ in read], start))
         assert composed == sorted(tuple(round(x, 9) for x in f) for f in paths)
@@ -559,6 +560,46 @@ def test_words_count_by_what_stands_around():
     assert g.clauses("they said kill them") == [pytest.approx(toxicity.THREAT * toxicity.REPORTED)]
 
 
+def test_scores_of_whole_documents_by_every_path():
+    rng = random.Random(12)
+    pool = ["idiot", "zark", "kill", "you", "not", "said", "house", "runs"]
+    classes = {"idiot": toxicity.INSULT, "zark": toxicity.INSULT, "kill": toxicity.THREATENING, "you": toxicity.TARGET, "not": toxicity.NEGATION, "said": toxicity.REPORT}
+    g = toxicity.Grammar({"zark$": toxicity.Arc(40, 1)}, 100, 100, (-3.0, 0.5, 0.9, -0.2), toxicity.Factors(0.6, 1.5, 1.2, 0.5, 0.8, 2.5))
+    zark = math.log(40.5 / 101) - math.log(1.5 / 101) - 2 * math.sqrt(1 / 40.5 + 1 / 1.5)
+    worth = {"idiot": toxicity.PRIOR, "zark": zark, "kill": 1.0}
+    for _ in range(150):
+        clauses = [[rng.choice(pool) for _ in range(rng.randint(1, 7))] for _ in range(rng.randint(0, 4))]
+        best = [max(sum(worth.get(w, 0.0) * x for w, x in zip(c, path, strict=True)) for path in every_path([classes.get(w, toxicity.OTHER) for w in c], "plain", g.factors)) for c in clauses]
+        hit = [b for b in best if b]
+        z = -3.0 + 0.5 * max(hit, default=0) + 0.9 * math.log1p(sum(hit)) - 0.2 * math.log1p(len(hit))
+        assert g.score(". ".join(" ".join(c) for c in clauses)) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def clauses_that_decide(spark):
+    """Every document has the same insult; the labels follow from what stands around it."""
+    rng = random.Random(13)
+    rows, labels = [], []
+    for n in range(900):
+        bad = n % 3 == 0
+        say = rng.choice(["you idiot", "idiot that you are", "an idiot idiot"]) if bad else rng.choice(["not an idiot", "never an idiot", "they said an idiot ran", "an idiot ran"])
+        rows.append((n, f"{' '.join(words(rng, 12))}. {say}. they said you are not an {words(rng, 1)[0]} that never ran. {' '.join(words(rng, 12))}."))
+        labels.append((n, int(bad)))
+    return table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_factors_are_learned_and_decide(spark):
+    docs, labels = clauses_that_decide(spark)
+    g = toxicity.learn(docs, labels.where(toxicity.remainder(F.col("doc_id"), 4) != 2))
+    first = toxicity.Factors()
+    assert g.factors.negated < first.negated and g.factors.targeted > first.targeted and g.factors.plain < first.plain and g.factors.piled > first.piled
+    assert g.factors.threat == first.threat  # nothing here speaks for or against it
+    held = [(r.toxic, r.predicted) for r in toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").collect()]
+    assert len(held) > 150 and sum(a == b for a, b in held) / len(held) > 0.95
+    # the words alone cannot tell them apart: without factors equal insults weigh alike
+    flat = toxicity.Grammar(g.arcs, g.n_toxic, g.n_clean, g.calibration, toxicity.Factors(1, 1, 1, 1, 1, 1))
+    assert flat.score("not an idiot") == flat.score("you idiot") and g.score("not an idiot") < toxicity.THRESHOLD <= g.score("you idiot")
+
+
 def test_grammar_of_clauses():
     g = toxicity.Grammar({})
     plain, denied, told = (sum(g.clauses(t)) for t in ("the clown ran.", "the man is not a clown.", "he said: what a clown."))
