@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from .graph import connected_components, written
+from .graph import connected_components, multiplied, written
 from .numbering import greatest, numbered
 
 #: Hamming thresholds from identical to loosely similar, and the default.
@@ -91,7 +91,7 @@ def hamming_pairs(hashes: DataFrame, t: int = DEFAULT_THRESHOLD) -> DataFrame:
     left = keyed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.col("block").alias("i"), F.col("mate").alias("j"), F.col("id").alias("a"), F.col("dhash").alias("ha"))
     right = keyed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.col("mate").alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("dhash").alias("hb"))
     distance = E.hamming(F.col("ha"), F.col("hb"))
-    met = left.join(right, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (distance <= t))
+    met = multiplied(left).join(multiplied(right), ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (distance <= t))
     return met.where(_first_key(F.col("ha"), F.col("hb"), F.col("key.subset"), t)).select("a", "b", distance.alias("distance"))
 
 
@@ -109,7 +109,7 @@ def hamming_search(hashes: DataFrame, probes: DataFrame, t: int) -> DataFrame:
     keys = _with_blocks(keys, heavy).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
     asked = _with_blocks(asked, heavy).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     distance = E.hamming(F.col("dhash"), F.col("wanted"))
-    met = asked.join(keys, ["key", "block"]).where((distance <= t) & _first_key(F.col("dhash"), F.col("wanted"), F.col("key.subset"), t))
+    met = multiplied(asked).join(multiplied(keys), ["key", "block"]).where((distance <= t) & _first_key(F.col("dhash"), F.col("wanted"), F.col("key.subset"), t))
     return met.select("probe_id", "id", distance.alias("distance"))
 
 
@@ -150,7 +150,7 @@ def extend_groups(members: DataFrame, keys: DataFrame, new: DataFrame, t: int =
     fresh = written(placed.where("group_id is null").groupBy("dhash").agg(F.min("id").alias("id")))
     asked = written(band_keys(fresh, t))
     stored = keys.select("key", F.col("id").alias("old"), F.col("dhash").alias("had"))
-    near = asked.join(stored, "key").where((E.hamming(F.col("dhash"), F.col("had")) <= t) & _first_key(F.col("dhash"), F.col("had"), F.col("key.subset"), t))
+    near = multiplied(asked).join(multiplied(stored), "key").where((E.hamming(F.col("dhash"), F.col("had")) <= t) & _first_key(F.col("dhash"), F.col("had"), F.col("key.subset"), t))
     near = near.select(F.col("id").alias("a"), "had").join(known.withColumnRenamed("dhash", "had"), "had").select("a", F.col("group_id").alias("b"))
     equal = placed.where("group_id is not null").select(F.col("id").alias("a"), F.col("group_id").alias("b"))  # a lesser id renames its group
     links = near.unionByName(equal).unionByName(hamming_pairs(fresh, t).select("a", "b"))
