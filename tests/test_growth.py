@@ -1,10 +1,15 @@
-"""Steps whose rows are multiplied meet by shuffles: Spark's estimate does not see what an explode adds."""
+"""What only larger tables show: multiplied rows meet by shuffles, whatever Spark's estimate; halves and ties go as in SQL."""
 
 import re
+from pathlib import Path
 
+import duckdb
+import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
-from assetlake.operators import fingerprint
+from assetlake.operators import boxes, fingerprint, tags
+from assetlake.plans import registry as Q, state_queries  # noqa: F401  they register
 
 
 def inner_broadcasts(df) -> list[str]:
@@ -18,3 +23,36 @@ def test_band_keys_are_not_broadcast(spark):
     assert not inner_broadcasts(pairs) and pairs.count() == 1_000
     found = fingerprint.hamming_search(own, own.where("id % 20 = 0").select(F.col("id").alias("probe_id"), "dhash"), 7)
     assert not inner_broadcasts(found) and found.count() == 200
+
+
+@pytest.fixture
+def half_balances(tmp_path):
+    """A folder with albums whose balances end in a half, just above the sizes of orders."""
+    Path(tmp_path, "orders.parquet").symlink_to(f"{SF}/orders.parquet")
+    near = f"select row_number() over (order by o_orderkey) as id, round(o_totalprice)::bigint // 20 * 2 + 0.5::double as balance from '{SF}/orders.parquet' where round(o_totalprice)::bigint % 20 < 10 limit 60"
+    duckdb.sql(f"copy (select id as s_suppkey, 's' as s_name, (id % 25)::int as s_nationkey, balance as s_acctbal from ({near})) to '{tmp_path}/supplier.parquet'")
+    duckdb.sql(f"copy (select id as c_custkey, 'c' as c_name, (id % 25)::int as c_nationkey, balance / 2 + 0.25 as c_acctbal from ({near})) to '{tmp_path}/customer.parquet'")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["album_members", "customer_albums"])
+def test_half_balances_as_in_sql(spark, half_balances, name):
+    c = duckdb.connect()
+    for t in ("orders", "supplier", "customer"):
+        c.sql(f"create view {t} as select * from '{half_balances}/{t}.parquet'")
+    got = sorted((r.album_id, r.members) for r in Q.QUERIES[name](spark, half_balances).collect())
+    assert got == sorted(c.sql(f"select album_id, members from ({Q.ORACLE_SQL[name]})").fetchall())
+
+
+def test_prompts_are_ranked_by_rounded_scores(spark):
+    images = spark.createDataFrame([(1, [1.0, 0.0])], "image_id long, embedding array<double>")
+    prompts = spark.createDataFrame([("b", [0.5000002, 0.0]), ("a", [0.5, 0.0])], "name string, embedding array<double>")
+    assert [r.name for r in tags.zero_shot(images, prompts).orderBy("rank").collect()] == ["b", "a"]
+    assert [r.name for r in tags.zero_shot(images, prompts, digits=6).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_cells_of_albums_are_not_broadcast(spark):
+    assets = spark.range(300).selectExpr("id", "id % 8 as root_id", "concat('f', id) as filename", "'o' as extension", "id * 10 as size_bytes", "id * 100 as mtime", "cast(null as bigint) as taken_at", "1.0D as gps_lat", "1.0D as gps_lng", "cast(null as bigint) as deleted_at")
+    albums = spark.range(50).select("id", F.to_json(F.struct((F.col("id") * 20).alias("sizeMin"), (F.col("id") * 20 + 500).alias("sizeMax"), (F.col("id") * 90).alias("takenFrom"))).alias("filter_json"))
+    for found in (boxes.members(assets, albums), boxes.counts(assets, albums)):
+        assert not inner_broadcasts(found) and found.count() > 0
