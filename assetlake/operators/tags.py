@@ -177,13 +177,14 @@ def rule_tags(red: Column, green: Column, blue: Column, width: Column, height: C
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(*(tag(t) for t in RULE_TAGS["other"])))
 
 
-def zero_shot(vectors: DataFrame, prompts: DataFrame, most: int = 8) -> DataFrame:
-    """The best prompts (name, embedding) of each image (image_id, embedding) with (dot + 1) / 2 as score.
+def zero_shot(vectors: DataFrame, prompts: DataFrame, most: int = 8, digits: int | None = None) -> DataFrame:
+    """The best prompts (name, embedding) of each image (image_id, embedding) with (dot + 1) / 2 as score, rounded to ``digits`` before it is ranked.
 
     The prompt table is a small fixed set: it is broadcast while Spark's size
     limit allows, and the ranking keeps ``most`` rows per image and task.
     """
     pairs = vectors.select("image_id", "embedding").join(prompts.select("name", F.col("embedding").alias("prompt")))
     score = E.clamp((E.dot(F.col("embedding"), F.col("prompt")) + 1) / 2, 0.0, 1.0)
+    score = score if digits is None else F.round(score, digits)
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "name"))
     return pairs.select("image_id", "name", score.alias("score")).withColumn("rank", rank).where(F.col("rank") <= most)
