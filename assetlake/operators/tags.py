@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from .graph import written
 from .numbering import greatest, numbered
 
 LARGEST_CLOUD = 500
@@ -57,6 +58,20 @@ def image_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("list_id").agg(F.sum(F.bitmap_count("bits")).alias("images"))
 
 
+def list_classes(lists: DataFrame) -> DataFrame:
+    """(list_id, rep): the least list_id with the same tags."""
+    tags = lists.groupBy("list_id").agg(F.array_sort(F.collect_set("tag_id")).alias("tags"))
+    return tags.join(tags.groupBy("tags").agg(F.min("list_id").alias("rep")), "tags").select("list_id", "rep")
+
+
+def counts_of_lists(bitmaps: DataFrame, lists: DataFrame) -> DataFrame:
+    """(list_id, images): the images that carry all tags of each list; lists with the same tags are looked up once."""
+    classes = written(list_classes(lists))
+    asked = lists.join(classes.where("list_id = rep").select("list_id"), "list_id", "left_semi")
+    found = image_counts(lists_of_tags(bitmaps, asked)).withColumnRenamed("list_id", "rep")
+    return classes.join(found, "rep").select("list_id", "images")
+
+
 def images_in(found: DataFrame) -> DataFrame:
     """(list_id, image_id): the bits of ``lists_of_tags`` as ids."""
     byte = lambda i: F.conv(F.hex(F.substring("bits", i + 1, 1)), 16, 10).cast("int")
