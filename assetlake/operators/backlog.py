@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from .graph import written
+from .graph import spread, written
 
 # Most assets of one selection, and batch sizes, per step.
 LIMITS = {"embedding": 256, "tag": 256, "ocr": 128, "face": 128}
@@ -69,21 +69,30 @@ def run_scorer(chosen: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], re
 
     def score(parts):
         for part in parts:
-            for at in range(0, len(part), batch):
-                yield _isolated(fn, part.iloc[at : at + batch])
+            found = [row for at in range(0, len(part), batch) for row in _isolated(fn, part.iloc[at : at + batch])]
+            ids, results, errors = zip(*found, strict=True) if found else ((), (), ())
+            yield pd.DataFrame({"id": ids, "result": pd.Series(results, dtype=object), "error": pd.Series(errors, dtype=object)})
 
-    return chosen.mapInPandas(score, f"id long, result {result_type}, error string")
+    return spread(chosen).mapInPandas(score, f"id long, result {result_type}, error string")
 
 
-def _isolated(fn: Callable[[pd.DataFrame], pd.DataFrame], rows: pd.DataFrame) -> pd.DataFrame:
+def _isolated(fn: Callable[[pd.DataFrame], pd.DataFrame], rows: pd.DataFrame) -> list[tuple]:
+    """(id, result, error) of each row; the first result of an id counts."""
     try:
-        got = rows[["id"]].merge(fn(rows)[["id", "result"]].drop_duplicates("id"), on="id", how="left")
-        got["error"] = [None if r is not None and r == r or isinstance(r, (list, tuple)) else "no result" for r in got["result"].map(lambda r: r.tolist() if hasattr(r, "tolist") else r)]
-        return got
+        got = fn(rows)
+        ids, results = got["id"].tolist(), got["result"].tolist()
+        known = dict(zip(reversed(ids), reversed(results), strict=True))
     except Exception as e:  # noqa: BLE001  the worker's own failures are results here
         if len(rows) > 1:
-            return pd.concat([_isolated(fn, rows.iloc[i : i + 1]) for i in range(len(rows))], ignore_index=True)
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "result": [None], "error": [f"{type(e).__name__}: {e}"]})
+            return [row for i in range(len(rows)) for row in _isolated(fn, rows.iloc[i : i + 1])]
+        return [(rows["id"].iloc[0], None, f"{type(e).__name__}: {e}")]
+    return [(i, *_judged(known.get(i))) for i in rows["id"].tolist()]
+
+
+def _judged(result) -> tuple:
+    """(result, error); neither None nor NaN is a result."""
+    missing = result is None or (not hasattr(result, "__len__") and result != result)
+    return (None, "no result") if missing else (result, None)
 
 
 def merge_results(assets: DataFrame, results: DataFrame, step: str, column: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from assetlake.operators import boxes, fingerprint, tags
+from assetlake.operators import backlog, boxes, fingerprint, tags
 from assetlake.plans import registry as Q, state_queries  # noqa: F401  they register
 
 
@@ -56,3 +56,25 @@ def test_cells_of_albums_are_not_broadcast(spark):
     albums = spark.range(50).select("id", F.to_json(F.struct((F.col("id") * 20).alias("sizeMin"), (F.col("id") * 20 + 500).alias("sizeMax"), (F.col("id") * 90).alias("takenFrom"))).alias("filter_json"))
     for found in (boxes.members(assets, albums), boxes.counts(assets, albums)):
         assert not inner_broadcasts(found) and found.count() > 0
+
+
+def test_lists_with_the_same_tags_are_looked_up_once(spark):
+    links = spark.range(100).select(F.col("id").alias("image_id"), F.explode(F.array(F.col("id") % 2, 10 + F.col("id") % 3)).alias("tag_id"))
+    lists = spark.range(60).select(F.col("id").alias("list_id"), F.explode(F.array(F.lit(1).cast("long"), F.when(F.col("id") % 2 == 0, 11).otherwise(12).cast("long"))).alias("tag_id"))
+    assert tags.list_classes(lists).select("rep").distinct().count() == 2
+    got = {r.list_id: r.images for r in tags.counts_of_lists(tags.tag_bitmaps(links), lists).collect()}
+    assert got == {i: sum(n % 2 == 1 and n % 3 == (1 if i % 2 == 0 else 2) for n in range(100)) for i in range(60)}
+
+
+def test_a_small_scan_is_scored_on_all_cores(spark, tmp_path):
+    spark.range(200).coalesce(1).write.parquet(f"{tmp_path}/t")
+
+    def score(rows):
+        if (rows["id"] == 7).any():
+            raise ValueError("bad")
+        return rows.assign(result=rows["id"] * 2)[rows["id"] != 9][["id", "result"]]
+
+    found = backlog.run_scorer(spark.read.parquet(f"{tmp_path}/t"), score, "long", 16)
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    got = {r.id: (r.result, r.error) for r in found.collect()}
+    assert got == {i: (None, "ValueError: bad") if i == 7 else (None, "no result") if i == 9 else (2 * i, None) for i in range(200)}
