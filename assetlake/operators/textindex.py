@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import textsearch as S
+from . import textmatch as M, textsearch as S
 from .graph import spread, written
 
 BUCKETS = 64
@@ -63,10 +63,6 @@ def read(spark: SparkSession, path: str, table: str) -> DataFrame:
     return rows.parquet(*(f"{path}/{table}/version={v}" for v in versions)) if versions else spark.createDataFrame([], _SCHEMAS[table])
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("token", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("tokens").alias("least"))
-
-
 def _numbers(assets: DataFrame) -> DataFrame:
     return S.tokenised(assets).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("words"))
 
@@ -76,23 +72,26 @@ def _write(spark: SparkSession, path: str, before: DataFrame | None, after: Data
     version = (_versions(spark, path) or [0])[-1] + 1
     after = spread(after)
     place = lambda table: f"{path}/{table}/version={version}"
-    alive = after.select("id", F.col("deleted_at").isNull().alias("live"))
-    rows = S.postings(after).withColumn("block", block_of(F.col("id"))).join(alive, "id").withColumn("bucket", bucket_of(F.col("token")))
-    rows = rows.select("token", "block", "id", "tokens", "tf", "places", "live", "bucket")
-    # a bucket's tokens spread over tasks by range, so a frequent one is no single task's
+    # a bucket's tokens spread over tasks by block, so a frequent one is no single task's
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(tasks, "bucket", "token", "block").sortWithinPartitions("bucket", "token", "block", "id").write.mode("overwrite").partitionBy("bucket").parquet(place("postings"))
+    split = F.pmod(F.xxhash64("block"), F.lit(-(-4 * tasks // BUCKETS))).cast("int")
+    placed = lambda rows: rows.withColumn("block", block_of(F.col("id"))).withColumns({"bucket": bucket_of(F.col("token")), "split": split})
+    rows = placed(S.postings_of_rows(after)).drop("block").repartition(tasks, "bucket", "split").withColumn("block", block_of(F.col("id"))).sortWithinPartitions("bucket", "token", "block", "id")
+    rows = rows.select("token", "block", "id", "tokens", F.size("spots").cast("long").alias("tf"), S.places_of(F.col("spots")).alias("places"), "live", "bucket")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(place("postings"))
     now = spark.read.schema(_SCHEMAS["postings"]).parquet(place("postings"))
-    blocks, numbers = _blocks(now), _numbers(after)
+    counted = placed(now).select("bucket", "split", "token", "block", F.lit(1).cast("long").alias("n"), F.col("tf").alias("most"), F.col("tokens").alias("least"))
+    numbers = _numbers(after)
     if before is not None:
-        gone = S.postings(before).withColumn("block", block_of(F.col("id"))).groupBy("token", "block").agg((-F.count(F.lit(1))).alias("n"), F.lit(0).cast("long").alias("most"), F.lit(None).cast("long").alias("least"))
-        blocks = blocks.unionByName(gone).groupBy("token", "block").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least"))
+        gone = placed(S.postings_of_rows(before)).select("bucket", "split", "token", "block", F.lit(-1).cast("long").alias("n"), F.lit(0).cast("long").alias("most"), F.lit(None).cast("long").alias("least"))
+        counted = counted.unionByName(gone)
         numbers = numbers.unionByName(_numbers(before).select((-F.col("docs")).alias("docs"), (-F.col("words")).alias("words"))).agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
         before.select("id").unionByName(after.select("id")).distinct().write.mode("overwrite").parquet(place("superseded"))
     else:
         spark.createDataFrame([], "id long").write.mode("overwrite").parquet(place("superseded"))
-    dealt = blocks.withColumn("bucket", bucket_of(F.col("token"))).repartitionByRange(tasks, "bucket", "token", "block")
-    dealt.sortWithinPartitions("bucket", "token", "block").write.mode("overwrite").partitionBy("bucket").parquet(place("blocks"))
+    # the aggregate's keys hold those by which its rows were dealt, so they move once
+    blocks = counted.repartition(tasks, "bucket", "split").groupBy("bucket", "split", "token", "block").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least"))
+    blocks.drop("split").sortWithinPartitions("bucket", "token", "block").write.mode("overwrite").partitionBy("bucket").parquet(place("blocks"))
     numbers.write.mode("overwrite").parquet(place("numbers"))  # the last: now the version counts
     return version
 
@@ -139,11 +138,14 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, limit: int
     buckets = [r.bucket for r in tokens.select(bucket_of(F.col("token")).alias("bucket")).distinct().collect()]  # at most BUCKETS
     numbers = read(spark, path, "numbers").agg(F.sum("docs").alias("docs"), F.try_divide(F.sum("words"), F.sum("docs")).alias("average"))
     blocks = _wanted(read(spark, path, "blocks"), tokens, buckets).groupBy("token", "block").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least"))
-    found = _valid(_wanted(read(spark, path, "postings"), tokens, buckets), read(spark, path, "superseded"))
+    all_found, superseded = _wanted(read(spark, path, "postings"), tokens, buckets), read(spark, path, "superseded")
+    found = _valid(all_found, superseded)
+    if totals:  # every match counts, so no block can be left out
+        return _with_totals(asked, all_found, superseded, numbers, limit, offset)
     # phrases of several words have to be matched to be counted; single words are counted in the blocks
     long = asked.where("size(words) > 1")
     hits = S.phrase_hits(found, asked, ("block", "live"))
-    long_hits = written(S.phrase_hits(found.join(S.asked_words(long).select("token"), "token", "left_semi"), long, ("block", "live")))
+    long_hits = written(S.phrase_hits(_valid(found, superseded).join(S.asked_words(long).select("token"), "token", "left_semi"), long, ("block", "live")))
     held = blocks.where("n > 0").select(F.col("token").alias("phrase"), "block", "n", "most", "least").join(asked.where("size(words) = 1").select("phrase").distinct(), "phrase")
     held = written(held.unionByName(long_hits.groupBy("phrase", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("tokens").alias("least"))))
     weights = written(S.weighed(asked, held.groupBy("phrase").agg(F.sum("n").alias("df")), numbers))
@@ -159,18 +161,20 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, limit: int
     reach = ranked.select("query_id", F.col("score").alias("least"))
     margin = 10.0**-S.DIGITS  # scores are rounded, bounds are not
     others = open_blocks.where(F.col("place") > FIRST_BLOCKS).join(reach, "query_id", "left").where((F.col("least").isNull()) | (F.col("bound") + margin >= F.col("least")))
-    out = S.page(best.unionByName(score(others)), limit, offset)
-    if not totals:
-        return out
-    return out.join(match_totals(hits, weights), "query_id")
-
-
-def match_totals(hits: DataFrame, weights: DataFrame) -> DataFrame:
-    """(query_id, total): the hits that have all phrases of a query, counted from its rarest phrase's."""
-    begun = weights.where("first").join(hits.select("phrase", "id"), "phrase").select("query_id", "id", "phrases")
-    rest = weights.where("not first").select("query_id", "phrase")
-    more = begun.where("phrases > 1").join(rest, "query_id").join(hits.select("phrase", "id"), ["phrase", "id"], "left_semi").groupBy("query_id", "id", "phrases").count().where(F.col("count") == F.col("phrases") - 1)
-    return begun.where("phrases = 1").select("query_id").unionByName(more.select("query_id")).groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    return S.page(best.unionByName(score(others)), limit, offset)
+
+
+def _with_totals(asked: DataFrame, found: DataFrame, superseded: DataFrame, numbers: DataFrame, limit: int, offset: int) -> DataFrame:
+    """The page with totals: the postings of each asset in one row, which searches meet in blocks."""
+    phrases, numbers = M.numbered_phrases(asked), written(numbers)
+    count = F.array_repeat("number", F.col("tf").cast("int"))
+    rows = found.join(M.single_words(phrases), "token").groupBy("id", "version", "tokens", "live").agg(F.flatten(F.collect_list(count)).alias("numbers"))
+    rows = _valid(rows, superseded).drop("version")  # by asset, not by posting
+    long = phrases.where("size(words) > 1")
+    if not long.isEmpty():
+        rows = M.with_long(rows, S.phrase_hits(_valid(found, superseded).join(S.asked_words(long).select("token"), "token", "left_semi"), long, ("live",)), phrases)
+    rows = written(rows)
+    return M.best(rows, M.searches_of(asked, phrases, rows, numbers), numbers.first()["average"], limit, offset)
 
 
 def bounds_kept(spark: SparkSession, path: str) -> DataFrame:
