@@ -10,6 +10,8 @@ from .graph import written
 from .numbering import greatest, numbered
 
 LARGEST_CLOUD = 500
+#: Most tags that are sent to each task, some 16 MB.
+MOST_SENT = 200_000
 
 
 def tag_cloud(tags: DataFrame, links: DataFrame, limit: int = LARGEST_CLOUD, assets: DataFrame | None = None) -> DataFrame:
@@ -161,9 +163,23 @@ def rank_scores(names: Column, most: int = 24) -> Column:
     return F.transform(F.slice(names, 1, most), lambda x, i: F.struct(x.alias("name"), score(i).alias("score")))
 
 
+def with_names(links: DataFrame, tags: DataFrame) -> DataFrame:
+    """``links`` (tag_id, ...) with the ``name`` of their tags.
+
+    A tag has as many links as it likes, so links dealt out by tag would meet in
+    few tasks: the tags go to all tasks while they are few, as counted.
+    """
+    known = written(tags.select(F.col("id").alias("tag_id"), "name"))
+    return links.join(F.broadcast(known) if known.count() <= MOST_SENT else known, "tag_id")
+
+
 def best_per_tag(scored: DataFrame, most: int = 12) -> DataFrame:
-    """Each image's best tags (image_id, name, score, rank): the best score of a name, then the best names."""
-    best = scored.groupBy("image_id", "name").agg(F.max("score").alias("score"))
+    """Each image's best tags (image_id, name, score, rank): the best score of a name, then the best names.
+
+    An image has few rows of a name, so they are dealt out by image before they
+    are put together: a scan's task would hold all that it reads else.
+    """
+    best = scored.repartition("image_id").groupBy("image_id", "name").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("score"), "name"))
     return best.withColumn("rank", rank).where(F.col("rank") <= most)
 

@@ -9,7 +9,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from assetlake.operators import backlog, boxes, fingerprint, tags
-from assetlake.plans import registry as Q, state_queries  # noqa: F401  they register
+from assetlake.plans import registry as Q, state_queries, views  # noqa: F401  they register
 
 
 def inner_broadcasts(df) -> list[str]:
@@ -78,3 +78,22 @@ def test_a_small_scan_is_scored_on_all_cores(spark, tmp_path):
     assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     got = {r.id: (r.result, r.error) for r in found.collect()}
     assert got == {i: (None, "ValueError: bad") if i == 7 else (None, "no result") if i == 9 else (2 * i, None) for i in range(200)}
+
+
+def test_links_of_a_few_tags_are_not_dealt_out_by_tag(spark):
+    links = spark.range(4_000).select(F.col("id").alias("image_id"), (F.col("id") % 2).alias("tag_id"), F.lit(1.0).alias("score")).repartition(3, "image_id")
+    table = spark.range(3_000).select("id", F.concat(F.lit("t"), "id").alias("name")).groupBy("id").agg(F.max("name").alias("name"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")  # as small beside the tags as the usual one is beside Spark's estimate
+    try:
+        named = tags.with_names(links, table)
+        assert "BroadcastHashJoin" in named._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in tags.best_per_tag(named).where("image_id = 7").collect()] == [(7, "t1", 1.0, 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_best_tags_are_put_together_after_they_are_dealt_out(spark):
+    table, links = views.tags(spark, SF)
+    assert "Aggregate" not in links._jdf.queryExecution().optimizedPlan().toString()  # a part's links come from its row
+    best = tags.best_per_tag(links.withColumn("name", F.col("tag_id").cast("string")))
+    assert re.search(r"HashAggregate[^\n]*\n[^\n]*HashAggregate[^\n]*\n[^\n]*Exchange hashpartitioning\(image_id", best._jdf.queryExecution().executedPlan().toString())
