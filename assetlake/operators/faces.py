@@ -37,46 +37,74 @@ def _unit(vectors: DataFrame) -> DataFrame:
     return vectors.where((F.size("embedding") > 0) & (E.norm(F.col("embedding")) > 1e-12)).select("id", E.l2_normalise(F.col("embedding")).alias("vector"))
 
 
+#: Links that a task holds before it puts them together.
+_MOST_LINKS = 1 << 20
+
+
 def _met(unit: DataFrame, threshold: float, forest: bool) -> DataFrame | None:
-    """What the blocks of the lists of ``unit`` (id, vector) hold: all pairs at the threshold, or a spanning forest of them; none without vectors.
+    """What the shelves of ``unit`` (id, vector) hold: all pairs at the threshold, or a spanning forest of them; none without vectors.
 
-    A vector visits its own list and the later ones whose members it can reach:
-    vectors at a cosine of t are sqrt(2 - 2t) apart.
+    A vector visits its own shelf and the later ones with lists whose members it
+    can reach: vectors at a cosine of t are sqrt(2 - 2t) apart.
     """
     unit = written(unit)
     points = lists.pivots(unit)
     if not len(points):
         return None
     members = written(lists.dealt(unit, points))
-    sizes = written(lists.list_sizes(members))
-    known = sizes.orderBy("list").toPandas()  # a row for each list
+    known = lists.shelved(lists.list_sizes(members).orderBy("list").toPandas(), points)
+    members = lists.on_shelves(members, known)
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + lists.SLACK
-    radius, number = known["radius"].to_numpy(), known["list"].to_numpy()
-
-    def choose(rows: pd.DataFrame, far: np.ndarray) -> np.ndarray:
-        own = rows["home"].to_numpy()[:, None]
-        return (number[None, :] == own) | ((number[None, :] > own) & (far - radius[None, :] <= reach))
-
-    def compare(block: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(probes):
-            return pd.DataFrame({c: [] for c in (("a", "b") if forest else ("a", "b", "similarity"))})
-        ids, asked = block["id"].to_numpy(), probes["id"].to_numpy()
-        products = lists.matrix(block["vector"]) @ lists.matrix(probes["vector"]).T
-        same = (probes["home"] == block["list"].iloc[0]).to_numpy()[None, :]
-        i, j = np.nonzero((products >= threshold - 1e-12) & (~same | (ids[:, None] < asked[None, :])))
+    radius = known["radius"].to_numpy()
+
+    def compare(block: pd.DataFrame, own: np.ndarray, probes: pd.DataFrame, asked: np.ndarray, tiles) -> pd.DataFrame:
+        ids, others = block["id"].to_numpy(), probes["id"].to_numpy()
+        same = (probes["home"] == block["shelf"].iloc[0]).to_numpy()
+        short, wanted = own.astype(np.float32), asked.astype(np.float32)
+        room = (own.shape[1] + 8) * 2.0**-22  # of a product of unit vectors in single precision
+        parts, n = [], 0
+        for held, place in tiles:
+            products = short[held] @ wanted[place].T
+            if products.max() < threshold - room:
+                continue
+            hits = np.flatnonzero(products >= np.float32(threshold - room))
+            near = products.ravel()[hits] < threshold + room
+            i, j = np.divmod(hits, len(place))
+            i, j = held[i], place[j]
+            kept = ~same[j] | (ids[i] < others[j])
+            i, j, near = i[kept], j[kept], near[kept]
+            for at in range(0, len(i), lists.ROWS * 16):
+                a, b, unsure = (x[at : at + lists.ROWS * 16] for x in (i, j, near))
+                exact = np.full(len(a), np.inf)
+                looked = unsure if forest else np.ones(len(a), bool)
+                exact[looked] = (own[a[looked]] * asked[b[looked]]).sum(1)
+                good = exact >= threshold - 1e-12
+                parts.append((ids[a[good]], others[b[good]]) if forest else (ids[a[good]], others[b[good]], exact[good]))
+                n += int(good.sum())
+                if forest and n > _MOST_LINKS:
+                    parts = [_forest(parts)]
+                    n = len(parts[0][0])
         if forest:
-            return _spanning(ids[i], asked[j])
-        a, b = ids[i], asked[j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": products[i, j]})
+            a, b = _forest(parts)
+            return pd.DataFrame({"a": a, "b": b})
+        a, b, similarity = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": similarity})
 
-    probes = lists.visits(members.select("id", "vector", F.col("list").alias("home")), points, known, choose)
-    return lists.compared(members, sizes, probes, "id", compare, _LINKS if forest else _PAIRS)
+    probes = members.select("id", "vector", F.col("shelf").alias("home"))
+    return lists.compared(members, points, known, probes, "id", lambda rows, far: far - radius[None, :] <= reach, compare, _LINKS if forest else _PAIRS, "home")
 
 
 _PAIRS, _LINKS = "a long, b long, similarity double", "a long, b long"
 
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+def _forest(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One spanning forest of links in parts (a, b)."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return _spanning(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the links (a, b) do, each to the least node of its part."""
     nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
     left, right = place[: len(a)], place[len(a) :]
@@ -88,7 +116,7 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         low = low[low]
         if (low == label).all():
             moved = np.flatnonzero(label != np.arange(len(nodes)))
-            return pd.DataFrame({"a": nodes[label[moved]], "b": nodes[moved]})
+            return nodes[label[moved]], nodes[moved]
         label = low
 
 
@@ -99,7 +127,7 @@ def cosine_pairs(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def cosine_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) with the same components as ``cosine_pairs``: equal vectors are one, and a pair of blocks gives a spanning forest, so dense groups stay small."""
+    """(a, b) with the same components as ``cosine_pairs``: equal vectors are one, and a shelf and a part of its visitors give a spanning forest, so dense groups stay small."""
     unit = written(_unit(vectors))
     classes = written(unit.groupBy("vector").agg(F.min("id").alias("id")))
     equal = unit.join(classes.withColumnRenamed("id", "b"), "vector").where("id != b").select(F.col("id").alias("a"), "b")

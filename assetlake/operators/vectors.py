@@ -42,41 +42,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest vectors (image_id, embedding) of every query (query_id, query): (query_id, image_id, distance, score, rank).
 
     Exact, by squared distances; the score is 1 / (1 + distance). A query first
-    visits the lists (see ``lists``) nearest to it that hold ``k`` vectors; of
-    the others only those that the k-th distance so far can reach.
+    visits the lists (see ``lists``) nearest to it that hold ``k`` vectors, whose
+    k-th distance is its reach; then all lists that this can reach.
     """
     stored = vectors.select(F.col("image_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     asked = written(queries.select("query_id", F.col("query").cast("array<double>").alias("vector")))
     near = _lists_of(stored)
     if near is None:
         return _ranked(stored.sparkSession.createDataFrame([], _FOUND), k)
-    points, members, sizes, known = near
-    first = lambda rows, far: _nearest_lists(far, known, k)
-    best = written(lists.compared(members, sizes, lists.visits(asked, points, known, first), "query_id", _nearest(k), _FOUND))
-    reach = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "image_id"))).where(F.col("rank") == k)
-    reached = asked.join(reach.select("query_id", F.sqrt("distance").alias("reach")), "query_id", "left")
-    radius = known["radius"].to_numpy()
-
-    def others(rows: pd.DataFrame, far: np.ndarray) -> np.ndarray:
-        least = rows["reach"].fillna(np.inf).to_numpy()[:, None]
-        return ~_nearest_lists(far, known, k) & (far - radius[None, :] <= least * (1 + lists.SLACK) + lists.SLACK)
-
-    more = lists.compared(members, sizes, lists.visits(reached, points, known, others), "query_id", _nearest(k), _FOUND)
-    return _ranked(best.unionByName(more), k)
+    points, members, known = near
+    first = written(lists.compared(members, points, known, asked, "query_id", lambda rows, far: _nearest_lists(far, known, k), _nearest(k), _FOUND))
+    reach = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "image_id"))).where(F.col("rank") == k)
+    reached = written(asked.join(reach.select("query_id", F.sqrt("distance").alias("reach")), "query_id", "left"))
+    return _ranked(lists.compared(members, points, known, reached, "query_id", _reached(known), _nearest(k), _FOUND), k)
 
 
 _FOUND = "query_id long, image_id long, distance double"
 
 
 def _lists_of(stored: DataFrame):
-    """(pivots, members, sizes, sizes in the driver: a row for each list), or none without vectors."""
+    """(pivots, members on shelves, layout in the driver: a row for each list), or none without vectors."""
     stored = written(stored)
     points = lists.pivots(stored)
     if not len(points):
         return None
     members = written(lists.dealt(stored, points))
-    sizes = written(lists.list_sizes(members))
-    return points, members, sizes, sizes.orderBy("list").toPandas()
+    known = lists.shelved(lists.list_sizes(members).orderBy("list").toPandas(), points)
+    return points, lists.on_shelves(members, known), known
+
+
+def _reached(known: pd.DataFrame):
+    """Chooses the lists that a probe's ``reach`` touches; all if it has none."""
+    radius = known["radius"].to_numpy()
+    return lambda rows, far: far - radius[None, :] <= rows["reach"].fillna(np.inf).to_numpy()[:, None] * (1 + lists.SLACK) + lists.SLACK
 
 
 def _nearest_lists(far: np.ndarray, known: pd.DataFrame, k: int) -> np.ndarray:
@@ -89,26 +87,55 @@ def _nearest_lists(far: np.ndarray, known: pd.DataFrame, k: int) -> np.ndarray:
 
 
 def _nearest(k: int):
-    """The ``k`` nearest members of a block for each of its probes; equal vectors have equal distances, so ids decide."""
-
-    def compare(block: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(probes):
-            return pd.DataFrame({"query_id": [], "image_id": [], "distance": []})
-        own, asked, ids = lists.matrix(block["vector"]), lists.matrix(probes["vector"]), block["id"].to_numpy()
-        far = lists.distances(asked, own)
-        n = min(k, len(block))
-        edge = np.partition(far, n - 1, axis=1)[:, n - 1]
-        row, place = np.nonzero(far <= edge[:, None] * (1 + lists.SLACK) + lists.SLACK)
-        exact = ((asked[row] - own[place]) ** 2).sum(1)
-        order = np.lexsort((ids[place], exact, row))
-        row, place, exact = row[order], place[order], exact[order]
-        start = np.searchsorted(row, row)
-        kept = np.arange(len(row)) - start < n
-        return pd.DataFrame({"query_id": probes["query_id"].to_numpy()[row[kept]], "image_id": ids[place[kept]], "distance": exact[kept]})
+    """The ``k`` nearest members of a shelf for each of its probes, within their ``reach`` if they have one; equal vectors have equal distances, so ids decide."""
+
+    def compare(block: pd.DataFrame, own: np.ndarray, probes: pd.DataFrame, asked: np.ndarray, tiles) -> pd.DataFrame:
+        ids = block["id"].to_numpy()
+        bound = probes["reach"].fillna(np.inf).to_numpy() if "reach" in probes else np.full(len(probes), np.inf)
+        found = _Best(k, bound)
+        for held, place in tiles:
+            far = lists.distances(asked[place], own[held])
+            n = min(k, len(held))
+            edge = np.minimum(np.partition(far, n - 1, axis=1)[:, n - 1], found.bound[place])
+            row, column = np.nonzero(far <= edge[:, None] * (1 + lists.SLACK) + lists.SLACK)
+            for at in range(0, len(row), lists.PROBES):
+                i, j = place[row[at : at + lists.PROBES]], held[column[at : at + lists.PROBES]]
+                found.add(i, ids[j], ((asked[i] - own[j]) ** 2).sum(1))
+        row, image, exact = found.rows()
+        return pd.DataFrame({"query_id": probes["query_id"].to_numpy()[row], "image_id": image, "distance": exact})
 
     return compare
 
 
+class _Best:
+    """The ``k`` rows of least (distance, id) of each probe so far; ``bound``: distance that none beyond can be one of them."""
+
+    #: Rows that are put together at once.
+    MOST = 1 << 20
+
+    def __init__(self, k: int, bound: np.ndarray):
+        self.k, self.bound, self.parts, self.pending = k, bound.copy(), [], 0
+
+    def add(self, row: np.ndarray, image: np.ndarray, exact: np.ndarray) -> None:
+        self.parts.append((row, image, exact))
+        self.pending += len(row)
+        if self.pending > self.MOST:
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        row, image, exact = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((image, exact, row))
+        place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        order = order[place < self.k]
+        last = place[place < self.k] == self.k - 1
+        row, image, exact = row[order], image[order], exact[order]
+        self.bound[row[last]] = np.minimum(self.bound[row[last]], np.sqrt(exact[last]))
+        self.parts, self.pending = [(row, image, exact)], 0
+        return row, image, exact
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "image_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", 1 / (1 + F.greatest("distance", F.lit(0.0)))).select("query_id", "image_id", "distance", "score", "rank")
@@ -117,12 +144,11 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def visited_share(vectors: DataFrame, queries: DataFrame, k: int) -> float:
     """Of all pairs of a query and a list, the share that ``top_k`` visits."""
     stored = vectors.select(F.col("image_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    points, _, _, known = _lists_of(stored)
+    points, _, known = _lists_of(stored)
     asked = queries.select("query_id", F.col("query").cast("array<double>").alias("vector"))
     reach = top_k(vectors, queries, k).where(F.col("rank") == k).select("query_id", F.sqrt("distance").alias("reach"))
-    radius = known["radius"].to_numpy()
-    wanted = lambda rows, far: _nearest_lists(far, known, k) | (far - radius[None, :] <= rows["reach"].fillna(np.inf).to_numpy()[:, None])
-    return lists.visits(asked.join(reach, "query_id", "left"), points, known, wanted).count() / max(1, asked.count() * len(known))
+    visited = lists.visits(asked.join(reach, "query_id", "left"), points, known, _reached(known), keep=())
+    return visited.agg(F.coalesce(F.sum(F.col("lists")), F.lit(0))).first()[0] / max(1, asked.count() * len(known))
 
 
 def vector_count(vectors: DataFrame) -> DataFrame:

@@ -1,8 +1,14 @@
 """Vectors in lists: nearest neighbours and similar pairs against all pairs."""
 
+import math
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from assetlake.functions import expressions as E
 from assetlake.operators import faces, graph, lists, vectors
 
 SCHEMA = "image_id long, embedding array<double>"
@@ -96,3 +102,43 @@ def test_compared_share_of_clustered_faces(spark):
     far = lists.distances(unit, points)
     reach = np.stack([far[:, e] - sizes.radius[e] <= np.sqrt(2 - 2 * 0.82) for e in sizes.index], axis=1)
     assert (reach * sizes.n.to_numpy()).sum() / 2000**2 < 0.5
+
+
+def test_a_vector_is_moved_once_for_a_shelf(spark):
+    """Of vectors that lie evenly nothing is ruled out; they must not be moved for each list then."""
+    data = np.random.default_rng(7).normal(size=(1200, 24))
+    df = graph.written(spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(data)], "id long, vector array<double>"))
+    points = lists.pivots(df)
+    members = lists.dealt(df, points)
+    layout = lists.shelved(lists.list_sizes(members).toPandas(), points)
+    placed = lists.on_shelves(members, layout).groupBy("shelf").count().toPandas()
+    assert placed["count"].sum() == 1200 and placed["count"].max() <= lists.BLOCK and len(placed) <= 2 * lists._SHELVES < len(layout)
+    moved = lists.visits(df, points, layout, lambda rows, far: np.ones(far.shape, bool))
+    assert moved.count() == 1200 * len(placed)
+    assert moved.groupBy("id").sum("lists").where(f"`sum(lists)` >= {len(layout)}").count() == 1200
+
+
+def test_large_lists_are_cut_and_small_ones_share_a_shelf(spark, monkeypatch):
+    monkeypatch.setattr(lists, "BLOCK", 40)
+    sizes = pd.DataFrame({"list": range(4), "n": [100, 10, 10, 30], "radius": 1.0})
+    layout = lists.shelved(sizes, np.array([[0.0], [1.0], [2.0], [3.0]]))
+    assert layout[["first", "shelves"]].to_numpy().tolist() == [[0, 3], [3, 1], [3, 1], [4, 1]]
+
+
+def test_norm_is_worked_out_once_for_a_vector(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "id long, v array<float>")
+    unit = rows.select("id", E.l2_normalise(F.col("v")).alias("u"))
+    assert {r.id: r.u for r in unit.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None}
+    wide = spark.range(4).select(F.array_repeat(F.col("id").cast("double"), 3000).alias("v"))
+    began = time.perf_counter()
+    wide.select(F.sum(F.element_at(E.l2_normalise(F.col("v")), 1))).collect()
+    assert time.perf_counter() - began < 10  # 3,000 norms of each would take over half a minute
+
+
+@pytest.mark.parametrize("threshold", [0.42, 0.82])
+def test_links_at_the_edge_of_single_precision(spark, threshold):
+    """A product that single precision puts on the wrong side of the threshold is decided in double."""
+    turn = lambda c: [c, math.sqrt(1 - c * c)]
+    data = [[1.0, 0.0], turn(threshold + 1e-9), [-1.0, 0.0], [-threshold + 1e-9, -math.sqrt(1 - (threshold - 1e-9) ** 2)]]
+    found = faces.cosine_links(stored(spark, np.array(data)).withColumnRenamed("image_id", "id"), threshold)
+    assert {tuple(sorted((r.a, r.b))) for r in found.collect()} == {(0, 1)}
