@@ -140,6 +140,13 @@ def visits(probes: DataFrame, points: np.ndarray, layout: pd.DataFrame, choose:
     return probes.mapInPandas(run, T.StructType([*fields, T.StructField("shelf", T.IntegerType()), T.StructField("lists", T.IntegerType())]))
 
 
+def dimensions(vectors: int, probes: int) -> tuple[int, int, int]:
+    """(blocks, parts, tasks) for vectors and probes that all meet."""
+    blocks = max(1, math.ceil(vectors / min(BLOCK, max(_LEAST, math.ceil(vectors / _SHELVES)))))
+    parts = max(1, math.ceil(probes / min(PROBES, max(_LEAST, math.ceil(probes / math.ceil(_GROUPS / blocks))))))
+    return blocks, parts, min(4096, 2 * blocks * parts)
+
+
 #: Takes a shelf's members, their vectors, a part's probes, their vectors, and tiles (members' places, probes' places) of what is to be compared.
 Compare = Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]], pd.DataFrame]
 

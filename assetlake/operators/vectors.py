@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -91,12 +93,11 @@ def _nearest(k: int):
 
     def compare(block: pd.DataFrame, own: np.ndarray, probes: pd.DataFrame, asked: np.ndarray, tiles) -> pd.DataFrame:
         ids = block["id"].to_numpy()
-        bound = probes["reach"].fillna(np.inf).to_numpy() if "reach" in probes else np.full(len(probes), np.inf)
-        found = _Best(k, bound)
+        found = _Best(k, probes["reach"].fillna(np.inf).to_numpy() ** 2 if "reach" in probes else np.full(len(probes), np.inf))
         for held, place in tiles:
             far = lists.distances(asked[place], own[held])
             n = min(k, len(held))
-            edge = np.minimum(np.partition(far, n - 1, axis=1)[:, n - 1], found.bound[place])
+            edge = np.minimum(np.partition(far, n - 1, axis=1)[:, n - 1], np.sqrt(found.bound[place]))
             row, column = np.nonzero(far <= edge[:, None] * (1 + lists.SLACK) + lists.SLACK)
             for at in range(0, len(row), lists.PROBES):
                 i, j = place[row[at : at + lists.PROBES]], held[column[at : at + lists.PROBES]]
@@ -108,31 +109,32 @@ def _nearest(k: int):
 
 
 class _Best:
-    """The ``k`` rows of least (distance, id) of each probe so far; ``bound``: distance that none beyond can be one of them."""
+    """The ``k`` rows of least (exact, id) of each probe so far; ``bound``: beyond which none can be one of them."""
 
     #: Rows that are put together at once.
     MOST = 1 << 20
 
-    def __init__(self, k: int, bound: np.ndarray):
-        self.k, self.bound, self.parts, self.pending = k, bound.copy(), [], 0
+    def __init__(self, k: int, bound: np.ndarray | None = None):
+        self.k, self.bound, self.parts, self.pending, self.held = k, bound, [], 0, 0
 
     def add(self, row: np.ndarray, image: np.ndarray, exact: np.ndarray) -> None:
         self.parts.append((row, image, exact))
         self.pending += len(row)
-        if self.pending > self.MOST:
+        if self.pending > self.held + self.MOST:
             self.rows()
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         row, image, exact = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         order = np.lexsort((image, exact, row))
         place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
         order = order[place < self.k]
         last = place[place < self.k] == self.k - 1
         row, image, exact = row[order], image[order], exact[order]
-        self.bound[row[last]] = np.minimum(self.bound[row[last]], np.sqrt(exact[last]))
-        self.parts, self.pending = [(row, image, exact)], 0
+        if self.bound is not None:
+            self.bound[row[last]] = np.minimum(self.bound[row[last]], exact[last])
+        self.parts, self.pending, self.held = [(row, image, exact)], len(row), len(row)
         return row, image, exact
 
 
@@ -228,28 +230,96 @@ def hybrid_search(assets: DataFrame, links: DataFrame, tag_table: DataFrame, vec
 def hybrid_searches(assets: DataFrame, links: DataFrame, tag_table: DataFrame, vectors: DataFrame, searches: DataFrame, limit: int = DEFAULT_HITS) -> DataFrame:
     """``hybrid_search`` for many searches (query_id, query, vector): (query_id, id, score, source, rank).
 
-    The searches are the stated query set that every asset meets once; Spark
-    broadcasts them while they are small. Searches with tags meet only the
-    assets that carry the first of them.
+    Searches with the same filters meet the assets as one; Spark broadcasts the
+    distinct filters while they are small. Filters with tags meet only the
+    assets that carry the first of them. Vectors meet searches in blocks (see
+    ``_filtered``), and a page that goes by time is cut in the task that finds it, so no
+    pair of a search and an asset is shuffled or written.
     """
     limit = min(max(limit, 1), MOST_HITS)
-    asked = parse_search(searches).join(searches.select("query_id", "vector"), "query_id")
-    named = links.join(tag_table.select(F.col("id").alias("tag_id"), "name"), "tag_id").groupBy(F.col("image_id").alias("id")).agg(F.collect_set("name").alias("names"))
+    parsed = parse_search(searches).join(searches.select("query_id", "vector"), "query_id")
+    parsed = written(parsed.select("query_id", "text", "vector", F.struct(F.array_sort("tags").alias("tags"), "format", "size_min", "size_max").alias("filter")))
+    filters = written(parsed.select("filter").distinct().select("filter", F.monotonically_increasing_id().alias("f")))
+    asked = written(parsed.join(filters, "filter").select("query_id", "text", "vector", "f"))
+    wanted = written(tag_table.select(F.col("id").alias("tag_id"), "name").join(filters.select(F.explode("filter.tags").alias("name")).distinct(), "name"))
+    named = links.join(wanted, "tag_id").groupBy(F.col("image_id").alias("id")).agg(F.collect_set("name").alias("names"))
     held = assets.where(E.live()).select("id", "extension", "size_bytes", "mtime", "filename").join(named, "id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    held = written(held.where("size(names) > 0") if filters.where("size(filter.tags) = 0").isEmpty() else held)
+
+    near = asked.where("text != '' and vector is not null").select("query_id", "f", F.col("vector").cast("array<double>").alias("vector"))
+    stored = vectors.where("embedding is not null").select(F.col("image_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    of_near = filters.join(near.select("f").distinct(), "f", "left_semi")
+    passed = _passed(held.join(stored.select("id"), "id", "left_semi"), of_near).groupBy("id").agg(F.collect_set("f").alias("filters"))
+    found = written(_ranked(_filtered(written(stored.join(passed, "id")), near, limit), limit))
+    semantic = found.select("query_id", F.col("image_id").alias("id"), "score", F.lit("semantic").alias("source"), "rank")
+
+    others = asked.where("text = ''").unionByName(asked.where("text != ''").join(found.select("query_id").distinct(), "query_id", "left_anti")).select("query_id", "text", "f")
+    pages = written(others.select("text", "f").distinct().withColumn("page", F.monotonically_increasing_id()))
+    met = _passed(held, filters.join(pages, "f")).where(F.contains(E.ascii_lower(F.col("filename")), E.ascii_lower(F.col("text"))))
+    newest = _newest(met, limit).join(pages.join(others, ["text", "f"]).select("page", "query_id", (F.col("text") == "").alias("plain")), "page")
+    by_time = newest.select("query_id", "id", F.when(F.col("plain"), 1.0).otherwise(0.5).alias("score"), F.when(F.col("plain"), "dsl").otherwise("filename").alias("source"), "rank")
+    return semantic.unionByName(by_time)
+
+
+def _passed(held: DataFrame, filters: DataFrame) -> DataFrame:
+    """The rows of ``held`` once for each of ``filters`` (filter, ...) that takes them."""
+    named = filters.select("*", "filter.*").drop("filter")
     takes = (
         (F.col("format").isNull() | (F.col("extension") == F.col("format")))
         & (F.col("size_min").isNull() | (F.col("size_bytes") >= F.col("size_min")))
         & (F.col("size_max").isNull() | (F.col("size_bytes") <= F.col("size_max")))
         & (F.size(F.array_except("tags", "names")) == 0)
     )
-    by_tag = held.withColumn("tag", F.explode("names")).join(asked.where("size(tags) > 0").withColumn("first", F.col("tags")[0]), (F.col("tag") == F.col("first")) & takes).drop("tag", "first")
-    met = by_tag.unionByName(held.join(asked.where("size(tags) = 0"), takes))
-    near = met.where("text != '' and vector is not null").join(vectors.select(F.col("image_id").alias("id"), "embedding"), "id")
-    near = near.select("query_id", "id", E.squared_distance(F.col("embedding"), F.col("vector")).alias("distance"))
-    ranked = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank")
-    newest = (F.desc("mtime"), F.desc("id"))
-    semantic = near.select("query_id", "id", (1 / (1 + F.greatest("distance", F.lit(0.0)))).alias("score"), F.lit("semantic").alias("source"), ranked("distance", "id"))
-    plain = met.where("text = ''").select("query_id", "id", F.lit(1.0).alias("score"), F.lit("dsl").alias("source"), ranked(*newest))
-    none = met.where("text != ''").join(near.select("query_id").distinct(), "query_id", "left_anti").where(F.contains(E.ascii_lower(F.col("filename")), E.ascii_lower(F.col("text"))))
-    by_name = none.select("query_id", "id", F.lit(0.5).alias("score"), F.lit("filename").alias("source"), ranked(*newest))
-    return semantic.unionByName(plain).unionByName(by_name).where(F.col("rank") <= limit)
+    by_tag = held.withColumn("tag", F.explode("names")).join(named.where("size(tags) > 0").withColumn("first", F.col("tags")[0]), (F.col("tag") == F.col("first")) & takes).drop("tag", "first")
+    return by_tag.unionByName(held.join(named.where("size(tags) = 0"), takes))
+
+
+def _newest(met: DataFrame, limit: int) -> DataFrame:
+    """(page, id, rank) of the newest ``limit`` rows of ``met`` (page, id, mtime) of each page; a task keeps no more of a page, so few rows are shuffled."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = _Best(limit)
+        for part in parts:
+            best.add(part["page"].to_numpy(), -part["id"].to_numpy(), part["age"].to_numpy())
+        page, image, age = best.rows()
+        yield pd.DataFrame({"page": page, "id": -image, "age": age})
+
+    age = F.coalesce(-F.col("mtime"), F.lit((1 << 63) - 1)).alias("age")
+    kept = met.select("page", "id", age).mapInPandas(run, "page long, id long, age long")
+    rank = F.row_number().over(Window.partitionBy("page").orderBy("age", F.desc("id")))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= limit).drop("age")
+
+
+def _filtered(stored: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, image_id, distance): the ``k`` nearest of ``stored`` (id, vector, filters) that have its filter, from each block, for each of ``asked`` (query_id, f, vector).
+
+    Blocks of vectors and of searches meet as matrices, a filter at a time.
+    """
+    blocks, parts, groups = lists.dimensions(stored.count(), asked.count())
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda id, n: F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
+    key = ("block", "part")
+    left = stored.withColumn("block", block("id", blocks)).withColumn("part", each(parts)).repartition(groups, *key)
+    right = asked.withColumn("part", block("query_id", parts)).withColumn("block", each(blocks)).repartition(groups, *key)
+    compare, tile = _nearest(k), lists.TILE
+
+    def tiles(block: pd.DataFrame, rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        place = np.repeat(np.arange(len(block)), block["filters"].map(len))
+        number = np.concatenate(block["filters"].to_numpy())
+        order = np.argsort(number, kind="stable")
+        place, number = place[order], number[order]
+        f = rows["f"].to_numpy()
+        for one in np.unique(f):
+            held = place[np.searchsorted(number, one) : np.searchsorted(number, one, "right")]
+            own = np.flatnonzero(f == one)
+            step = max(1, tile // max(1, len(held)))
+            for at in range(0, len(own) if len(held) else 0, step):
+                yield held, own[at : at + step]
+
+    def run(block: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(block) or not len(rows):
+            return pd.DataFrame({"query_id": [], "image_id": [], "distance": []})
+        own = lists.matrix(block["vector"])
+        return compare(block, own, rows, lists.matrix(rows["vector"], own.shape[1]), tiles(block, rows))
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, _FOUND)

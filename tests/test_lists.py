@@ -142,3 +142,33 @@ def test_links_at_the_edge_of_single_precision(spark, threshold):
     data = [[1.0, 0.0], turn(threshold + 1e-9), [-1.0, 0.0], [-threshold + 1e-9, -math.sqrt(1 - (threshold - 1e-9) ** 2)]]
     found = faces.cosine_links(stored(spark, np.array(data)).withColumnRenamed("image_id", "id"), threshold)
     assert {tuple(sorted((r.a, r.b))) for r in found.collect()} == {(0, 1)}
+
+
+def test_searches_with_the_same_filters_meet_assets_as_one(spark):
+    """Against each search alone, with filters that nothing passes, and pages by time cut where they are found."""
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(300, 8))
+    table = spark.range(300).selectExpr("id", "concat('f', id % 7, '.', if(id % 2 = 0, 'a', 'b')) as filename", "if(id % 2 = 0, 'a', 'b') as extension", "id % 50 as size_bytes", "if(id = 3, null, id % 20) as mtime", "cast(if(id % 11 = 0, 1, null) as bigint) as deleted_at", "1 as root_id", "cast(null as bigint) as taken_at", "1.0D as gps_lat", "1.0D as gps_lng")
+    tag_table = spark.createDataFrame([(n, f"t{n}") for n in range(3)], "id long, name string")
+    links = spark.range(300).selectExpr("id as image_id", "id % 3 as tag_id", "'ai' as source", "1.0D as score")
+    texts = ["x #t1 size:>10b", "#t1 size:>10b", "f3 #t1 size:>10b", "f3 #t2 #t1", "x format:a", "", "f2 #t0 format:b size:<30b"]
+    searches = [(n, texts[n % 7], rng.normal(size=8).tolist() if n % 7 in (0, 4) else None) for n in range(28)]
+    df = spark.createDataFrame(searches, "query_id long, query string, vector array<double>")
+    own = stored(spark, data).where("image_id % 5 != 0")
+    found = vectors.hybrid_searches(table, links, tag_table, own, df, 9)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, round(r.score, 9), r.source))
+    for n, text, vector in searches[:7]:
+        alone = vectors.hybrid_search(table, links, tag_table, own, text, vector, 9).collect()
+        assert sorted(got.get(n, [])) == sorted((r["rank"], r.id, round(r.score, 9), r.source) for r in alone)
+    assert all(sorted(got.get(n, [])) == sorted(got.get(n % 7, [])) for n in range(28) if searches[n][2] is None)
+    assert len(got[0]) == len(got[4]) == 9 and 3 not in got
+
+
+def test_no_pair_of_a_search_and_an_asset_is_shuffled(spark):
+    met = spark.range(5000).selectExpr("id % 2 as page", "id", "id as mtime").repartition(3)
+    newest = vectors._newest(met, 4)
+    assert {(r.page, r.id, r["rank"]) for r in newest.collect()} == {(p, 4998 + p - 2 * n, n + 1) for p in (0, 1) for n in range(4)}
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning(page") < plan.index("MapInPandas")  # above it: what tasks keep is dealt out
