@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import expressions as E
+from .graph import written
 from .numbering import greatest, numbered
 
 UNDO_SECONDS = 30 * 86_400
@@ -47,6 +48,7 @@ def apply_changes(prev: DataFrame, classified: DataFrame, now: int) -> DataFrame
     old content and are live; removed ones are deleted as of ``now``.
     """
     listed = [c for c in schemas.LISTED[2:] + schemas.METADATA if c in classified.columns]
+    classified = written(classified.where(F.col("change").isin("added", "updated", "restored", "removed")))  # read for both parts of the result
     changed = classified.where(F.col("change").isin("updated", "restored", "removed")).select("id", "change", *(F.col(c).alias(f"new_{c}") for c in listed))
     joined = prev.join(changed, "id", "left")
     renewed = F.col("change").isin("updated", "restored")

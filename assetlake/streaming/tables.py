@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import backlog, reconcile
+from ..operators.graph import written
 
 #: Versions whose files stay, the current one included: readers may be at work on an older one.
 KEPT = 3
@@ -112,7 +113,7 @@ def reconcile_into(fired: DataFrame, table: VersionedTable, listing: Callable[[D
     """Start a stream that lists each micro-batch's fired roots (``listing`` of root_id) anew and writes the reconciled catalog, once a batch."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        roots = df.select("root_id").distinct()
+        roots = written(df.select("root_id").distinct())  # read several times below; the batch, with its events, would be worked out anew each time
         if not roots.isEmpty():
             table.change("reconcile", batch_id, lambda assets: reconcile.reconcile_roots(assets, listing(roots), roots, clock()))
 
