@@ -187,12 +187,18 @@ def rebuild_groups(groups: DataFrame, items: DataFrame, new: DataFrame, method:
 
 
 def find_groups(assets: DataFrame, method: str = "both", t: int = DEFAULT_THRESHOLD) -> DataFrame:
-    """(method, group_id, id, similarity) by ``method``: exact, phash or both."""
+    """(method, group_id, id, similarity) by ``method``: exact, phash or both.
+
+    The digests and signatures are read several times and can be costly to make, so they are written down once.
+    """
+    needed = {"exact": ["content_hash"], "phash": ["dhash"], "both": ["content_hash", "dhash"]}.get(method, [])
+    if needed:
+        assets = written(assets.where(E.live()).select("id", "deleted_at", *needed))
     parts = []
     if method in ("exact", "both"):
         parts.append(exact_items(assets).select(F.lit("exact").alias("method"), "group_id", "id", F.lit(1.0).alias("similarity")))
     if method in ("phash", "both"):
-        parts.append(with_similarity(neardup_groups(assets.where(E.live()), t)).select(F.lit("phash").alias("method"), "group_id", "id", "similarity"))
+        parts.append(with_similarity(neardup_groups(assets, t)).select(F.lit("phash").alias("method"), "group_id", "id", "similarity"))
     if not parts:
         raise ValueError(f"no such method: {method}")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

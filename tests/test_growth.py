@@ -1,5 +1,6 @@
 """What only larger tables show: multiplied rows meet by shuffles, whatever Spark's estimate; halves and ties go as in SQL."""
 
+import hashlib
 import re
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assetlake.operators import backlog, boxes, fingerprint, tags
 from assetlake.plans import registry as Q, state_queries, views  # noqa: F401  they register
+from assetlake.streaming import tables
 
 
 def inner_broadcasts(df) -> list[str]:
@@ -97,3 +99,44 @@ def test_best_tags_are_put_together_after_they_are_dealt_out(spark):
     assert "Aggregate" not in links._jdf.queryExecution().optimizedPlan().toString()  # a part's links come from its row
     best = tags.best_per_tag(links.withColumn("name", F.col("tag_id").cast("string")))
     assert re.search(r"HashAggregate[^\n]*\n[^\n]*HashAggregate[^\n]*\n[^\n]*Exchange hashpartitioning\(image_id", best._jdf.queryExecution().executedPlan().toString())
+
+
+def test_signatures_are_made_once_for_all_groups(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def costly(parts):
+        for part in parts:
+            made.add(len(part))
+            yield part.assign(dhash=part["id"] // 2 * 64)
+
+    rows = spark.range(40).selectExpr("id", "cast(id % 20 as string) as content_hash", "cast(null as bigint) as deleted_at")
+    found = fingerprint.find_groups(rows.mapInPandas(costly, "id long, content_hash string, deleted_at long, dhash long"), "both", 0)
+    assert found.groupBy("method").count().orderBy("method").collect() == [("exact", 40), ("phash", 40)]
+    assert made.value == 40
+
+
+def test_a_batch_of_a_stream_is_worked_out_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def costly(parts):
+        for part in parts:
+            made.add(len(part))
+            yield part
+
+    table = tables.VersionedTable(spark, f"file://{tmp_path}/catalog")
+    table.write(views.orders(spark, SF))
+    spark.range(8).select(F.col("id").alias("root_id")).write.parquet(f"{tmp_path}/fired")
+    fired = spark.readStream.schema("root_id long").parquet(f"{tmp_path}/fired").mapInPandas(costly, "root_id long")
+    listing = views.listing(spark, SF)
+    tables.reconcile_into(fired, table, lambda roots: listing.join(roots, "root_id", "left_semi"), lambda: 9, f"{tmp_path}/checkpoint", availableNow=True).awaitTermination()
+    assert made.value == 8
+    assert table.read().where("deleted_at = 9").count() > 0
+
+
+def test_signature_as_in_sql():
+    text = "one two three four two three four one two three"
+    runs = {" ".join(text.split()[i : i + 3]) for i in range(8)}
+    values = [int(hashlib.md5(r.encode()).hexdigest()[:16], 16) for r in runs]
+    bits = sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
+    assert views._signature(text) % (1 << 64) == bits
+    assert views._signature("") % (1 << 64) == int(hashlib.md5(b"").hexdigest()[:16], 16)
