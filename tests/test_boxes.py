@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 
 from assetlake.operators import boxes, browse
@@ -64,3 +65,28 @@ def test_no_nested_loop_and_nothing(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert [r.members for r in browse.album_counts(table.where("false"), albums).collect()] == [0, 0]
     assert browse.album_members(table, albums.where("false")).count() == 0
+
+
+def test_counts_meet_no_pairs_and_strips_are_dealt_out(spark, monkeypatch):
+    for name, value in (("COUNT_CELLS", 3), ("ASSETS", 25), ("BOXES", 20)):
+        monkeypatch.setattr(boxes, name, value)
+    rng = random.Random(8)
+    assets = list(random_assets(rng, 300))
+    filters = [random_filter(rng) for _ in range(120)] + [{"q": "img_"}, {"q": "img_1", "sizeMin": 400}, {"takenFrom": 300, "takenTo": 310}]
+    table = spark.createDataFrame([tuple(a.values()) for a in assets], SCHEMA)
+    albums = spark.createDataFrame([(n, json.dumps(f)) for n, f in enumerate(filters)], "id long, filter_json string")
+    found = boxes.counts(table, albums)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "FlatMapCoGroupsInArrow" in plan  # only prefix sums are looked up
+    assert {r.album_id: r.members for r in found.collect()} == {n: got for n, f in enumerate(filters) if (got := sum(takes(f, a) for a in assets))}
+
+
+def test_points_in_many_boxes_against_a_loop():
+    rng = np.random.default_rng(3)
+    key, x, y = rng.integers(0, 3, 400), np.sort(rng.integers(0, 50, 400)), rng.integers(0, 37, 400)
+    asks, left, above = rng.integers(0, 4, 90), rng.integers(0, 52, 90), rng.integers(0, 40, 90)
+    right, below = left + rng.integers(-3, 30, 90), above + rng.integers(-3, 30, 90)
+    wanted = [sum((key == k) & (x >= a) & (x < b) & (y >= c) & (y < d)) for k, a, b, c, d in zip(asks, left, right, above, below, strict=True)]
+    assert boxes._in_boxes(key, x, y, asks, left, right, above, below).tolist() == wanted
+    assert boxes._in_boxes(key, x, y, asks[:2], left[:2], right[:2], above[:2], below[:2]).tolist() == wanted[:2]
+    assert boxes._in_boxes(key[:0], x[:0], y[:0], asks, left, right, above, below).tolist() == [0] * 90
