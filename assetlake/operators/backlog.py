@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import expressions as E
 from .graph import spread, written
@@ -60,33 +63,64 @@ def face_totals(faces: DataFrame) -> DataFrame:
     return faces.agg(F.count(F.lit(1)).alias("faces"), none.alias("unclustered"), F.countDistinct("cluster_id").alias("clusters"))
 
 
-def run_scorer(chosen: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], result_type: str, batch: int) -> DataFrame:
+def run_scorer(chosen: DataFrame, fn: Callable, result_type: str, batch: int, plain: bool = False) -> DataFrame:
     """(id, result, error) of ``fn`` over batches of rows with ``id``; ``fn`` returns id and result.
 
     A batch that raises is tried again row by row, so one bad row fails alone;
-    rows without a result fail too.
+    rows without a result fail too. ``fn`` takes and returns data frames of
+    pandas; if ``plain``, dicts of columns as lists, which spares the making of a
+    frame for each call (most of the time where many batches have a bad row).
     """
+    if plain:
+        return _run_plain(chosen, fn, result_type, batch)
 
     def score(parts):
         for part in parts:
-            found = [row for at in range(0, len(part), batch) for row in _isolated(fn, part.iloc[at : at + batch])]
-            ids, results, errors = zip(*found, strict=True) if found else ((), (), ())
+            cut = lambda i, j: part.iloc[i:j]  # noqa: B023, E731
+            ids, results, errors = _scored(fn, cut, part["id"].tolist(), batch)
             yield pd.DataFrame({"id": ids, "result": pd.Series(results, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     return spread(chosen).mapInPandas(score, f"id long, result {result_type}, error string")
 
 
-def _isolated(fn: Callable[[pd.DataFrame], pd.DataFrame], rows: pd.DataFrame) -> list[tuple]:
-    """(id, result, error) of each row; the first result of an id counts."""
+def _run_plain(chosen: DataFrame, fn: Callable[[dict], dict], result_type: str, batch: int) -> DataFrame:
+    schema = to_arrow_schema(T.StructType.fromDDL(f"id long, result {result_type}, error string"))
+
+    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            columns = part.to_pydict()
+            cut = lambda i, j: {name: values[i:j] for name, values in columns.items()}  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(_scored(fn, cut, columns["id"], batch), schema, strict=True)], schema=schema)
+
+    return spread(chosen).mapInArrow(score, f"id long, result {result_type}, error string")
+
+
+def _scored(fn: Callable, cut: Callable, ids: list, batch: int) -> tuple[list, list, list]:
+    """(ids, results, errors) of all rows in batches; ``cut(i, j)`` are the rows from i to under j."""
+    results, errors = [], []
+    for at in range(0, len(ids), batch):
+        _isolated(fn, cut, ids, at, min(at + batch, len(ids)), results, errors)
+    return ids, results, errors
+
+
+def _isolated(fn: Callable, cut: Callable, ids: list, low: int, high: int, results: list, errors: list) -> None:
+    """Adds result and error of each row from ``low`` to under ``high``; the first result of an id counts."""
     try:
-        got = fn(rows)
-        ids, results = got["id"].tolist(), got["result"].tolist()
-        known = dict(zip(reversed(ids), reversed(results), strict=True))
+        got = fn(cut(low, high))
+        found, values = (c.tolist() if hasattr(c, "tolist") else c for c in (got["id"], got["result"]))
+        known = dict(zip(reversed(found), reversed(values), strict=True))
     except Exception as e:  # noqa: BLE001  the worker's own failures are results here
-        if len(rows) > 1:
-            return [row for i in range(len(rows)) for row in _isolated(fn, rows.iloc[i : i + 1])]
-        return [(rows["id"].iloc[0], None, f"{type(e).__name__}: {e}")]
-    return [(i, *_judged(known.get(i))) for i in rows["id"].tolist()]
+        if high - low > 1:
+            for i in range(low, high):
+                _isolated(fn, cut, ids, i, i + 1, results, errors)
+            return
+        results.append(None)
+        errors.append(f"{type(e).__name__}: {e}")
+        return
+    for i in range(low, high):
+        result, error = _judged(known.get(ids[i]))
+        results.append(result)
+        errors.append(error)
 
 
 def _judged(result) -> tuple:

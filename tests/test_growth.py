@@ -140,3 +140,22 @@ def test_signature_as_in_sql():
     bits = sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
     assert views._signature(text) % (1 << 64) == bits
     assert views._signature("") % (1 << 64) == int(hashlib.md5(b"").hexdigest()[:16], 16)
+
+
+def test_a_plain_scorer_gets_lists_and_fails_like_one_of_frames(spark):
+    def frames(rows):
+        if (rows["id"] % 7 == 3).any():
+            raise ValueError("bad")
+        return rows.assign(result=rows["t"].str.len())[rows["id"] != 9][["id", "result"]]
+
+    def lists(rows):
+        assert type(rows["id"]) is list and len(rows["id"]) <= 4
+        if any(i % 7 == 3 for i in rows["id"]):
+            raise ValueError("bad")
+        kept = [(i, None if t is None else len(t)) for i, t in zip(rows["id"], rows["t"], strict=True) if i != 9]
+        return {"id": [i for i, _ in kept], "result": [n for _, n in kept]}
+
+    chosen = spark.range(100).selectExpr("id", "if(id = 6, null, repeat('x', cast(id % 5 as int))) as t")
+    got, wanted = ({tuple(r) for r in backlog.run_scorer(chosen, *how).collect()} for how in ((lists, "long", 4, True), (frames, "long", 4)))
+    assert got == wanted and len(got) == 100
+    assert backlog.run_scorer(chosen.where("false"), lists, "long", 4, plain=True).count() == 0
